@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .mixing import mix_documents
+from .neardup import near_duplicates
 from .sharding import shard_manifest
 from .urlrules import judge_urls
 
@@ -24,6 +25,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"), rules)
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), ngram=2, percent=80)
+
+
 def op9_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_manifest(_table(spark, sf_dir, "documents"), SHARDS)
 
@@ -33,7 +38,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_url_filter, op9_jump_sharding, op10_source_mix)}
+    return {f.__name__: f for f in (op3_url_filter, op4_minhash_near_dedup, op9_jump_sharding, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
