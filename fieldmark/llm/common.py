@@ -6,7 +6,9 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+
+_TYPES = {"string": T.StringType(), "double": T.DoubleType(), "int": T.IntegerType(), "long": T.LongType()}
 
 #: Rows up to which a side whose rows have a fixed width is broadcast; above it a shuffle join is planned.
 BROADCAST_ROWS = 20_000
@@ -65,6 +67,11 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone])
 
 
+def schema_with(df: DataFrame, **added: str) -> T.StructType:
+    """The schema of ``df`` and further columns."""
+    return T.StructType([*df.schema.fields, *[T.StructField(k, _TYPES[v]) for k, v in added.items()]])
+
+
 def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a long, b long)``: one row ``(id, comp)`` per node, ``comp`` its smallest reachable id.
 

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .decontam import find_leaks
+from .langid import identify_languages
 from .mixing import mix_documents
 from .neardup import near_duplicates
 from .sharding import shard_manifest
+from .toxicity import rate_documents
 from .urlrules import judge_urls
 
 SHARDS = 40
@@ -20,6 +23,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_factorization_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rate_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return judge_urls(_table(spark, sf_dir, "pages"), rules)
@@ -29,6 +36,15 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), ngram=2, percent=80)
 
 
+def op7_string_kernel_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(_table(spark, sf_dir, "documents"))
+
+
+def op8_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = find_leaks(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    return leaks.select("doc_id", (F.size("leaked_items") > 0).alias("contaminated"), "leaked_items", "leaked_words")
+
+
 def op9_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_manifest(_table(spark, sf_dir, "documents"), SHARDS)
 
@@ -38,7 +54,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_url_filter, op4_minhash_near_dedup, op9_jump_sharding, op10_source_mix)}
+    return {f.__name__: f for f in (op2_factorization_toxicity, op3_url_filter, op4_minhash_near_dedup, op7_string_kernel_langid, op8_spaced_seed_decontamination, op9_jump_sharding, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:

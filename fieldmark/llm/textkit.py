@@ -19,6 +19,12 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
+_LOOSE = np.full(256, 32, np.uint8)
+_LOOSE[48:58] = np.arange(48, 58)
+_LOOSE[97:123] = np.arange(97, 123)
+_LOOSE[65:91] = np.arange(97, 123)
+_LOOSE[128:] = np.arange(128, 256)
+
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
 _pows: dict[int, np.ndarray] = {}
@@ -96,6 +102,15 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, *, fold:
     return out
 
 
+def loose(raw: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with A-Z and the Latin-1 capitals (C3 80 to C3 9E but for the multiplication sign) in lower case, and every
+    ASCII character but letters and digits as a space. Lengths stay."""
+    out = _LOOSE[raw]
+    capital = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
+    out[1:][capital] += np.uint8(32)
+    return out
+
+
 def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and each text's first word (with the total at the end)."""
     starts, ends, first = word_spans(raw, offsets)
