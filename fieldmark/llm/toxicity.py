@@ -23,17 +23,18 @@ STEMS = (4, 5, 6)  # word beginnings, in bytes
 
 
 def terms(raw: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
-    """For each text, the hashed terms of all its words, with repeats."""
+    """For each text, the distinct hashed terms of its words; a term that stands there twice or more is also a second term."""
     plain = loose(raw)
     starts, ends, first = word_spans(plain, offsets)
     kinds = [span_hashes(plain, starts, ends, fold=False)]
-    for n in STEMS:
-        longer = ends - starts > n
-        short = span_hashes(plain, starts, np.minimum(ends, starts + n), fold=False) + np.uint64(n)
-        kinds.append(np.where(longer, short, kinds[0]))
+    kinds += [span_hashes(plain, starts, np.minimum(ends, starts + n), fold=False) + np.uint64(n) for n in STEMS]
     ids = np.stack([(k >> np.uint64(20)) & np.uint64(SPACE - 1) for k in kinds], 1).astype(np.int64)
+    for j, n in enumerate(STEMS):
+        ids[ends - starts <= n, j + 1] = -1  # a short word is its own beginning
     for a, b in zip(first[:-1], first[1:], strict=True):
-        yield ids[a:b].ravel()
+        once, n = np.unique(ids[a:b], return_counts=True)
+        once, n = once[once >= 0], n[once >= 0]
+        yield np.concatenate([once, (once[n > 1] * 0x9E3779B1 + 1) % SPACE])
 
 
 @dataclass(frozen=True)
@@ -57,9 +58,10 @@ def _sigmoid(x: np.ndarray | float) -> np.ndarray | float:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_machine(rows: list[np.ndarray], y: np.ndarray, *, rank: int = 6, most_terms: int = 2048, min_z: float = 3.7, steps: int = 800, rate: float = 0.3, decay: float = 1e-5) -> Machine:
+def fit_machine(rows: list[np.ndarray], y: np.ndarray, *, rank: int = 6, most_terms: int = 2048, steps: int = 800, rate: float = 0.3, decay: float = 1e-5) -> Machine:
     """Fit by AdaGrad on the logistic loss over all rows. Terms are presences; those learned are the ``most_terms`` that tell
-    the labels apart most surely (``min_z`` deviations at least), so that the length of a text adds nothing."""
+    the labels apart most surely (beyond what the largest of so many chance
+    deviations would reach), so that the length of a text adds nothing."""
     count = np.zeros((2, SPACE))
     for r, label in zip(rows, y, strict=True):
         count[int(label), np.unique(r)] += 1
@@ -70,7 +72,7 @@ def fit_machine(rows: list[np.ndarray], y: np.ndarray, *, rank: int = 6, most_te
     # Root of the likelihood ratio: also sound for terms that one label never has.
     z = np.sqrt(np.maximum(2 * np.nan_to_num(parts).sum((0, 1)), 0))
     top = np.argsort(-z, kind="stable")[:most_terms]
-    top = top[z[top] >= min_z]
+    top = top[z[top] >= 0.9 * np.sqrt(2 * np.log(max(2, (count.sum(0) > 1).sum())))]
     slot = np.full(SPACE, -1, np.int32)
     slot[top] = np.arange(len(top))
     x = np.zeros((len(rows), len(top)), np.float32)
@@ -78,9 +80,8 @@ def fit_machine(rows: list[np.ndarray], y: np.ndarray, *, rank: int = 6, most_te
         at = slot[r]
         x[i, at[at >= 0]] = 1
     rng = np.random.default_rng(11)
-    # Half way, on a log scale, from rows that weigh the same to labels that weigh the same.
-    weight = np.where(y == 1, 1 / np.sqrt(max(1, (y == 1).sum())), 1 / np.sqrt(max(1, (y == 0).sum())))
-    weight = weight / weight.sum()
+    # Both labels weigh the same, however rare one is.
+    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
     bias, w, v = 0.0, np.zeros(len(top), np.float32), rng.normal(0, 0.02, (len(top), rank)).astype(np.float32)
     gw, gv, gb = np.full_like(w, 1e-6), np.full_like(v, 1e-6), 1e-6
     for _ in range(steps):
@@ -103,7 +104,7 @@ def fit_machine(rows: list[np.ndarray], y: np.ndarray, *, rank: int = 6, most_te
 def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, raw, offsets in text_blocks(batch.column(1)):
-            rows = [np.unique(t).astype(np.int32).tobytes() for t in terms(raw, offsets)]
+            rows = [t.astype(np.int32).tobytes() for t in terms(raw, offsets)]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(rows, pa.binary())], ["toxic", "ids"])
 
 
