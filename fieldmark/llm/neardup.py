@@ -6,9 +6,9 @@ positions ignored in turn, and all such pairs share a key. (Of pairs at Jaccard
 positions on average, all but 4 in 10,000 share a key, as nine chunks would each have to differ twice.)
 
 Groups may be huge, so pairs within a key are not listed. Each document is first compared with one hub: among its keys' members,
-the one with the most company. Links confirmed on the full sets give components; pairs that share a key but no component yet are
-then compared exhaustively, starting from each key's minority. What is left out is only pairs already in one component, so
-components are those of all links among the pairs that share a key.
+the one with the most company. Links confirmed on the full sets give components. Documents that share a key with another
+component's are then compared across components, each from its rarest shingles on, and confirmed likewise. What is left out is
+only pairs already in one component, so components are those of all links among the pairs that share a key.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .common import components, stash
 from .textkit import mix64, run_hashes, text_blocks, word_hashes
@@ -124,17 +124,6 @@ def _distance(a: str, b: str) -> Column:
     return total
 
 
-def _first_shared(key: Column, a: str, b: str) -> Column:
-    """Whether ``key`` is the first that two signatures share; so a pair is found at one of its keys only."""
-    at = F.shiftright(key, 56)
-    held = F.lit(False)
-    for j in reversed(range(CHUNKS)):
-        d = _differing(F.col(f"{a}.c{j}"), F.col(f"{b}.c{j}"))
-        here = (F.floor(at / WIDTH) == j) & ((d == 1) | ((d == 0) & (at % WIDTH == 0)))
-        held = F.when(d <= 1, here).otherwise(held)
-    return held
-
-
 def pick_rows(docs: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
     """Rows of ``docs`` with (``left_semi``) or without (``left_anti``) an id in ``ids(id)``; texts stay where they are if the
     ids are few enough to broadcast."""
@@ -177,14 +166,18 @@ class NearDuplicates:
         sizes = 100 * F.least("x.n_shingles", "y.n_shingles") >= self.percent * F.greatest("x.n_shingles", "y.n_shingles")
         return both.where(sizes & (_distance("x", "y") <= self.most_apart))
 
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """(id, shingles) of the documents in ``ids(id)``; of rows with one doc_id, the last set in order."""
+        rows = pick_rows(self.docs, ids, "doc_id", "left_semi").mapInArrow(_sets(self.ngram), "id long, shingles array<long>")
+        return rows.groupBy("id").agg(F.max("shingles").alias("shingles"))
+
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """Those of ``pairs(a, b)`` that are linked, by their full sets."""
         pairs = stash(pairs.select("a", "b"))
-        ids = stash(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-        sets = pick_rows(self.docs, ids, "doc_id", "left_semi").mapInArrow(_sets(self.ngram), "id long, shingles array<long>")
+        sets = self.sets(stash(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()))
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
-        return stash(both.where(100 * common >= self.percent * (F.size("x") + F.size("y") - common)).select("a", "b").distinct())
+        return stash(both.where(100 * common >= self.percent * (F.size("x") + F.size("y") - common)).select("a", "b"))
 
     def hub_pairs(self, entries: DataFrame) -> DataFrame:
         """Each document with the hub that has the most company among the hubs of its keys."""
@@ -193,19 +186,36 @@ class NearDuplicates:
         good = self.signed_pairs(near.select(F.col("id").alias("a"), F.col("hub").alias("b"), "w"))
         return good.groupBy("a").agg(F.max(F.struct("w", (-F.col("b")).alias("minus"))).alias("best")).select("a", (-F.col("best.minus")).alias("b"))
 
+    def rare_shingles(self, ids: DataFrame) -> DataFrame:
+        """(token, id, n, at): each document's rarest shingles, those in which any pair that could be linked must meet.
+
+        Rarity is among the documents in ``ids(id)``; ``at`` is a shingle's place in its document's set of ``n``, rarest first.
+        """
+        shingles = self.sets(ids).select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
+        often = shingles.groupBy("token").agg(F.count("*").alias("often"))
+        place = F.row_number().over(W.partitionBy("id").orderBy("often", "token")) - 1
+        near = shingles.join(often, "token").withColumn("at", place)
+        return near.where((F.col("often") > 1) & (100 * (F.col("n") - F.col("at")) >= self.percent * F.col("n"))).select("token", "id", "n", "at")
+
     def open_pairs(self, entries: DataFrame, labels: DataFrame) -> DataFrame:
-        """All pairs that share a key and no component, each once, from the side that is not in its key's largest component."""
+        """All pairs of documents that share keys with others of another component, and could be linked; each once.
+
+        In a large group the members of its largest component are done with each other; what remains are copies changed too much
+        to be linked with its hub, which share keys with nearly all. Their own changes are their rarest shingles, so ordered by
+        rarity almost no pair of them meets early enough for the rest of both sets to make a link.
+        """
         held = stash(entries.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp")))
         mixed = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        sig = self.classes.select("id", "n_shingles", *_C)
-        held = stash(held.join(mixed, "key").join(sig, "id"))
-        most = held.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp"))["comp"].alias("most"))
-        held_most = held.join(most, "key")
-        few = held_most.where("comp <> most")
+        held = stash(held.join(mixed, "key").select("id", "comp").distinct())
+        held = stash(self.rare_shingles(held.select("id")).join(held, "id"))
+        largest = held.groupBy("token", "comp").agg(F.count("*").alias("rows")).groupBy("token").agg(F.max(F.struct("rows", "comp"))["comp"].alias("most"))
+        held = held.join(largest, "token")
+        few = held.where("comp <> most")
         once = (F.col("y.comp") == F.col("y.most")) | (F.col("x.id") < F.col("y.id"))
-        sizes = 100 * F.least("x.n_shingles", "y.n_shingles") >= self.percent * F.greatest("x.n_shingles", "y.n_shingles")
-        found = few.alias("x").join(held_most.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & once & sizes & _first_shared(F.col("x.key"), "x", "y") & (_distance("x", "y") <= self.most_apart))
-        return found.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+        rest = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+        enough = rest * (100 + self.percent) >= self.percent * (F.col("x.n") + F.col("y.n"))
+        found = few.alias("x").join(held.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & once & enough)
+        return found.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
     def labels(self) -> DataFrame:
         """(id, comp) for every class that is linked with another."""
