@@ -209,7 +209,8 @@ class NearDuplicates:
         held = stash(held.join(mixed, "key").select("id", "comp").distinct())
         held = stash(self.rare_shingles(held.select("id")).join(held, "id"))
         largest = held.groupBy("token", "comp").agg(F.count("*").alias("rows")).groupBy("token").agg(F.max(F.struct("rows", "comp"))["comp"].alias("most"))
-        held = held.join(largest, "token")
+        # Written, so that the joins below have plain exchanges on both sides, whose hot tokens Spark can split.
+        held = stash(held.join(stash(largest), "token"))
         few = held.where("comp <> most")
         once = (F.col("y.comp") == F.col("y.most")) | (F.col("x.id") < F.col("y.id"))
         rest = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))

@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .chat import format_chats
 from .decontam import find_leaks
 from .langid import identify_languages
+from .linededup import dedup_lines
 from .mixing import mix_documents
 from .neardup import near_duplicates
 from .sharding import shard_manifest
 from .toxicity import rate_documents
 from .urlrules import judge_urls
+from .vecdup import near_duplicate_vectors
 
 SHARDS = 40
 #: (host, path, verdict)
@@ -23,6 +26,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_factorization_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rate_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -36,6 +43,14 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), ngram=2, percent=80)
 
 
+def op5_chat_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(_table(spark, sf_dir, "conversations"))
+
+
+def op6_pq_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_string_kernel_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(_table(spark, sf_dir, "documents"))
 
@@ -54,7 +69,8 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_factorization_toxicity, op3_url_filter, op4_minhash_near_dedup, op7_string_kernel_langid, op8_spaced_seed_decontamination, op9_jump_sharding, op10_source_mix)}
+    own = (op1_line_dedup, op2_factorization_toxicity, op3_url_filter, op4_minhash_near_dedup, op5_chat_role_repair, op6_pq_vector_dedup, op7_string_kernel_langid, op8_spaced_seed_decontamination, op9_jump_sharding, op10_source_mix)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
