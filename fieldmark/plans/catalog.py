@@ -4,12 +4,512 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions import text as X
+from ..functions.vector import cosine, hash_embed
+from ..functions.verdicts import coerce, grounded_prompt, json_object
+from ..operators import filters, gate, lifecycle, provision, retrieval, session, sync, validate
+from ..operators.evaluate import fleet_neighbours, verdict_history
+from ..sources import store
+from . import oracle
+from .views import spark_view
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+
+#: (query_id, text, vec_id of its vector, asset it is scoped to)
+ASKED = [(1, "What does ERR-4012 mean", 3, None), (2, "why is the pump noisy", 5, "MSN4405"), (3, "procedure for PN-607 and the valve", 7, "MSN9999"), (4, "it leaks again", 9, "MSN4410"), (5, "check error 4031 on the filter", 11, None)]
+TARGET = {"component": "pump", "job_terms": ["the", "und"]}
+NOW = "2025-01-01T00:00:00Z"
+
+
+def query(f: Query) -> Query:
+    _QUERIES[f.__name__] = f
+    return f
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in oracle.SQL.items() if k in _QUERIES}
+
+
+def joined(c: Column | str) -> Column:
+    return F.array_join(c, "|")
+
+
+def vector_of(spark: SparkSession, d: str, vec_id: int) -> list[float]:
+    return list(spark_view(spark, d, "embeddings").where(F.col("vec_id") == vec_id).first()["embedding"])
+
+
+def asked(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame(ASKED, "query_id int, text string, vec_id long, scope string")
+    vectors = spark_view(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return rows.join(F.broadcast(rows.select("vec_id")).join(vectors, "vec_id"), "vec_id").withColumn("terms", X.exact_terms(F.col("text")))
+
+
+# Vectors and filters
+
+
+@query
+def vector_topk(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.vector_topk(spark_view(spark, d, "embeddings"), vector_of(spark, d, 0), k=12, id="vec_id").select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query
+def vector_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
+    where = filters.metadata_filter({"component": "pump", "doc_type": "report"})
+    return retrieval.vector_topk(spark_view(spark, d, "chunk_vec"), vector_of(spark, d, 1), k=8, where=where).select("id", "component", "doc_type", F.round("score", 6).alias("score"))
+
+
+@query
+def scroll_filtered(spark: SparkSession, d: str) -> DataFrame:
+    where = filters.combine([filters.equals("asset_id", "MSN4407")], [filters.equals("doc_type", "report"), filters.equals("component", "electrical")])
+    return store.scroll(spark_view(spark, d, "chunks"), where, limit=30).select("id", "asset_id", "doc_type", "component")
+
+
+@query
+def filter_any_overlap(spark: SparkSession, d: str) -> DataFrame:
+    return spark_view(spark, d, "chunks").where(filters.metadata_filter({"applicable_to": ["MSN4403", "fleet-1"], "equipment_model": "A320"})).select("id", joined("applicability").alias("applicability"))
+
+
+@query
+def filter_text_all_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return spark_view(spark, d, "chunks").where(filters.text("content", "The, und!")).select("id")
+
+
+@query
+def filter_must_should_must_not(spark: SparkSession, d: str) -> DataFrame:
+    where = filters.combine([filters.equals("jev_status", "not_applicable")], [filters.equals("component", "pump"), filters.equals("component", "valve")], [filters.equals("equipment_model", "A320")])
+    return spark_view(spark, d, "chunks").where(where).select("id", "component", "equipment_model")
+
+
+# Terms
+
+
+@query
+def identifier_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return spark_view(spark, d, "documents").select("doc_id", joined(X.identifier_tokens(F.col("text"))).alias("tokens"))
+
+
+@query
+def exact_terms_hinted(spark: SparkSession, d: str) -> DataFrame:
+    texts = F.concat(F.lit("fault code "), F.col("doc_id").cast("string"), F.lit(" on ERR-"), (F.col("doc_id") % 7).cast("string"), F.lit("1: "), "text")
+    return spark_view(spark, d, "documents").select("doc_id", joined(X.exact_terms(texts)).alias("terms"))
+
+
+@query
+def keyword_leg(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.keyword_leg(asked(spark, d), spark_view(spark, d, "chunks"), per_leg=12)
+
+
+# Fusion and ranking
+
+
+def _legs(spark: SparkSession, d: str) -> DataFrame:
+    """Two made-up legs: ranks from the conversation's turns."""
+    t = spark_view(spark, d, "conversations")
+    semantic = t.where("turn < 4").select(F.col("conv_id").alias("query_id"), F.lit("semantic").alias("leg"), F.concat(F.lit("c"), F.col("turn").cast("string")).alias("id"), F.col("turn").alias("rank"), F.lit(1.0).alias("weight"))
+    keyword = t.where("turn between 2 and 5").select("conv_id", F.lit("keyword"), F.concat(F.lit("c"), F.col("turn").cast("string")), F.lit(5) - F.col("turn"), F.lit(1.2))
+    return semantic.union(keyword)
+
+
+@query
+def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.fuse(_legs(spark, d)).select("query_id", "id", F.round("score", 9).alias("score"), "semantic_rank", "keyword_rank")
+
+
+@query
+def dedupe_best_version(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark_view(spark, d, "chunks").select(F.col("asset_id").alias("query_id"), F.concat("component", F.lit("/"), "doc_type").alias("id"), F.coalesce("importance", F.lit(0.0)).alias("score"), "version", F.col("n").alias("place"))
+    return retrieval.dedupe(rows).select("query_id", "id", "score", "version", "place", "position")
+
+
+@query
+def rerank_boosts(spark: SparkSession, d: str) -> DataFrame:
+    chunks = spark_view(spark, d, "chunks")
+    fused = chunks.select(F.col("asset_id").alias("query_id"), "id", "content", "keywords", "version", (F.lit(1.0) / (61 + F.col("n") % 40)).alias("score"), F.when(F.col("n") % 3 != 0, F.col("n") % 40).alias("semantic_rank"), F.when(F.col("n") % 2 == 0, F.col("n") % 40).alias("keyword_rank"), F.array(F.lit("ERR-4012"), F.lit("PN-607")).alias("terms"))
+    return retrieval.rerank(fused, limit=6).select("query_id", "position", "id", F.round("final_score", 9).alias("final_score"), joined("matched_keywords").alias("matched"))
+
+
+@query
+def hybrid_retrieval(spark: SparkSession, d: str) -> DataFrame:
+    rows = retrieval.retrieve(asked(spark, d), spark_view(spark, d, "chunk_vec"))
+    return rows.select("query_id", "position", "id", "document_id", "source", "score", "semantic_rank", "keyword_rank", "version", joined("matched_keywords").alias("matched"))
+
+
+@query
+def fallback_unfiltered(spark: SparkSession, d: str) -> DataFrame:
+    rows = retrieval.retrieve_or_widen(asked(spark, d), spark_view(spark, d, "chunk_vec"))
+    return rows.select("query_id", "position", "id", "asset_id", "score", "widened")
+
+
+@query
+def citations(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark_view(spark, d, "chunks").select(F.col("asset_id").alias("query_id"), (F.col("n") % 97 * 1000000 + F.col("n")).alias("position"), "id", F.when(F.col("n") % 10 != 0, F.concat(F.lit("doc-"), (F.col("n") % 60).cast("string"))).alias("document_id"), "source", "version")
+    return retrieval.citations(rows).select("query_id", "position", "document_id", "source", "version", joined("chunk_ids").alias("chunk_ids"))
+
+
+# Contracts
+
+
+def _broken(c: str, n: int, bad: Column, of: str = "n") -> Column:
+    return F.when(F.col(of) % n == 0, bad).otherwise(F.col(c))
+
+
+@query
+def validate_memory(spark: SparkSession, d: str) -> DataFrame:
+    m = spark_view(spark, d, "memories")
+    m = m.withColumns({"content": _broken("content", 13, F.lit("  ")), "memory_type": _broken("memory_type", 17, F.lit("rumour")), "importance": _broken("importance", 19, F.lit(float("nan"))), "created_at": _broken("created_at", 23, F.lit("yesterday")), "asset_id": _broken("asset_id", 29, F.lit(None).cast("string"))})
+    return validate.validate(m, "memory").select("memory_id", joined("errors").alias("errors"))
+
+
+@query
+def validate_chunk(spark: SparkSession, d: str) -> DataFrame:
+    c = spark_view(spark, d, "chunk_vec").withColumn("embedding", F.col("embedding").cast("array<double>"))
+    c = c.withColumns({"embedding": _broken("embedding", 13, F.array(F.lit(1.0), F.lit(float("nan")))), "keywords": _broken("keywords", 17, F.array(F.lit("ok"), F.lit(" "))), "component": _broken("component", 19, F.lit("")), "jev_status": _broken("jev_status", 23, F.lit("trusted"))})
+    return validate.validate(c, "chunk").select("id", joined("errors").alias("errors"))
+
+
+@query
+def validate_verdict(spark: SparkSession, d: str) -> DataFrame:
+    m = spark_view(spark, d, "memories")
+    v = m.select("n", F.concat(F.lit("v-"), "memory_id").alias("verdict_id"), "memory_id", F.when(F.col("n") % 13 == 0, "space").otherwise("edge").alias("stage"), F.when(F.col("n") % 17 == 0, "perhaps").otherwise("accept_local").alias("verdict"), F.when(F.col("n") % 7 == 0, " ").otherwise("seen").alias("rationale"), "confidence", F.when(F.col("n") % 19 == 0, F.lit(None).cast("array<string>")).otherwise(F.array(F.lit("x"))).alias("risk_flags"), F.array().cast("array<string>").alias("evidence_used"), F.lit("m").alias("model_used"), F.col("created_at").alias("evaluated_at"))
+    return validate.validate(v, "verdict").select("memory_id", joined("errors").alias("errors"))
+
+
+@query
+def validate_event(spark: SparkSession, d: str) -> DataFrame:
+    m = spark_view(spark, d, "memories")
+    e = m.select(F.concat(F.lit("e-"), "memory_id").alias("event_id"), "memory_id", F.when(F.col("n") % 11 == 0, "drop").otherwise("create").alias("operation"), "source", F.col("source").alias("source_device"), "version", F.col("version").alias("source_version"), F.when(F.col("n") % 13 == 0, "").otherwise("2").alias("target_version"), F.when(F.col("n") % 17 == 0, "soon").otherwise(F.col("updated_at")).alias("timestamp"), F.lit("queued").alias("status"))
+    return validate.validate(e, "sync_event").select("memory_id", joined("errors").alias("errors"))
+
+
+@query
+def validate_conflict(spark: SparkSession, d: str) -> DataFrame:
+    m, none = spark_view(spark, d, "memories"), F.lit(None).cast("string")
+    n = F.col("n")
+    c = m.select("memory_id", F.concat(F.lit("c-"), "memory_id").alias("conflict_id"), F.lit("a").alias("edge_version"), F.when(n % 13 == 0, " ").otherwise("b").alias("cloud_version"), F.lit("version_divergence").alias("conflict_type"), F.when(n % 17 != 0, F.struct(F.lit("validated").alias("verdict"), F.when(n % 5 == 0, "").otherwise("why").alias("rationale"))).alias("jev_recommendation"), F.when(n % 3 == 0, "resolved").when(n % 19 == 0, "closed").otherwise("open").alias("status"), F.when(n % 2 == 0, "edge").otherwise("").alias("resolution"), F.when(n % 7 == 0, none).otherwise("ann").alias("resolved_by"), none.alias("recommended_by_verdict"), F.when(n % 23 == 0, "never").alias("updated_at"), none.alias("resolved_at"), F.when(n % 29 == 0, "both").alias("resolution_winner"))
+    return validate.validate(c, "conflict").select("memory_id", joined("errors").alias("errors"))
+
+
+# Change detection and reconciliation
+
+
+@query
+def fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    m = spark_view(spark, d, "memories").withColumn("fingerprint", sync.fingerprint())
+    return m.select("memory_id", "fingerprint", sync.version_label(F.col("fingerprint")).alias("label"))
+
+
+@query
+def detect_changes(spark: SparkSession, d: str) -> DataFrame:
+    return sync.detect_changes(spark_view(spark, d, "memories"), spark_view(spark, d, "ledger")).select("memory_id", F.col("last").isNull().alias("is_new"))
+
+
+@query
+def sync_eligible(spark: SparkSession, d: str) -> DataFrame:
+    return spark_view(spark, d, "memories").select("memory_id", sync.sync_eligible().alias("eligible"))
+
+
+def _delta(spark: SparkSession, d: str) -> DataFrame:
+    return sync.build_delta(spark_view(spark, d, "memories"), spark_view(spark, d, "ledger"))
+
+
+@query
+def build_delta(spark: SparkSession, d: str) -> DataFrame:
+    return _delta(spark, d).select("memory_id", "operation", "fingerprint", "high_visibility")
+
+
+@query
+def expire_semi_join(spark: SparkSession, d: str) -> DataFrame:
+    asked_for = spark.range(0, 4000, 7).select(F.concat(F.lit("mem-"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("memory_id"))
+    return sync.expire_items(asked_for, spark_view(spark, d, "memories"), spark_view(spark, d, "ledger"))
+
+
+def _all_cases(spark: SparkSession, d: str) -> DataFrame:
+    return sync.classify_all(spark_view(spark, d, "memories").where("n % 17 <> 0"), spark_view(spark, d, "ledger"), spark_view(spark, d, "cloud_memories"))
+
+
+@query
+def classify_versions(spark: SparkSession, d: str) -> DataFrame:
+    return _all_cases(spark, d).select("memory_id", "kase")
+
+
+@query
+def case_counts(spark: SparkSession, d: str) -> DataFrame:
+    return sync.case_counts(_all_cases(spark, d))
+
+
+def _classified(spark: SparkSession, d: str) -> DataFrame:
+    return sync.classify(_delta(spark, d), spark_view(spark, d, "ledger"), spark_view(spark, d, "cloud_memories"))
+
+
+@query
+def reconcile_outcome(spark: SparkSession, d: str) -> DataFrame:
+    return sync.reconcile_counts(_classified(spark, d))
+
+
+@query
+def conflict_records(spark: SparkSession, d: str) -> DataFrame:
+    return sync.conflict_records(_classified(spark, d)).select("memory_id", "edge_version", "cloud_version", "conflict_type", "status", F.col("jev_recommendation.verdict").alias("recommended"))
+
+
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    """Delta items, some of which the cloud must refuse."""
+    n = F.col("n")
+    return _delta(spark, d).withColumns({"record_id": F.when(n % 9 == 0, "mem-other").otherwise(F.col("memory_id")), "has_record": n % 8 != 5, "content": F.when(n % 5 == 0, " ").otherwise(F.col("content")), "operation": F.when(n % 13 == 0, "merge").otherwise(F.col("operation"))}).withColumn("memory_id", F.when(n % 31 == 0, "").otherwise(F.col("memory_id")))
+
+
+@query
+def ingest_reject_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return _items(spark, d).select("n", sync.reject_reason().alias("reason"))
+
+
+@query
+def sync_events(spark: SparkSession, d: str) -> DataFrame:
+    applied = _items(spark, d).where(sync.reject_reason().isNull())
+    return sync.sync_events(applied, device="edge-1", now=NOW).drop("event_id")
+
+
+@query
+def ack_to_synced(spark: SparkSession, d: str) -> DataFrame:
+    items = _delta(spark, d)
+    r = items.select("memory_id", F.when(F.col("n") % 3 == 0, "rejected").otherwise("applied").alias("status"), F.lit(1).alias("at")).union(items.where("n % 6 = 3").select("memory_id", F.lit("applied"), F.lit(2)))
+    return sync.acknowledge(items, r).select("memory_id", "acked", "new_lifecycle", "new_sync_status")
+
+
+# Lifecycle and routing
+
+
+@query
+def initial_status(spark: SparkSession, d: str) -> DataFrame:
+    s = lifecycle.initial_status(F.col("memory_type"))
+    return spark_view(spark, d, "memories").select("memory_id", s["lifecycle_status"].alias("life"), s["jev_status"].alias("judged"))
+
+
+def _steps(spark: SparkSession, d: str, kind: str, own: str) -> DataFrame:
+    m = spark_view(spark, d, "memories")
+    to = spark_view(spark, d, "memories").select(F.col(own).alias("to_status")).distinct()
+    return m.select(F.col(own).alias("from_status")).distinct().crossJoin(F.broadcast(to)).select("from_status", "to_status", lifecycle.is_legal(kind, F.col("from_status"), F.col("to_status")).alias("legal"))
+
+
+@query
+def lifecycle_legal(spark: SparkSession, d: str) -> DataFrame:
+    return _steps(spark, d, "lifecycle", "lifecycle_status")
+
+
+@query
+def jev_legal(spark: SparkSession, d: str) -> DataFrame:
+    return _steps(spark, d, "jev", "jev_status")
+
+
+def _routed(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("n")
+    verdict = F.when(n % 23 == 0, "maybe").when(n % 19 == 0, "validated").when(n % 3 == 0, "flag_risk").when(n % 5 == 0, "needs_more_evidence").otherwise("accept_local")
+    m = spark_view(spark, d, "memories").withColumn("verdict", verdict)
+    action, error = lifecycle.route(F.col("verdict"), expire=n % 7 == 0, update_of=F.when(n % 11 == 0, F.col("revision_of")))
+    return m.withColumns({"action": action, "route_error": error})
+
+
+@query
+def route_memory(spark: SparkSession, d: str) -> DataFrame:
+    return _routed(spark, d).select("memory_id", "action", F.col("route_error").isNotNull().alias("refused"))
+
+
+@query
+def apply_route(spark: SparkSession, d: str) -> DataFrame:
+    return lifecycle.apply_route(_routed(spark, d).where("action is not null")).select("memory_id", "action", "lifecycle_status", "jev_status", joined("transitions").alias("transitions"), F.col("error").isNotNull().alias("illegal"))
+
+
+def _revisions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    m = spark_view(spark, d, "memories")
+    wanted = m.where("revision_of is not null").select(F.when(F.col("n") % 5 == 0, "mem-none").otherwise(F.col("revision_of")).alias("update_of"), F.concat("content", F.lit(" revised")).alias("content"), "n")
+    return lifecycle.revise(wanted, m)
+
+
+@query
+def revision_lineage(spark: SparkSession, d: str) -> DataFrame:
+    return _revisions(spark, d)[0].select("n", "revision_of", "version", "memory_id")
+
+
+@query
+def orphan_revisions(spark: SparkSession, d: str) -> DataFrame:
+    return _revisions(spark, d)[1].groupBy("error").agg(F.count("*").alias("n"))
+
+
+@query
+def mark_used(spark: SparkSession, d: str) -> DataFrame:
+    m = spark_view(spark, d, "memories")
+    return lifecycle.mark_used(m, m.where("n % 3 = 0").select("memory_id")).select("memory_id", "lifecycle_status", F.col("used_error").isNotNull().alias("refused"))
+
+
+@query
+def mark_sync_pending(spark: SparkSession, d: str) -> DataFrame:
+    return lifecycle.mark_sync_pending(spark_view(spark, d, "memories")).select("memory_id", "marked")
+
+
+# Provisioning and stores
+
+
+@query
+def select_knowledge(spark: SparkSession, d: str) -> DataFrame:
+    return provision.select_knowledge(spark_view(spark, d, "chunks"), TARGET, max_chunks=40).select("rank", "id", "document_id", F.round("priority", 6).alias("priority"))
+
+
+@query
+def provision_summary(spark: SparkSession, d: str) -> DataFrame:
+    return provision.summary(spark_view(spark, d, "chunks"), TARGET, max_chunks=40)
+
+
+@query
+def transfer_by_document(spark: SparkSession, d: str) -> DataFrame:
+    selected = provision.select_knowledge(spark_view(spark, d, "chunk_vec"), {"component": "pump"}, max_chunks=60)
+    return provision.transfer(selected)[1]
+
+
+@query
+def keyed_upsert(spark: SparkSession, d: str) -> DataFrame:
+    m, new = spark_view(spark, d, "memories").select("memory_id", "content", "version"), spark_view(spark, d, "cloud_memories")
+    return store.upsert(m.where("version <> '3'"), new.where("n % 7 = 0").select("memory_id", "content", "version"), "memory_id")
+
+
+@query
+def delete_by_document(spark: SparkSession, d: str) -> DataFrame:
+    return store.delete_where(spark_view(spark, d, "chunks"), F.col("document_id") == "doc-8").select("id", "document_id")
+
+
+@query
+def delete_by_ids(spark: SparkSession, d: str) -> DataFrame:
+    m = spark_view(spark, d, "memories")
+    return store.delete_ids(m, m.where("n % 4 = 1").select("memory_id"), "memory_id").select("memory_id")
+
+
+@query
+def list_memories(spark: SparkSession, d: str) -> DataFrame:
+    return store.list_memories(spark_view(spark, d, "memories"), asset_id="MSN4403", limit=25).select("memory_id", "updated_at")
+
+
+# Evaluation, gate and conflicts
+
+
+def _coerced(spark: SparkSession, d: str, stage: str) -> DataFrame:
+    v = spark_view(spark, d, "verdict_raw").withColumn("json", json_object(F.col("raw")))
+    c = coerce(F.col("json"), stage)
+    return v.select("memory_id", c["verdict"].alias("verdict"), c["rationale"].alias("rationale"), c["confidence"].alias("confidence"), joined(c["risk_flags"]).alias("flags"))
+
+
+@query
+def edge_coerce(spark: SparkSession, d: str) -> DataFrame:
+    return _coerced(spark, d, "edge")
+
+
+@query
+def cloud_coerce(spark: SparkSession, d: str) -> DataFrame:
+    return _coerced(spark, d, "cloud")
+
+
+def _cloud_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("n")
+    return spark_view(spark, d, "memories").where("n % 3 = 0").select("memory_id", F.when(n % 5 == 0, "validated").when(n % 5 == 1, "needs_human_review").when(n % 5 == 2, "rejected").when(n % 5 == 3, "accept_local").alias("verdict"), F.concat(F.lit("because "), "content").alias("rationale"), F.col("updated_at").alias("evaluated_at"))
+
+
+@query
+def gate_route(spark: SparkSession, d: str) -> DataFrame:
+    rows = gate.apply_cloud_verdicts(spark_view(spark, d, "memories"), _cloud_verdicts(spark, d))
+    return rows.select("memory_id", "action", "jev_status", F.col("error").isNotNull().alias("refused"))
+
+
+@query
+def review_queue(spark: SparkSession, d: str) -> DataFrame:
+    rows = gate.review_queue(spark_view(spark, d, "memories"), _cloud_verdicts(spark, d), now=F.col("evaluated_at"))
+    return rows.select("review_id", "memory_id", "queued_at", "status", F.col("memory.content").alias("content"), F.col("verdict_record.rationale").alias("rationale"))
+
+
+@query
+def conflict_resolution(spark: SparkSession, d: str) -> DataFrame:
+    open_ = sync.conflict_records(_classified(spark, d)).withColumn("k", F.substring("memory_id", 5, 9).cast("int"))
+    k = F.col("k")
+    open_ = gate.recommend(open_, open_.where("k % 2 = 0").select("conflict_id", F.lit("validated").alias("verdict"), F.when(k % 6 == 0, " ").otherwise("newer reading").alias("rationale"), F.lit("v1").alias("verdict_id")))
+    done = gate.confirm(open_, open_.where("k % 4 <> 3").select("conflict_id", F.when(k % 5 == 0, "both").otherwise("edge").alias("winner"), F.lit("keep the edge's").alias("resolution"), F.lit("ann").alias("resolved_by")), now=NOW)
+    return done.select("memory_id", "status", "recommended", "error", "resolution", "resolution_winner")
+
+
+@query
+def fleet_knn(spark: SparkSession, d: str) -> DataFrame:
+    e = spark_view(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("memory_id"), "embedding", "vec_id")
+    return fleet_neighbours(e.where("vec_id < 8"), e).select("candidate_id", "memory_id", "position", F.round("similarity", 6).alias("similarity"))
+
+
+@query
+def verdict_history_rows(spark: SparkSession, d: str) -> DataFrame:
+    m = spark_view(spark, d, "memories")
+    return verdict_history(m.where("n % 50 = 0"), _cloud_verdicts(spark, d), m)
+
+
+# Sessions
+
+
+@query
+def session_last_context(spark: SparkSession, d: str) -> DataFrame:
+    return session.context_at(spark_view(spark, d, "turns")).select("session_id", "seq", "asset_id", "component")
+
+
+@query
+def session_recent_buffer(spark: SparkSession, d: str) -> DataFrame:
+    return session.recent(spark_view(spark, d, "turns"), keep=2).select("session_id", "seq")
+
+
+@query
+def actions_taken(spark: SparkSession, d: str) -> DataFrame:
+    return session.actions_taken(spark_view(spark, d, "turns"))
+
+
+@query
+def context_dependent(spark: SparkSession, d: str) -> DataFrame:
+    return spark_view(spark, d, "turns").select("session_id", "seq", X.is_context_dependent(F.col("text")).alias("context_dependent"))
+
+
+@query
+def expand_query(spark: SparkSession, d: str) -> DataFrame:
+    return session.expanded(spark_view(spark, d, "turns")).select("session_id", "seq", "query")
+
+
+@query
+def session_summary(spark: SparkSession, d: str) -> DataFrame:
+    return session.summaries(spark_view(spark, d, "turns"))
+
+
+@query
+def grounded_prompts(spark: SparkSession, d: str) -> DataFrame:
+    found = retrieval.retrieve(asked(spark, d), spark_view(spark, d, "chunk_vec"))
+    chunks = F.transform(F.array_sort(F.collect_list(F.struct("position", "source", "document_id", "content"))), lambda c: F.struct(c["source"].alias("source"), c["document_id"].alias("document_id"), c["content"].alias("content")))
+    return found.groupBy("query_id").agg(chunks.alias("chunks")).join(asked(spark, d).select("query_id", "text"), "query_id").select("query_id", grounded_prompt(F.col("text"), F.col("chunks"), sources=True).alias("prompt"))
+
+
+# Texts
+
+
+@query
+def normalize_text(spark: SparkSession, d: str) -> DataFrame:
+    raw = F.replace(F.replace("text", F.lit(" the "), F.lit("\u00a0the \r\n")), F.lit(". "), F.lit(". \t\r"))
+    return spark_view(spark, d, "documents").select("doc_id", X.normalize_text(raw).alias("text"))
+
+
+@query
+def sentence_split(spark: SparkSession, d: str) -> DataFrame:
+    return spark_view(spark, d, "documents").select("doc_id", F.posexplode(X.split_sentences(F.col("text"))).alias("position", "sentence"))
+
+
+@query
+def chunk_text(spark: SparkSession, d: str) -> DataFrame:
+    return spark_view(spark, d, "documents").select("doc_id", F.posexplode(X.chunk_text(F.col("text"))).alias("position", "content"))
+
+
+@query
+def hash_embedding(spark: SparkSession, d: str) -> DataFrame:
+    v = hash_embed(F.col("text"))
+    return spark_view(spark, d, "documents").select("doc_id", F.round(cosine(v, hash_embed(F.lit("the pump valve filter of the hydraulic system"))), 6).alias("similarity"))
