@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as X
 from ..functions.vector import cosine, hash_embed
-from ..functions.verdicts import coerce, grounded_prompt, json_object
+from ..functions.verdicts import coerce, grounded_prompt, json_object, judge_prompt
 from ..operators import filters, gate, lifecycle, provision, retrieval, session, sync, validate
-from ..operators.evaluate import fleet_neighbours, verdict_history
-from ..sources import store
+from ..operators.evaluate import asset_documents, evaluate, fleet_context, fleet_neighbours, verdict_history
+from ..sources import ingest, store
 from . import oracle
 from .views import spark_view
 
@@ -65,6 +65,12 @@ def vector_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.vector_topk(spark_view(spark, d, "chunk_vec"), vector_of(spark, d, 1), k=8, where=where).select("id", "component", "doc_type", F.round("score", 6).alias("score"))
 
 
+@query
+def cloud_search(spark: SparkSession, d: str) -> DataFrame:
+    where = filters.metadata_filter({"asset_id": "MSN4405"}, allowed=filters.CLOUD_METADATA)
+    return retrieval.vector_topk(spark_view(spark, d, "chunk_vec"), vector_of(spark, d, 2), where=where).select("id", "asset_id", F.round("score", 6).alias("score"))
+
+
 @query
 def scroll_filtered(spark: SparkSession, d: str) -> DataFrame:
     where = filters.combine([filters.equals("asset_id", "MSN4407")], [filters.equals("doc_type", "report"), filters.equals("component", "electrical")])
@@ -285,6 +291,17 @@ def ack_to_synced(spark: SparkSession, d: str) -> DataFrame:
 # Lifecycle and routing
 
 
+@query
+def capture_records(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark_view(spark, d, "memories").select("content", "asset_id", "source")
+    return lifecycle.capture(rows, "observation", now=NOW).select("memory_id", "memory_type", "importance", "confidence", "lifecycle_status", "jev_status", "sync_status")
+
+
+@query
+def transition_relation(spark: SparkSession, d: str) -> DataFrame:
+    return lifecycle.transitions(spark)
+
+
 @query
 def initial_status(spark: SparkSession, d: str) -> DataFrame:
     s = lifecycle.initial_status(F.col("memory_type"))
@@ -371,6 +388,13 @@ def transfer_by_document(spark: SparkSession, d: str) -> DataFrame:
     return provision.transfer(selected)[1]
 
 
+@query
+def ingest_chunks(spark: SparkSession, d: str) -> DataFrame:
+    docs = spark_view(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "text", F.lit("MSN4400").alias("asset_id"), F.lit("pump").alias("component"), "source")
+    rows = ingest.ingest(docs, now=NOW, cloud=True)
+    return store.replace_documents(rows.where("document_id < '5'"), rows).select("id", "document_id", "content", "jev_status", F.size("embedding").alias("dimensions"))
+
+
 @query
 def keyed_upsert(spark: SparkSession, d: str) -> DataFrame:
     m, new = spark_view(spark, d, "memories").select("memory_id", "content", "version"), spark_view(spark, d, "cloud_memories")
@@ -444,6 +468,44 @@ def fleet_knn(spark: SparkSession, d: str) -> DataFrame:
     return fleet_neighbours(e.where("vec_id < 8"), e).select("candidate_id", "memory_id", "position", F.round("similarity", 6).alias("similarity"))
 
 
+def _placed(spark: SparkSession, d: str) -> DataFrame:
+    """Memories with a vector."""
+    m, emb = spark_view(spark, d, "memories"), spark_view(spark, d, "embeddings")
+    return m.join(emb, emb.vec_id == m.n % emb.count()).select(m["*"], "embedding")
+
+
+@query
+def fleet_documents(spark: SparkSession, d: str) -> DataFrame:
+    rows = asset_documents(_placed(spark, d).where("n % 400 = 0"), spark_view(spark, d, "chunk_vec"))
+    return rows.select("candidate_id", "id", "position", F.round("similarity", 6).alias("similarity"))
+
+
+def _context(spark: SparkSession, d: str) -> DataFrame:
+    fleet = _placed(spark, d)
+    return fleet_context(fleet.where("n % 1000 = 0"), fleet, spark_view(spark, d, "chunk_vec"), _cloud_verdicts(spark, d), fleet)
+
+
+def _answer(prompts: list[str]) -> list[str]:
+    """A scripted model: trusts what the fleet has seen, and asks a person about the rest."""
+    return ['{"verdict": "%s", "rationale": "%d characters read", "confidence": 0.75, "risk_flags": []}' % ("validated" if "Fleet observations:" in p else "accept_local", len(p)) for p in prompts]
+
+
+@query
+def edge_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate(_context(spark, d), _answer, stage="edge", model="scripted", now=NOW).withColumns({"risk_flags": joined("risk_flags"), "evidence_used": joined("evidence_used")})
+
+
+@query
+def cloud_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate(_context(spark, d), _answer, stage="cloud", model="scripted", now=NOW).withColumns({"risk_flags": joined("risk_flags"), "evidence_used": joined("evidence_used")})
+
+
+@query
+def judge_prompts(spark: SparkSession, d: str) -> DataFrame:
+    c = _context(spark, d)
+    return c.select("memory_id", judge_prompt(F.col("content"), F.col("asset_id"), F.col("documents"), stage="cloud", observations=F.col("observations"), history=F.col("history")).alias("prompt"))
+
+
 @query
 def verdict_history_rows(spark: SparkSession, d: str) -> DataFrame:
     m = spark_view(spark, d, "memories")
@@ -458,6 +520,11 @@ def session_last_context(spark: SparkSession, d: str) -> DataFrame:
     return session.context_at(spark_view(spark, d, "turns")).select("session_id", "seq", "asset_id", "component")
 
 
+@query
+def suggested_filters(spark: SparkSession, d: str) -> DataFrame:
+    return session.summaries(spark_view(spark, d, "turns")).where("asset_id is not null").select("session_id", "asset_id")
+
+
 @query
 def session_recent_buffer(spark: SparkSession, d: str) -> DataFrame:
     return session.recent(spark_view(spark, d, "turns"), keep=2).select("session_id", "seq")

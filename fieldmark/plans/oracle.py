@@ -19,6 +19,7 @@ def _v(name: str, views: str, body: str) -> None:
 
 _v("vector_topk", "", """SELECT vec_id, round(s, 6) AS score FROM (SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 9) AS s FROM embeddings) ORDER BY s DESC, vec_id LIMIT 12""")
 _v("vector_topk_filtered", "chunk_vec", """SELECT id, component, doc_type, round(s, 6) AS score FROM (SELECT *, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 1)), 9) AS s FROM chunk_vec WHERE component = 'pump' AND doc_type = 'report') ORDER BY s DESC, id LIMIT 8""")
+_v("cloud_search", "chunk_vec", """SELECT id, asset_id, round(s, 6) AS score FROM (SELECT *, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 2)), 9) AS s FROM chunk_vec WHERE asset_id = 'MSN4405') ORDER BY s DESC, id LIMIT 4""")
 _v("scroll_filtered", "chunks", "SELECT id, asset_id, doc_type, component FROM chunks WHERE asset_id = 'MSN4407' AND (doc_type = 'report' OR component = 'electrical') ORDER BY id LIMIT 30")
 _v("filter_any_overlap", "chunks", "SELECT id, array_to_string(applicability, '|') AS applicability FROM chunks WHERE list_has_any(applicability, ['MSN4403', 'fleet-1']) AND equipment_model = 'A320'")
 _v("filter_text_all_tokens", "chunks", "SELECT id FROM chunks WHERE contains(lower(content), 'the') AND contains(lower(content), 'und')")
@@ -121,11 +122,13 @@ _v("ingest_reject_reasons", "memories ledger", f", {_DELTA} SELECT n, {_REASON}
 _v("sync_events", "memories ledger", f", {_DELTA} SELECT memory_id, operation, 'edge-1' AS source_device, '1' AS source_version, substr(fingerprint, 1, 12) AS target_version, '2025-01-01T00:00:00Z' AS timestamp, 'applied' AS status FROM delta WHERE ({_REASON}) IS NULL")
 _v("ack_to_synced", "memories ledger", f", {_DELTA}, a AS (SELECT *, n % 3 <> 0 OR n % 6 = 3 AS acked FROM delta) SELECT memory_id, acked, CASE WHEN acked THEN 'synced' ELSE lifecycle_status END AS new_lifecycle, CASE WHEN acked THEN 'synced' ELSE sync_status END AS new_sync_status FROM a")
 
+_v("capture_records", "memories", "SELECT 'mem-' || sha256(concat_ws(chr(0), 'field_observation', asset_id, source, content, '2025-01-01T00:00:00Z')) AS memory_id, 'field_observation' AS memory_type, 0.4::DOUBLE AS importance, 0.5::DOUBLE AS confidence, 'new' AS lifecycle_status, 'pending' AS jev_status, 'local' AS sync_status FROM memories")
 _v("initial_status", "memories", "SELECT memory_id, CASE memory_type WHEN 'manual' THEN 'local' ELSE 'new' END AS life, CASE memory_type WHEN 'manual' THEN 'not_applicable' ELSE 'pending' END AS judged FROM memories")
 _LIFE = "['new>local', 'new>expired', 'local>used', 'local>sync_pending', 'local>expired', 'local>conflict', 'used>sync_pending', 'used>expired', 'used>conflict', 'sync_pending>synced', 'sync_pending>conflict', 'synced>expired', 'synced>conflict', 'conflict>resolved', 'conflict>expired', 'resolved>local', 'resolved>used', 'resolved>sync_pending', 'resolved>expired']"
 _JUDGED = "['not_applicable>pending', 'pending>accept_local', 'pending>needs_more_evidence', 'pending>flag_risk', 'pending>rejected', 'accept_local>validated', 'accept_local>flag_risk', 'accept_local>rejected', 'needs_more_evidence>accept_local', 'needs_more_evidence>flag_risk', 'needs_more_evidence>rejected', 'flag_risk>accept_local', 'flag_risk>validated', 'flag_risk>needs_human_review', 'flag_risk>rejected', 'needs_human_review>validated', 'needs_human_review>rejected']"
 for _name, _column, _list in (("lifecycle_legal", "lifecycle_status", _LIFE), ("jev_legal", "jev_status", _JUDGED)):
     _v(_name, "memories", f", s AS (SELECT DISTINCT {_column} AS s FROM memories) SELECT a.s AS from_status, b.s AS to_status, list_contains({_list}, a.s || '>' || b.s) AS legal FROM s a, s b")
+_v("transition_relation", "", f"SELECT 'lifecycle' AS kind, split_part(s, '>', 1) AS from_status, split_part(s, '>', 2) AS to_status FROM (SELECT unnest({_LIFE}) AS s) UNION ALL SELECT 'jev', split_part(s, '>', 1), split_part(s, '>', 2) FROM (SELECT unnest({_JUDGED}) AS s)")
 _ROUTED = """v AS (SELECT *, CASE WHEN n % 23 = 0 THEN 'maybe' WHEN n % 19 = 0 THEN 'validated' WHEN n % 3 = 0 THEN 'flag_risk' WHEN n % 5 = 0 THEN 'needs_more_evidence' ELSE 'accept_local' END AS verdict, n % 11 = 0 AND revision_of IS NOT NULL AS upd FROM memories),
 routed AS (SELECT *, CASE WHEN verdict = 'maybe' THEN NULL WHEN n % 7 = 0 THEN CASE WHEN memory_type <> 'manual' THEN 'EXPIRE' END
  WHEN upd THEN CASE WHEN memory_type <> 'session_note' AND lifecycle_status <> 'expired' THEN 'UPDATE' END WHEN verdict = 'validated' THEN NULL
@@ -173,6 +176,8 @@ e AS (SELECT *, n % 4 <> 3 AS asked, CASE WHEN n % 4 = 3 THEN NULL WHEN NOT rec
 SELECT memory_id, CASE WHEN asked AND error IS NULL THEN 'resolved' ELSE 'open' END AS status, rec AS recommended, error, CASE WHEN asked AND error IS NULL THEN 'keep the edge''s' ELSE '' END AS resolution, CASE WHEN asked AND error IS NULL THEN 'edge' END AS resolution_winner FROM e""")
 _v("fleet_knn", "", """WITH s AS (SELECT c.vec_id::VARCHAR AS candidate_id, e.vec_id::VARCHAR AS memory_id, round(list_cosine_similarity(e.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9) AS s FROM embeddings e, embeddings c WHERE c.vec_id < 8 AND e.vec_id <> c.vec_id)
 SELECT candidate_id, memory_id, row_number() OVER (PARTITION BY candidate_id ORDER BY s DESC, memory_id) AS position, round(s, 6) AS similarity FROM s QUALIFY position <= 6""")
+_v("fleet_documents", "memories chunk_vec", """, s AS (SELECT m.memory_id AS candidate_id, c.id, round(list_cosine_similarity(c.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS s FROM memories m JOIN embeddings e ON e.vec_id = m.n % (SELECT count(*) FROM embeddings) JOIN chunk_vec c ON c.asset_id = m.asset_id AND c.jev_status = 'not_applicable' WHERE m.n % 400 = 0)
+SELECT candidate_id, id, row_number() OVER (PARTITION BY candidate_id ORDER BY s DESC, id) AS position, round(s, 6) AS similarity FROM s QUALIFY position <= 6""")
 _v("verdict_history_rows", "memories", f", {_CV}, p AS (SELECT asset_id, memory_id, verdict, row_number() OVER (PARTITION BY asset_id ORDER BY evaluated_at DESC, memory_id) AS position FROM cv JOIN memories USING (memory_id) QUALIFY position <= 4) SELECT m.memory_id AS candidate_id, p.memory_id, verdict, position FROM memories m JOIN p USING (asset_id) WHERE m.n % 50 = 0 AND m.memory_id <> p.memory_id")
 
 _ASSET = r"CASE WHEN regexp_matches(text, '(?i)\bMSN\s?[0-9]{3,}\b') THEN 'MSN' || regexp_extract(text, '(?i)\bMSN\s?([0-9]{3,})\b', 1) ELSE nullif(regexp_extract(text, '(?i)\b(?:asset|aircraft|vehicle|unit|truck|rig|airframe)\s+(?:id\s+)?([A-Za-z0-9][A-Za-z0-9-]{2,})', 1), '') END"
@@ -180,6 +185,7 @@ _SUB = r"lower(regexp_extract(text, '(?i)\b(hydraulics?|fuel system|electrical|a
 _CTX = f"""named AS (SELECT session_id, seq, text, {_ASSET} AS a, nullif(CASE WHEN length({_SUB}) > 3 AND {_SUB} LIKE '%s' AND {_SUB} NOT LIKE '%ss' THEN regexp_replace({_SUB}, 's$', '') ELSE {_SUB} END, '') AS c FROM turns),
 ctx AS (SELECT session_id, seq, text, last_value(a IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS asset_id, last_value(c IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS component FROM named)"""
 _v("session_last_context", "turns", f", {_CTX} SELECT session_id, seq, asset_id, component FROM ctx")
+_v("suggested_filters", "turns", f", {_CTX} SELECT session_id, arg_max(asset_id, seq) AS asset_id FROM ctx GROUP BY 1 HAVING arg_max(asset_id, seq) IS NOT NULL")
 _v("session_recent_buffer", "turns", "SELECT session_id, seq FROM turns QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) <= 2")
 _DEP = r"(regexp_matches(text, '\S') AND (len(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9-]*')) <= 6 OR regexp_matches(text, '(?i)(^|[^\pL\pN_])(it|its|this|that|these|those|the\s+same|same|also|again|still|there|their|other|about (?:the|that|this))($|[^\pL\pN_])')))"
 _v("context_dependent", "turns", f"SELECT session_id, seq, {_DEP} AS context_dependent FROM turns")
