@@ -17,8 +17,13 @@ EXACT, BOTH, NEWEST = 0.25, 0.15, 0.10
 FEW_QUERIES = 10_000
 
 
-def beside(queries: DataFrame) -> DataFrame:
-    return F.broadcast(queries) if queries.count() <= FEW_QUERIES else queries
+def are_few(queries: DataFrame) -> bool:
+    return queries.count() <= FEW_QUERIES
+
+
+def beside(queries: DataFrame, few: bool | None = None) -> DataFrame:
+    """``queries`` marked for broadcast if they are few (counted unless the caller knows)."""
+    return F.broadcast(queries) if (are_few(queries) if few is None else few) else queries
 
 
 def vector_topk(chunks: DataFrame, vector: list[float], *, k: int = LIMIT, where: Column | None = None, id: str = "id") -> DataFrame:
@@ -33,21 +38,21 @@ def in_scope(scoped: bool) -> Column:
     return F.col("scope").isNull() | (F.col("asset_id") == F.col("scope")) if scoped else F.lit(True)
 
 
-def vector_leg(queries: DataFrame, chunks: DataFrame, *, per_leg: int, scoped: bool = False) -> DataFrame:
+def vector_leg(queries: DataFrame, chunks: DataFrame, *, per_leg: int, scoped: bool = False, few: bool | None = None) -> DataFrame:
     """(query_id, id, rank from 0) of the best chunks of each of ``queries(query_id, vector, scope if scoped)``."""
     score = F.round(cosine(F.col("embedding"), F.col("vector")), 9)
-    asked = beside(queries.select("query_id", "vector", *(["scope"] if scoped else [])))
+    asked = beside(queries.select("query_id", "vector", *(["scope"] if scoped else [])), few)
     scored = chunks.select("id", "embedding", "asset_id").join(asked, in_scope(scoped)).select("query_id", "id", score.alias("score")).where("score is not null")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= per_leg).select("query_id", "id", (F.col("rank") - 1).alias("rank"))
 
 
-def keyword_leg(queries: DataFrame, chunks: DataFrame, *, per_leg: int, scoped: bool = False) -> DataFrame:
+def keyword_leg(queries: DataFrame, chunks: DataFrame, *, per_leg: int, scoped: bool = False, few: bool | None = None) -> DataFrame:
     """(query_id, id, rank): chunks of which the content or a keyword holds all words of the query's terms together, and some term
     whole; in order of id. ``queries(query_id, terms array<string>)``; those without terms have none."""
     asked = queries.where(F.size("terms") > 0).select("query_id", "terms", F.array_join("terms", " ").alias("joined"), *(["scope"] if scoped else []))
     hit = matches_all_tokens(F.col("content"), F.col("joined")) | F.coalesce(F.exists("keywords", lambda k: matches_all_tokens(k, F.col("joined"))), F.lit(False))
-    found = chunks.select("id", "content", "keywords", "asset_id").join(beside(asked), in_scope(scoped) & hit)
+    found = chunks.select("id", "content", "keywords", "asset_id").join(beside(asked, few), in_scope(scoped) & hit)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("id"))
     # The store's limit comes first, the check for a whole term after it.
     near = found.withColumn("rank", rank).where(F.col("rank") <= per_leg).where(F.size(contained_terms(F.col("terms"), F.col("content"), F.col("keywords"))) > 0)
@@ -92,13 +97,14 @@ def retrieve(queries: DataFrame, chunks: DataFrame, *, where: Column | None = No
     Chunks are filtered before anything is ranked; ``scoped``: by each query's ``scope`` too. Without terms the second leg repeats the first at a low weight.
     """
     chunks = chunks.where(where) if where is not None else chunks
-    per_leg = max(3 * limit, 12)
-    semantic = vector_leg(queries, chunks, per_leg=per_leg, scoped=scoped)
-    keyword = keyword_leg(queries, chunks, per_leg=per_leg, scoped=scoped)
-    plain = semantic.join(beside(queries.where(F.size("terms") == 0).select("query_id")), "query_id", "left_semi")
+    per_leg, few = max(3 * limit, 12), are_few(queries)
+    semantic = vector_leg(queries, chunks, per_leg=per_leg, scoped=scoped, few=few)
+    keyword = keyword_leg(queries, chunks, per_leg=per_leg, scoped=scoped, few=few)
+    plain = semantic.join(beside(queries.where(F.size("terms") == 0).select("query_id"), few), "query_id", "left_semi")
     legs = semantic.select("query_id", F.lit("semantic").alias("leg"), "id", "rank", F.lit(1.0).alias("weight"))
     legs = legs.union(keyword.select("query_id", F.lit("keyword"), "id", "rank", F.lit(1.2))).union(plain.select("query_id", F.lit("keyword"), "id", "rank", F.lit(0.4)))
-    fused = fuse(legs).join(chunks.drop("embedding"), "id").join(beside(queries.select("query_id", "terms")), "query_id")
+    # Of few queries the candidates are few too (two legs each), so it is they that travel to the chunks.
+    fused = beside(fuse(legs), few).join(chunks.drop("embedding"), "id").join(beside(queries.select("query_id", "terms"), few), "query_id")
     return evidence(rerank(fused, limit=limit))
 
 
@@ -108,10 +114,16 @@ def evidence(ranked: DataFrame) -> DataFrame:
 
 def retrieve_or_widen(queries: DataFrame, chunks: DataFrame, *, limit: int = LIMIT) -> DataFrame:
     """:func:`retrieve` within each query's ``scope`` (an asset id; null: any), and over all chunks for queries that find nothing
-    there; ``widened`` says which."""
-    first = retrieve(queries, chunks, limit=limit, scoped=True)
-    rest = queries.join(first.select("query_id").distinct(), "query_id", "left_anti")
-    return first.withColumn("widened", F.lit(False)).unionByName(retrieve(rest, chunks, limit=limit).withColumn("widened", F.lit(True)))
+    there; ``widened`` says which.
+
+    Both searches of a query share one pass over the chunks, as two queries of their own; the wider is dropped where it was not needed.
+    """
+    variant = lambda wide: F.struct("query_id", F.lit(wide).alias("widened")).alias("query_id")
+    narrow = queries.select(variant(False), "vector", "terms", "scope")
+    wide = queries.where("scope is not null").select(variant(True), "vector", "terms", F.lit(None).cast("string").alias("scope"))
+    rows = retrieve(narrow.union(wide), chunks, limit=limit, scoped=True)
+    rows = rows.select(F.col("query_id.query_id").alias("query_id"), F.col("query_id.widened").alias("widened"), *[c for c in rows.columns if c != "query_id"])
+    return rows.withColumn("__least", F.min("widened").over(W.partitionBy("query_id"))).where("widened = __least").drop("__least")
 
 
 def citations(rows: DataFrame) -> DataFrame:
