@@ -309,9 +309,8 @@ def initial_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _steps(spark: SparkSession, d: str, kind: str, own: str) -> DataFrame:
-    m = spark_view(spark, d, "memories")
-    to = spark_view(spark, d, "memories").select(F.col(own).alias("to_status")).distinct()
-    return m.select(F.col(own).alias("from_status")).distinct().crossJoin(F.broadcast(to)).select("from_status", "to_status", lifecycle.is_legal(kind, F.col("from_status"), F.col("to_status")).alias("legal"))
+    seen = spark_view(spark, d, "memories").agg(F.collect_set(own).alias("seen")).select("seen", F.explode("seen").alias("from_status")).select("from_status", F.explode("seen").alias("to_status"))
+    return seen.select("from_status", "to_status", lifecycle.is_legal(kind, F.col("from_status"), F.col("to_status")).alias("legal"))
 
 
 @query
