@@ -2,8 +2,8 @@
 
 A seed is a fixed mask over neighbouring words that looks at seven of them and ignores the rest. Test items and training texts
 are hashed under every mask at every word; equal hashes put an item and a text on a common diagonal, on which words are then
-compared one by one. With these four masks every run of 16 words with at most three substitutions, wherever they are, has a hit
-(tests/llm checks all 560 cases), where plain 8-word runs would miss most of them.
+compared one by one. With these four masks every run of 16 words with at most three substitutions, and every run of 13 with at most
+two, has a hit wherever they are (tests/llm checks all cases), where plain 8-word runs would miss most of them.
 """
 
 from __future__ import annotations
@@ -15,18 +15,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import without
+from .common import text_batches, without
 from .textkit import loose, mix64, span_hashes, text_blocks, word_spans
 
 MASKS = ("1110010111", "11110111", "111000100111", "110100101101")
-WINDOW = 16
+#: Runs that count as a leak: so many words, of which so many may be replaced.
+RUNS = ((13, 2), (16, 3))
 #: Words of test items that are searched for in one pass; larger benchmarks take several passes over the texts.
 WORDS_A_PASS = 2_000_000
 
 
-def allowed(words: int) -> int:
-    """Substitutions tolerated in a run of so many words: three in 16, one in 12 to 15, none in fewer."""
-    return 3 if words >= WINDOW else 1 if words >= 12 else 0
+def runs_of(words: int) -> tuple[tuple[int, int], ...]:
+    """The runs that an item of so many words is searched for: those that fit, or else all its words, of which one may be replaced if
+    there are eleven or more."""
+    fit = tuple((n, k) for n, k in RUNS if n <= words)
+    return fit or ((words, int(words >= 11)),)
 
 
 def loose_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,12 +98,9 @@ class Items:
         for i, shift in pairs:
             test = self.words[self.first[i] : self.first[i + 1]]
             a, b = max(0, -shift), min(len(test), len(words) - shift)
-            n = min(WINDOW, len(test))
-            if b - a < n:
-                continue
             same = test[a:b] == words[a + shift : b + shift]
             run = np.concatenate([[0], np.cumsum(same)])
-            if (run[n:] - run[:-n]).max() >= n - allowed(n):
+            if any(n <= b - a and (run[n:] - run[:-n]).max() >= n - k for n, k in runs_of(len(test))):
                 best[i] = max(best.get(i, 0), int(run[-1]))
         return best
 
@@ -109,8 +109,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", min
     """``docs`` with ``leaked_items`` (ascending item_ids of ``benchmark(item_id, text)`` found in the text) and
     ``leaked_words`` (words that agree, of the item most of which is found; 0 if none is).
 
-    An item is found if a run of 16 of its words, or all of them if it has fewer, stands in the text with at most ``allowed``
-    of them replaced. Words are compared without case and punctuation. Items of fewer than ``min_words`` words, which prose holds
+    An item is found if one of ``RUNS`` of its words, or all of them if it has fewer (:func:`runs_of`), stands in the text with at
+    most so many of them replaced. Words are compared without case and punctuation. Items of fewer than ``min_words`` words, which prose holds
     by chance, are not searched for; null and empty texts hold none. Items are broadcast, so texts are not shuffled; a benchmark
     of more than ``WORDS_A_PASS`` words is searched for in several passes. Input columns of the added names are replaced.
     """
@@ -141,7 +141,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", min
                             most[lo + i] = max(most[lo + i], *best.values())
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(found, pa.list_(pa.int64())), pa.array(most, pa.int64())], [*names, "leaked_items", "leaked_words"])
 
-        out = out.mapInArrow(run, schema)
+        out = text_batches(out).mapInArrow(run, schema)
     return out
 
 
