@@ -56,6 +56,15 @@ def drop_stashed(spark: SparkSession | None = None) -> None:
 atexit.register(drop_stashed)
 
 
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, after bounding the Arrow batches of its session to 2,000 rows where the user has set nothing: texts are long, and a
+    batch is held by the JVM and by Python at once."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, "2000")
+    return df
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """``df`` marked for broadcast if ``rows``, its counted size, is within the bound; else unmarked."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

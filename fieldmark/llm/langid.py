@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import schema_with, without
+from .common import schema_with, text_batches, without
 from .sampling import fold, stratified
 from .textkit import loose, text_blocks
 
@@ -106,12 +106,13 @@ def fit_languages(docs: DataFrame, *, fit_rows: int = 1200, most_languages: int
     It is fitted on a bounded sample: about ``fit_rows`` rows in all, shared equally by the languages, of which the
     ``most_languages`` most frequent ones are learned.
     """
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    langs = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()]
-    if not langs:
+    rows = docs.where(F.col("lang").isNotNull())
+    # Labels are counted without the texts, so only the sample's own pass reads them.
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
+    if not counts:
         return None
-    sample = stratified(rows, "doc_id", "lang", {x: max(6, fit_rows / len(langs)) for x in langs})
-    got = sorted(((r.lang, bytes(r.bits)) for r in sample.select("lang", "text").mapInArrow(_pack, "lang string, bits binary").collect()))
+    sample = stratified(rows, "doc_id", "lang", counts, {x: max(6, fit_rows / len(counts)) for x in counts}).where(F.col("text").rlike(r"\p{L}"))
+    got = sorted(((r.lang, bytes(r.bits)) for r in text_batches(sample.select("lang", "text")).mapInArrow(_pack, "lang string, bits binary").collect()))
     if not got:
         return None
     return fit(np.stack([np.frombuffer(b, np.uint8) for _, b in got]), [x for x, _ in got], landmarks=landmarks, ridge=ridge)
@@ -145,7 +146,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel | None, *, text: str
 
     schema = schema_with(docs, lang_pred="string", score="double")
     has_letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    return docs.withColumn("__has_letter", has_letter).mapInArrow(run, schema)
+    return text_batches(docs.withColumn("__has_letter", has_letter)).mapInArrow(run, schema)
 
 
 def identify_languages(docs: DataFrame, *, folds: int = 4, held: int = 2, **options) -> DataFrame:
@@ -155,7 +156,7 @@ def identify_languages(docs: DataFrame, *, folds: int = 4, held: int = 2, **opti
     return predict_languages(docs.select(*out, "text"), model).drop("text")
 
 
-def keep_identified(docs: DataFrame, *, languages: tuple[str, ...] | None = None, min_score: float = 0.4, **options) -> DataFrame:
+def keep_identified(docs: DataFrame, *, languages: tuple[str, ...] | None = None, min_score: float = 0.3, **options) -> DataFrame:
     """``docs`` whose language is told, with at least ``min_score``, and is one of ``languages`` if these are given."""
     judged = predict_languages(docs, fit_languages(docs.where(fold(F.col("doc_id"), 4) != 2), **options))
     good = (F.col("lang_pred") != "und") & (F.col("score") >= min_score)

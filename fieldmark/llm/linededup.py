@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import BROADCAST_ROWS, stash, without
+from .common import BROADCAST_ROWS, stash, text_batches, without
 
 
 def _windows(text: Column, lines: int) -> Column:
@@ -73,4 +73,4 @@ def dedup_lines(docs: DataFrame, *, lines: int = 3) -> DataFrame:
             columns[at] = text
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return joined.mapInArrow(rebuild, joined.schema)
+    return text_batches(joined).mapInArrow(rebuild, joined.schema)

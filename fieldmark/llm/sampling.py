@@ -10,13 +10,12 @@ def fold(key: Column, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
-def stratified(rows: DataFrame, key: str, label: str, each: dict) -> DataFrame:
-    """About ``each[value]`` rows of each label value, chosen by a hash of the key: a narrow filter, no sort and no shuffle.
+def stratified(rows: DataFrame, key: str, label: str, counts: dict, each: dict) -> DataFrame:
+    """About ``each[value]`` of the ``counts[value]`` rows of each label value, chosen by a hash of the key: a narrow filter, no sort and no shuffle.
 
     Rows of other values, or of none, are left out. The hash picks the same rows in any order and partitioning.
     """
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect() if r[0] in each}
     share = F.lit(0.0)
-    for value, n in sorted(counts.items(), key=lambda x: str(x[0])):
-        share = F.when(F.col(label) == value, F.lit(min(1.0, each[value] / n))).otherwise(share)
+    for value, n in sorted(each.items(), key=lambda x: str(x[0])):
+        share = F.when(F.col(label) == value, F.lit(min(1.0, n / max(1, counts.get(value, 0))))).otherwise(share)
     return rows.where(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1 << 20)) < share * (1 << 20))

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import schema_with, without
+from .common import schema_with, text_batches, without
 from .sampling import fold, stratified
 from .textkit import loose, span_hashes, text_blocks, word_spans
 
@@ -115,9 +115,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 6000, **
     few enough to broadcast, so texts are not shuffled.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    sample = stratified(known, "doc_id", "toxic", {0: fit_rows / 2, 1: fit_rows / 2})
+    counts = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
+    sample = stratified(known, "doc_id", "toxic", counts, {0: fit_rows / 2, 1: fit_rows / 2})
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("toxic", "text")
-    got = sorted((r.toxic, bytes(r.ids)) for r in rows.mapInArrow(_ids, "toxic int, ids binary").collect())
+    got = sorted((r.toxic, bytes(r.ids)) for r in text_batches(rows).mapInArrow(_ids, "toxic int, ids binary").collect())
     y = np.array([t for t, _ in got])
     if len(set(y.tolist())) < 2:
         return None
@@ -146,7 +147,7 @@ def score_toxicity(docs: DataFrame, machine: Machine | None, *, text: str = "tex
             score = _sigmoid(s)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
 
-    return docs.mapInArrow(run, schema_with(docs, score="double", predicted="int"))
+    return text_batches(docs).mapInArrow(run, schema_with(docs, score="double", predicted="int"))
 
 
 def rate_documents(docs: DataFrame, labels: DataFrame, *, folds: int = 5, held: int = 0, **options) -> DataFrame:
