@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import oracle
 from .chat import format_chats
 from .decontam import find_leaks
 from .langid import identify_languages
@@ -27,7 +28,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", F.array_join("removed_lines", ",").alias("removed_lines"), "text")
 
 
 def op2_factorization_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,4 +76,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.SQL)
