@@ -25,7 +25,8 @@ NOW = "2025-01-01T00:00:00Z"
 
 
 def query(f: Query) -> Query:
-    _QUERIES[f.__name__] = f
+    """Register a query under its function's name; a final underscore, which keeps it apart from an operator, does not count."""
+    _QUERIES[f.__name__.rstrip("_")] = f
     return f
 
 
@@ -506,7 +507,7 @@ def judge_prompts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query
-def verdict_history_rows(spark: SparkSession, d: str) -> DataFrame:
+def verdict_history_(spark: SparkSession, d: str) -> DataFrame:
     m = spark_view(spark, d, "memories")
     return verdict_history(m.where("n % 50 = 0"), _cloud_verdicts(spark, d), m)
 
@@ -550,7 +551,7 @@ def session_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query
-def grounded_prompts(spark: SparkSession, d: str) -> DataFrame:
+def grounded_prompt_(spark: SparkSession, d: str) -> DataFrame:
     found = retrieval.retrieve(asked(spark, d), spark_view(spark, d, "chunk_vec"))
     chunks = F.transform(F.array_sort(F.collect_list(F.struct("position", "source", "document_id", "content"))), lambda c: F.struct(c["source"].alias("source"), c["document_id"].alias("document_id"), c["content"].alias("content")))
     return found.groupBy("query_id").agg(chunks.alias("chunks")).join(asked(spark, d).select("query_id", "text"), "query_id").select("query_id", grounded_prompt(F.col("text"), F.col("chunks"), sources=True).alias("prompt"))
@@ -576,6 +577,6 @@ def chunk_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query
-def hash_embedding(spark: SparkSession, d: str) -> DataFrame:
+def hash_embed_(spark: SparkSession, d: str) -> DataFrame:
     v = hash_embed(F.col("text"))
     return spark_view(spark, d, "documents").select("doc_id", F.round(cosine(v, hash_embed(F.lit("the pump valve filter of the hydraulic system"))), 6).alias("similarity"))

@@ -178,7 +178,7 @@ _v("fleet_knn", "", """WITH s AS (SELECT c.vec_id::VARCHAR AS candidate_id, e.ve
 SELECT candidate_id, memory_id, row_number() OVER (PARTITION BY candidate_id ORDER BY s DESC, memory_id) AS position, round(s, 6) AS similarity FROM s QUALIFY position <= 6""")
 _v("fleet_documents", "memories chunk_vec", """, s AS (SELECT m.memory_id AS candidate_id, c.id, round(list_cosine_similarity(c.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS s FROM memories m JOIN embeddings e ON e.vec_id = m.n % (SELECT count(*) FROM embeddings) JOIN chunk_vec c ON c.asset_id = m.asset_id AND c.jev_status = 'not_applicable' WHERE m.n % 400 = 0)
 SELECT candidate_id, id, row_number() OVER (PARTITION BY candidate_id ORDER BY s DESC, id) AS position, round(s, 6) AS similarity FROM s QUALIFY position <= 6""")
-_v("verdict_history_rows", "memories", f", {_CV}, p AS (SELECT asset_id, memory_id, verdict, row_number() OVER (PARTITION BY asset_id ORDER BY evaluated_at DESC, memory_id) AS position FROM cv JOIN memories USING (memory_id) QUALIFY position <= 4) SELECT m.memory_id AS candidate_id, p.memory_id, verdict, position FROM memories m JOIN p USING (asset_id) WHERE m.n % 50 = 0 AND m.memory_id <> p.memory_id")
+_v("verdict_history", "memories", f", {_CV}, p AS (SELECT asset_id, memory_id, verdict, row_number() OVER (PARTITION BY asset_id ORDER BY evaluated_at DESC, memory_id) AS position FROM cv JOIN memories USING (memory_id) QUALIFY position <= 4) SELECT m.memory_id AS candidate_id, p.memory_id, verdict, position FROM memories m JOIN p USING (asset_id) WHERE m.n % 50 = 0 AND m.memory_id <> p.memory_id")
 
 _ASSET = r"CASE WHEN regexp_matches(text, '(?i)\bMSN\s?[0-9]{3,}\b') THEN 'MSN' || regexp_extract(text, '(?i)\bMSN\s?([0-9]{3,})\b', 1) ELSE nullif(regexp_extract(text, '(?i)\b(?:asset|aircraft|vehicle|unit|truck|rig|airframe)\s+(?:id\s+)?([A-Za-z0-9][A-Za-z0-9-]{2,})', 1), '') END"
 _SUB = r"lower(regexp_extract(text, '(?i)\b(hydraulics?|fuel system|electrical|avionics|landing gear|oxygen|pneumatics?|cooling|lubrication|navigation|pressurization|sensor|actuator|pump|valve|filter)\b', 1))"
