@@ -195,3 +195,13 @@ SELECT session_id, seq, CASE WHEN {_DEP} AND len(add) > 0 THEN text || ' (' || a
 _v("normalize_text", "", r"""WITH r AS (SELECT doc_id, replace(replace(text, ' the ', chr(160) || 'the ' || chr(13) || chr(10)), '. ', '. ' || chr(9) || chr(13)) AS t FROM documents),
 l AS (SELECT doc_id, regexp_replace(replace(replace(replace(t, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(160), ' '), '[ \t]+\n', chr(10), 'g') AS t FROM r)
 SELECT doc_id, regexp_replace(t, '[ \t]+$', '') AS text FROM l""")
+
+_TEXTS = "texts(query_id, text) AS (VALUES (1, 'What does ERR-4012 mean'), (2, 'why is the pump noisy'), (3, 'procedure for PN-607 and the valve'), (4, 'it leaks again'), (5, 'check error 4031 on the filter'))"
+_v("grounded_prompt", "chunk_vec", f""", {_ASKED}, {_TEXTS}, {_hybrid('h')}
+SELECT query_id, 'Document excerpts:' || chr(10) || string_agg('[_excerpt ' || position || ' | source: ' || h.source || ']' || chr(10) || c.content, chr(10) ORDER BY position) || chr(10) || chr(10) || 'Question: ' || any_value(text) || chr(10) || 'Answer (from the excerpts only, citing excerpt numbers):' || chr(10) || chr(10) || 'Available sources for citation:' || chr(10) || string_agg('- source: ' || h.source || ' | document: ' || h.document_id, chr(10) ORDER BY position) AS prompt
+FROM h JOIN chunk_vec c USING (id) JOIN texts USING (query_id) GROUP BY query_id""")
+_v("hash_embed", "", """WITH texts AS (SELECT doc_id, text FROM documents UNION ALL SELECT -1, 'the pump valve filter of the hydraulic system'),
+w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM texts),
+n AS (SELECT doc_id, list_reduce(list_transform(regexp_extract_all(w, '.'), lambda c: ascii(c))::BIGINT[], lambda h, c: (h * 31 + c) % 4294967296, 0) % 32 AS b, count(*)::DOUBLE AS n FROM w GROUP BY ALL),
+l AS (SELECT doc_id, sqrt(sum(n * n)) AS len FROM n GROUP BY 1)
+SELECT d.doc_id, round(coalesce((SELECT sum(a.n * q.n) FROM n a JOIN n q ON q.doc_id = -1 AND a.b = q.b WHERE a.doc_id = d.doc_id), 0) / l.len / (SELECT len FROM l WHERE doc_id = -1), 6) AS similarity FROM documents d LEFT JOIN l USING (doc_id)""")
