@@ -100,9 +100,11 @@ def retrieve(queries: DataFrame, chunks: DataFrame, *, where: Column | None = No
     per_leg, few = max(3 * limit, 12), are_few(queries)
     semantic = vector_leg(queries, chunks, per_leg=per_leg, scoped=scoped, few=few)
     keyword = keyword_leg(queries, chunks, per_leg=per_leg, scoped=scoped, few=few)
-    plain = semantic.join(beside(queries.where(F.size("terms") == 0).select("query_id"), few), "query_id", "left_semi")
-    legs = semantic.select("query_id", F.lit("semantic").alias("leg"), "id", "rank", F.lit(1.0).alias("weight"))
-    legs = legs.union(keyword.select("query_id", F.lit("keyword"), "id", "rank", F.lit(1.2))).union(plain.select("query_id", F.lit("keyword"), "id", "rank", F.lit(0.4)))
+    # One vector search serves both legs of a query without terms.
+    first, again = F.struct(F.lit("semantic").alias("leg"), F.lit(1.0).alias("weight")), F.struct(F.lit("keyword").alias("leg"), F.lit(0.4).alias("weight"))
+    plain = beside(queries.select("query_id", (F.size("terms") == 0).alias("plain")), few)
+    legs = semantic.join(plain, "query_id").select("query_id", "id", "rank", F.explode(F.when(F.col("plain"), F.array(first, again)).otherwise(F.array(first))).alias("l"))
+    legs = legs.select("query_id", "l.leg", "id", "rank", "l.weight").union(keyword.select("query_id", F.lit("keyword"), "id", "rank", F.lit(1.2)))
     # Of few queries the candidates are few too (two legs each), so it is they that travel to the chunks.
     fused = beside(fuse(legs), few).join(chunks.drop("embedding"), "id").join(beside(queries.select("query_id", "terms"), few), "query_id")
     return evidence(rerank(fused, limit=limit))

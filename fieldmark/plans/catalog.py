@@ -49,7 +49,7 @@ def vector_of(spark: SparkSession, d: str, vec_id: int) -> list[float]:
 def asked(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.createDataFrame(ASKED, "query_id int, text string, vec_id long, scope string")
     vectors = spark_view(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    return rows.join(F.broadcast(rows.select("vec_id")).join(vectors, "vec_id"), "vec_id").withColumn("terms", X.exact_terms(F.col("text")))
+    return vectors.join(F.broadcast(rows), "vec_id").withColumn("terms", X.exact_terms(F.col("text")))
 
 
 # Vectors and filters
