@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import components, stash
+from .common import components, stash, text_batches
 from .textkit import mix64, run_hashes, text_blocks, word_hashes
 
 CHUNKS, WIDTH = 9, 7
@@ -142,7 +142,7 @@ class NearDuplicates:
 
     def __init__(self, docs: DataFrame, *, ngram: int = 5, percent: int = 80) -> None:
         self.ngram, self.percent = ngram, percent
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        self.docs = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         share = percent / 100
         #: Signature distance above which no pair is confirmed: five deviations beyond that of a pair at the limit.
         self.most_apart = ceil(SYMBOLS * (1 - share) + 5 * sqrt(SYMBOLS * share * (1 - share)))
@@ -174,7 +174,8 @@ class NearDuplicates:
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """Those of ``pairs(a, b)`` that are linked, by their full sets."""
         pairs = stash(pairs.select("a", "b"))
-        sets = self.sets(stash(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()))
+        # Written, so that both joins have plain exchanges on both sides: a hub's many pairs can then be split.
+        sets = stash(self.sets(stash(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())))
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
         return stash(both.where(100 * common >= self.percent * (F.size("x") + F.size("y") - common)).select("a", "b"))
