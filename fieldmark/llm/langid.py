@@ -112,6 +112,8 @@ def fit_languages(docs: DataFrame, *, fit_rows: int = 1200, most_languages: int
     if not counts:
         return None
     sample = stratified(rows, "doc_id", "lang", counts, {x: max(6, fit_rows / len(counts)) for x in counts}).where(F.col("text").rlike(r"\p{L}"))
+    # One row of each id, so that an id with very many rows does not swell the sample.
+    sample = sample.select("doc_id", "lang", "text").dropDuplicates(["doc_id"])
     got = sorted(((r.lang, bytes(r.bits)) for r in text_batches(sample.select("lang", "text")).mapInArrow(_pack, "lang string, bits binary").collect()))
     if not got:
         return None

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import BROADCAST_ROWS, stash, text_batches, without
 
 
-def _windows(text: Column, lines: int) -> Column:
+def _windows(text: Column, lines: int) -> tuple[Column, Column]:
     """Array of (w1, w2, at): the hashes of each window and the numbers of its lines in the text. A-Z are folded, and white space
     at both ends of a line does not count."""
     normal = F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("at"), F.btrim(F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(" \t\r\x0b\x0c")).alias("line")))

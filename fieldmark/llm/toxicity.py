@@ -117,7 +117,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 6000, **
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     counts = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
     sample = stratified(known, "doc_id", "toxic", counts, {0: fit_rows / 2, 1: fit_rows / 2})
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("toxic", "text")
+    # One row of each id, so that an id with very many rows does not swell the sample.
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).select("toxic", "text")
     got = sorted((r.toxic, bytes(r.ids)) for r in text_batches(rows).mapInArrow(_ids, "toxic int, ids binary").collect())
     y = np.array([t for t, _ in got])
     if len(set(y.tolist())) < 2:
