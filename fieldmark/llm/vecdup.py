@@ -1,7 +1,7 @@
 """Near-duplicate embeddings by product quantisation.
 
 Vectors are dealt to coarse inverted lists, and the residual of each is coded by one byte for each subspace. A query probes the
-lists nearest to it, scores their members by table look-ups (asymmetric distances), and ranks the promising ones by the exact
+lists that could hold a partner by a bound on distances to centroids, scores their members by table look-ups (asymmetric distances), and ranks the promising ones by the exact
 cosine of the full vectors in double precision.
 
 Copies come in large groups, in which all are linked with all. Vectors within half of the link angle of a leader are therefore
@@ -71,6 +71,25 @@ class Quantiser:
     def decode(self, codes: np.ndarray) -> np.ndarray:
         return np.concatenate([c[codes[:, i]] for i, c in enumerate(self.books)], 1)
 
+    def reachable(self, queries: np.ndarray, near: np.ndarray, angles: np.ndarray, width: float) -> np.ndarray:
+        """Whether a vector within its angle of each query (rows; ``near``: its own list) could be nearer to each centroid (columns)
+        than to the own one.
+
+        A partner at angle t is cos(t) of the query and sin(t) of a direction across. How far that direction leads from one centroid
+        to the other is bounded by ``width`` standard deviations of random directions. From a width of sqrt(dimensions - 1) on this is the
+        exact bound of the bisecting plane.
+        """
+        n2, own = (self.coarse * self.coarse).sum(1), self.coarse[near]
+        along = queries @ self.coarse.T - (queries * own).sum(1)[:, None]
+        apart = n2 + n2[near][:, None] - 2 * own @ self.coarse.T
+        share = min(1.0, width / max(1, queries.shape[1] - 1) ** 0.5)
+        across = 2 * share * np.sqrt(np.maximum(apart - along * along, 0))
+        # The angle, up to the given one, that leads nearest to the other centroid.
+        t = np.minimum(angles[:, None], np.arctan2(across, 2 * along))
+        out = n2 - n2[near][:, None] - 2 * along * np.cos(t) - across * np.sin(t) <= SLACK
+        out[np.arange(len(queries)), near] = True
+        return out
+
     def scores(self, queries: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
         """Approximate cosines of queries (rows) and coded vectors of one list (columns)."""
         out = np.repeat((queries @ self.coarse[cell])[:, None], len(codes), 1)
@@ -118,12 +137,13 @@ class VectorLinks:
 
     ``vectors(id, vector, label)``; vectors that are null, zero, or hold a null or a number that is not finite, and those
     without a label or id, are linked with nothing, and lengths must agree. ``fit_rows`` vectors at most are sampled to place the
-    lists and code words; all are indexed. A query probes its nearest ``probes`` lists, four times as many if it leads a ball. (Of
-    pairs at a cosine of 0.93 to 0.95 among 20,000 random directions, 99.5 % have one that probes the other's list; of closer ones, more.)
+    lists and code words; all are indexed. A query probes every list that :meth:`Quantiser.reachable` cannot exclude at ``width``, so
+    in a large group of near copies all lists of the group; and its nearest ``probes`` lists, four times as many if it leads a ball,
+    in any case. A pair is found if either probes the other's list.
     Vectors of floats travel as floats; cosines are always computed in double precision.
     """
 
-    def __init__(self, vectors: DataFrame, *, least: float = 0.93, fit_rows: int = 20_000, rows_a_list: int = 512, most_lists: int = 4096, probes: int = 6) -> None:
+    def __init__(self, vectors: DataFrame, *, least: float = 0.93, fit_rows: int = 20_000, rows_a_list: int = 512, most_lists: int = 4096, probes: int = 6, width: float = 2.5) -> None:
         self.angle = acos(least)
         self.least = least
         finite = ~F.exists("vector", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
@@ -140,7 +160,7 @@ class VectorLinks:
             x = sample.select("vector").limit(2 * fit_rows).toPandas()["vector"]
             x = _unit(x) if len(x) else np.eye(1, d)
             self.quantisers[d] = Quantiser.fit(x, max(1, min(most_lists, total // rows_a_list, len(x))))
-        self.probes = probes
+        self.probes, self.width = probes, width
         self.shared = vectors.sparkSession.sparkContext.broadcast(self.quantisers)
 
     def placed(self) -> DataFrame:
@@ -173,7 +193,7 @@ class VectorLinks:
 
     def leader_pairs(self, leaders: DataFrame) -> DataFrame:
         """(a, b, angle) of leaders whose balls could hold linked vectors; each pair once, a < b. By probes, look-ups and rerank."""
-        shared, probes, link = self.shared, self.probes, self.angle
+        shared, probes, width, link = self.shared, self.probes, self.width, self.angle
 
         def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
@@ -183,12 +203,16 @@ class VectorLinks:
                 code: list = [None] * len(b)
                 for d in set(sizes.tolist()):
                     at = np.flatnonzero(sizes == d)
-                    coarse = shared.value[d].coarse
+                    pq, radius = shared.value[d], b["radius"].to_numpy()[at]
                     u = _unit(x.iloc[at])
-                    far = (coarse * coarse).sum(1) - 2 * u @ coarse.T
-                    order = np.argsort(far, axis=1, kind="stable")[:, : 4 * probes]
-                    for i, o, r, c in zip(at, order, b["radius"].to_numpy()[at], shared.value[d].encode(u, order[:, 0]), strict=True):
-                        cells[i], code[i] = o[: probes if r == 0 else None].astype(np.int64), c.tobytes()
+                    for lo in range(0, len(at), 256):
+                        part, r = u[lo : lo + 256], radius[lo : lo + 256]
+                        order = np.argsort((pq.coarse * pq.coarse).sum(1) - 2 * part @ pq.coarse.T, axis=1, kind="stable")
+                        # Of two balls the one of the larger radius reaches the other's leader.
+                        reach = pq.reachable(part, order[:, 0], np.minimum(link + 2 * r + SLACK, np.pi), width)
+                        for i, o, n, ok, c in zip(at[lo : lo + 256], order, np.where(r == 0, probes, 4 * probes), reach, pq.encode(part, order[:, 0]), strict=True):
+                            ok[o[:n]] = True
+                            cells[i], code[i] = o[ok[o]].astype(np.int64), c.tobytes()
                 yield b[["id", "vector", "group", "radius"]].assign(cells=cells, code=code)
 
         probed = stash(leaders.select("id", "vector", "group", "radius").mapInPandas(probe, f"id long, vector {self.kind}, group string, radius double, cells array<bigint>, code binary"))

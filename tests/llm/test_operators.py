@@ -285,6 +285,39 @@ def test_vectors_equal_brute_force(spark):
     assert np.mean([got[i].component_id == comp[i] for i in range(n)]) >= 0.9
 
 
+def test_links_of_a_large_group_over_many_lists(spark):
+    """A third of the rows are near copies, which take a third of the lists."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=64)
+    base /= np.linalg.norm(base)
+    x = np.concatenate([base + rng.normal(size=(500, 64)) * 0.228 / 8, rng.normal(size=(1000, 64))])
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in vecdup.near_duplicate_vectors(df, rows_a_list=5).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.93).sum(1) - 1
+    assert near[:500].min() > 100
+    assert sum(got.values()) >= 0.9 * near.sum() and all(got[i] <= near[i] for i in got)
+
+
+@pytest.mark.parametrize("mean", [0.975, 0.998])
+def test_either_of_a_pair_probes_the_others_list(mean):
+    """400 lists, fitted on rows of which a third are near copies."""
+    rng = np.random.default_rng(7)
+
+    def unit(x):
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    base = unit(rng.normal(size=(1, 64)))
+    group = unit(base + rng.normal(size=(8000, 64)) * (1 / mean**2 - 1) ** 0.5 / 8)
+    coarse = vecdup.kmeans(np.concatenate([group[:6000], unit(rng.normal(size=(12000, 64)))]), 400, 3, 1)
+    pq = vecdup.Quantiser(coarse, [], [], 0.0)
+    a, b = group[6000:7000], group[7000:]
+    na, nb = vecdup.nearest(a, coarse), vecdup.nearest(b, coarse)
+    angles, i = np.full(1000, np.arccos(0.93)), np.arange(1000)
+    found = pq.reachable(a, na, angles, 2.5)[i, nb] | pq.reachable(b, nb, angles, 2.5)[i, na]
+    assert len(set(na.tolist())) > 24 and found[(a * b).sum(1) >= 0.93].mean() >= 0.98
+
+
 def test_balls_hold_only_linked_vectors():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 8))
