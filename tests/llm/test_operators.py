@@ -256,6 +256,36 @@ def test_chats(spark):
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_long_chats_are_repaired_as_a_whole(spark):
+    """Parts add up to the cheapest repair of the conversation, whether turns differ in number, or only in role and text."""
+    rng = random.Random(3)
+    rows = [(1, 0, "system", "s")] + [(1, i, ("assistant", "user")[i % 2], f"t{i}") for i in range(1, 41)]
+    for conv in (2, 3, None):
+        rows += [(conv, i, rng.choice(["user", "user", "assistant", "system", "tool", None]), f"{conv}\\<|{i}") for i in range(90)]
+    rows += [(4, 7, rng.choice(["user", "assistant"]), f"{i:03}") for i in range(60)] + [(5, i, "user", f"u{i}") for i in range(40)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for part_turns in (1, 7):
+        got = chat.format_chats(df, part_turns=part_turns).orderBy("conv_id", "part").collect()
+        for conv in (1, 2, 3, 4, 5, None):
+            own = [r for r in got if r.conv_id == conv]
+            turns = [r[2:] for r in sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1], r[2] or "", r[3]))]
+            cost, legal, edits = chat.repair(turns)
+            assert [r.part for r in own] == list(range(-(-len(turns) // part_turns))) and max(r.n_turns for r in own) == part_turns
+            assert (sum(r.cost for r in own), {k: sum(r[k] for r in own) for k in edits}) == (cost, edits), conv
+            told = chat.parse("".join(r.rendered for r in own))
+            assert ",".join(r.roles for r in own if r.roles) == ",".join(r for r, _ in told) and sum(r.n_rendered for r in own) == len(told) == len(legal)
+            assert [r for r, _ in told if r != "system"] == ["user", "assistant"] * (len(told) // 2) and "system" not in [r for r, _ in told[1:]]
+            assert [t for _, text in told for t in text.split("\n\n") if t] == [t for _, t in turns]
+            assert conv != 1 or cost == 0
+
+
+def test_a_legal_chat_of_many_turns_costs_nothing(spark):
+    rows = [(1, i, ("assistant", "user")[i % 2], "t") for i in range(1, 2101)]
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(got) == 3 and sum(r.cost for r in got) == 0 and sum(r.n_rendered for r in got) == 2100
+
+
 # 6 Embeddings
 
 
