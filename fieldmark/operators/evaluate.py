@@ -3,33 +3,68 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.vector import cosine
+from ..functions.vector import dot, norm
 from ..functions.verdicts import coerce, generate_with, json_object_exact, judge_prompt
-from .retrieval import beside
+from .retrieval import are_few, beside
 
 OBSERVATIONS, DOCUMENTS, HISTORY = 6, 6, 4
+#: Longest vectors whose product is written out: longer ones make methods that the JVM does not compile.
+UNROLLED = 96
+
+
+def _closest(candidates: DataFrame, rows: DataFrame, on: Column, id: str, k: int) -> DataFrame:
+    """(candidate_id, id, similarity, position): of all ``rows(id, __e, ...)`` that meet ``on``, the ``k`` most similar to each of
+    ``candidates(candidate_id, __v, ...)``.
+
+    The k-th best of a few rows is no better than that of all, so pairs below it are dropped before they are rounded and ranked. Vectors
+    of one length, up to ``UNROLLED``, are compared number by number in generated code.
+    """
+    spark = candidates.sparkSession
+    few = are_few(candidates)
+    lengths = [r[0] for r in candidates.where("__v is not null").select(F.size("__v")).distinct().limit(2).collect()]
+    d = lengths[0] if len(lengths) == 1 and 0 < lengths[0] <= UNROLLED else 0
+
+    def ready(df: DataFrame, v: str) -> DataFrame:
+        x = F.col(v).cast("array<double>")
+        df = df.withColumns({v: x, f"{v}n": F.coalesce(norm(x), F.lit(0.0))})
+        if not d:
+            return df
+        # Columns that cannot be null; a vector that is null, holds a null or has another length has no cosine with any.
+        df = df.where((F.size(v) == d) & ~F.exists(v, lambda y: y.isNull()) & (F.col(f"{v}n") != 0))
+        return df.select("*", *[F.coalesce(F.get(v, F.lit(i)), F.lit(0.0)).alias(f"{v}{i}") for i in range(d)]).drop(v)
+
+    product = reduce(add, [F.col(f"__e{i}") * F.col(f"__v{i}") for i in range(d)], F.lit(0.0)) if d else F.when(F.size("__e") == F.size("__v"), dot(F.col("__e"), F.col("__v")))
+    score = F.try_divide(product, F.col("__en") * F.col("__vn"))
+    # By hash: a small file would be one task with all pairs.
+    rows = ready(rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), id), "__e")
+    candidates = ready(candidates, "__v")
+    place = F.row_number().over(W.partitionBy("candidate_id").orderBy(F.desc("similarity"), id))
+
+    def ranked(c: DataFrame, r: DataFrame) -> DataFrame:
+        pairs = r.join(beside(c, few), on).where(score >= F.col("__least") - 1e-9)
+        return pairs.select("candidate_id", id, F.round(score, 9).alias("similarity")).withColumn("position", place).where(F.col("position") <= k)
+
+    some = ranked(candidates.withColumn("__least", F.lit(-2.0)), rows.where(F.pmod(F.xxhash64(id), F.lit(64)) == 0))
+    least = some.groupBy("candidate_id").agg(F.when(F.count("*") >= k, F.min("similarity")).alias("__least"))
+    return ranked(candidates.join(least, "candidate_id", "left").withColumn("__least", F.coalesce("__least", F.lit(-2.0))), rows)
 
 
 def fleet_neighbours(candidates: DataFrame, fleet: DataFrame, *, k: int = OBSERVATIONS) -> DataFrame:
     """(candidate_id, memory_id, similarity, position): the ``k`` memories of ``fleet(memory_id, embedding)`` most similar to each of
     ``candidates(memory_id, embedding)``, itself left out before ranking."""
-    c = beside(candidates.select(F.col("memory_id").alias("candidate_id"), F.col("embedding").alias("__v")))
-    score = F.round(cosine(F.col("embedding"), F.col("__v")), 9)
-    pairs = fleet.select("memory_id", "embedding").join(c, F.col("memory_id") != F.col("candidate_id")).select("candidate_id", "memory_id", score.alias("similarity")).where("similarity is not null")
-    place = F.row_number().over(W.partitionBy("candidate_id").orderBy(F.desc("similarity"), "memory_id"))
-    return pairs.withColumn("position", place).where(F.col("position") <= k)
+    c = candidates.select(F.col("memory_id").alias("candidate_id"), F.col("embedding").alias("__v"))
+    return _closest(c, fleet.select("memory_id", F.col("embedding").alias("__e")), F.col("memory_id") != F.col("candidate_id"), "memory_id", k)
 
 
 def asset_documents(candidates: DataFrame, chunks: DataFrame, *, k: int = DOCUMENTS) -> DataFrame:
     """(candidate_id, id, similarity, position): the authoritative chunks of each candidate's asset most similar to it."""
-    c = candidates.select(F.col("memory_id").alias("candidate_id"), F.col("asset_id"), F.col("embedding").alias("__v"))
-    score = F.round(cosine(F.col("embedding"), F.col("__v")), 9)
-    pairs = chunks.where("jev_status = 'not_applicable'").select("id", "asset_id", "embedding").join(c, "asset_id").select("candidate_id", "id", score.alias("similarity")).where("similarity is not null")
-    place = F.row_number().over(W.partitionBy("candidate_id").orderBy(F.desc("similarity"), "id"))
-    return pairs.withColumn("position", place).where(F.col("position") <= k)
+    c = candidates.select(F.col("memory_id").alias("candidate_id"), F.col("asset_id").alias("__asset"), F.col("embedding").alias("__v"))
+    return _closest(c, chunks.where("jev_status = 'not_applicable'").select("id", "asset_id", F.col("embedding").alias("__e")), F.col("asset_id") == F.col("__asset"), "id", k)
 
 
 def verdict_history(candidates: DataFrame, verdicts: DataFrame, memories: DataFrame, *, k: int = HISTORY) -> DataFrame:

@@ -481,8 +481,9 @@ def fleet_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _context(spark: SparkSession, d: str) -> DataFrame:
+    """Of the query set of searches, ids divisible by 20, against the whole fleet."""
     fleet = _placed(spark, d)
-    return fleet_context(fleet.where("n % 1000 = 0"), fleet, spark_view(spark, d, "chunk_vec"), _cloud_verdicts(spark, d), fleet)
+    return fleet_context(fleet.where("n % 20 = 0"), fleet, spark_view(spark, d, "chunk_vec"), _cloud_verdicts(spark, d), fleet)
 
 
 def _answer(prompts: list[str]) -> list[str]:
