@@ -16,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import schema_with, text_batches, without
-from .sampling import fold, stratified
+from .common import fields_with, map_rows, quoted, text_batches, unused, without
+from .sampling import fold, one_row, stratified
 from .textkit import loose, text_blocks
 
 GRAMS = (2, 3, 4)
@@ -25,8 +25,9 @@ SPACE_BITS = 16
 UNIVERSE = 1 << SPACE_BITS
 ROWS = 32  # texts scored by one product
 
+
 def letters_only(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Texts in lower case with everything but letters as single spaces, and a space at each end; bytes and offsets."""
+    """Texts in lower case with everything but letters as single spaces, and a space before each; bytes and offsets."""
     c = loose(raw)
     c[(c >= 48) & (c <= 57)] = 32
     c = np.insert(c, offsets[:-1], 32)
@@ -75,13 +76,15 @@ def fit(bits: np.ndarray, labels: list[str], *, landmarks: int, ridge: float) ->
     """Fit on packed presence rows. Landmarks are taken from the languages in turn."""
     languages = tuple(sorted(set(labels)))
     ys = np.array([languages.index(x) for x in labels])
-    turn = sorted(range(len(ys)), key=lambda i: (int(np.sum(ys[:i] == ys[i])), ys[i]))[:landmarks]
+    order, place = np.argsort(ys, kind="stable"), np.zeros(len(ys), np.int64)
+    place[order] = np.arange(len(ys)) - np.searchsorted(ys[order], ys[order])
+    turn = np.lexsort((ys, place))[:landmarks]
 
     def rows(ix: np.ndarray) -> np.ndarray:
         x = np.unpackbits(bits[ix], axis=1).astype(np.float32)
         return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
 
-    marks = rows(np.array(turn))
+    marks = rows(turn)
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     good = values > 1e-6 * values[-1]
     to_features = vectors[:, good] / np.sqrt(values[good])
@@ -100,68 +103,69 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([x.tobytes() for block in packed for x in block], pa.binary())], ["lang", "bits"])
 
 
-def fit_languages(docs: DataFrame, *, fit_rows: int = 1200, most_languages: int = 200, landmarks: int = 128, ridge: float = 1e-3) -> LanguageModel | None:
-    """A model of the languages of ``docs(doc_id, text, lang)``; None if no row has a label and a letter.
+def fit_languages(docs: DataFrame, *, fit_rows: int = 1200, landmarks: int = 128, ridge: float = 1e-3) -> LanguageModel | None:
+    """A model of all languages of ``docs(doc_id, text, lang)``; None if no row has a label and a letter.
 
-    It is fitted on a bounded sample: about ``fit_rows`` rows in all, shared equally by the languages, of which the
-    ``most_languages`` most frequent ones are learned.
+    It is fitted on a bounded sample: about ``fit_rows`` rows in all, shared equally by the languages, and at least six of each; and
+    with ``landmarks`` landmarks, or two for each language if that is more.
     """
     rows = docs.where(F.col("lang").isNotNull())
     # Labels are counted without the texts, so only the sample's own pass reads them.
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return None
     sample = stratified(rows, "doc_id", "lang", counts, {x: max(6, fit_rows / len(counts)) for x in counts}).where(F.col("text").rlike(r"\p{L}"))
-    # One row of each id, so that an id with very many rows does not swell the sample.
-    sample = sample.select("doc_id", "lang", "text").dropDuplicates(["doc_id"])
+    # One row of each id, always the same one, so that an id with very many rows does not swell the sample.
+    sample = one_row(sample.select("doc_id", "lang", "text"), "doc_id", "lang", "text")
     got = sorted(((r.lang, bytes(r.bits)) for r in text_batches(sample.select("lang", "text")).mapInArrow(_pack, "lang string, bits binary").collect()))
     if not got:
         return None
-    return fit(np.stack([np.frombuffer(b, np.uint8) for _, b in got]), [x for x, _ in got], landmarks=landmarks, ridge=ridge)
+    return fit(np.stack([np.frombuffer(b, np.uint8) for _, b in got]), [x for x, _ in got], landmarks=max(landmarks, 2 * len(counts)), ridge=ridge)
 
 
-def predict_languages(docs: DataFrame, model: LanguageModel | None, *, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (0 to 1). Null texts, and texts without a letter, are ``und`` with score 0.
+def predict_languages(docs: DataFrame, model: LanguageModel | None, *, text: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "margin")) -> DataFrame:
+    """``docs`` with ``lang_pred``, ``score`` (0 to 1) and ``margin`` (by how much the best language's regression leads the next
+    one's; infinite if there is no other). Null texts, and texts without a letter, are ``und`` with score and margin 0.
 
-    Input columns of the added names are replaced.
+    Input columns of the added names are replaced; ``names`` are others for them.
     """
-    docs = without(docs, "lang_pred", "score")
+    docs = without(docs, *names)
     if model is None:
-        return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
+        return docs.withColumns({names[0]: F.lit("und"), names[1]: F.lit(0.0), names[2]: F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
-    at = names.index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for batch in batches:
-            column, has = batch.column(at), batch.column(len(names)).to_numpy(zero_copy_only=False)
-            best, score = np.zeros(len(batch), np.int64), np.zeros(len(batch))
-            for lo, hi, raw, offsets in text_blocks(column):
-                for first, p in presence(raw, offsets):
-                    s = m.scores(p).astype(np.float64)
-                    e = np.exp(4 * (s - s.max(1, keepdims=True)))
-                    rows = slice(lo + first, lo + first + len(p))
-                    best[rows], score[rows] = s.argmax(1), (e / e.sum(1, keepdims=True)).max(1)
-            pred = np.where(has, np.array(m.languages, object)[best], "und")
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(np.where(has, score, 0.0))], [*names, "lang_pred", "score"])
-
-    schema = schema_with(docs, lang_pred="string", score="double")
-    has_letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    return text_batches(docs.withColumn("__has_letter", has_letter)).mapInArrow(run, schema)
+    at, last = docs.columns.index(text), len(docs.columns)
+
+    def make(batch: pa.RecordBatch) -> list[pa.Array]:
+        m, has = shared.value, batch.column(last).to_numpy(zero_copy_only=False)
+        best, score, margin = np.zeros(len(batch), np.int64), np.zeros(len(batch)), np.zeros(len(batch))
+        for lo, hi, raw, offsets in text_blocks(batch.column(at)):
+            for first, p in presence(raw, offsets):
+                s = m.scores(p).astype(np.float64)
+                e = np.exp(4 * (s - s.max(1, keepdims=True)))
+                rows = slice(lo + first, lo + first + len(p))
+                best[rows], score[rows] = s.argmax(1), (e / e.sum(1, keepdims=True)).max(1)
+                two = np.sort(s, 1)[:, -2:]
+                margin[rows] = two[:, 1] - two[:, 0] if two.shape[1] > 1 else np.inf
+        pred = np.where(has, np.array(m.languages, object)[best], "und")
+        return [*batch.columns[:last], pa.array(pred, pa.string()), pa.array(np.where(has, score, 0.0)), pa.array(np.where(has, margin, 0.0))]
+
+    has_letter = F.coalesce(F.col(quoted(text)).rlike(r"\p{L}"), F.lit(False))
+    return map_rows(docs.withColumn(unused(docs, "has_letter")[0], has_letter), make, fields_with(docs, **{names[0]: "string", names[1]: "double", names[2]: "double"}))
 
 
 def identify_languages(docs: DataFrame, *, folds: int = 4, held: int = 2, **options) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, held_out, lang_pred, score; rows held out are not learned from."""
+    """One row for each row of ``docs``: doc_id, held_out, lang_pred, score, margin; rows held out are not learned from."""
     out = F.col("doc_id"), (fold(F.col("doc_id"), folds) == held).alias("held_out")
     model = fit_languages(docs.where(fold(F.col("doc_id"), folds) != held), **options)
     return predict_languages(docs.select(*out, "text"), model).drop("text")
 
 
-def keep_identified(docs: DataFrame, *, languages: tuple[str, ...] | None = None, min_score: float = 0.3, **options) -> DataFrame:
-    """``docs`` whose language is told, with at least ``min_score``, and is one of ``languages`` if these are given."""
-    judged = predict_languages(docs, fit_languages(docs.where(fold(F.col("doc_id"), 4) != 2), **options))
-    good = (F.col("lang_pred") != "und") & (F.col("score") >= min_score)
+def keep_identified(docs: DataFrame, *, languages: tuple[str, ...] | None = None, min_margin: float = 0.02, **options) -> DataFrame:
+    """``docs`` whose language is told, with a margin of at least ``min_margin`` over the next one, and is one of ``languages`` if these
+    are given. Columns stay as they are, whatever their names. The margin means the same for any number of languages."""
+    pred, score, margin = unused(docs, "lang_pred", "score", "margin")
+    judged = predict_languages(docs, fit_languages(docs.where(fold(F.col("doc_id"), 4) != 2), **options), names=(pred, score, margin))
+    good = (F.col(pred) != "und") & (F.col(margin) >= min_margin)
     if languages:
-        good &= F.col("lang_pred").isin(*languages)
-    return judged.where(good).select(*docs.columns)
+        good &= F.col(pred).isin(*languages)
+    return judged.where(good).select(*[F.col(quoted(c)) for c in docs.columns])

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import small, stash
+from .common import quoted, small, stash, unused
 from .sharding import key_hash
 
 BITS, LEVELS = 12, 5  # 60 hash bits in all
@@ -66,8 +66,8 @@ def mix_limits(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), cap: fl
     return targets.alias("t").join(found, same, "left").select("t.source", "t.source_size", "t.target", "t.whole", F.coalesce("d.last", F.lit(-1)).alias("last")), n
 
 
-def _with_copies(docs: DataFrame, limits: DataFrame, n: int, *columns: Column) -> DataFrame:
-    copies = (F.col("t.whole") + (F.col("d.__h") <= F.col("t.last")).cast("long")).alias("__copies")
+def _with_copies(docs: DataFrame, limits: DataFrame, n: int, h: str, name: str, *columns: Column) -> DataFrame:
+    copies = (F.col("t.whole") + (F.col(f"d.{h}") <= F.col("t.last")).cast("long")).alias(name)
     return docs.alias("d").join(small(limits, n).alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select(*columns, copies)
 
 
@@ -80,8 +80,8 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """
     digest = stash(docs.select("doc_id", "source", word_count("text").alias("size"), key_hash(F.col("doc_id")).alias("h")))
     limits, n = mix_limits(digest, **options)
-    rows = _with_copies(digest.withColumnRenamed("h", "__h"), limits, n, F.col("d.doc_id"), F.col("d.size"), F.col("t.source_size"), F.col("t.target"))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("__copies")).alias("taken"))
+    rows = _with_copies(digest, limits, n, "h", "copies", F.col("d.doc_id"), F.col("d.size"), F.col("t.source_size"), F.col("t.target"))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def take_mix(docs: DataFrame, **options) -> DataFrame:
@@ -91,5 +91,6 @@ def take_mix(docs: DataFrame, **options) -> DataFrame:
     """
     h = key_hash(F.col("doc_id"))
     limits, n = mix_limits(stash(docs.select("source", word_count("text").alias("size"), h.alias("h"))), **options)
-    rows = _with_copies(docs.withColumn("__h", h), limits, n, *[F.col(f"d.`{c}`") for c in docs.columns])
-    return rows.where("__copies > 0").withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    hash_, copies, copy = unused(docs, "h", "copies", "copy")
+    rows = _with_copies(docs.withColumn(hash_, h), limits, n, hash_, copies, *[F.col(f"d.{quoted(c)}") for c in docs.columns])
+    return rows.where(F.col(copies) > 0).withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col(copies).cast("int")))).select(*[F.col(quoted(c)) for c in docs.columns])

@@ -7,20 +7,23 @@ positions on average, all but 4 in 10,000 share a key, as nine chunks would each
 
 Groups may be huge, so pairs within a key are not listed. Each document is first compared with one hub: among its keys' members,
 the one with the most company. Links confirmed on the full sets give components. Documents that share a key with another
-component's are then compared across components, each from its rarest shingles on, and confirmed likewise. What is left out is
-only pairs already in one component, so components are those of all links among the pairs that share a key.
+component's are then compared across components: of the pairs that share a key, those whose signatures are near enough are
+confirmed likewise, and only those are made that meet at their rarest shingles, as any linked pair must. What is left out is only
+pairs already in one component, so components are those of all links among the pairs that share a key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import ceil, sqrt
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import components, stash, text_batches
+from .common import components, settled, stash, text_batches, unused
 from .textkit import mix64, run_hashes, text_blocks, word_hashes
 
 CHUNKS, WIDTH = 9, 7
@@ -59,10 +62,15 @@ def signature(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-_SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, " + ", ".join(f"c{i} long" for i in range(CHUNKS))
+_SIGNED = "doc_id long, text_hash long, n_shingles long, h1 long, h2 long, " + ", ".join(f"c{i} long" for i in range(CHUNKS))
 _C = [f"c{i}" for i in range(CHUNKS)]
 
 
+def set_hashes(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """Two 64-bit hashes of a set of shingles."""
+    return s.sum(), mix64(s ^ np.uint64(0x5851F42D4C957F2D)).sum()
+
+
 def _sign(ngram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,9 +78,10 @@ def _sign(ngram: int):
             sizes, h1, h2 = np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
             chunks = np.zeros((n, CHUNKS), np.uint64)
             held, rows, total = [], [], 0
-            for i, s in enumerate(shingle_sets(batch.column(1), ngram)):
+            for i, s in enumerate(shingle_sets(batch.column(2), ngram)):
                 if len(s):
-                    sizes[i], h1[i], h2[i] = len(s), s.sum(), mix64(s ^ np.uint64(0x5851F42D4C957F2D)).sum()
+                    sizes[i] = len(s)
+                    h1[i], h2[i] = set_hashes(s)
                     held.append(s)
                     rows.append(i)
                     total += len(s)
@@ -81,7 +90,7 @@ def _sign(ngram: int):
                     held, rows, total = [], [], 0
             if held:
                 chunks[rows] = signature(held)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), *[pa.array(chunks[:, j].astype(np.int64)) for j in range(CHUNKS)]], ["doc_id", "n_shingles", "h1", "h2", *_C])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), *[pa.array(chunks[:, j].astype(np.int64)) for j in range(CHUNKS)]], ["doc_id", "text_hash", "n_shingles", "h1", "h2", *_C])
 
     return run
 
@@ -89,13 +98,15 @@ def _sign(ngram: int):
 def _sets(ngram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held, at = [], 0
-            for i, s in enumerate(shingle_sets(batch.column(1), ngram)):
+            held, hashes, at = [], [], 0
+            for i, s in enumerate(shingle_sets(batch.column(2), ngram)):
                 held.append(s.view(np.int64))
+                hashes.append(set_hashes(s))
                 if i - at == 255 or i == len(batch) - 1:
                     offsets = np.cumsum([0] + [len(x) for x in held]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(held)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(held)))], ["id", "shingles"])
-                    held, at = [], i + 1
+                    h1, h2 = np.array(hashes, np.uint64).view(np.int64).T
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(held)), pa.array(h1), pa.array(h2), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(held)))], ["doc", "h1", "h2", "shingles"])
+                    held, hashes, at = [], [], i + 1
 
     return run
 
@@ -118,18 +129,18 @@ def _differing(a: Column, b: Column) -> Column:
 
 
 def _distance(a: str, b: str) -> Column:
-    total = F.lit(0)
-    for c in _C:
-        total = total + _differing(F.col(f"{a}.{c}"), F.col(f"{b}.{c}"))
-    return total
+    return reduce(add, [_differing(F.col(f"{a}.{c}"), F.col(f"{b}.{c}")) for c in _C])
+
 
+def _share_a_key(a: str, b: str) -> Column:
+    """Whether some chunk differs in one position at most."""
+    return F.least(*[_differing(F.col(f"{a}.{c}"), F.col(f"{b}.{c}")) for c in _C]) <= 1
 
-def pick_rows(docs: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
-    """Rows of ``docs`` with (``left_semi``) or without (``left_anti``) an id in ``ids(id)``; texts stay where they are if the
-    ids are few enough to broadcast."""
-    ids = ids.select(F.col("id").alias("__id"))
-    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(side, docs[key] == F.col("__id"), how)
+
+def pick_rows(docs: DataFrame, ids: DataFrame, on: Column, how: str) -> DataFrame:
+    """Rows of ``docs`` with (``left_semi``) or without (``left_anti``) a row of ``ids``; texts stay where they are if ids are few
+    enough to broadcast."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)
 
 
 class NearDuplicates:
@@ -137,19 +148,21 @@ class NearDuplicates:
 
     Words are runs of other than ASCII white space, A-Z lower-cased; a set holds the distinct ``ngram``-word shingles, or the
     whole sequence if there are fewer words. Documents are linked if 100 * intersection >= ``percent`` * union. Texts that are
-    null, empty or blank are linked with nothing. Rows with one doc_id are one document; rows with none are left as they are.
+    null, empty or blank are linked with nothing. Repeated rows are one document; of rows with one doc_id and several texts each
+    is compared by its own text and gets the component of that. Rows without a doc_id are left as they are.
     """
 
     def __init__(self, docs: DataFrame, *, ngram: int = 5, percent: int = 80) -> None:
         self.ngram, self.percent = ngram, percent
-        self.docs = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        self.docs = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
         share = percent / 100
         #: Signature distance above which no pair is confirmed: five deviations beyond that of a pair at the limit.
         self.most_apart = ceil(SYMBOLS * (1 - share) + 5 * sqrt(SYMBOLS * share * (1 - share)))
         self.signed = stash(self.docs.mapInArrow(_sign(ngram), _SIGNED))
         firsts = [F.first(c).alias(c) for c in _C]
-        # One node for each distinct set; exact copies end here, combined before the shuffle.
-        self.classes = stash(self.signed.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("id"), *firsts))
+        # One node for each distinct set, under an id of its own; exact copies end here, combined before the shuffle.
+        sets = self.signed.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("doc"), *firsts)
+        self.classes = stash(sets.withColumn("id", F.monotonically_increasing_id()))
 
     def shared_keys(self) -> DataFrame:
         """(key, id, company): each class under each key that it shares, and in how many pairs its keys hold it."""
@@ -160,22 +173,24 @@ class NearDuplicates:
         return stash(entries.drop("n").join(company, "id").select("key", "id", "company"))
 
     def signed_pairs(self, pairs: DataFrame) -> DataFrame:
-        """``pairs(a, b)`` with both signatures, those too far apart left out."""
+        """Those of ``pairs(a, b, ...)`` that share a key and whose signatures are near enough."""
         sig = self.classes.select("id", "n_shingles", *_C)
         both = pairs.join(sig.alias("x"), F.col("a") == F.col("x.id")).join(sig.alias("y"), F.col("b") == F.col("y.id"))
         sizes = 100 * F.least("x.n_shingles", "y.n_shingles") >= self.percent * F.greatest("x.n_shingles", "y.n_shingles")
-        return both.where(sizes & (_distance("x", "y") <= self.most_apart))
+        return both.where(sizes & _share_a_key("x", "y") & (_distance("x", "y") <= self.most_apart)).select(*pairs.columns)
 
     def sets(self, ids: DataFrame) -> DataFrame:
-        """(id, shingles) of the documents in ``ids(id)``; of rows with one doc_id, the last set in order."""
-        rows = pick_rows(self.docs, ids, "doc_id", "left_semi").mapInArrow(_sets(self.ngram), "id long, shingles array<long>")
-        return rows.groupBy("id").agg(F.max("shingles").alias("shingles"))
+        """(id, shingles) of the classes in ``ids(id)``, from the text of a document of each."""
+        wanted = stash(self.classes.join(ids.distinct(), "id", "left_semi").select("id", "doc", "h1", "h2"))
+        docs = wanted.select(F.col("doc").alias("__doc")).distinct()
+        rows = pick_rows(self.docs, docs, F.col("doc_id") == F.col("__doc"), "left_semi").mapInArrow(_sets(self.ngram), "doc long, h1 long, h2 long, shingles array<long>")
+        return rows.groupBy("doc", "h1", "h2").agg(F.first("shingles").alias("shingles")).join(wanted, ["doc", "h1", "h2"]).select("id", "shingles")
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """Those of ``pairs(a, b)`` that are linked, by their full sets."""
         pairs = stash(pairs.select("a", "b"))
         # Written, so that both joins have plain exchanges on both sides: a hub's many pairs can then be split.
-        sets = stash(self.sets(stash(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())))
+        sets = stash(self.sets(pairs.select(F.col("a").alias("id")).union(pairs.select("b"))))
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
         return stash(both.where(100 * common >= self.percent * (F.size("x") + F.size("y") - common)).select("a", "b"))
@@ -199,7 +214,7 @@ class NearDuplicates:
         return near.where((F.col("often") > 1) & (100 * (F.col("n") - F.col("at")) >= self.percent * F.col("n"))).select("token", "id", "n", "at")
 
     def open_pairs(self, entries: DataFrame, labels: DataFrame) -> DataFrame:
-        """All pairs of documents that share keys with others of another component, and could be linked; each once.
+        """Pairs of documents that share keys with others of another component, and could be linked; each once.
 
         In a large group the members of its largest component are done with each other; what remains are copies changed too much
         to be linked with its hub, which share keys with nearly all. Their own changes are their rarest shingles, so ordered by
@@ -220,28 +235,34 @@ class NearDuplicates:
         return found.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
     def labels(self) -> DataFrame:
-        """(id, comp) for every class that is linked with another."""
+        """(id, doc) for every class that is linked with another: the smallest doc_id of its component."""
         entries = self.shared_keys()
         links = self.confirm(self.hub_pairs(entries))
         labels = components(links)
-        more = self.confirm(self.open_pairs(entries, labels))
-        return components(labels.select(F.col("id").alias("a"), F.col("comp").alias("b")).union(more))
-
-    def result(self) -> DataFrame:
-        """One row for each row of ``docs``: doc_id, n_shingles, component_id (smallest linked doc_id, itself included), kept."""
-        named = self.classes.select("h1", "h2", F.col("n_shingles").alias("n"), "id").join(self.labels(), "id", "left").select("h1", "h2", "n", F.coalesce("comp", "id").alias("comp"))
+        more = self.confirm(self.signed_pairs(self.open_pairs(entries, labels)))
+        found = components(labels.select(F.col("id").alias("a"), F.col("comp").alias("b")).union(more)).join(self.classes.select("id", "doc"), "id")
+        return found.select("id", "comp").join(found.groupBy("comp").agg(F.min("doc").alias("doc")), "comp").select("id", "doc")
+
+    def judged(self) -> DataFrame:
+        """One row for each row of ``docs``: doc_id, text_hash, n_shingles, component_id, kept."""
+        labels = settled(self.labels)
+        named = self.classes.select("h1", "h2", F.col("n_shingles").alias("n"), "id", F.col("doc").alias("own")).join(labels, "id", "left").select("h1", "h2", "n", F.coalesce("doc", "own").alias("comp"))
         same = (F.col("s.h1") == F.col("c.h1")) & (F.col("s.h2") == F.col("c.h2")) & (F.col("s.n_shingles") == F.col("c.n")) & F.col("s.doc_id").isNotNull()
         comp = F.coalesce("c.comp", "s.doc_id")
         kept = F.coalesce(F.col("s.doc_id") == comp, F.lit(True))
-        return self.signed.alias("s").join(named.alias("c"), same, "left").select("s.doc_id", "s.n_shingles", comp.alias("component_id"), kept.alias("kept"))
+        return self.signed.alias("s").join(named.alias("c"), same, "left").select("s.doc_id", "s.text_hash", "s.n_shingles", comp.alias("component_id"), kept.alias("kept"))
 
 
 def near_duplicates(docs: DataFrame, *, ngram: int = 5, percent: int = 80) -> DataFrame:
-    """See :class:`NearDuplicates`; one row for each row of ``docs``."""
-    return NearDuplicates(docs, ngram=ngram, percent=percent).result()
+    """One row for each row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included), kept
+    (whether that is its own). See :class:`NearDuplicates`; other columns of ``docs`` do not matter."""
+    return NearDuplicates(docs, ngram=ngram, percent=percent).judged().drop("text_hash")
 
 
 def drop_near_duplicates(docs: DataFrame, *, ngram: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component: that with the smallest doc_id (repeated rows of it all stay)."""
-    gone = near_duplicates(docs, ngram=ngram, percent=percent).where("not kept").select(F.col("doc_id").alias("id")).distinct()
-    return pick_rows(docs, stash(gone), "doc_id", "left_anti")
+    """``docs`` with one document of each component: that with the smallest doc_id (repeated rows of it all stay). Columns stay as
+    they are, whatever their names."""
+    judged = NearDuplicates(docs, ngram=ngram, percent=percent).judged()
+    doc, text = unused(docs, "doc", "text_hash")
+    gone = stash(judged.where("not kept").select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text)).distinct())
+    return pick_rows(docs, gone, (F.col("doc_id").cast("long") == F.col(doc)) & (F.xxhash64("text") == F.col(text)), "left_anti")

@@ -15,9 +15,13 @@ comp AS (SELECT n.id, coalesce(min(r), n.id) AS comp FROM {nodes} n LEFT JOIN re
 
 OP1 = """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
 k AS (SELECT doc_id, i, trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS k FROM l),
-w AS (SELECT doc_id, i, lead(i) OVER o AS i1, lead(i, 2) OVER o AS i2, k || chr(10) || lead(k) OVER o || chr(10) || lead(k, 2) OVER o AS win FROM k WHERE k <> '' WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
-later AS (SELECT * FROM w WHERE i2 IS NOT NULL QUALIFY row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1),
-gone AS (SELECT DISTINCT doc_id, unnest([i, i1, i2]) AS i FROM later)
+f AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, lead(i) OVER o AS i1, lead(i, 2) OVER o AS i2, lead(k) OVER o AS k1, lead(k, 2) OVER o AS k2, lag(i) OVER o IS NULL AS head FROM k WHERE k <> '' WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+-- Three lines; all of a text of fewer; a long line by itself.
+w AS (SELECT doc_id, i, [i, i1, i2] AS own, '3' || k || chr(10) || k1 || chr(10) || k2 AS win FROM f WHERE i2 IS NOT NULL
+ UNION ALL SELECT doc_id, i, list_filter([i, i1], lambda x: x IS NOT NULL), 'all' || concat_ws(chr(10), k, k1) FROM f WHERE n < 3 AND head
+ UNION ALL SELECT doc_id, i, [i], '1' || k FROM f WHERE length(k) - length(replace(k, ' ', '')) >= 50),
+later AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(own) AS i FROM later)
 SELECT l.doc_id, count(*)::INT AS n_lines, coalesce(string_agg(g.i, ',' ORDER BY g.i), '') AS removed_lines, coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '') AS text FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id"""
 
 OP3 = r"""WITH r(rh, rp, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
@@ -37,12 +41,12 @@ OP6 = f"""WITH RECURSIVE links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embe
 SELECT comp.id AS vec_id, (SELECT count(*) FROM twoway WHERE twoway.a = comp.id) AS n_links, comp AS component_id, comp.id = comp AS kept FROM comp"""
 
 OP9 = f"""WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
-h AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0) + 16 AS size, {_HEX.format("substr(md5(doc_id::VARCHAR), 1, 15)")} AS h, {_HEX.format("substr(md5(doc_id::VARCHAR), 16, 15)")} AS o,
- xor(list_reduce(list_transform(regexp_extract_all(lower(hex(encode(text))), '..'), lambda x: (instr('0123456789abcdef', x[1]) - 1) * 16 + instr('0123456789abcdef', x[2]) - 1)::BIGINT[], lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS crc FROM documents, tab),
+h AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0) + 16 AS size, {_HEX.format("substr(md5(doc_id::VARCHAR), 1, 15)")} AS h, xor(list_reduce(list_transform(regexp_extract_all(lower(hex(encode(text))), '..'), lambda x: (instr('0123456789abcdef', x[1]) - 1) * 16 + instr('0123456789abcdef', x[2]) - 1)::BIGINT[], lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS crc FROM documents, tab),
+ordered AS (SELECT *, md5(concat_ws('|', doc_id::VARCHAR, crc::VARCHAR, size::VARCHAR)) AS o FROM h),
 jump AS (SELECT doc_id, h::HUGEINT AS key, 0::BIGINT AS b, 0::BIGINT AS j, n FROM h, (VALUES (40), (41)) s(n)
  UNION ALL SELECT doc_id, k, j, floor((j + 1) * (2147483648::DOUBLE / (k // 8589934592 + 1)::DOUBLE))::BIGINT, n FROM (SELECT doc_id, (key * 2862933555777941757 + 1) % 18446744073709551616 AS k, j, n FROM jump WHERE j < n)),
 placed AS (SELECT doc_id, max(b) FILTER (n = 40) AS shard, max(b) FILTER (n = 41) AS grown FROM jump WHERE j >= n GROUP BY 1)
-SELECT doc_id, size, crc AS text_crc32, 'key' AS law, shard::INT AS shard, row_number() OVER (PARTITION BY shard ORDER BY o, doc_id) - 1 AS slot, grown::INT AS grown_shard FROM h JOIN placed USING (doc_id)"""
+SELECT doc_id, size, crc AS text_crc32, 'key' AS law, shard::INT AS shard, row_number() OVER (PARTITION BY shard ORDER BY substr(o, 16, 15), doc_id) - 1 AS slot, grown::INT AS grown_shard FROM ordered JOIN placed USING (doc_id)"""
 
 OP10 = rf"""WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, {_HEX.format("substr(md5(doc_id::VARCHAR), 1, 15)")} AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM d GROUP BY source),

@@ -19,3 +19,10 @@ def stratified(rows: DataFrame, key: str, label: str, counts: dict, each: dict)
     for value, n in sorted(each.items(), key=lambda x: str(x[0])):
         share = F.when(F.col(label) == value, F.lit(min(1.0, n / max(1, counts.get(value, 0))))).otherwise(share)
     return rows.where(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1 << 20)) < share * (1 << 20))
+
+
+def one_row(rows: DataFrame, key: str, *by: str) -> DataFrame:
+    """One of the rows of each key: that with the smallest hash of ``by``, then of the smallest values; the same in any order and
+    partitioning. Combined before the shuffle, so a frequent key is not gathered."""
+    fields = [F.col(c) for c in rows.columns]
+    return rows.groupBy(key).agg(F.min(F.struct(F.xxhash64(*by).alias("__by"), *[f for f, c in zip(fields, rows.columns, strict=True) if c != key])).alias("r")).select(key, "r.*").drop("__by")

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import without
+from .common import quoted, unused, without
 
 #: Bound on (shard, bucket) groups whose start slots are broadcast: 65,536 rows of 16 bytes.
 GROUPS = 65_536
@@ -53,30 +53,35 @@ def assign_shards(df: DataFrame, key: str, shards: int) -> DataFrame:
 
     Rows with one key share a shard; null keys share one. Input columns of the added names are replaced.
     """
-    df = without(df, "shard", "grown_shard").withColumn("__h", key_hash(F.col(f"`{key}`")))
-    return df.withColumn("shard", jump_shard(F.col("__h"), shards)).withColumn("grown_shard", jump_shard(F.col("__h"), shards + 1)).drop("__h")
+    df = without(df, "shard", "grown_shard")
+    h = key_hash(F.col(quoted(key)))
+    return df.withColumns({"shard": jump_shard(h, shards), "grown_shard": jump_shard(h, shards + 1)})
 
 
-def number_slots(df: DataFrame, key: str, shards: int, ties: list[str]) -> DataFrame:
-    """``df``, which has ``shard``, with ``slot``: gapless from 0 in each shard, in an order shuffled by the key's hash.
+def number_slots(df: DataFrame, key: str, shards: int, ties: list[str | Column]) -> DataFrame:
+    """``df``, which has ``shard``, with ``slot``: gapless from 0 in each shard, in an order shuffled by a hash of key and ties.
 
     A shard is cut into buckets of neighbouring hashes; bucket counts (at most ``GROUPS`` rows, broadcast) give each bucket's
-    first slot, so rows are ranked within a bucket only and no task holds a shard. ``ties`` orders rows of one key; rows alike in
-    all of them are interchangeable.
+    first slot, so rows are ranked within a bucket only and no task holds a shard. ``ties`` (columns, or expressions) tell rows of one
+    key apart, so those of a frequent or null key are spread over the buckets too; rows alike in key and ties are interchangeable.
     """
     buckets = max(1, GROUPS // shards)
-    df = without(df, "slot").withColumn("__o", key_hash(F.col(f"`{key}`"), 16)).withColumn("__b", (F.shiftright("__o", 30) * buckets / F.lit(1 << 30)).cast("int"))
-    before = F.sum("n").over(W.partitionBy("shard").orderBy("__b").rowsBetween(W.unboundedPreceding, -1))
-    starts = df.groupBy("shard", "__b").agg(F.count("*").alias("n")).select("shard", "__b", F.coalesce(before, F.lit(0)).alias("__start"))
-    rank = F.row_number().over(W.partitionBy("shard", "__b").orderBy("__o", F.col(f"`{key}`"), *[F.col(f"`{c}`") for c in ties]))
-    ranked = df.withColumn("__r", rank.cast("long"))
-    return ranked.join(F.broadcast(starts), ["shard", "__b"]).withColumn("slot", F.col("__start") + F.col("__r") - 1).drop("__o", "__b", "__start", "__r")
+    df = without(df, "slot")
+    order, bucket, start, place = unused(df, "order", "bucket", "start", "place")
+    by = [F.col(quoted(key)), *[F.col(quoted(c)) if isinstance(c, str) else c for c in ties]]
+    df = df.withColumn(order, key_hash(F.concat_ws("|", *[c.cast("string") for c in by]), 16)).withColumn(bucket, (F.shiftright(order, 30) * buckets / F.lit(1 << 30)).cast("int"))
+    before = F.sum("n").over(W.partitionBy("shard").orderBy(bucket).rowsBetween(W.unboundedPreceding, -1))
+    starts = df.groupBy("shard", bucket).agg(F.count("*").alias("n")).select("shard", bucket, F.coalesce(before, F.lit(0)).alias(start))
+    rank = F.row_number().over(W.partitionBy("shard", bucket).orderBy(order, *by))
+    ranked = df.withColumn(place, rank.cast("long"))
+    return ranked.join(F.broadcast(starts), ["shard", bucket]).withColumn("slot", F.col(start) + F.col(place) - 1).drop(order, bucket, start, place)
 
 
 def shard_manifest(docs: DataFrame, shards: int) -> DataFrame:
     """One digest row for each document: doc_id, size (UTF-8 bytes + 16), text_crc32, law, shard, slot, grown_shard.
 
-    A null text has size 16 and a null checksum; an empty table gives an empty manifest.
+    A null text has size 16 and a null checksum; null ids share a shard; repeated rows each get a slot; an empty table gives an empty
+    manifest. Other columns of ``docs`` do not matter, whatever their names.
     """
     digest = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"), F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"), F.lit("key").alias("law"))
     return number_slots(assign_shards(digest, "doc_id", shards), "doc_id", shards, ["text_crc32", "size"]).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import schema_with, text_batches, without
-from .sampling import fold, stratified
+from .common import fields_with, map_rows, text_batches, without
+from .sampling import fold, one_row, stratified
 from .textkit import loose, span_hashes, text_blocks, word_spans
 
 SPACE = 1 << 18
@@ -117,8 +117,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 6000, **
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     counts = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
     sample = stratified(known, "doc_id", "toxic", counts, {0: fit_rows / 2, 1: fit_rows / 2})
-    # One row of each id, so that an id with very many rows does not swell the sample.
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).select("toxic", "text")
+    # One row of each id, always the same one, so that an id with very many rows does not swell the sample.
+    rows = one_row(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), "doc_id", "text").select("toxic", "text")
     got = sorted((r.toxic, bytes(r.ids)) for r in text_batches(rows).mapInArrow(_ids, "toxic int, ids binary").collect())
     y = np.array([t for t, _ in got])
     if len(set(y.tolist())) < 2:
@@ -135,20 +135,17 @@ def score_toxicity(docs: DataFrame, machine: Machine | None, *, text: str = "tex
     if machine is None:
         return docs.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)})
     shared = docs.sparkSession.sparkContext.broadcast(machine)
-    names = docs.columns
-    at = names.index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for batch in batches:
-            s = np.zeros(len(batch))
-            for lo, _, raw, offsets in text_blocks(batch.column(at)):
-                for i, ids in enumerate(terms(raw, offsets)):
-                    s[lo + i] = m.raw_score(ids)
-            score = _sigmoid(s)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
-
-    return text_batches(docs).mapInArrow(run, schema_with(docs, score="double", predicted="int"))
+    at = docs.columns.index(text)
+
+    def make(batch: pa.RecordBatch) -> list[pa.Array]:
+        m, s = shared.value, np.zeros(len(batch))
+        for lo, _, raw, offsets in text_blocks(batch.column(at)):
+            for i, ids in enumerate(terms(raw, offsets)):
+                s[lo + i] = m.raw_score(ids)
+        score = _sigmoid(s)
+        return [*batch.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))]
+
+    return map_rows(docs, make, fields_with(docs, score="double", predicted="int"))
 
 
 def rate_documents(docs: DataFrame, labels: DataFrame, *, folds: int = 5, held: int = 0, **options) -> DataFrame:

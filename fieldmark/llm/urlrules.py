@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import without
+from .common import quoted, small, stash, without
 
 END = "\x01"
 #: Bounds on the ranges and on the keys sampled to place them. They shape the balance of tasks, never a result.
@@ -89,7 +89,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, url: str = "url", keep: tu
     spark = pages.sparkSession
     added = ("host", "path", "rule", "verdict", "range", "key", "is_page", "rule_verdict")
     keep = tuple(c for c in keep if c.lower() not in added)
-    keyed = pages.select(*[F.col(f"`{c}`") for c in keep], url_host(F.col(f"`{url}`")).alias("host"), url_path(F.col(f"`{url}`")).alias("path")).withColumn("key", host_key(F.col("host")))
+    keyed = pages.select(*[F.col(quoted(c)) for c in keep], url_host(F.col(quoted(url))).alias("host"), url_path(F.col(quoted(url))).alias("path")).withColumn("key", host_key(F.col("host")))
 
     rows = keyed.count()
     ranges = max(1, min(MOST_RANGES, rows // ROWS_A_RANGE))
@@ -107,7 +107,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, url: str = "url", keep: tu
     def rule_ranges(key: pd.Series) -> pd.Series:
         return pd.Series([list(range(bisect_left(cuts, k), bisect_right(cuts, k + "\U0010ffff") + 1)) for k in key])
 
-    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in keep], "path"), F.lit(1 << 20)).cast("int")
+    spread = F.pmod(F.xxhash64(*[F.col(quoted(c)) for c in keep], "path"), F.lit(1 << 20)).cast("int")
     page_rows = keyed.withColumns({"is_page": F.lit(True), "rule_verdict": F.lit(None).cast("string"), "range": page_range("key", spread)})
     rule_rows = rules.where("host is not null and path is not null and verdict is not null").select(F.translate("host", UPPER, LOWER).alias("host"), "path", F.col("verdict").alias("rule_verdict"))
     rule_rows = rule_rows.withColumns({"key": host_key(F.col("host")), "is_page": F.lit(False)}).withColumn("range", F.explode(rule_ranges("key")))
@@ -116,7 +116,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, url: str = "url", keep: tu
     return dealt.mapInPandas(lambda batches: sweep(batches, default), schema)
 
 
-def filter_urls(pages: DataFrame, rules: DataFrame, *, key: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
-    """Rows of ``pages`` whose URL is allowed, with all their columns."""
-    blocked = judge_urls(pages, rules, url=url, keep=(key,), default=default).where("verdict = 'block'").select(key)
-    return pages.join(blocked.distinct(), key, "left_anti")
+def filter_urls(pages: DataFrame, rules: DataFrame, *, url: str = "url", default: str = "allow") -> DataFrame:
+    """Rows of ``pages`` whose URL is allowed, with all their columns. Each distinct URL is judged once, and a row goes by its own
+    URL's verdict; rows stay where they are if the blocked URLs are few enough to broadcast. A null URL gets the default."""
+    own = pages.select(F.col(quoted(url)).alias("__url")).where("__url is not null").distinct()
+    blocked = stash(judge_urls(own, rules, url="__url", keep=("__url",), default=default).where("verdict = 'block'").select("__url"))
+    out = pages.join(small(blocked, blocked.count()), F.col(quoted(url)) == F.col("__url"), "left_anti")
+    return out if default == "allow" else out.where(F.col(quoted(url)).isNotNull())

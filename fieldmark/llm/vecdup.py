@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import components, small, stash
+from .common import components, quoted, settled, small, stash
 
 #: Vectors that one task holds of one list or ball.
 BLOCK = 2048
@@ -132,39 +132,55 @@ def _blocked(df: DataFrame, keys: list[str], name: str, spread: Column) -> DataF
     return _beside(df, keys, n).withColumn(name, F.pmod(spread, F.col("__n")).cast("int")).drop("__n")
 
 
+def group_of(vector: str, label: str) -> Column:
+    """What two vectors must have in common to be compared."""
+    return F.concat_ws(":", F.col(label).cast("string"), F.size(vector).cast("string"))
+
+
+def hash_of(vector: str) -> Column:
+    return F.xxhash64(F.col(vector).cast("array<double>"))
+
+
 class VectorLinks:
     """Links of vectors with equal labels whose cosine is at least ``least``.
 
     ``vectors(id, vector, label)``; vectors that are null, zero, or hold a null or a number that is not finite, and those
-    without a label or id, are linked with nothing, and lengths must agree. ``fit_rows`` vectors at most are sampled to place the
-    lists and code words; all are indexed. A query probes every list that :meth:`Quantiser.reachable` cannot exclude at ``width``, so
-    in a large group of near copies all lists of the group; and its nearest ``probes`` lists, four times as many if it leads a ball,
-    in any case. A pair is found if either probes the other's list.
+    without a label or id, are linked with nothing, and lengths must agree. Rows alike in all three are one vector; of one id with
+    several vectors or labels each is a vector of its own, under a ``key`` of its own.
+
+    There are about ``rows_a_list`` vectors in a list, or in large tables as many as keep lists and their members in step:
+    the number of lists grows with the square root of the table, and with it the sample that places lists and code words,
+    ``fit_rows`` vectors of each length or four for each list, up to ``most_fit_rows``; all vectors are indexed. A query probes every list that
+    :meth:`Quantiser.reachable` cannot exclude at ``width``, so in a large group of near copies all lists of the group; and its nearest
+    ``probes`` lists, four times as many if it leads a ball, in any case. A pair is found if either probes the other's list.
     Vectors of floats travel as floats; cosines are always computed in double precision.
     """
 
-    def __init__(self, vectors: DataFrame, *, least: float = 0.93, fit_rows: int = 20_000, rows_a_list: int = 512, most_lists: int = 4096, probes: int = 6, width: float = 2.5) -> None:
+    def __init__(self, vectors: DataFrame, *, least: float = 0.93, fit_rows: int = 20_000, most_fit_rows: int = 262_144, rows_a_list: int = 512, probes: int = 6, width: float = 2.5) -> None:
         self.angle = acos(least)
         self.least = least
         finite = ~F.exists("vector", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
         nonzero = F.exists("vector", lambda v: v != 0)
         self.kind = "array<float>" if vectors.schema["vector"].dataType.simpleString() == "array<float>" else "array<double>"
-        rows = vectors.select("id", F.col("vector").cast(self.kind).alias("vector"), "label")
-        rows = rows.where(F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("vector").isNotNull() & finite & nonzero)
-        self.rows = stash(rows.withColumn("group", F.concat_ws(":", F.col("label").cast("string"), F.size("vector").cast("string"))))
-        total = self.rows.count()
-        dims = [r[0] for r in self.rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count")).collect()]
+        rows = vectors.select("id", F.col("vector").cast(self.kind).alias("vector"), group_of("vector", "label").alias("group"), hash_of("vector").alias("hash"), "label")
+        rows = rows.where(F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("vector").isNotNull() & finite & nonzero).drop("label")
+        self.rows = stash(rows.withColumn("key", F.col("id")))
+        # Only where ids repeat, which is counted without the vectors, is the table dealt anew and keyed by number.
+        if self.rows.groupBy("id").count().where("count > 1").limit(1).count():
+            self.rows = settled(lambda rows=self.rows: rows.dropDuplicates(["id", "group", "hash"]).withColumn("key", F.monotonically_increasing_id()), self.rows)
         self.quantisers = {}
-        for d in dims:
-            sample = self.rows.where(F.size("vector") == d).where(F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1 << 20)) < int((1 << 20) * min(1.0, fit_rows / max(1, total))))
-            x = sample.select("vector").limit(2 * fit_rows).toPandas()["vector"]
+        for d, total in self.rows.groupBy(F.size("vector")).count().collect():
+            lists = int(max(1, min(total // rows_a_list, 4096 + 2 * total**0.5)))
+            wanted = max(fit_rows, min(most_fit_rows, 4 * lists))
+            sample = self.rows.where(F.size("vector") == d).where(F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1 << 20)) < int((1 << 20) * min(1.0, wanted / total)))
+            x = sample.select("id", "hash", "vector").limit(2 * wanted).toPandas().sort_values(["id", "hash"])["vector"]
             x = _unit(x) if len(x) else np.eye(1, d)
-            self.quantisers[d] = Quantiser.fit(x, max(1, min(most_lists, total // rows_a_list, len(x))))
+            self.quantisers[d] = Quantiser.fit(x, min(lists, len(x)))
         self.probes, self.width = probes, width
         self.shared = vectors.sparkSession.sparkContext.broadcast(self.quantisers)
 
     def placed(self) -> DataFrame:
-        """(id, vector, group, cell): every vector in its list."""
+        """(key, id, vector, group, cell): every vector in its list."""
         shared = self.shared
 
         def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -174,22 +190,22 @@ class VectorLinks:
                 for d in set(sizes.tolist()):
                     at = np.flatnonzero(sizes == d)
                     cell[at] = nearest(_unit(b["vector"].iloc[at]), shared.value[d].coarse)
-                yield b[["id", "vector", "group"]].assign(cell=cell)
+                yield b[["key", "id", "vector", "group"]].assign(cell=cell)
 
-        return self.rows.select("id", "vector", "group").mapInPandas(place, f"id long, vector {self.kind}, group string, cell long")
+        return self.rows.select("key", "id", "vector", "group").mapInPandas(place, f"key long, id long, vector {self.kind}, group string, cell long")
 
     def balls(self) -> DataFrame:
-        """(id, vector, group, leader, radius): each vector with its leader and the angle to it."""
+        """(key, id, vector, group, leader, radius): each vector with its leader's key and the angle to it."""
         half = self.angle / 2 - SLACK
 
         def gather(b: pd.DataFrame) -> pd.DataFrame:
-            b = b.sort_values("id", kind="stable")
+            b = b.sort_values(["id", "key"], kind="stable")
             lead, angle = gather_balls(_unit(b["vector"]), half)
-            return b[["id", "vector", "group"]].assign(leader=b["id"].to_numpy()[lead], radius=angle)
+            return b[["key", "id", "vector", "group"]].assign(leader=b["key"].to_numpy()[lead], radius=angle)
 
-        placed = _blocked(stash(self.placed()), ["group", "cell"], "block", F.xxhash64("id"))
+        placed = _blocked(stash(self.placed()), ["group", "cell"], "block", F.xxhash64("key"))
         # Dealt by block: what is dealt by list would keep all blocks of a large list in one task.
-        return placed.repartition("group", "cell", "block").groupBy("group", "cell", "block").applyInPandas(gather, f"id long, vector {self.kind}, group string, leader long, radius double")
+        return placed.repartition("group", "cell", "block").groupBy("group", "cell", "block").applyInPandas(gather, f"key long, id long, vector {self.kind}, group string, leader long, radius double")
 
     def leader_pairs(self, leaders: DataFrame) -> DataFrame:
         """(a, b, angle) of leaders whose balls could hold linked vectors; each pair once, a < b. By probes, look-ups and rerank."""
@@ -213,11 +229,11 @@ class VectorLinks:
                         for i, o, n, ok, c in zip(at[lo : lo + 256], order, np.where(r == 0, probes, 4 * probes), reach, pq.encode(part, order[:, 0]), strict=True):
                             ok[o[:n]] = True
                             cells[i], code[i] = o[ok[o]].astype(np.int64), c.tobytes()
-                yield b[["id", "vector", "group", "radius"]].assign(cells=cells, code=code)
+                yield b[["key", "vector", "group", "radius"]].assign(cells=cells, code=code)
 
-        probed = stash(leaders.select("id", "vector", "group", "radius").mapInPandas(probe, f"id long, vector {self.kind}, group string, radius double, cells array<bigint>, code binary"))
-        stored = _blocked(probed.select("id", "vector", "group", "radius", "code", F.element_at("cells", 1).alias("cell")), ["group", "cell"], "block", F.xxhash64("id"))
-        asked = _blocked(probed.select("id", "vector", "group", "radius", F.explode("cells").alias("cell")), ["group", "cell"], "turn", F.xxhash64("id"))
+        probed = stash(leaders.select("key", "vector", "group", "radius").mapInPandas(probe, f"key long, vector {self.kind}, group string, radius double, cells array<bigint>, code binary"))
+        stored = _blocked(probed.select("key", "vector", "group", "radius", "code", F.element_at("cells", 1).alias("cell")), ["group", "cell"], "block", F.xxhash64("key"))
+        asked = _blocked(probed.select("key", "vector", "group", "radius", F.explode("cells").alias("cell")), ["group", "cell"], "turn", F.xxhash64("key"))
         blocks = stored.groupBy("group", "cell").agg(F.max("block").alias("__b"))
         turns = asked.groupBy("group", "cell").agg(F.max("turn").alias("__t"))
         # Every block of a list meets every block of its queries, in a task of its own.
@@ -234,7 +250,7 @@ class VectorLinks:
             codes = np.stack([np.frombuffer(c, np.uint8) for c in members["code"]])
             out = [none]
             qr, mr = queries["radius"].to_numpy(), members["radius"].to_numpy()
-            qi, mi = queries["id"].to_numpy(), members["id"].to_numpy()
+            qi, mi = queries["key"].to_numpy(), members["key"].to_numpy()
             for lo in range(0, len(q), 256):
                 hi = min(len(q), lo + 256)
                 reach = np.minimum(link + qr[lo:hi, None] + mr[None, :] + SLACK, np.pi)
@@ -250,16 +266,16 @@ class VectorLinks:
         return found.groupBy("a", "b").agg(F.min("angle").alias("angle"))
 
     def mixed_links(self, mixed: DataFrame, balls: DataFrame) -> DataFrame:
-        """(id, other, n): for pairs of balls that neither link nor miss each other in full, how many of the other ball each vector
+        """(key, other, n): for pairs of balls that neither link nor miss each other in full, how many of the other ball each vector
         is linked with (if any); compared block by block."""
         least = self.least
 
         def pack(b: pd.DataFrame) -> pd.DataFrame:
             x = _unit(b["vector"])
-            return pd.DataFrame({"leader": [b["leader"].iloc[0]], "ids": [b["id"].to_numpy()], "dims": [x.shape[1]], "flat": [x.ravel()]})
+            return pd.DataFrame({"leader": [b["leader"].iloc[0]], "ids": [b["key"].to_numpy()], "dims": [x.shape[1]], "flat": [x.ravel()]})
 
         need = mixed.select(F.col("a").alias("leader")).union(mixed.select("b")).distinct()
-        own = _blocked(balls.join(need, "leader", "left_semi"), ["leader"], "block", F.xxhash64("id"))
+        own = _blocked(balls.join(need, "leader", "left_semi"), ["leader"], "block", F.xxhash64("key"))
         packed = stash(own.repartition("leader", "block").groupBy("leader", "block").applyInPandas(pack, "leader long, ids array<bigint>, dims int, flat array<double>"))
         pairs = mixed.join(packed.select(F.col("leader").alias("a"), F.col("ids").alias("x"), F.col("flat").alias("xv"), "dims"), "a").join(packed.select(F.col("leader").alias("b"), F.col("ids").alias("y"), F.col("flat").alias("yv")), "b")
 
@@ -269,37 +285,40 @@ class VectorLinks:
                     x, y = np.asarray(r.xv).reshape(-1, r.dims), np.asarray(r.yv).reshape(-1, r.dims)
                     near = x @ y.T >= least
                     for ids, n, other in ((r.x, near.sum(1), r.b), (r.y, near.sum(0), r.a)):
-                        yield pd.DataFrame({"id": np.asarray(ids)[n > 0], "other": other, "n": n[n > 0]})
+                        yield pd.DataFrame({"key": np.asarray(ids)[n > 0], "other": other, "n": n[n > 0]})
 
-        return pairs.select("a", "b", "x", "y", "xv", "yv", "dims").mapInPandas(compare, "id long, other long, n long")
+        return pairs.select("a", "b", "x", "y", "xv", "yv", "dims").mapInPandas(compare, "key long, other long, n long")
 
     def result(self) -> DataFrame:
-        """(id, n_links, component) of each vector that can be linked."""
-        balls = stash(self.balls())
+        """(id, group, hash, n_links, component) of each vector that can be linked."""
+        balls = settled(self.balls)
         sizes = balls.groupBy("leader").agg(F.count("*").alias("size"), F.max("radius").alias("radius"), F.min("id").alias("first"))
-        leaders = stash(balls.where("id = leader").dropDuplicates(["id"]).drop("radius", "leader").join(sizes.withColumnRenamed("leader", "id"), "id"))
-        r = leaders.select("id", "radius", "size")
-        pairs = stash(self.leader_pairs(leaders).join(r.select(F.col("id").alias("a"), F.col("radius").alias("ra"), F.col("size").alias("sa")), "a").join(r.select(F.col("id").alias("b"), F.col("radius").alias("rb"), F.col("size").alias("sb")), "b"))
+        leaders = stash(balls.where("key = leader").drop("radius", "leader", "id").join(sizes.withColumnRenamed("leader", "key"), "key"))
+        r = leaders.select("key", "radius", "size")
+        pairs = settled(lambda: self.leader_pairs(leaders).join(r.select(F.col("key").alias("a"), F.col("radius").alias("ra"), F.col("size").alias("sa")), "a").join(r.select(F.col("key").alias("b"), F.col("radius").alias("rb"), F.col("size").alias("sb")), "b"))
         alone = (F.col("sa") == 1) & (F.col("sb") == 1)
         full = F.when(alone, F.col("angle") <= self.angle).otherwise(F.col("angle") + F.col("ra") + F.col("rb") <= self.angle - SLACK)
         whole = pairs.where(full)
-        mixed = stash(self.mixed_links(stash(pairs.where(~full & ~alone).select("a", "b")), balls))
+        mixed = settled(lambda: self.mixed_links(stash(pairs.where(~full & ~alone).select("a", "b")), balls))
         other = whole.select(F.col("a").alias("leader"), F.col("sb").alias("n")).union(whole.select("b", "sa")).groupBy("leader").agg(F.sum("n").alias("others"))
-        some = mixed.groupBy("id").agg(F.sum("n").alias("some"))
-        edges = whole.select("a", "b").union(mixed.join(balls.select("id", "leader"), "id").select(F.col("leader").alias("a"), F.col("other").alias("b")).distinct())
+        some = mixed.groupBy("key").agg(F.sum("n").alias("some"))
+        edges = whole.select("a", "b").union(mixed.join(balls.select("key", "leader"), "key").select(F.col("leader").alias("a"), F.col("other").alias("b")).distinct())
         labels = components(edges).withColumnRenamed("id", "leader")
         # Components are named by leaders so far, not by their smallest member.
-        named = leaders.select(F.col("id").alias("leader"), "size", "first").join(labels, "leader", "left").withColumn("comp", F.coalesce("comp", "leader"))
+        named = leaders.select(F.col("key").alias("leader"), "size", "first").join(labels, "leader", "left").withColumn("comp", F.coalesce("comp", "leader"))
         named = stash(named.join(named.groupBy("comp").agg(F.min("first").alias("component")), "comp").join(other, "leader", "left").select("leader", "component", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n")))
-        return balls.select("id", "leader").join(named, "leader").join(some, "id", "left").select("id", (F.col("n") + F.coalesce("some", F.lit(0))).alias("n_links"), "component")
+        counted = balls.select("key", "leader").join(named, "leader").join(some, "key", "left").select("key", (F.col("n") + F.coalesce("some", F.lit(0))).alias("n_links"), "component")
+        return self.rows.select("key", "id", "group", "hash").join(counted, "key").drop("key")
 
 
 def near_duplicate_vectors(vectors: DataFrame, *, id: str = "vec_id", vector: str = "embedding", label: str = "label", **options) -> DataFrame:
     """One row for each row of ``vectors``: vec_id, n_links (other vectors linked directly), component_id (smallest vec_id reachable,
     itself included), kept (whether that is its own). See :class:`VectorLinks`. Rows without an id are kept and linked with nothing;
-    rows with one id share its links."""
-    all_ids = vectors.select(F.col(f"`{id}`").cast("long").alias("vec_id"))
-    links = VectorLinks(vectors.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{vector}`").alias("vector"), F.col(f"`{label}`").alias("label")), **options).result()
-    links = links.groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component").alias("component"))
-    component = F.coalesce("component", "vec_id")
-    return all_ids.join(links, all_ids.vec_id == links.id, "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    repeated rows are one vector, which each of them returns; rows of one id with several vectors each return those of their own."""
+    rows = vectors.select(F.col(quoted(id)).cast("long").alias("id"), F.col(quoted(vector)).alias("vector"), F.col(quoted(label)).alias("label"))
+    found = VectorLinks(rows, **options)
+    links = found.result().alias("f")
+    every = rows.select("id", group_of("vector", "label").alias("group"), hash_of("vector").alias("hash"), F.col("label").isNotNull().alias("labelled")).alias("r")
+    same = (F.col("r.id") == F.col("f.id")) & (F.col("r.group") == F.col("f.group")) & (F.col("r.hash") == F.col("f.hash")) & F.col("r.labelled")
+    component = F.coalesce("f.component", "r.id")
+    return every.join(links, same, "left").select(F.col("r.id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("r.id") == component, F.lit(True)).alias("kept"))

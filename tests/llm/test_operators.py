@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F, types as T
 
-from fieldmark.llm import chat, decontam, langid, linededup, mixing, neardup, sharding, textkit, toxicity, urlrules, vecdup
+from fieldmark.llm import chat, common, decontam, langid, linededup, mixing, neardup, queries, sampling, sharding, textkit, toxicity, urlrules, vecdup
 from fieldmark.llm.common import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -54,35 +54,105 @@ def test_components(spark):
     assert got[3] == 1 and got[9] == 4 and got[139] == 100 and got[240] == 200 and 10 not in got
 
 
+@pytest.mark.parametrize("shape", ["shuffled", "two ends", "star"])
+def test_components_of_long_chains_and_a_star(spark, shape, monkeypatch):
+    """Few rounds, no bound on them, whatever the order of the ids."""
+    nodes = list(range(1000))
+    random.Random(4).shuffle(nodes)
+    two = [*range(0, 1000, 2), *range(999, 0, -2)]
+    edges = {"shuffled": list(zip(nodes, nodes[1:])), "two ends": list(zip(two, two[1:])), "star": [(70_000, i) for i in range(100_000)]}[shape]
+    rounds, settled = [], common.settled
+    monkeypatch.setattr(common, "settled", lambda *a: rounds.append(1) or settled(*a))
+    got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert len(got) == len({r.id for r in got}) == (100_000 if shape == "star" else 1000) and {r.comp for r in got} == {0}
+    assert len(rounds) < 25
+
+
+def test_scratch_tables_go_with_their_step(spark):
+    before = len(common._tables)
+
+    def make():
+        return common.stash(common.stash(spark.range(5)).where("id > 1"))
+
+    kept = common.settled(make)
+    assert kept.count() == 3 and len(common._tables) == before + 1
+    more = common.settled(lambda: kept.where("id > 2"), kept)
+    assert more.count() == 2 and len(common._tables) == before + 1
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.scratch_root(Session())
+
+
+#: Columns that operators use inside, or add, and a name that has to be quoted.
+ODD = ("a.b", "h", "__h", "id", "row", "doc", "text_hash", "order", "bucket", "has_letter", "copies", "comp", "shard", "slot", "score", "lang_pred", "margin", "leaked_items", "leaked_words", "group", "key")
+
+
+def with_odd(df):
+    return df.select("*", *[F.lit(f"own {c}").alias(c) for c in ODD])
+
+
+def own_odd(rows, but=()):
+    return all(r[c] == f"own {c}" for r in rows for c in ODD if c not in but)
+
+
 # 1 Line dedup
 
 
-def brute_lines(texts, n=3):
+def brute_lines(texts, n=3, long=50):
     seen, out = set(), []
     for t in texts:
-        lines = (t or "").split("\n")
-        at = [i for i, x in enumerate(lines) if x.strip(" \t\r\x0b\x0c")]
+        lines = [x.strip(" \t\r\x0b\x0c").translate(str.maketrans(urlrules.UPPER, urlrules.LOWER)) for x in (t or "").split("\n")]
+        at = [i for i, x in enumerate(lines) if x]
+        windows = [at[k : k + n] for k in range(len(at) - n + 1)] if len(at) >= n else [at] if at else []
         gone = set()
-        for k in range(len(at) - n + 1):
-            window = tuple(lines[i].strip(" \t\r\x0b\x0c").lower() for i in at[k : k + n])
-            gone |= set(at[k : k + n]) if window in seen else set()
-            seen.add(window)
+        for own, kind in [(w, len(w)) for w in windows] + [([i], "long") for i in at if lines[i].count(" ") >= long]:
+            key = (kind, *[lines[i] for i in own])
+            gone |= set(own) if key in seen else set()
+            seen.add(key)
         out.append(sorted(gone))
     return out
 
 
-def test_lines_equal_brute_force(spark):
+@pytest.mark.parametrize(("lines", "ids"), [(10**6, 10**6), (0, 10**6), (0, 0)])
+def test_lines_equal_brute_force(spark, monkeypatch, lines, ids):
+    """With removed lines broadcast, with their ids broadcast, and with nothing broadcast."""
+    monkeypatch.setattr(linededup, "BROADCAST_LINES", lines)
+    monkeypatch.setattr(linededup, "BROADCAST_IDS", ids)
     rng = random.Random(3)
+    passage = prose(rng, 60)
     texts = ["\n".join(rng.choice("abcdE ") + " " * rng.randrange(2) for _ in range(rng.randrange(12))) for _ in range(60)] + ["", None, "a\nb", "x\n\n \ny\nz", "q\n" * 500]
-    got = {r.doc_id: r for r in linededup.dedup_lines(docs(spark, *texts).withColumn("removed_lines", F.lit("clash"))).collect()}
+    texts += ["One\nline " + passage + "\nx1\nx2", "y1\ny2\nLINE " + passage, "only\nthese", " only\n\nThese", "only", "one " * 40, "one " * 40, "w " * 70_000 + "\n" + "z\n" * 9]
+    df = docs(spark, *texts).withColumn("removed_lines", F.lit("clash")).withColumn("h", F.lit("own"))
+    got = {r.doc_id: r for r in linededup.dedup_lines(df).collect()}
     assert [got[i].removed_lines for i in range(len(texts))] == brute_lines(texts)
-    assert got[61].text is None and got[60].text == "" and got[63].text == texts[63]
+    assert got[61].text is None and got[60].text == "" and got[63].text == texts[63] and {r.h for r in got.values()} == {"own"}
+    assert all(got[i].n_lines == (0 if t is None else t.count("\n") + 1) for i, t in enumerate(texts))
+    assert got[66].text == "y1\ny2" and got[68].text == "" and got[71].text == "" and got[70].text == texts[70]
 
 
 def test_lines_of_repeated_rows_and_empty_table(spark):
     one = docs(spark, "a\nb\nc")
     assert [r.removed_lines for r in linededup.dedup_lines(one.union(one)).collect()] == [[], []]
     assert linededup.dedup_lines(one.limit(0)).count() == 0
+    none = one.withColumn("doc_id", F.lit(None).cast("long"))
+    assert [r.removed_lines for r in linededup.dedup_lines(none.union(one)).collect()] == [[], []]
+    again = one.withColumn("text", F.lit("a\nb\nc\nd"))
+    assert sorted(r.removed_lines for r in linededup.dedup_lines(one.union(again)).collect()) in ([[], [0, 1, 2]], [[], [0, 1, 2]])
 
 
 # 2 Toxicity
@@ -112,6 +182,57 @@ def test_toxicity_edges(spark):
     assert len(got) == 4 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got) and got[0].score == got[1].score
 
 
+def test_machine_equals_the_double_sum_over_pairs():
+    """The score is a sum over all pairs of terms; the fit is plain gradient descent on it, with AdaGrad's steps."""
+    rng = np.random.default_rng(3)
+    rows = [rng.choice(9, size=rng.integers(1, 6), replace=False) for _ in range(60)]
+    y = np.array([int(0 in r or (1 in r and 2 in r)) for r in rows])
+    m = toxicity.fit_machine(rows, y, rank=3, steps=25)
+    learned = np.flatnonzero(m.slot >= 0)
+    assert len(learned) and m.linear.shape == (len(learned),)
+
+    def slow(ids, bias, w, v):
+        at = sorted({int(m.slot[i]) for i in ids if m.slot[i] >= 0})
+        return bias + sum(w[i] for i in at) + sum(v[i] @ v[j] for i, j in itertools.combinations(at, 2))
+
+    for r in rows:
+        assert m.raw_score(r) == pytest.approx(slow(r, m.bias, m.linear, m.factors), abs=1e-5)
+    n, rate, decay = len(learned), 0.3, 1e-5
+    bias, w, v = 0.0, np.zeros(n), np.random.default_rng(11).normal(0, 0.02, (n, 3))
+    gb, gw, gv = 1e-6, np.full(n, 1e-6), np.full((n, 3), 1e-6)
+    share = [0.5 / max(1, (y == 0).sum()), 0.5 / max(1, (y == 1).sum())]
+    for _ in range(25):
+        db, dw, dv = 0.0, decay * w, decay * v
+        for r, label in zip(rows, y, strict=True):
+            e = (1 / (1 + np.exp(-slow(r, bias, w, v))) - label) * share[label]
+            at = sorted({int(m.slot[i]) for i in r if m.slot[i] >= 0})
+            db += e
+            for i in at:
+                dw[i] += e
+                for j in at:
+                    if j != i:
+                        dv[i] += e * v[j]
+        gb, gw, gv = gb + db * db, gw + dw * dw, gv + dv * dv
+        bias, w, v = bias - rate * db / gb**0.5, w - rate * dw / gw**0.5, v - 0.1 * rate * dv / gv**0.5
+    assert m.bias == pytest.approx(bias, abs=1e-3) and np.allclose(m.linear, w, atol=1e-3) and np.allclose(m.factors, v, atol=1e-3)
+
+
+def test_toxicity_of_nothing_and_of_repeated_ids(spark):
+    df = docs(spark, *["fool " * (i % 3) + f"calm words {i}" for i in range(60)])
+    labels = df.select("doc_id", (F.col("doc_id") % 3 == 2).cast("int").alias("toxic"))
+    assert toxicity.rate_documents(df.limit(0), labels).count() == 0
+    assert {r.score for r in toxicity.rate_documents(df, labels.limit(0)).collect()} == {0.0}
+    twice = df.union(df.withColumn("text", F.concat("text", F.lit(" again")))).union(df.limit(5))
+    first, again = (sorted(map(str, toxicity.rate_documents(d, labels).collect())) for d in (twice, twice.repartition(7).orderBy(F.rand(1))))
+    assert first == again and len(first) == 125
+
+
+def test_one_row_of_each_id_is_always_the_same(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, None), (2, "c"), (None, "d"), (None, "e")], "doc_id long, text string")
+    got = [sorted(map(str, sampling.one_row(rows.repartition(n), "doc_id", "text").collect())) for n in (1, 2, 5)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 3
+
+
 # 3 URL rules
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"), ("a.b.net", "", "allow"), ("b.net", "/x/y", "block")]
@@ -141,6 +262,18 @@ def test_urls_equal_brute_force(spark, monkeypatch):
     assert {r.page_id for r in kept.collect()} == {i for i, u in enumerate(urls) if brute_url(u)[3] == "allow"} and kept.columns == pages.columns
 
 
+def test_rows_are_filtered_by_their_own_url(spark, monkeypatch):
+    pages = spark.createDataFrame([(1, "http://net/"), (1, "http://fine/"), (None, "http://net/x"), (None, "http://fine/"), (2, None), (3, "http://fine/"), (3, "http://fine/"), (4, "http://fine/" + "p" * 100_000), (5, "http://net/" + "p" * 100_000)], "page_id long, url string")
+    rules = spark.createDataFrame([("net", "/", "block"), ("NET", "/", "allow"), ("net", "/x", "block"), ("net", "/x", "block")], "host string, path string, verdict string")
+    for rows in (20_000, 0):
+        monkeypatch.setattr(common, "BROADCAST_ROWS", rows)
+        kept = urlrules.filter_urls(pages.withColumn("a.b", F.lit(1)), rules)
+        assert sorted((r.page_id or 0, r.url is None) for r in kept.collect()) == [(0, False), (1, False), (2, True), (3, False), (3, False), (4, False)]
+    assert urlrules.filter_urls(pages, rules, default="block").count() == 0
+    # One rule stated with both verdicts blocks.
+    assert {r.verdict for r in urlrules.judge_urls(pages.where("page_id = 5"), rules).collect()} == {"block"}
+
+
 # 4 Near-duplicates
 
 
@@ -194,6 +327,28 @@ def test_near_duplicates_odd_rows(spark):
     got = sorted((r.doc_id or -1, r.component_id, r.kept) for r in neardup.near_duplicates(none, ngram=2).collect())
     assert got == [(-1, None, True), (7, 7, True), (7, 7, True), (9, 7, False)]
     assert neardup.near_duplicates(none.limit(0)).count() == 0
+    kept = neardup.drop_near_duplicates(with_odd(none.withColumn("text", F.concat("text", F.lit(" d")))), ngram=2).collect()
+    assert sorted(r.doc_id or -1 for r in kept) == [-1, 7, 7] and own_odd(kept)
+
+
+def test_rows_of_one_id_are_compared_by_their_own_texts(spark):
+    rng = random.Random(12)
+    a, b = prose(rng, 40), prose(rng, 40)
+    df = spark.createDataFrame([(5, a), (5, b), (7, a + " x"), (9, b + " x"), (3, b), (8, "w " * 80_000 + a), (8, "w " * 80_000 + a)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(df, ngram=2).collect())
+    assert got == [(3, 3, True), (5, 3, False), (5, 5, True), (7, 5, False), (8, 5, False), (8, 5, False), (9, 3, False)]  # a set holds "w w" once
+    assert sorted(r.doc_id for r in neardup.drop_near_duplicates(df, ngram=2).collect()) == [3, 5]
+
+
+def test_a_long_chain_of_near_duplicates_is_one_component(spark):
+    """Each text is like the next, none like the one after; ids in no order."""
+    rng = random.Random(13)
+    words = [f"{rng.choice(WORDS)}{i}" for i in range(50 + 4 * 400)]
+    ids = list(range(400))
+    rng.shuffle(ids)
+    df = spark.createDataFrame([(n, " ".join(words[4 * i : 4 * i + 50])) for i, n in enumerate(ids)], "doc_id long, text string")
+    got = neardup.near_duplicates(df, ngram=2).collect()
+    assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
 
 
 # 5 Chat formatting
@@ -280,6 +435,20 @@ def test_long_chats_are_repaired_as_a_whole(spark):
             assert conv != 1 or cost == 0
 
 
+def test_chats_of_the_tables_equal_repair_of_each(spark):
+    """The query over a whole table against one conversation at a time."""
+    d = "/root/testdata/sf0.001"
+    by = {}
+    for r in spark.read.parquet(f"{d}/conversations.parquet").distinct().collect():
+        by.setdefault(r.conv_id, []).append((r.turn is not None, r.turn, r.role is not None, r.role, r.text is not None, r.text))
+    got = {r.conv_id: r for r in queries.queries()["op5_chat_role_repair"](spark, d).collect()}
+    assert set(got) == set(by)
+    for conv, turns in by.items():
+        cost, legal, edits = chat.repair([(t[3], t[5] or "") for t in sorted(turns, key=lambda t: tuple((x is not None, x) for x in t))])
+        r = got[conv]
+        assert (r.cost, r.rendered, r.n_turns, {k: r[k] for k in edits}) == (cost, chat.render(legal), len(turns), edits)
+
+
 def test_a_legal_chat_of_many_turns_costs_nothing(spark):
     rows = [(1, i, ("assistant", "user")[i % 2], "t") for i in range(1, 2101)]
     got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
@@ -315,6 +484,36 @@ def test_vectors_equal_brute_force(spark):
     assert np.mean([got[i].component_id == comp[i] for i in range(n)]) >= 0.9
 
 
+def test_vectors_of_one_id_are_vectors_of_their_own(spark):
+    """Repeated rows are one vector; several vectors of one id are not mixed up, and no link is below the bound."""
+    x, y = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    near = lambda v: [a + 0.05 for a in v]
+    rows = [(5, x, 0), (5, y, 0), (7, near(x), 0), (9, near(y), 0), (11, x, 0), (11, x, 0), (4, x, 1), (4, x, 0)]
+    got = sorted(map(tuple, vecdup.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()))
+    assert got == sorted([(5, 3, 4, False), (5, 1, 5, True), (7, 3, 4, False), (9, 1, 5, False), (11, 3, 4, False), (11, 3, 4, False), (4, 0, 4, True), (4, 3, 4, True)])
+
+
+def test_a_chain_of_drifting_vectors_is_one_component(spark):
+    angle = 0.3  # its cosine is 0.955; that of two steps 0.825
+    ids = list(range(300))
+    random.Random(2).shuffle(ids)
+    rows = [(n, [float(np.cos(angle * i / 7) * (i % 7 != 9)), float(np.sin(angle * i / 7)), float(i) * 0.0], i // 150) for i, n in enumerate(ids)]
+    got = vecdup.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), rows_a_list=16).collect()
+    least = {0: min(ids[:150]), 1: min(ids[150:])}
+    label = {n: i // 150 for i, n in enumerate(ids)}
+    assert all(r.component_id == least[label[r.vec_id]] for r in got)
+
+
+def test_lengths_are_sampled_on_their_own(spark):
+    """A length with few rows among many of another finds its links too."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=8).tolist(), 0) for i in range(600)]
+    base = rng.normal(size=(4, 5))
+    rows += [(1000 + i, (base[i % 4] + rng.normal(size=5) * 0.02).tolist(), 0) for i in range(12)]
+    got = {r.vec_id: r for r in vecdup.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), fit_rows=40, rows_a_list=50).collect()}
+    assert all(got[1000 + i].component_id == 1000 + i % 4 and got[1000 + i].n_links >= 2 for i in range(12))
+
+
 def test_links_of_a_large_group_over_many_lists(spark):
     """A third of the rows are near copies, which take a third of the lists."""
     rng = np.random.default_rng(6)
@@ -376,13 +575,107 @@ def test_languages_on_held_out_documents(spark):
     assert all(got[i].lang_pred == k for i, (_, k) in enumerate(texts)) and got[903].lang_pred == "yy"
     assert [(got[i].lang_pred, got[i].score) for i in (900, 901, 902)] == [("und", 0.0)] * 3
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in got.values())
-    assert langid.keep_identified(df).count() == len(texts) + 1
+    kept = langid.keep_identified(with_odd(df))
+    assert kept.columns == with_odd(df).columns and own_odd(kept.collect()) and kept.count() == len(texts) + 1
     assert {r.lang_pred for r in langid.identify_languages(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_folded_weights_equal_the_kernel_method():
+    """Weights folded into n-grams against explicit kernels, landmarks and the ridge solve."""
+    rng = random.Random(21)
+    kinds = {"xx": "ba be bi bo bu".split(), "yy": "kra kre kri lom".split(), "zz": "nam nem nim".split()}
+    texts = [" ".join(rng.choice(kinds[k]) + rng.choice(kinds[k]) for _ in range(12)) for k in kinds for _ in range(8)]
+    labels = [k for k in kinds for _ in range(8)]
+    new = [" ".join(rng.choice(kinds[rng.choice(list(kinds))]) for _ in range(9)) for _ in range(10)]
+
+    def bits(ts):
+        raw = np.frombuffer("".join(ts).encode(), np.uint8)
+        return np.concatenate([p for _, p in langid.presence(raw, np.cumsum([0] + [len(t.encode()) for t in ts]))])
+
+    def grams(t):
+        t = f" {t}".encode()
+        return {t[i : i + n] for n in langid.GRAMS for i in range(len(t) - n + 1)}
+
+    def kernel(a, b):
+        return np.array([[len(grams(x) & grams(y)) / (len(grams(x)) * len(grams(y))) ** 0.5 for y in b] for x in a])
+
+    model = langid.fit(np.packbits(bits(texts).astype(np.uint8), axis=1), labels, landmarks=9, ridge=1e-2)
+    marks = [texts[8 * k + i] for i in range(3) for k in range(3)]
+    values, vectors = np.linalg.eigh(kernel(marks, marks))
+    root = vectors / np.sqrt(values)
+    phi = kernel(texts, marks) @ root
+    y = np.where(np.array(labels)[:, None] == np.array(list(kinds)), 1.0, -1.0)
+    w = np.linalg.solve(phi.T @ phi + 1e-2 * len(texts) / 3 * np.eye(9), phi.T @ y)
+    assert np.allclose(model.scores(bits(new)), kernel(new, marks) @ root @ w, atol=0.03)  # hashed n-grams may meet
+
+
+def test_every_language_is_learned(spark):
+    """More languages than the sample would have rows for."""
+    rng = random.Random(5)
+    syllables = [a + b + c for a in "bdfgklmnprst" for b in "aeiou" for c in "lmnrs"]
+    rng.shuffle(syllables)
+    own = {f"l{k:02}": syllables[k * 5 : k * 5 + 5] for k in range(40)}
+    rows = [(i, " ".join("".join(rng.choice(v) for _ in range(2)) for _ in range(30)), k) for i, (k, v) in enumerate((k, v) for k, v in own.items() for _ in range(12))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.identify_languages(df, fit_rows=60, landmarks=8).collect()}
+    assert np.mean([got[i] == k for i, _, k in rows]) > 0.95
+    # Confidence does not depend on how many languages there are.
+    assert langid.keep_identified(df).count() >= 0.98 * len(rows)
+
+
+def test_languages_of_nothing_repeated_rows_and_long_texts(spark):
+    df = spark.createDataFrame([(i, ("la le li " if i % 2 else "kra kro kru ") * 9, ("xx", "yy")[i % 2]) for i in range(40)], "doc_id long, text string, lang string")
+    assert langid.identify_languages(df.limit(0)).count() == 0 and langid.keep_identified(df.limit(0)).count() == 0
+    more = df.union(df.limit(9)).union(df.where("doc_id < 4").withColumn("text", F.lit("kra la " * 5))).union(df.where("doc_id = 1").withColumn("text", F.repeat(F.lit("la le li "), 60_000)))
+    first, again = (sorted((r.doc_id, r.lang_pred, round(r.score, 5)) for r in langid.identify_languages(d).collect()) for d in (more, more.repartition(5).orderBy(F.rand(2))))
+    assert first == again and len(first) == 54
+    # Two languages of the very same texts: all get the same answer.
+    same = spark.createDataFrame([(i, "ab cd ef", ("q", "p")[i % 2]) for i in range(40)], "doc_id long, text string, lang string")
+    tied = langid.identify_languages(same).collect()
+    assert len({(r.lang_pred, round(r.margin, 6)) for r in tied}) == 1 and tied[0].lang_pred in ("p", "q")
+
+
 # 8 Decontamination
 
 
+def brute_leaks(words, item):
+    """Words that agree on the best alignment that holds a run; 0 if none does. Every alignment is tried."""
+    best = 0
+    for shift in range(1 - len(item), len(words)):
+        same = [0 <= shift + i < len(words) and words[shift + i] == w for i, w in enumerate(item)]
+        if any(sum(same[a : a + n]) >= n - k for n, k in decontam.runs_of(len(item)) for a in range(len(item) - n + 1)):
+            best = max(best, sum(same))
+    return best
+
+
+def test_leaks_equal_a_sliding_scan():
+    """Random texts of few words, so that runs with substitutions, repeats and items of every length turn up by chance."""
+    rng = random.Random(17)
+    some = 0
+    for _ in range(120):
+        vocabulary = [f"v{i}" for i in range(rng.choice([2, 3, 8, 40]))]
+        items = [[rng.choice(vocabulary) for _ in range(rng.choice([1, 2, 5, 7, 8, 10, 11, 13, 15, 16, 30]))] for _ in range(6)]
+        text = [rng.choice(vocabulary) for _ in range(rng.randrange(0, 50))]
+        for it in rng.sample(items, 3):
+            at = rng.randrange(len(text) + 1)
+            part = [w if rng.random() > 0.1 else "other" for w in it]
+            text[at:at] = part[rng.randrange(3) :] if rng.random() < 0.5 else part
+        table = decontam.Items.of(list(range(6)), [" ".join(w) for w in items])
+        raw = np.frombuffer(" ".join(text).encode(), np.uint8)
+        got = table.found(decontam.loose_words(raw, np.array([0, len(raw)]))[0])
+        want = {i: n for i, it in enumerate(items) if (n := brute_leaks(text, it))}
+        assert got == want
+        some += len(want)
+    assert some > 100
+
+
+def test_repeated_words_do_not_multiply():
+    """Each of 20,000 words hits each of 200; all diagonals are looked at once."""
+    table = decontam.Items.of([1, 2], ["w " * 200, "x " * 200])
+    words = decontam.loose_words(np.frombuffer(b"w " * 20_000, np.uint8), np.array([0, 40_000]))[0]
+    assert table.found(words) == {0: 200} and len(table.candidates(words)[0]) == 20_199
+
+
 @pytest.mark.parametrize(("span", "bad"), [*decontam.RUNS, (12, 1), (11, 1), (8, 0)])
 def test_masks_find_any_substitutions(span, bad):
     for at in itertools.combinations(range(span), bad):
@@ -400,10 +693,14 @@ def test_leaks(spark):
     texts = [prose(rng, 60) + " " + " ".join(items[0]) + " end", " ".join(changed[5:21]).upper() + "!", " ".join(w + "," for w in items[1]), prose(rng, 300), " ".join(items[2]), " ".join(items[3]), "", None, "w " * 60_000 + " ".join(items[1]), " ".join(part), " ".join(part[1:])]
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)] + [(9, None), (None, "x")], "item_id long, text string")
     df = docs(spark, *texts).withColumn("leaked_words", F.lit("clash"))
-    want = [[0], [0], [1], [], [2], [], [], [], [1], [0], []]
+    want = [[0], [0], [1], [], [2], [3], [], [], [1], [0], []]
     assert [r.leaked_items for r in decontam.find_leaks(df, bench).orderBy("doc_id").collect()] == want
-    kept = decontam.drop_leaks(df.drop("leaked_words"), bench)
-    assert [r.doc_id for r in kept.orderBy("doc_id").collect()] == [i for i, w in enumerate(want) if not w] and kept.columns == DOCS.replace(" long", "").replace(" string", "").split(", ")
+    assert decontam.find_leaks(df, bench, min_words=5).where("doc_id = 5").first().leaked_items == []
+    kept = decontam.drop_leaks(with_odd(df.drop("leaked_words")), bench)
+    assert [r.doc_id for r in kept.orderBy("doc_id").collect()] == [i for i, w in enumerate(want) if not w] and kept.columns == with_odd(df.drop("leaked_words")).columns and own_odd(kept.collect())
+    twice = bench.union(bench.where("item_id = 0")).union(bench.where("item_id = 1").withColumn("item_id", F.lit(0).cast("long")))
+    assert [r.leaked_items for r in decontam.find_leaks(df.union(df), twice).orderBy("doc_id").collect()] == [x for w in want for x in [sorted({*w, *([0] if 1 in w else [])})] * 2]
+    assert decontam.find_leaks(df.limit(0), bench).count() == 0
     assert decontam.find_leaks(df, bench.limit(0)).where("size(leaked_items) > 0").count() == 0
 
 
@@ -412,7 +709,13 @@ def test_leaks_in_several_passes(spark, monkeypatch):
     rng = random.Random(7)
     items = [prose(rng, 20) for _ in range(5)]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    assert decontam.find_leaks(docs(spark, " ".join(items[::-1])), bench).first().leaked_items == [0, 1, 2, 3, 4]
+    df = with_odd(docs(spark, " ".join(items[::-1]), items[2], None, "").drop("leaked_items"))
+    for rows in (20_000, 0):
+        monkeypatch.setattr(decontam, "BROADCAST_ROWS", rows)
+        got = decontam.find_leaks(df, bench)
+        assert [(r.leaked_items, r.leaked_words) for r in got.orderBy("doc_id").collect()] == [([0, 1, 2, 3, 4], 20), ([2], 20), ([], 0), ([], 0)]
+        assert own_odd(got.collect(), ("leaked_items", "leaked_words")) and set(got.columns) == set(df.columns)
+    assert decontam.drop_leaks(df, bench).count() == 2 and decontam.drop_leaks(df.union(df), bench).count() == 4
 
 
 # 9 Sharding
@@ -446,10 +749,24 @@ def test_manifest(spark):
     by = {r.doc_id: r for r in got}
     assert (by[500].size, by[500].text_crc32) == (16, None) and by[501].size == 36 and by[501].text_crc32 == zlib.crc32(("é" * 10).encode())
     assert sharding.shard_manifest(df.limit(0), 40).count() == 0
+    odd = with_odd(df.drop("shard")).withColumn("grown_shard", F.lit("clash")).withColumn("text", F.when(F.col("doc_id") == 2, F.repeat(F.lit("long "), 90_000)).otherwise(F.col("text")))
+    placed = sharding.number_slots(sharding.assign_shards(odd, "doc_id", 40), "doc_id", 40, ["text"])
+    rows = placed.collect()
+    assert own_odd(rows, ("shard", "slot")) and len({(r.shard, r.slot) for r in rows}) == len(rows) == 506 and placed.columns == [*[c for c in odd.columns if c not in ("shard", "slot", "grown_shard")], "shard", "grown_shard", "slot"][: len(placed.columns)] or set(placed.columns) == set(odd.columns)
     with pytest.raises(ValueError):
         sharding.assign_shards(df, "doc_id", 0)
 
 
+def test_rows_of_a_hot_key_are_spread_over_the_buckets(spark):
+    """A third of the rows without an id: no bucket holds them all, and slots stay gapless."""
+    df = spark.range(3000).select(F.when(F.col("id") % 3 != 0, F.col("id")).alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    plan = sharding.number_slots(sharding.assign_shards(df, "doc_id", 4), "doc_id", 4, ["text"])
+    got = plan.groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("last"), F.countDistinct("slot").alias("slots")).collect()
+    assert all(r.n == r.slots == r["last"] + 1 for r in got) and sum(r.n for r in got) == 3000
+    order = F.concat_ws("|", F.col("doc_id").cast("string"), "text")
+    assert df.where("doc_id is null").select(F.shiftright(sharding.key_hash(order, 16), 46).alias("b")).distinct().count() > 900
+
+
 def test_shards_round_trip(spark, tmp_path):
     df = docs(spark, *[f"text {i}" for i in range(200)])
     sharding.write_shards(df, "doc_id", 8, str(tmp_path / "out"))
@@ -495,6 +812,21 @@ def test_mix_meets_targets(spark):
     copies = {r.doc_id: r.n for r in mixing.take_mix(df).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
     assert all(copies.get(r.doc_id, 0) * r.size == r.taken for r in got)
     assert mixing.mix_documents(df.limit(0)).count() == 0 and mixing.take_mix(df).columns == df.columns
+    odd = mixing.take_mix(with_odd(df)).collect()
+    assert own_odd(odd) and len(odd) == sum(copies.values())
+
+
+def test_mix_of_repeated_rows_and_long_texts(spark):
+    """Repeated rows are taken alike, and their words count as often."""
+    df = docs(spark, *["w " * (i % 7 + 1) for i in range(300)], "v " * 60_000, source="a").union(docs(spark, *["x " * 3] * 200, source="b"))
+    twice = df.union(df)
+    got = mixing.mix_documents(twice).collect()
+    by = {}
+    for r in got:
+        by.setdefault((r.doc_id, r["size"], r.source_size), []).append(r.taken)
+    assert len(got) == 1002 and all(len(set(v)) == 1 and len(v) % 2 == 0 for v in by.values())
+    assert {r.source_size for r in got} == {2 * (sum(i % 7 + 1 for i in range(300)) + 60_000), 1200}
+    assert all(r.taken <= 3 * r["size"] for r in got)
 
 
 def test_budgets_are_nested(spark):

@@ -43,3 +43,18 @@ def test_pipeline_of_nothing(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     assert P.run(spark, d).count() == 0
+
+
+def test_clashing_extra_columns_go_through_untouched(spark, tmp_path):
+    rng = random.Random(2)
+    d = str(tmp_path)
+    rows = [(i, " ".join(rng.choice("ba be bi bo bu".split()) + rng.choice("la le li".split()) for _ in range(40)), "xx" if i % 2 else "yy", f"s{i % 3}", 1) for i in range(60)]
+    extra = ("a.b", "shard", "slot", "__h", "h", "row", "copies", "score", "leaked_items", "text_hash")
+    docs = spark.createDataFrame(rows, SCHEMA).select("*", *[F.lit(f"own {c}").alias(c) for c in extra])
+    docs.write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    for name, stage in P.STAGES:
+        docs = stage(spark, docs, d)
+        mine = [c for c in extra if name != P.STAGES[-1][0] or c not in ("shard", "slot")]
+        assert all(r[c] == f"own {c}" for r in docs.collect() for c in mine), name
