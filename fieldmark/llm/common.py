@@ -131,24 +131,29 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def _are_stars(links: DataFrame) -> bool:
+    """Whether each node of ``links(a, b)`` either leads to one other, or is led to."""
+    ends = links.select(F.col("a").alias("id"), F.lit(1).alias("leads"), F.lit(0).alias("led")).union(links.select("b", F.lit(0), F.lit(1)))
+    both = ends.groupBy("id").agg(F.sum("leads").alias("leads"), F.max("led").alias("led"))
+    return not both.where("leads > 1 or leads = 1 and led = 1").limit(1).count()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a long, b long)``: one row ``(id, comp)`` per node, ``comp`` its smallest reachable id.
 
     Large and small stars in turn (Kiveris et al., 2014). Edges lead from a node to a smaller one. A large star leads the nodes of
     each node on to the smallest node it knows; a small star joins what each node leads to. Either only rewrites edges, so it never
-    makes more of them than there are edges and nodes, and what is left when neither moves any is a star around the smallest node of each
+    makes more of them than there are edges and nodes; when all that is left is stars, each is around the smallest node of its
     component. A chain of a thousand nodes takes some ten rounds. Each step is an equi-join whose other side has one row a node, so a
     hub's edges are split by Spark's skew-join handling and never gathered, and a ``min`` that combines before the shuffle.
     """
     links = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    while True:
+    while not _are_stars(links):
         least = links.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m"))
-        led = links.select("a", "b").join(least, "b", "left").select("a", F.coalesce("m", "b").alias("b"), F.col("m").isNotNull().alias("moved"))
-        large = stash(led.groupBy("a", "b").agg(F.max("moved").alias("moved")))
-        least = large.groupBy("a").agg(F.min("b").alias("m"), (F.count("*") > 1).alias("many"))
+        large = stash(links.join(least, "b", "left").select("a", F.coalesce("m", "b").alias("b")).distinct())
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
         own, other = F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))
         pair = F.explode(F.when(F.col("b") == F.col("m"), F.array(own)).otherwise(F.array(own, other))).alias("e")
-        joined = large.join(least, "a").select(pair, (F.col("moved") | F.col("many")).alias("moved"))
-        links = settled(lambda joined=joined: joined.groupBy("e.a", "e.b").agg(F.max("moved").alias("moved")), links, large)
-        if not links.where("moved").limit(1).count():
-            return links.select(F.col("a").alias("id"), F.col("b").alias("comp")).union(links.select("b", "b").distinct())
+        joined = large.join(least, "a").select(pair).select("e.a", "e.b")
+        links = settled(joined.distinct, links, large)
+    return links.select(F.col("a").alias("id"), F.col("b").alias("comp")).union(links.select("b", "b").distinct())

@@ -11,7 +11,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import BROADCAST_ROWS, map_rows, quoted, settled, unused, without
+from .common import BROADCAST_ROWS, map_rows, quoted, settled, stash, unused, without
 
 #: Removed rows and lines up to which they are broadcast as they are, and rows up to which at least their ids are.
 BROADCAST_LINES, BROADCAST_IDS = 50 * BROADCAST_ROWS, 50 * BROADCAST_ROWS
@@ -39,7 +39,7 @@ def _windows(text: Column, lines: int, long_line: int) -> tuple[Column, Column]:
         # A whole text of fewer lines: their number is part of the hash, so it only ever equals a text of as many.
         short = F.struct(F.xxhash64("__full.line").alias("w1"), F.xxhash64(F.lit(-1), F.size("__full"), F.col("__full.line")).alias("w2"), F.col("__full.at").alias("at"))
         found = F.when(F.size("__full").between(1, lines - 1), F.array(short)).otherwise(found)
-        long = F.filter("__full", lambda x: F.length(x["line"]) - F.length(F.translate(x["line"], " ", "")) >= long_line)
+        long = F.filter("__full", lambda x: (F.octet_length(x["line"]) > long_line) & (F.octet_length(x["line"]) - F.octet_length(F.replace(x["line"], F.lit(" "))) >= long_line))
         found = F.concat(found, F.transform(long, lambda x: hashed(1, [x["line"]], F.array(x["at"]))))
     return full, found
 
@@ -52,7 +52,9 @@ def repeated_lines(docs: DataFrame, *, lines: int = 3, long_line: int = LONG_LIN
     """
     full, windows = _windows(F.col("text"), lines, long_line)
     cut = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), full.alias("__full"))
-    seen = cut.select("doc_id", "text_hash", F.explode(windows).alias("w")).select("w.w1", "w.w2", F.struct("doc_id", "text_hash", F.element_at("w.at", 1).alias("first")).alias("place"), "w.at")
+    # Written, so that texts are read and hashed once for both sides of the join.
+    seen = stash(cut.select("doc_id", "text_hash", F.explode(windows).alias("w")).select("doc_id", "text_hash", "w.*"))
+    seen = seen.select("w1", "w2", F.struct("doc_id", "text_hash", F.element_at("at", 1).alias("first")).alias("place"), "at")
     first = seen.groupBy("w1", "w2").agg(F.min("place").alias("kept"), F.max("place").alias("last")).where("kept <> last").select("w1", "w2", "kept")
     later = seen.join(first, ["w1", "w2"]).where("place <> kept")
     return later.groupBy("place.doc_id", "place.text_hash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("removed"))
