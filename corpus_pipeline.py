@@ -6,9 +6,9 @@ the next. All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fieldmark.llm.common import stash
+from fieldmark.llm.common import settled
 from fieldmark.llm.decontam import drop_leaks
 from fieldmark.llm.langid import keep_identified
 from fieldmark.llm.mixing import take_mix
@@ -40,7 +40,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row with its shard, its slot there, and its shard were there one more. Copies of a row are alike."""
-    return number_slots(assign_shards(docs, "doc_id", SHARDS), "doc_id", SHARDS, ["source", "lang"])
+    content = F.crc32(F.encode("text", "UTF-8"))
+    return number_slots(assign_shards(docs, "doc_id", SHARDS), "doc_id", SHARDS, ["source", "lang", content])
 
 
 STAGES = [("language ID", language), ("MinHash near-dedup", near_duplicates), ("benchmark decontamination", decontamination), ("mixing sources", source_mix), ("sharding", sharding)]
@@ -50,8 +51,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``. What a stage wrote for itself, and its input, go when its output is written."""
+    docs, spent = spark.read.parquet(f"{sf_dir}/documents.parquet"), ()
     for _, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir))
+        docs = settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), *spent)
+        spent = (docs,)
     return STAGES[-1][1](spark, docs, sf_dir)
