@@ -160,9 +160,13 @@ class NearDuplicates:
         self.most_apart = ceil(SYMBOLS * (1 - share) + 5 * sqrt(SYMBOLS * share * (1 - share)))
         self.signed = stash(self.docs.mapInArrow(_sign(ngram), _SIGNED))
         firsts = [F.first(c).alias(c) for c in _C]
-        # One node for each distinct set, under an id of its own; exact copies end here, combined before the shuffle.
+        # One node for each distinct set; exact copies end here, combined before the shuffle. Nodes go by their smallest doc_id, and
+        # by number in that order only where one doc_id has several texts and may stand for several nodes. The order counts: of hubs
+        # with equal company the first is taken, and a text that others were copied from tends to come before them.
         sets = self.signed.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("doc"), *firsts)
-        self.classes = stash(sets.withColumn("id", F.monotonically_increasing_id()))
+        self.classes = stash(sets.withColumn("id", F.col("doc")))
+        if self.classes.groupBy("doc").count().where("count > 1").limit(1).count():
+            self.classes = settled(lambda classes=self.classes: classes.repartitionByRange("doc", "h1").sortWithinPartitions("doc", "h1").withColumn("id", F.monotonically_increasing_id()), self.classes)
 
     def shared_keys(self) -> DataFrame:
         """(key, id, company): each class under each key that it shares, and in how many pairs its keys hold it."""
