@@ -50,17 +50,19 @@ def hard_pieces(sentence: Column, max_chars: int) -> Column:
 
 
 def pack_sentences(sentences: Column, max_chars: int) -> Column:
-    """Sentences joined by a space into chunks of at most ``max_chars``: a fold with the chunks so far and the one at hand."""
-    pieces = F.flatten(F.transform(sentences, lambda s: hard_pieces(s, max_chars)))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
+    """Sentences joined by a space into chunks of at most ``max_chars``. A fold over lengths alone finds where chunks begin; then each is
+    joined once."""
+    start = F.struct(F.array().cast("array<int>").alias("cuts"), F.lit(max_chars).alias("held"), F.lit(0).alias("at"))
+
+    def add(acc: Column, n: Column) -> Column:
+        fits = acc["held"] + 1 + n <= max_chars
+        return F.struct(F.when(fits, acc["cuts"]).otherwise(F.concat(acc["cuts"], F.array(acc["at"]))).alias("cuts"), F.when(fits, acc["held"] + 1 + n).otherwise(n).alias("held"), (acc["at"] + 1).alias("at"))
 
-    def add(acc: Column, piece: Column) -> Column:
-        fits = F.when(acc["now"] == "", F.length(piece)).otherwise(F.length(acc["now"]) + 1 + F.length(piece)) <= max_chars
-        joined = F.when(acc["now"] == "", piece).otherwise(F.concat(acc["now"], F.lit(" "), piece))
-        done = F.when(fits | (acc["now"] == ""), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["now"])))
-        return F.struct(done.alias("done"), F.when(fits, joined).otherwise(piece).alias("now"))
+    def joined(pieces: Column, cuts: Column) -> Column:
+        return F.transform(cuts, lambda c, i: F.array_join(F.slice(pieces, c + 1, F.coalesce(F.get(cuts, i + 1), F.size(pieces)) - c), " "))
 
-    return F.aggregate(pieces, start, add, lambda acc: F.when(acc["now"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["now"]))))
+    pieces = F.flatten(F.transform(sentences, lambda s: hard_pieces(s, max_chars)))
+    return let(pieces, lambda p: let(F.aggregate(F.transform(p, F.length), start, add, lambda acc: acc["cuts"]), lambda cuts: joined(p, cuts)))
 
 
 def chunk_text(c: Column, max_chars: int = MAX_CHARS, overlap_chars: int = OVERLAP_CHARS) -> Column:
@@ -91,15 +93,14 @@ def overlap(chunks: Column, chars: int) -> Column:
 
 
 def is_identifier(t: Column) -> Column:
-    """Whether a token is meant to be matched literally: capitals or separators with digits, or a long number."""
-    digits = F.length(F.regexp_replace(t, "[^0-9]", ""))
-    capital = t.rlike("[A-Z]") & (digits >= 1)
-    mixed = t.rlike("[A-Za-z]") & (digits >= 1) & t.rlike("[-_./]")
-    return (F.length(t) >= 3) & (capital | mixed | ((digits >= 3) & (F.length(t) >= 5)))
+    """Whether a token that holds a digit is meant to be matched literally: capitals or separators with digits, or a long number."""
+    digits = F.length(t) - F.length(F.translate(t, "0123456789", ""))
+    return (F.length(t) >= 3) & (t.rlike("[A-Z]") | ((digits >= 3) & (F.length(t) >= 5)) | (t.rlike("[-_./]") & t.rlike("[A-Za-z]")))
 
 
 def identifier_tokens(c: Column) -> Column:
-    tokens = F.transform(F.regexp_extract_all(c, F.lit(TOKEN), 0), lambda t: F.regexp_replace(t, "[.,;:]+$", ""))
+    """Identifiers in order, each once. All hold a digit, so only such tokens are extracted."""
+    tokens = F.transform(F.regexp_extract_all(c, F.lit(rf"(?=[A-Za-z._/-]*+[0-9]){TOKEN}"), 0), lambda t: F.regexp_replace(t, "[.,;:]+$", ""))
     return F.array_distinct(F.filter(tokens, is_identifier))
 
 
@@ -139,13 +140,18 @@ def asset_of(c: Column) -> Column:
     return F.when(msn != "", F.concat(F.lit("MSN"), msn)).otherwise(F.nullif(named, F.lit("")))
 
 
-def subsystem_of(c: Column) -> Column:
-    """The first subsystem word of a text in canonical form; null if none."""
-    word = F.lower(F.regexp_extract(c, rf"(?i){BEFORE}({SUBSYSTEMS}){AFTER}", 1))
+def canonical(word: Column) -> Column:
+    """A subsystem word in lower case and without a plural s; blank ones are null."""
+    word = F.lower(trim_space(word))
     singular = F.when((F.length(word) > 3) & word.endswith("s") & ~word.endswith("ss"), F.regexp_replace(word, "s$", "")).otherwise(word)
     return F.nullif(singular, F.lit(""))
 
 
+def subsystem_of(c: Column) -> Column:
+    """The first subsystem word of a text in canonical form; null if none."""
+    return canonical(F.regexp_extract(c, rf"(?i){BEFORE}({SUBSYSTEMS}){AFTER}", 1))
+
+
 def actions_in(c: Column) -> Column:
     """Actions a text reports as taken: the verb and the first two words of its object, each once."""
     pattern = F.lit(rf"(?i){BEFORE}({ACTION_VERBS}){AFTER}\s+([^.,;!?]*?)(?=\s+and\s+|[,;!?]|$)")
