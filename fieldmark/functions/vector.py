@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -51,7 +51,7 @@ def embed_with(df: DataFrame, text: str, provider: Embedder, *, batch: int = 32,
     """``df`` with a model's embeddings of a text column: ``batch`` non-blank texts a call, in order; the shape of each answer is
     checked. Blank and null texts get null."""
 
-    def run(frames):
+    def run(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in frames:
             good = [i for i, t in enumerate(texts) if isinstance(t, str) and t.strip()]
             out: list = [None] * len(texts)
@@ -64,4 +64,4 @@ def embed_with(df: DataFrame, text: str, provider: Embedder, *, batch: int = 32,
                     out[i] = [float(x) for x in v]
             yield pd.Series(out)
 
-    return df.withColumn(column, F.pandas_udf(run, "array<double>", F.PandasUDFType.SCALAR_ITER)(F.col(text)))
+    return df.withColumn(column, F.pandas_udf(run, "array<double>")(F.col(text)))

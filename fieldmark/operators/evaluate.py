@@ -3,68 +3,30 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
-from operator import add
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.vector import dot, norm
+from ..functions.text import exact_terms
 from ..functions.verdicts import coerce, generate_with, json_object_exact, judge_prompt
-from .retrieval import are_few, beside
+from .nearest import closest
+from .retrieval import retrieve
 
 OBSERVATIONS, DOCUMENTS, HISTORY = 6, 6, 4
-#: Longest vectors whose product is written out: longer ones make methods that the JVM does not compile.
-UNROLLED = 96
-
-
-def _closest(candidates: DataFrame, rows: DataFrame, on: Column, id: str, k: int) -> DataFrame:
-    """(candidate_id, id, similarity, position): of all ``rows(id, __e, ...)`` that meet ``on``, the ``k`` most similar to each of
-    ``candidates(candidate_id, __v, ...)``.
-
-    The k-th best of a few rows is no better than that of all, so pairs below it are dropped before they are rounded and ranked. Vectors
-    of one length, up to ``UNROLLED``, are compared number by number in generated code.
-    """
-    spark = candidates.sparkSession
-    few = are_few(candidates)
-    lengths = [r[0] for r in candidates.where("__v is not null").select(F.size("__v")).distinct().limit(2).collect()]
-    d = lengths[0] if len(lengths) == 1 and 0 < lengths[0] <= UNROLLED else 0
-
-    def ready(df: DataFrame, v: str) -> DataFrame:
-        x = F.col(v).cast("array<double>")
-        df = df.withColumns({v: x, f"{v}n": F.coalesce(norm(x), F.lit(0.0))})
-        if not d:
-            return df
-        # Columns that cannot be null; a vector that is null, holds a null or has another length has no cosine with any.
-        df = df.where((F.size(v) == d) & ~F.exists(v, lambda y: y.isNull()) & (F.col(f"{v}n") != 0))
-        return df.select("*", *[F.coalesce(F.get(v, F.lit(i)), F.lit(0.0)).alias(f"{v}{i}") for i in range(d)]).drop(v)
-
-    product = reduce(add, [F.col(f"__e{i}") * F.col(f"__v{i}") for i in range(d)], F.lit(0.0)) if d else F.when(F.size("__e") == F.size("__v"), dot(F.col("__e"), F.col("__v")))
-    score = F.try_divide(product, F.col("__en") * F.col("__vn"))
-    # By hash: a small file would be one task with all pairs.
-    rows = ready(rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), id), "__e")
-    candidates = ready(candidates, "__v")
-    place = F.row_number().over(W.partitionBy("candidate_id").orderBy(F.desc("similarity"), id))
-
-    def ranked(c: DataFrame, r: DataFrame) -> DataFrame:
-        pairs = r.join(beside(c, few), on).where(score >= F.col("__least") - 1e-9)
-        return pairs.select("candidate_id", id, F.round(score, 9).alias("similarity")).withColumn("position", place).where(F.col("position") <= k)
-
-    some = ranked(candidates.withColumn("__least", F.lit(-2.0)), rows.where(F.pmod(F.xxhash64(id), F.lit(64)) == 0))
-    least = some.groupBy("candidate_id").agg(F.when(F.count("*") >= k, F.min("similarity")).alias("__least"))
-    return ranked(candidates.join(least, "candidate_id", "left").withColumn("__least", F.coalesce("__least", F.lit(-2.0))), rows)
 
 
 def fleet_neighbours(candidates: DataFrame, fleet: DataFrame, *, k: int = OBSERVATIONS) -> DataFrame:
     """(candidate_id, memory_id, similarity, position): the ``k`` memories of ``fleet(memory_id, embedding)`` most similar to each of
     ``candidates(memory_id, embedding)``, itself left out before ranking."""
     c = candidates.select(F.col("memory_id").alias("candidate_id"), F.col("embedding").alias("__v"))
-    return _closest(c, fleet.select("memory_id", F.col("embedding").alias("__e")), F.col("memory_id") != F.col("candidate_id"), "memory_id", k)
+    return closest(c, fleet.select("memory_id", F.col("embedding").alias("__e")), id="memory_id", k=k, unless=F.col("memory_id") == F.col("candidate_id"))
 
 
 def asset_documents(candidates: DataFrame, chunks: DataFrame, *, k: int = DOCUMENTS) -> DataFrame:
-    """(candidate_id, id, similarity, position): the authoritative chunks of each candidate's asset most similar to it."""
-    c = candidates.select(F.col("memory_id").alias("candidate_id"), F.col("asset_id").alias("__asset"), F.col("embedding").alias("__v"))
-    return _closest(c, chunks.where("jev_status = 'not_applicable'").select("id", "asset_id", F.col("embedding").alias("__e")), F.col("asset_id") == F.col("__asset"), "id", k)
+    """(candidate_id, id, source, content, score, position): the authoritative chunks that the hybrid query finds for each candidate's
+    content within its asset (without one: in all), best first."""
+    asked = candidates.select(F.col("memory_id").alias("query_id"), F.col("embedding").alias("vector"), exact_terms(F.col("content")).alias("terms"), F.col("asset_id").alias("scope"))
+    found = retrieve(asked, chunks, where=F.col("jev_status") == "not_applicable", limit=k, scoped=True)
+    return found.select(F.col("query_id").alias("candidate_id"), "id", "source", "content", "score", "position")
 
 
 def verdict_history(candidates: DataFrame, verdicts: DataFrame, memories: DataFrame, *, k: int = HISTORY) -> DataFrame:
@@ -78,31 +40,40 @@ def verdict_history(candidates: DataFrame, verdicts: DataFrame, memories: DataFr
 
 
 def fleet_context(candidates: DataFrame, fleet: DataFrame, chunks: DataFrame, verdicts: DataFrame, memories: DataFrame) -> DataFrame:
-    """``candidates`` with three arrays: observations, documents and history."""
+    """``candidates`` with three arrays: observations (with the device they come from), documents and history."""
     def gathered(rows: DataFrame, name: str, *fields: str) -> DataFrame:
         ordered = F.array_sort(F.collect_list(F.struct("position", *fields)))
         return rows.groupBy("candidate_id").agg(F.transform(ordered, lambda x: F.struct(*[x[f].alias(f) for f in fields])).alias(name))
 
-    seen = fleet_neighbours(candidates, fleet).join(fleet.select("memory_id", "content"), "memory_id").withColumnRenamed("memory_id", "id")
-    docs = asset_documents(candidates, chunks).join(chunks.select("id", "content"), "id")
+    seen = fleet_neighbours(candidates, fleet).join(fleet.select("memory_id", "source", "content"), "memory_id").withColumnRenamed("memory_id", "id")
     past = verdict_history(candidates, verdicts, memories).join(verdicts.select("memory_id", "rationale"), "memory_id")
     out = candidates.withColumn("candidate_id", F.col("memory_id"))
-    for rows, name, fields in ((seen, "observations", ("id", "content")), (docs, "documents", ("id", "content")), (past, "history", ("verdict", "rationale"))):
+    for rows, name, fields in ((seen, "observations", ("id", "source", "content")), (asset_documents(candidates, chunks), "documents", ("id", "source", "content")), (past, "history", ("verdict", "rationale"))):
         kind = "array<struct<" + ", ".join(f"{f}: string" for f in fields) + ">>"
         out = out.join(gathered(rows, name, *fields), "candidate_id", "left").withColumn(name, F.coalesce(name, F.array().cast(kind)))
     return out.drop("candidate_id")
 
 
+def prompts(context: DataFrame, *, stage: str) -> Column:
+    """The judge's prompt for each row of ``context``; with the evidence that a record was written with (``evidence``), if there is
+    such a column."""
+    held = F.col("evidence") if "evidence" in context.columns else F.array().cast("array<struct<source: string, content: string>>")
+    shown = {"observations": F.col("observations"), "history": F.col("history")} if stage == "cloud" else {"evidence": held}
+    return judge_prompt(stage, *[F.col(c) for c in ("content", "memory_type", "asset_id", "source")], F.col("documents"), **shown)
+
+
 def evaluate(context: DataFrame, provider: Callable[[list[str]], list[str]], *, stage: str, model: str, now: str) -> DataFrame:
     """A verdict record for each row of ``context`` (see :func:`fleet_context`): prompt, answer, recovery, coercion.
 
-    Evidence: at the edge the documents' ids, each once; in the cloud those of observations and documents, one after the other.
+    Evidence: at the edge the ids of the evidence that the record was written with and of the documents, each once; in the cloud those of
+    observations and documents, one after the other.
     """
     cloud = stage == "cloud"
-    prompt = judge_prompt(F.col("content"), F.col("asset_id"), F.col("documents"), stage=stage, observations=F.col("observations") if cloud else None, history=F.col("history") if cloud else None)
-    answered = generate_with(context.withColumn("__prompt", prompt), "__prompt", provider, column="__raw").withColumn("__json", json_object_exact(F.col("__raw")))
+    answered = generate_with(context.withColumn("__prompt", prompts(context, stage=stage)), "__prompt", provider, column="__raw").withColumn("__json", json_object_exact(F.col("__raw")))
     ids: Column = F.transform("documents", lambda d: d["id"])
-    used = F.concat(F.transform("observations", lambda o: o["id"]), ids) if cloud else F.array_distinct(ids)
+    with_ids = "evidence" in context.columns and "id" in context.schema["evidence"].dataType.elementType.names
+    own = F.transform("evidence", lambda e: e["id"]) if with_ids else F.array().cast("array<string>")
+    used = F.concat(F.transform("observations", lambda o: o["id"]), ids) if cloud else F.array_distinct(F.concat(own, ids))
     fields = coerce(F.col("__json"), stage)
     return answered.select(
         F.concat(F.lit("vrd-"), F.substring(F.sha2(F.concat_ws("\x00", "memory_id", F.lit(stage), F.lit(now)), 256), 1, 32)).alias("verdict_id"), "memory_id", F.lit(stage).alias("stage"),

@@ -1,29 +1,21 @@
 """Hybrid retrieval for a table of queries: a vector leg and an exact-term leg, fused by reciprocal ranks and reranked.
 
-Queries are the small side: they are broadcast if they are few, and chunks stream past them once; otherwise both legs are the same
-joins without the hint. Each leg keeps the best rows of a query by a window rank, which Spark limits before the shuffle.
+Queries that are scoped to an asset meet its chunks by an equi-join; the others are broadcast, block by block, and chunks stream past
+them. Each leg keeps the best rows of a query by a window rank, which Spark limits before the shuffle.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.text import contained_terms, matches_all_tokens
+from ..functions.text import contained_terms, match_tokens
 from ..functions.vector import cosine
+from .nearest import FEW, Size, beside, blocks, closest, union
 
 LIMIT, RRF_K = 4, 60
 EXACT, BOTH, NEWEST = 0.25, 0.15, 0.10
-#: Queries up to which they are broadcast.
-FEW_QUERIES = 10_000
-
-
-def are_few(queries: DataFrame) -> bool:
-    return queries.count() <= FEW_QUERIES
-
-
-def beside(queries: DataFrame, few: bool | None = None) -> DataFrame:
-    """``queries`` marked for broadcast if they are few (counted unless the caller knows)."""
-    return F.broadcast(queries) if (are_few(queries) if few is None else few) else queries
 
 
 def vector_topk(chunks: DataFrame, vector: list[float], *, k: int = LIMIT, where: Column | None = None, id: str = "id") -> DataFrame:
@@ -33,29 +25,59 @@ def vector_topk(chunks: DataFrame, vector: list[float], *, k: int = LIMIT, where
     return rows.withColumn("score", score).where("score is not null").orderBy(F.desc("score"), id).limit(k)
 
 
-def in_scope(scoped: bool) -> Column:
-    """Whether a chunk is of its query's asset (``scope``; null: any)."""
-    return F.col("scope").isNull() | (F.col("asset_id") == F.col("scope")) if scoped else F.lit(True)
+@dataclass(frozen=True)
+class Asked:
+    """What is counted of a set of queries before it is planned: those with a scope, those without, and the length of their vectors."""
+
+    own: int
+    any: int
+    length: int
 
+    @classmethod
+    def of(cls, queries: DataFrame, scoped: bool) -> Asked:
+        own = F.count("scope") if scoped else F.lit(0)
+        r = queries.agg(F.count("*").alias("n"), own.alias("own"), F.min(F.size("vector")).alias("lo"), F.max(F.size("vector")).alias("hi")).first()
+        return cls(r.own, r.n - r.own, r.lo if r.lo is not None and r.lo == r.hi and r.lo > 0 else 0)
 
-def vector_leg(queries: DataFrame, chunks: DataFrame, *, per_leg: int, scoped: bool = False, few: bool | None = None) -> DataFrame:
+    def parts(self, queries: DataFrame, scoped: bool) -> list[tuple[DataFrame, int, bool]]:
+        """Queries with their number, those with a scope and those without apart; a part without any is left out."""
+        if not scoped:
+            return [(queries, self.own + self.any, False)]
+        found = [(queries.where("scope is not null"), self.own, True), (queries.where("scope is null"), self.any, False)]
+        return [p for p in found if p[1]] or [(queries, 0, True)]
+
+
+def vector_leg(queries: DataFrame, chunks: DataFrame, *, per_leg: int, scoped: bool = False, known: Asked | None = None) -> DataFrame:
     """(query_id, id, rank from 0) of the best chunks of each of ``queries(query_id, vector, scope if scoped)``."""
-    score = F.round(cosine(F.col("embedding"), F.col("vector")), 9)
-    asked = beside(queries.select("query_id", "vector", *(["scope"] if scoped else [])), few)
-    scored = chunks.select("id", "embedding", "asset_id").join(asked, in_scope(scoped)).select("query_id", "id", score.alias("score")).where("score is not null")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= per_leg).select("query_id", "id", (F.col("rank") - 1).alias("rank"))
+    known = known or Asked.of(queries, scoped)
+    rows = chunks.select("id", F.col("embedding").alias("__e"), "asset_id")
+    asked = queries.select(F.col("query_id").alias("candidate_id"), F.col("vector").alias("__v"), *(["scope"] if scoped else []))
+    found = [closest(q, rows, id="id", k=per_leg, key=("scope", "asset_id") if own else None, size=Size(n, known.length)) for q, n, own in known.parts(asked, scoped)]
+    return union(found).select(F.col("candidate_id").alias("query_id"), "id", (F.col("position") - 1).alias("rank"))
 
 
-def keyword_leg(queries: DataFrame, chunks: DataFrame, *, per_leg: int, scoped: bool = False, few: bool | None = None) -> DataFrame:
+def keyword_leg(queries: DataFrame, chunks: DataFrame, *, per_leg: int, scoped: bool = False, known: Asked | None = None) -> DataFrame:
     """(query_id, id, rank): chunks of which the content or a keyword holds all words of the query's terms together, and some term
     whole; in order of id. ``queries(query_id, terms array<string>)``; those without terms have none."""
+    known = known or Asked.of(queries, scoped)
     asked = queries.where(F.size("terms") > 0).select("query_id", "terms", F.array_join("terms", " ").alias("joined"), *(["scope"] if scoped else []))
-    hit = matches_all_tokens(F.col("content"), F.col("joined")) | F.coalesce(F.exists("keywords", lambda k: matches_all_tokens(k, F.col("joined"))), F.lit(False))
-    found = chunks.select("id", "content", "keywords", "asset_id").join(beside(asked, few), in_scope(scoped) & hit)
+    rows = chunks.select("id", "content", "keywords", "asset_id")
+    folded = {"__c": F.lower(F.coalesce("content", F.lit(""))), "__k": F.transform(F.coalesce("keywords", F.array().cast("array<string>")), F.lower)}
+    tokens = F.col("tokens")
+    in_all = lambda field: F.forall(tokens, lambda t: F.contains(field, t))
+    hit = (F.size(tokens) > 0) & (F.exists("__k", in_all) | in_all(F.col("__c")))
+    asked = asked.withColumn("tokens", match_tokens(F.col("joined")))
+    pairs = []
+    for q, n, own in known.parts(asked, scoped):
+        # Texts are folded once: those in scope, or, where each meets several queries, all before they meet them.
+        if own:
+            found = [rows.join(beside(q, n <= FEW), F.col("asset_id") == F.col("scope")).withColumns(folded).where(hit)]
+        else:
+            found = [rows.withColumns(folded).join(F.broadcast(part), hit) for part in blocks(q, n, "query_id")]
+        pairs += [p.select("query_id", "terms", "id", "content", "keywords") for p in found]
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("id"))
     # The store's limit comes first, the check for a whole term after it.
-    near = found.withColumn("rank", rank).where(F.col("rank") <= per_leg).where(F.size(contained_terms(F.col("terms"), F.col("content"), F.col("keywords"))) > 0)
+    near = union(pairs).withColumn("rank", rank).where(F.col("rank") <= per_leg).where(F.size(contained_terms(F.col("terms"), F.col("content"), F.col("keywords"))) > 0)
     return near.select("query_id", "id", (F.row_number().over(W.partitionBy("query_id").orderBy("rank")) - 1).alias("rank"))
 
 
@@ -91,15 +113,17 @@ def rerank(fused: DataFrame, *, limit: int = LIMIT) -> DataFrame:
     return scored.withColumn("position", F.row_number().over(order)).where(F.col("position") <= limit)
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, *, where: Column | None = None, limit: int = LIMIT, scoped: bool = False) -> DataFrame:
+def retrieve(queries: DataFrame, chunks: DataFrame, *, where: Column | None = None, limit: int = LIMIT, scoped: bool = False, known: Asked | None = None) -> DataFrame:
     """Evidence for each of ``queries(query_id, vector, terms)`` from ``chunks``: one row for each query and position.
 
-    Chunks are filtered before anything is ranked; ``scoped``: by each query's ``scope`` too. Without terms the second leg repeats the first at a low weight.
+    Chunks are filtered before anything is ranked; ``scoped``: by each query's ``scope`` (null: any) too. Without terms the second leg
+    repeats the first at a low weight.
     """
     chunks = chunks.where(where) if where is not None else chunks
-    per_leg, few = max(3 * limit, 12), are_few(queries)
-    semantic = vector_leg(queries, chunks, per_leg=per_leg, scoped=scoped, few=few)
-    keyword = keyword_leg(queries, chunks, per_leg=per_leg, scoped=scoped, few=few)
+    known = known or Asked.of(queries, scoped)
+    per_leg, few = max(3 * limit, 12), known.own + known.any <= FEW
+    semantic = vector_leg(queries, chunks, per_leg=per_leg, scoped=scoped, known=known)
+    keyword = keyword_leg(queries, chunks, per_leg=per_leg, scoped=scoped, known=known)
     # One vector search serves both legs of a query without terms.
     first, again = F.struct(F.lit("semantic").alias("leg"), F.lit(1.0).alias("weight")), F.struct(F.lit("keyword").alias("leg"), F.lit(0.4).alias("weight"))
     plain = beside(queries.select("query_id", (F.size("terms") == 0).alias("plain")), few)
@@ -114,18 +138,29 @@ def evidence(ranked: DataFrame) -> DataFrame:
     return ranked.select("query_id", "position", "id", "document_id", "source", "content", F.round("score", 6).alias("score"), "semantic_rank", "keyword_rank", "version", "asset_id", "component", "equipment_model", "doc_type", "matched_keywords")
 
 
+def without_evidence(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The scoped ones of ``queries`` that find nothing in their scope: its asset has no chunk with a vector to compare with, nor one with
+    their terms. Only those that the first leaves open are searched for the second."""
+    usable = lambda v: F.size(v) * (~F.exists(v, lambda y: y.isNull()) & F.exists(v, lambda y: y != 0)).cast("int")
+    held = chunks.select(F.col("asset_id").alias("scope"), usable("embedding").alias("__d")).where("__d > 0").distinct()
+    open_ = queries.where("scope is not null").withColumn("__d", usable("vector")).join(held, ["scope", "__d"], "left_anti").drop("__d")
+    return open_.join(keyword_leg(open_, chunks, per_leg=1, scoped=True).select("query_id"), "query_id", "left_anti")
+
+
 def retrieve_or_widen(queries: DataFrame, chunks: DataFrame, *, limit: int = LIMIT) -> DataFrame:
     """:func:`retrieve` within each query's ``scope`` (an asset id; null: any), and over all chunks for queries that find nothing
-    there; ``widened`` says which.
-
-    Both searches of a query share one pass over the chunks, as two queries of their own; the wider is dropped where it was not needed.
-    """
-    variant = lambda wide: F.struct("query_id", F.lit(wide).alias("widened")).alias("query_id")
-    narrow = queries.select(variant(False), "vector", "terms", "scope")
-    wide = queries.where("scope is not null").select(variant(True), "vector", "terms", F.lit(None).cast("string").alias("scope"))
-    rows = retrieve(narrow.union(wide), chunks, limit=limit, scoped=True)
-    rows = rows.select(F.col("query_id.query_id").alias("query_id"), F.col("query_id.widened").alias("widened"), *[c for c in rows.columns if c != "query_id"])
-    return rows.withColumn("__least", F.min("widened").over(W.partitionBy("query_id"))).where("widened = __least").drop("__least")
+    there; ``widened`` says which."""
+    known = Asked.of(queries, True)
+    own = retrieve(queries, chunks, limit=limit, scoped=True, known=known).withColumn("widened", F.lit(False))
+    if not known.own:
+        return own
+    wide = without_evidence(queries, chunks)
+    if known.own <= FEW:
+        # Found once: the plan below reads them several times. Ids of at most ``FEW`` queries.
+        ids = wide.select("query_id")
+        wide = queries.join(F.broadcast(ids.sparkSession.createDataFrame(ids.collect(), ids.schema)), "query_id")
+    left = Asked.of(wide, False)
+    return own.unionByName(retrieve(wide.select("query_id", "vector", "terms"), chunks, limit=limit, known=left).withColumn("widened", F.lit(True))) if left.any else own
 
 
 def citations(rows: DataFrame) -> DataFrame:
