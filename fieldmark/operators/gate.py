@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..schemas import CLOUD_VERDICTS, WINNERS
+from ..schemas import CLOUD_VERDICTS, MEMORY, WINNERS
 from .lifecycle import is_legal
 from .sync import NO_RECOMMENDATION
 
@@ -33,9 +33,36 @@ def apply_cloud_verdicts(memories: DataFrame, verdicts: DataFrame) -> DataFrame:
     })
 
 
+def fleet_effects(memories: DataFrame, verdicts: DataFrame, *, now: str) -> DataFrame:
+    """What cloud verdicts write: a row for each record and the store that it goes to (``store``: cloud_memories, edge_memories).
+
+    A validated memory goes to both, synced; a rejected one stays at the edge as history; a step that is not legal, a verdict that is not
+    the cloud's and one that asks for a person write nothing here.
+    """
+    judged = apply_cloud_verdicts(memories, verdicts).where("error is null and action in ('propagate', 'hold_local')")
+    goes = F.when(F.col("action") == "propagate", F.array(F.lit("cloud_memories"), F.lit("edge_memories"))).otherwise(F.array(F.lit("edge_memories")))
+    written = {"sync_status": F.when(F.col("action") == "propagate", "synced").otherwise(F.col("sync_status")), "updated_at": F.lit(now)}
+    return judged.select(F.explode(goes).alias("store"), "action", *[written.get(c, F.col(c)).alias(c) for c in MEMORY.names])
+
+
+def latest_verdicts(verdicts: DataFrame, *, stage: str) -> DataFrame:
+    """The last verdict of a stage on each memory."""
+    rows = verdicts.where(F.col("stage") == stage)
+    last = F.max_by(F.struct(*[F.col(c) for c in rows.columns]), F.struct("evaluated_at", "verdict_id"))
+    return rows.groupBy("memory_id").agg(last.alias("v")).select("v.*")
+
+
+def recommendations(conflicts: DataFrame, cloud: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """(conflict_id, verdict, rationale, verdict_id) for open conflicts that nobody has recommended anything on: the last cloud verdict on
+    their memory, which must be in the cloud."""
+    waiting = conflicts.where((F.col("status") == "open") & (F.col("jev_recommendation.rationale") == NO_RECOMMENDATION)).select("conflict_id", "memory_id")
+    known = waiting.join(cloud.select("memory_id"), "memory_id", "left_semi")
+    return known.join(latest_verdicts(verdicts, stage="cloud").select("memory_id", "verdict", "rationale", "verdict_id"), "memory_id").drop("memory_id")
+
+
 def review_queue(memories: DataFrame, verdicts: DataFrame, *, now: Column) -> DataFrame:
-    """An open entry, with both records as they are now, for each memory whose verdict asks for a person; oldest first by
-    ``queued_at``."""
+    """An open entry, with both records as they are now, for each memory whose verdict asks for a person; listed by
+    :func:`fieldmark.operators.listing.open_reviews`."""
     m = memories.select("memory_id", F.struct(*[F.col(c) for c in memories.columns]).alias("memory"))
     v = verdicts.where("verdict = 'needs_human_review'").select("memory_id", now.alias("queued_at"), F.struct(*[F.col(c) for c in verdicts.columns]).alias("verdict_record"))
     return m.join(v, "memory_id").select(F.concat(F.lit("rev-"), "memory_id").alias("review_id"), "memory_id", "queued_at", F.lit("open").alias("status"), "memory", "verdict_record")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import schemas as S
@@ -98,20 +100,65 @@ def apply_route(routed: DataFrame) -> DataFrame:
     }).drop("lifecycle_status", "jev_status").withColumnsRenamed({"new_lifecycle": "lifecycle_status", "new_jev": "jev_status"})
 
 
-def revise(revisions: DataFrame, memories: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(stored, refused) of ``revisions(update_of, content[, ...])``: the record of each revision under a new id with its lineage and
-    the parent's version plus one, or ``error``. Parents are never changed."""
-    parent = memories.select(F.col("memory_id").alias("update_of"), F.col("memory_type").alias("p_type"), F.col("lifecycle_status").alias("p_life"), F.col("version").alias("p_version"))
+def effective(stored: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """``stored`` with ``verdict``, ``rationale``, ``verdict_confidence`` of ``verdicts(memory_id, verdict, rationale, confidence)``. A memory
+    without one, or with a blank rationale, gets needs_more_evidence at confidence 0, and the rationale says why."""
+    v = verdicts.groupBy("memory_id").agg(F.max_by(F.struct("verdict", "rationale", "confidence"), F.struct(F.coalesce("confidence", F.lit(0.0)), "verdict", "rationale")).alias("__v"))
+    rows = stored.join(v, "memory_id", "left")
+    said = F.coalesce(F.col("__v.rationale").rlike(r"\S"), F.lit(False))
+    why = F.when(F.col("__v").isNull(), "nobody evaluated this memory").otherwise("the evaluation gave no reason")
+    return rows.withColumns({
+        "verdict": F.when(said, F.col("__v.verdict")).otherwise("needs_more_evidence"),
+        "rationale": F.when(said, F.trim(F.col("__v.rationale"))).otherwise(why),
+        "verdict_confidence": F.when(said, F.coalesce(F.col("__v.confidence"), F.lit(0.0))).otherwise(0.0),
+    }).drop("__v")
+
+
+def route_stored(stored: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """``stored`` after the routes of their verdicts (:func:`effective`): action, ``route_error`` where there is none, transitions and new
+    statuses. A memory that cannot be routed stays as it was stored."""
+    judged = effective(stored, verdicts)
+    action, error = route(F.col("verdict"))
+    routed = apply_route(judged.withColumns({"action": action, "route_error": error}))
+    return routed.withColumn("error", F.coalesce("route_error", "error")).drop("route_error")
+
+
+def capture_and_route(rows: DataFrame, kind: str, evaluate: Callable[[DataFrame], DataFrame], *, now: str) -> tuple[DataFrame, DataFrame]:
+    """(stored, routed): records are captured first, whatever becomes of their evaluation; ``evaluate`` gives verdicts on them
+    (:func:`effective`), by which they are routed."""
+    stored = capture(rows, kind, now=now)
+    return stored, route_stored(stored, evaluate(stored))
+
+
+def revise(revisions: DataFrame, memories: DataFrame, *, now: str) -> tuple[DataFrame, DataFrame]:
+    """(stored, refused) of ``revisions(update_of, content[, importance, confidence, ...])``: a whole record for each revision under a new id
+    with its lineage and the parent's version plus one, in the first statuses of its type; or ``error``. Parents are never changed."""
+    kept = [c for c in revisions.columns if c not in {"update_of", *S.MEMORY.names}]
+    inherited = ("memory_type", "asset_id", "source", "version", "lifecycle_status", "importance", "confidence")
+    parent = memories.select(F.col("memory_id").alias("update_of"), *[F.col(c).alias(f"p_{c}") for c in inherited])
     joined = revisions.join(parent, "update_of", "left")
-    error = F.when(F.col("p_type").isNull(), "no such parent").when(~F.col("p_type").isin("manual", "field_observation"), "parent is not revisable").when(F.col("p_life") == "expired", "parent is expired")
+    error = (
+        F.when(F.col("p_memory_type").isNull(), "no such parent").when(~F.col("p_memory_type").isin("manual", "field_observation"), "parent is not revisable")
+        .when(F.col("p_lifecycle_status") == "expired", "parent is expired").when(~F.coalesce(F.col("content").rlike(r"\S"), F.lit(False)), "blank content")
+    )
     checked = joined.withColumn("error", error)
     number = F.col("p_version").try_cast("double")
-    stored = checked.where("error is null").withColumns({
-        "memory_id": F.concat(F.lit("mem-"), F.sha2(F.concat_ws("\x00", "update_of", "content", "p_version"), 256)),
-        "version": F.when(number.isNotNull() & ~F.isnan(number), (number + 1).cast("long").cast("string")).otherwise("1"),
-        "revision_of": F.col("update_of"),
-    })
-    return stored.drop("p_type", "p_life", "p_version", "error", "update_of"), checked.where("error is not null").select("update_of", "error")
+    first = initial_status(F.col("p_memory_type"))
+    own = lambda c: F.coalesce(F.col(c), F.col(f"p_{c}")) if c in revisions.columns else F.col(f"p_{c}")
+    made = {
+        "memory_id": F.concat(F.lit("mem-"), F.sha2(F.concat_ws("\x00", "update_of", "content", "p_version"), 256)), "memory_type": F.col("p_memory_type"), "content": F.trim("content"), "asset_id": F.col("p_asset_id"), "source": F.col("p_source"),
+        "version": F.when(number.isNotNull() & ~F.isnan(number), (number + 1).cast("long").cast("string")).otherwise("1"), "importance": own("importance"), "confidence": own("confidence"),
+        "created_at": F.lit(now), "updated_at": F.lit(now), "sync_status": F.lit("local"), "lifecycle_status": first["lifecycle_status"], "jev_status": first["jev_status"], "revision_of": F.col("update_of"),
+    }
+    stored = checked.where("error is null").select(*[c.alias(k) for k, c in made.items()], *kept)
+    return stored, checked.where("error is not null").select("update_of", "error")
+
+
+def revise_and_route(revisions: DataFrame, memories: DataFrame, evaluate: Callable[[DataFrame], DataFrame], *, now: str) -> tuple[DataFrame, DataFrame]:
+    """(routed, refused): revisions are stored as new versions (action UPDATE) and then routed like any other memory by their own verdicts;
+    ``verdict_route`` is that route's action."""
+    stored, refused = revise(revisions, memories, now=now)
+    return route_stored(stored, evaluate(stored)).withColumnRenamed("action", "verdict_route").withColumn("action", F.lit("UPDATE")), refused
 
 
 def mark_used(memories: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -56,3 +56,6 @@ CONFLICT = T.StructType([
     T.StructField("jev_recommendation", _struct(verdict="s", rationale="s")),
     *_struct(status="s", resolution="s", resolved_by="s", recommended_by_verdict="s", updated_at="s", resolved_at="s", resolution_winner="s").fields,
 ])
+LEDGER = _struct(memory_id="s", fingerprint="s")
+#: An entry of the review queue: both records as they were when it was queued.
+REVIEW = T.StructType([*_struct(review_id="s", memory_id="s", queued_at="s", status="s").fields, T.StructField("memory", MEMORY), T.StructField("verdict_record", VERDICT)])

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import MAX_CHARS, OVERLAP_CHARS, chunk_text
 from ..functions.vector import Embedder, embed_with, hash_embed
+from ..operators.validate import insist
+from .store import Collection
 
 _OPTIONAL = {"equipment_model": "string", "doc_type": "string", "applicability": "array<string>", "keywords": "array<string>"}
 
@@ -21,3 +23,10 @@ def ingest(documents: DataFrame, *, now: str, cloud: bool = False, provider: Emb
         *[(F.col(c) if c in has else F.lit(None).cast(t)).alias(c) for c, t in _OPTIONAL.items()], (F.lit("not_applicable") if cloud else F.lit(None).cast("string")).alias("jev_status"),
     )
     return embed_with(rows, "content", provider) if provider else rows.withColumn("embedding", hash_embed(F.col("content")))
+
+
+def store_documents(documents: DataFrame, chunks: Collection, **options) -> None:
+    """Ingest ``documents`` into a collection, in place of what it holds of each. Chunks that break their contract raise, and then nothing
+    is written."""
+    records = insist(ingest(documents, **options), "chunk")
+    chunks.replace(records, "document_id")

@@ -1,13 +1,24 @@
-"""Keyed collections on Parquet. A change is an anti-join and a union, written to a new version that a pointer then names; a table is
-never overwritten while it is read."""
+"""Keyed collections on Parquet. Rows lie in buckets by a hash of their key; a change reads and writes only the buckets that it touches,
+and a numbered manifest then names the files of all. A table is never overwritten while it is read, and of two writers at once one is told."""
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 
+class ConcurrentWrite(RuntimeError):
+    """Another writer has changed the collection since it was read; nothing was written."""
+
+
+def union_by_name(parts: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     """``old`` with the rows of ``new`` in place of those with their keys; of new rows with one key, one stays."""
     new = new.dropDuplicates([key])
@@ -48,52 +59,134 @@ def list_memories(rows: DataFrame, *, limit: int = 50, **equal: str) -> DataFram
 
 
 class Collection:
-    """A table of one schema under ``root/name``: numbered versions, and a pointer to the current one."""
+    """A table of one schema under ``root/name``.
 
-    def __init__(self, spark: SparkSession, root: str, name: str, schema: T.StructType, key: str) -> None:
-        self.spark, self.schema, self.key = spark, schema, key
+    Data files lie under ``data/``, and ``manifests/`` says for each version in which folders the rows of each bucket are. A version counts
+    once its manifest is written, under a number that only one writer can take; a lost job changes nothing. ``check`` is applied to rows
+    before they are written (:func:`fieldmark.operators.validate.insist`, say).
+    """
+
+    def __init__(self, spark: SparkSession, root: str, name: str, schema: T.StructType, key: str, *, buckets: int = 16, check: Callable[[DataFrame], DataFrame] | None = None) -> None:
+        self.spark, self.schema, self.key, self.buckets, self.check = spark, schema, key, buckets, check
         self.path = f"{root.rstrip('/')}/{name}"
 
+    def _path(self, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
     def _fs(self):
+        return self._path("data").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _numbers(self) -> list[int]:
+        fs, folder = self._fs(), self._path("manifests")
+        return sorted(int(s.getPath().getName().removesuffix(".json")) for s in fs.listStatus(folder)) if fs.exists(folder) else []
+
+    def _manifest(self, number: int) -> dict[int, list[str]] | None:
+        """Folders by bucket; None of a manifest that its writer did not finish."""
+        stream = self._fs().open(self._path(f"manifests/{number:010d}.json"))
+        try:
+            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            return {int(k): v for k, v in json.loads(text).items()}
+        except ValueError:
+            return None
+        finally:
+            stream.close()
+
+    def _current(self) -> tuple[int, dict[int, list[str]]]:
+        """The number last taken, and the last whole manifest."""
+        numbers = self._numbers()
+        for n in reversed(numbers):
+            if (found := self._manifest(n)) is not None:
+                return numbers[-1], found
+        return numbers[-1] if numbers else -1, {}
+
+    def _claim(self, number: int, folders: dict[int, list[str]]) -> None:
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        return jvm, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _versions(self) -> list[str]:
-        jvm, fs = self._fs()
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        if not fs.exists(path):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(path)]
-        return sorted(n for n in names if n.startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS")))
+        try:
+            out = self._fs().create(self._path(f"manifests/{number:010d}.json"), False)
+        except Exception as e:
+            if "Exists" in str(e) or "exists" in str(e):
+                raise ConcurrentWrite(f"{self.path}: version {number} was taken by another writer") from e
+            raise
+        try:
+            jvm.org.apache.commons.io.IOUtils.write(json.dumps({str(k): v for k, v in sorted(folders.items())}), out, "UTF-8")
+        finally:
+            out.close()
+
+    def _bucket(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+
+    def _stored(self, folders: dict[int, list[str]], only: list[int] | None = None) -> DataFrame:
+        paths = [f"{self.path}/data/{p}" for b, own in folders.items() if only is None or b in only for p in own]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def _touched(self, keys: DataFrame) -> list[int]:
+        """Buckets of ``keys``: at most as many numbers as there are buckets."""
+        return sorted(r[0] for r in keys.select(self._bucket(F.col(self.key)).alias("b")).distinct().collect())
+
+    def _save(self, rows: DataFrame) -> tuple[str, list[int]]:
+        """Write rows by bucket; the folder, and the buckets in it."""
+        rows = rows.select(*self.schema.names)
+        folder = uuid.uuid4().hex
+        (self.check(rows) if self.check else rows).withColumn("bucket", self._bucket(F.col(self.key))).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/data/{folder}")
+        return folder, sorted(int(s.getPath().getName().removeprefix("bucket=")) for s in self._fs().listStatus(self._path(f"data/{folder}")) if s.getPath().getName().startswith("bucket="))
+
+    def _commit(self, number: int, folders: dict[int, list[str]], rows: DataFrame, touched: list[int]) -> None:
+        """The next version: ``rows`` in place of those of the touched buckets."""
+        folder, held = self._save(rows)
+        kept = {b: own for b, own in folders.items() if b not in touched}
+        self._claim(number + 1, kept | {b: [*kept.get(b, []), f"{folder}/bucket={b}"] for b in held})
 
     def read(self) -> DataFrame:
         """The current rows; none if nothing was written."""
-        found = self._versions()
-        if not found:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{found[-1]}")
+        return self._stored(self._current()[1])
 
     def write(self, rows: DataFrame) -> None:
-        """Make ``rows`` the current ones. The version counts once Spark has marked it complete, so a lost job changes nothing."""
-        found = self._versions()
-        number = int(found[-1][1:9]) + 1 if found else 0
-        rows.select(*self.schema.names).write.parquet(f"{self.path}/v{number:08d}-{uuid.uuid4().hex[:8]}")
+        """Make ``rows`` the current ones, whatever there was."""
+        number, folders = self._current()
+        self._commit(number, {}, rows, list(folders))
 
     def put(self, rows: DataFrame) -> None:
-        self.write(upsert(self.read(), rows, self.key))
+        """Rows in place of those with their keys."""
+        number, folders = self._current()
+        touched = self._touched(rows)
+        if touched:
+            self._commit(number, folders, upsert(self._stored(folders, touched), rows.select(*self.schema.names), self.key), touched)
 
     def append(self, rows: DataFrame) -> None:
-        self.write(self.read().unionByName(rows.select(*self.schema.names)))
-
-    def delete(self, ids: list[str] | DataFrame) -> None:
-        self.write(delete_ids(self.read(), ids, self.key))
+        """Rows beside those there are, which are not read."""
+        self._commit(*self._current(), rows, [])
+
+    def replace(self, rows: DataFrame, by: str) -> None:
+        """Rows in place of all that have a value of theirs in ``by`` (chunks of a document, say)."""
+        number, folders = self._current()
+        gone = self._stored(folders).join(rows.select(by).distinct(), by, "left_semi")
+        touched = sorted({*self._touched(gone), *self._touched(rows)})
+        if touched:
+            self._commit(number, folders, replace_documents(self._stored(folders, touched), rows.select(*self.schema.names), by), touched)
+
+    def delete(self, ids: list[str] | DataFrame) -> bool:
+        """Drop the rows of the ids; whether there were any."""
+        if not isinstance(ids, DataFrame):
+            if not ids:
+                raise ValueError("ids must not be empty")
+            ids = self.spark.createDataFrame([(i,) for i in ids], T.StructType([self.schema[self.key]]))
+        number, folders = self._current()
+        touched = self._touched(self._stored(folders).join(ids.select(self.key), self.key, "left_semi"))
+        if touched:
+            self._commit(number, folders, delete_ids(self._stored(folders, touched), ids, self.key), touched)
+        return bool(touched)
 
     def get(self, id: str) -> DataFrame:
-        return self.read().where(F.col(self.key) == id)
+        """The row of an id; only its bucket is read."""
+        bucket = self.spark.range(1).select(self._bucket(F.lit(id).cast(self.schema[self.key].dataType))).first()[0]
+        return self._stored(self._current()[1], [bucket]).where(F.col(self.key) == id)
 
     def vacuum(self, keep: int = 2) -> None:
-        """Remove all but the last versions."""
-        jvm, fs = self._fs()
-        for n in self._versions()[:-keep]:
-            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}"), True)
+        """Remove the files that none of the last ``keep`` versions names, and older manifests. Not to be run beside a writer."""
+        fs, numbers = self._fs(), self._numbers()
+        named = {p.split("/")[0] for n in numbers[-keep:] for own in (self._manifest(n) or {}).values() for p in own}
+        for n in numbers[:-keep]:
+            fs.delete(self._path(f"manifests/{n:010d}.json"), False)
+        for s in fs.listStatus(self._path("data")) if fs.exists(self._path("data")) else []:
+            if s.getPath().getName() not in named:
+                fs.delete(s.getPath(), True)

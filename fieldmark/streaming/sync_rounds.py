@@ -1,56 +1,90 @@
-"""Sync rounds as a stream: each micro-batch of edge memories is compared with the ledger, reconciled and acknowledged.
+"""Sync rounds as a stream: each micro-batch of edge memories is stored, and what the edge holds is then reconciled with the cloud.
 
-The ledger, the cloud's memories, audit events and conflicts are collections; a batch that is run again finds its fingerprints in the
-ledger and does nothing. A diverged memory is withheld and not acknowledged, so it comes up in every round until it is resolved.
+The edge's memories, the ledger, the cloud's memories, audit events and conflicts are collections, written in an order in which a round
+that was lost is run again in whole: all but the audit trail are keyed, and a memory in the ledger is not uploaded twice. A diverged
+memory is withheld, so it comes up in every round until it is resolved; a refused one rides the next round's delta.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from collections.abc import Callable
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas as S
-from ..operators import sync
+from ..operators import gate, lifecycle, sync
+from ..operators.validate import insist
 from ..sources.store import Collection
 
-LEDGER = T.StructType([T.StructField("memory_id", T.StringType()), T.StructField("fingerprint", T.StringType())])
-
 
 class SyncRounds:
-    """The state of one device's rounds under ``root``."""
+    """The stores of one device and the cloud under ``root``."""
 
     def __init__(self, spark: SparkSession, root: str, *, device: str) -> None:
+        def kept(name: str, schema, key: str, contract: str | None = None) -> Collection:
+            return Collection(spark, root, name, schema, key, check=partial(insist, contract=contract) if contract else None)
+
         self.device = device
-        self.ledger = Collection(spark, root, "ledger", LEDGER, "memory_id")
-        self.cloud = Collection(spark, root, "cloud_memories", S.MEMORY, "memory_id")
-        self.events = Collection(spark, root, "sync_events", S.SYNC_EVENT, "event_id")
-        self.conflicts = Collection(spark, root, "conflicts", S.CONFLICT, "conflict_id")
-
-    def run(self, memories: DataFrame, *, now: str) -> dict[str, int]:
-        """One round over ``memories``; how many items were uploaded, rejected, adopted, withheld as conflicts and found alike."""
-        latest = F.max_by(F.struct(*[F.col(c) for c in S.MEMORY.names]), "updated_at")
-        memories = memories.groupBy("memory_id").agg(latest.alias("m")).select("m.*")
-        delta = sync.build_delta(memories, self.ledger.read())
-        items = sync.branch(sync.classify(delta, self.ledger.read(), self.cloud.read()))
-        items = items.withColumns({"record_id": F.col("memory_id"), "has_record": F.lit(True)}).withColumn("reason", sync.reject_reason()).persist()
+        self.edge = kept("edge_memories", S.MEMORY, "memory_id")
+        self.ledger = kept("ledger", S.LEDGER, "memory_id")
+        self.cloud = kept("cloud_memories", S.MEMORY, "memory_id", "memory")
+        self.events = kept("sync_events", S.SYNC_EVENT, "event_id", "sync_event")
+        self.conflicts = kept("conflicts", S.CONFLICT, "conflict_id", "conflict")
+        self.verdicts = kept("verdicts", S.VERDICT, "verdict_id", "verdict")
+        self.reviews = kept("review_queue", S.REVIEW, "review_id")
+
+    def run(self, memories: DataFrame | None = None, *, now: str, expire: DataFrame | None = None) -> dict[str, int]:
+        """Store ``memories``, if any, and run one round (:func:`fieldmark.operators.sync.plan_round`); how many were uploaded,
+        rejected, adopted, withheld as conflicts, found alike and expired."""
+        if memories is not None:
+            latest = F.max_by(F.struct(*[F.col(c) for c in S.MEMORY.names]), "updated_at")
+            self.edge.put(memories.groupBy("memory_id").agg(latest.alias("m")).select("m.*"))
+        plan = sync.plan_round(self.edge.read(), self.ledger.read(), self.cloud.read(), expire).persist()
         try:
-            applied = items.where("outcome = 'upload' AND reason IS NULL")
+            applied = plan.where("outcome IN ('upload', 'expire')")
+            uploads = plan.where("outcome = 'upload'").select("m.*")
+            self.cloud.put(uploads)
+            self.cloud.delete(plan.where("outcome = 'expire'").select("memory_id"))
             if not applied.isEmpty():
-                self.cloud.put(applied.select(*S.MEMORY.names))
                 self.events.put(sync.sync_events(applied, device=self.device, now=now))
-            found = sync.conflict_records(items)
-            if not found.isEmpty():
-                none = [F.lit(None).cast("string").alias(c) for c in ("recommended_by_verdict", "updated_at", "resolved_at", "resolution_winner")]
-                self.conflicts.put(found.select("*", *none))
-            # The ledger comes last: a round lost before this is run again in whole, and every write above is keyed.
-            done = applied.select("memory_id", "fingerprint").union(items.where("outcome = 'dedupe'").select("memory_id", "fingerprint"))
-            if not done.isEmpty():
-                self.ledger.put(done)
-            n = lambda c, name: F.count_if(F.expr(c)).alias(name)
-            counts = items.agg(n("outcome = 'upload' AND reason IS NULL", "uploaded"), n("outcome = 'upload' AND reason IS NOT NULL", "rejected"), n("outcome = 'adopt'", "adopted"), n("outcome = 'conflict'", "conflicts"), n("outcome = 'dedupe'", "deduped"))
-            return counts.first().asDict()
+            diverged = plan.where("outcome = 'conflict'").withColumn("kase", F.lit("DIVERGED"))
+            none = [F.lit(None).cast("string").alias(c) for c in ("recommended_by_verdict", "resolved_at", "resolution_winner")]
+            known = self.conflicts.read().select("conflict_id")
+            # A conflict found again stays as it is: someone may have recommended something on it.
+            self.conflicts.put(sync.conflict_records(diverged, now=now).select("*", *none).join(known, "conflict_id", "left_anti"))
+            # The edge's steps come before the ledger, which comes last: a round lost before it is run again in whole.
+            self.edge.put(sync.edge_after(plan, now=now).where("adopt_error is null").select(*S.MEMORY.names))
+            refused = sync.edge_after(plan, now=now).where("adopt_error is not null").select("memory_id")
+            self.ledger.put(sync.ledger_after(plan).join(refused, "memory_id", "left_anti"))
+            n = lambda outcome, name: F.count_if(F.col("outcome") == outcome).alias(name)
+            return plan.agg(n("upload", "uploaded"), n("reject", "rejected"), n("adopt", "adopted"), n("conflict", "conflicts"), n("dedupe", "deduped"), n("expire", "expired")).first().asDict()
         finally:
-            items.unpersist()
+            plan.unpersist()
+
+    def judge(self, verdicts: DataFrame, *, now: str) -> None:
+        """Store cloud verdicts and what they set in motion: validated memories go to cloud and edge, rejected ones stay at the edge, the
+        others wait in the review queue; open conflicts on their memories take them as recommendations."""
+        self.verdicts.put(verdicts)
+        memories = self.cloud.read()
+        effects = gate.fleet_effects(memories, verdicts, now=now).persist()
+        try:
+            for name, store in (("cloud_memories", self.cloud), ("edge_memories", self.edge)):
+                store.put(effects.where(F.col("store") == name).select(*S.MEMORY.names))
+        finally:
+            effects.unpersist()
+        self.reviews.put(gate.review_queue(memories.select(*S.MEMORY.names), verdicts.select(*S.VERDICT.names), now=F.lit(now)))
+        conflicts = self.conflicts.read()
+        advised = gate.recommend(conflicts.drop("recommended_by_verdict"), gate.recommendations(conflicts, memories, self.verdicts.read()))
+        self.conflicts.put(advised.where("recommended").withColumn("updated_at", F.lit(now)).select(*S.CONFLICT.names))
+
+    def capture(self, rows: DataFrame, kind: str, evaluate: Callable[[DataFrame], DataFrame], *, now: str) -> DataFrame:
+        """Store captured records, then route them by their verdicts and store that; the routed rows."""
+        stored, routed = lifecycle.capture_and_route(rows, kind, evaluate, now=now)
+        self.edge.put(stored)
+        self.edge.put(routed.select(*S.MEMORY.names))
+        return routed
 
     def stream(self, memories: DataFrame, checkpoint: str, *, now: str) -> StreamingQuery:
         """Run a round for each micro-batch of a stream of memory records."""
