@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as X
-from ..functions.vector import cosine, hash_embed
-from ..functions.verdicts import coerce, grounded_prompt, json_object, judge_prompt
-from ..operators import filters, gate, lifecycle, provision, retrieval, session, sync, validate
-from ..operators.evaluate import asset_documents, evaluate, fleet_context, fleet_neighbours, verdict_history
+from ..functions.vector import cosine, embed_with, hash_embed
+from ..functions.verdicts import coerce, grounded_prompt, json_object, stub_verdicts
+from ..operators import answer, filters, gate, lifecycle, listing, provision, retrieval, session, sync, validate
+from ..operators.evaluate import asset_documents, evaluate, fleet_context, fleet_neighbours, prompts, verdict_history
 from ..sources import ingest, store
 from . import oracle
 from .views import spark_view
@@ -203,6 +203,20 @@ def validate_conflict(spark: SparkSession, d: str) -> DataFrame:
     return validate.validate(c, "conflict").select("memory_id", joined("errors").alias("errors"))
 
 
+@query
+def quarantine(spark: SparkSession, d: str) -> DataFrame:
+    """Records that break their contract, apart from those that keep it."""
+    m = spark_view(spark, d, "memories").withColumn("content", _broken("content", 13, F.lit("  ")))
+    good, bad = validate.split_valid(m, "memory")
+    return good.select("memory_id", F.lit("").alias("errors")).union(bad.select("memory_id", joined("errors")))
+
+
+@query
+def unknown_fields(spark: SparkSession, d: str) -> DataFrame:
+    raw = F.concat(F.lit('{"memory_id": "'), "memory_id", F.when(F.col("n") % 7 == 0, F.lit('", "colour": 1, "content": "x"}')).when(F.col("n") % 11 == 0, F.lit('", "Content": "x", "size": {"a": 1}}')).otherwise(F.lit('", "source": "s"}')))
+    return spark_view(spark, d, "memories").select("memory_id", joined(validate.unknown_fields(raw, "memory")).alias("unknown"))
+
+
 # Change detection and reconciliation
 
 
@@ -231,10 +245,47 @@ def build_delta(spark: SparkSession, d: str) -> DataFrame:
     return _delta(spark, d).select("memory_id", "operation", "fingerprint", "high_visibility")
 
 
+@query
+def change_counts(spark: SparkSession, d: str) -> DataFrame:
+    return sync.change_counts(spark_view(spark, d, "memories"), spark_view(spark, d, "ledger"))
+
+
+@query
+def pending_changes(spark: SparkSession, d: str) -> DataFrame:
+    return sync.pending_changes(spark_view(spark, d, "memories"), spark_view(spark, d, "ledger")).select("memory_id", "operation", "sync_eligible")
+
+
+def _withdrawn(spark: SparkSession, d: str) -> DataFrame:
+    """What technicians withdraw: the query set, and an id that nobody knows."""
+    return spark_view(spark, d, "memories").where("n % 20 = 0").select("memory_id").union(spark.createDataFrame([("mem-unknown",)], "memory_id string"))
+
+
 @query
 def expire_semi_join(spark: SparkSession, d: str) -> DataFrame:
-    asked_for = spark.range(0, 4000, 7).select(F.concat(F.lit("mem-"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("memory_id"))
-    return sync.expire_items(asked_for, spark_view(spark, d, "memories"), spark_view(spark, d, "ledger"))
+    return sync.expire_items(_withdrawn(spark, d), spark_view(spark, d, "memories"), spark_view(spark, d, "ledger"))
+
+
+def _round(spark: SparkSession, d: str) -> DataFrame:
+    """One round of a device that lost some memories, and holds some that break their contract."""
+    edge = spark_view(spark, d, "memories").where("n % 17 <> 0").withColumn("asset_id", _broken("asset_id", 13, F.lit(" ")))
+    return sync.plan_round(edge, spark_view(spark, d, "ledger"), spark_view(spark, d, "cloud_memories"), _withdrawn(spark, d))
+
+
+@query
+def sync_round_plan(spark: SparkSession, d: str) -> DataFrame:
+    return _round(spark, d).select("memory_id", "operation", "outcome", "reason")
+
+
+@query
+def reconcile_adopt(spark: SparkSession, d: str) -> DataFrame:
+    return sync.edge_after(_round(spark, d), now=NOW).where("outcome = 'adopt'").select("memory_id", "content", "lifecycle_status", "sync_status", "updated_at", "adopt_error")
+
+
+@query
+def sync_round_state(spark: SparkSession, d: str) -> DataFrame:
+    """The edge's records that a round changes, and what both sides then agree on."""
+    plan = _round(spark, d)
+    return sync.edge_after(plan, now=NOW).select("memory_id", "content", "lifecycle_status", "sync_status").join(sync.ledger_after(plan), "memory_id", "full")
 
 
 def _all_cases(spark: SparkSession, d: str) -> DataFrame:
@@ -262,7 +313,29 @@ def reconcile_outcome(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def conflict_records(spark: SparkSession, d: str) -> DataFrame:
-    return sync.conflict_records(_classified(spark, d)).select("memory_id", "edge_version", "cloud_version", "conflict_type", "status", F.col("jev_recommendation.verdict").alias("recommended"))
+    return sync.conflict_records(_classified(spark, d), now=NOW).select("memory_id", "edge_version", "cloud_version", "conflict_type", "status", F.col("jev_recommendation.verdict").alias("recommended"))
+
+
+def _found(spark: SparkSession, d: str) -> DataFrame:
+    """Conflicts found in two rounds, the second of which knew another cloud version of some; some are resolved."""
+    first = sync.conflict_records(_classified(spark, d), now="2025-01-01T00:00:00Z").withColumn("n", F.substring("memory_id", 5, 9).cast("int"))
+    again = first.where("n % 2 = 0").withColumns({"conflict_id": F.concat(F.lit("cfl-later-"), "memory_id"), "cloud_version": F.lit("later"), "updated_at": F.lit("2025-01-02T00:00:00Z")})
+    return first.withColumn("conflict_id", F.concat(F.lit("cfl-"), "memory_id")).union(again).withColumn("status", F.when(F.col("n") % 5 == 0, "resolved").otherwise("open"))
+
+
+@query
+def current_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    return sync.current_conflicts(_found(spark, d))
+
+
+@query
+def open_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    return listing.open_conflicts(_found(spark, d)).select("position", "conflict_id", "memory_id")
+
+
+@query
+def conflict_by_id(spark: SparkSession, d: str) -> DataFrame:
+    return listing.conflict_by_id(_found(spark, d), "cfl-mem-000000042").select("conflict_id", "memory_id", "status")
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
@@ -283,10 +356,32 @@ def sync_events(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query
-def ack_to_synced(spark: SparkSession, d: str) -> DataFrame:
+def audit_trail(spark: SparkSession, d: str) -> DataFrame:
+    m = spark_view(spark, d, "memories")
+    events = sync.sync_events(m.withColumns({"operation": F.lit("create"), "fingerprint": sync.fingerprint()}), device="edge-1", now=NOW).join(m.select("memory_id", "updated_at"), "memory_id")
+    events = events.withColumns({"timestamp": F.col("updated_at"), "event_id": F.concat(F.lit("evt-"), "memory_id")})
+    return listing.audit_trail(events).select("position", "event_id", "memory_id", "timestamp", "target_version")
+
+
+def _acked(spark: SparkSession, d: str) -> DataFrame:
     items = _delta(spark, d)
     r = items.select("memory_id", F.when(F.col("n") % 3 == 0, "rejected").otherwise("applied").alias("status"), F.lit(1).alias("at")).union(items.where("n % 6 = 3").select("memory_id", F.lit("applied"), F.lit(2)))
-    return sync.acknowledge(items, r).select("memory_id", "acked", "new_lifecycle", "new_sync_status")
+    return sync.acknowledge(items, r)
+
+
+@query
+def ack_to_synced(spark: SparkSession, d: str) -> DataFrame:
+    return _acked(spark, d).select("memory_id", "acked", "new_lifecycle", "new_sync_status")
+
+
+@query
+def sync_counts(spark: SparkSession, d: str) -> DataFrame:
+    return sync.sync_counts(_acked(spark, d))
+
+
+@query
+def sync_results(spark: SparkSession, d: str) -> DataFrame:
+    return sync.sync_results(_acked(spark, d))
 
 
 # Lifecycle and routing
@@ -298,6 +393,43 @@ def capture_records(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.capture(rows, "observation", now=NOW).select("memory_id", "memory_type", "importance", "confidence", "lifecycle_status", "jev_status", "sync_status")
 
 
+@query
+def capture_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Notes and manuals: their defaults and first statuses."""
+    rows = spark_view(spark, d, "memories").select("content", "asset_id", "source", "version", F.when(F.col("n") % 3 == 0, F.lit(0.8)).alias("importance"))
+    return store.union_by_name([lifecycle.capture(rows, kind, now=NOW) for kind in ("note", "manual")]).select("memory_id", "memory_type", "version", "importance", "confidence", "lifecycle_status", "jev_status")
+
+
+def _evaluated(stored: DataFrame) -> DataFrame:
+    """Scripted verdicts: some memories get none, some one without a reason, some one that is not of this stage."""
+    k = F.pmod(F.conv(F.substring("memory_id", 5, 8), 16, 10).cast("long"), F.lit(7))
+    v = F.when(k == 1, "flag_risk").when(k == 2, "validated").otherwise("accept_local")
+    return stored.select("memory_id", v.alias("verdict"), F.when(k == 3, " ").otherwise("as the manual says").alias("rationale"), F.lit(0.9).alias("confidence"), k.alias("k")).where("k <> 0").drop("k")
+
+
+@query
+def capture_and_route(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark_view(spark, d, "memories").select("content", "asset_id", "source", "importance").distinct()
+    routed = lifecycle.capture_and_route(rows, "observation", _evaluated, now=NOW)[1]
+    return routed.select("memory_id", "verdict", "verdict_confidence", "action", F.col("error").isNotNull().alias("refused"), "lifecycle_status", "jev_status", joined("transitions").alias("transitions"))
+
+
+@query
+def revise_and_route(spark: SparkSession, d: str) -> DataFrame:
+    m = spark_view(spark, d, "memories")
+    wanted = m.where("revision_of is not null").select(F.col("revision_of").alias("update_of"), F.concat("content", F.lit(" revised")).alias("content"), F.when(F.col("n") % 2 == 0, F.lit(0.9)).alias("importance"), "n")
+    routed = lifecycle.revise_and_route(wanted, m, lambda stored: stub_verdicts(stored, now=NOW), now=NOW)[0]
+    return routed.select("n", "memory_type", "version", "importance", "action", "verdict_route", "lifecycle_status", "jev_status", "revision_of")
+
+
+@query
+def strict_steps(spark: SparkSession, d: str) -> DataFrame:
+    """Only legal steps are taken; the strict form would raise on any other."""
+    m, target = spark_view(spark, d, "memories"), F.lit("conflict")
+    legal = m.where(lifecycle.is_legal("lifecycle", F.col("lifecycle_status"), target))
+    return legal.select("memory_id", lifecycle.checked_step("lifecycle", F.col("lifecycle_status"), target).alias("lifecycle_status"))
+
+
 @query
 def transition_relation(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.transitions(spark)
@@ -345,7 +477,7 @@ def apply_route(spark: SparkSession, d: str) -> DataFrame:
 def _revisions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     m = spark_view(spark, d, "memories")
     wanted = m.where("revision_of is not null").select(F.when(F.col("n") % 5 == 0, "mem-none").otherwise(F.col("revision_of")).alias("update_of"), F.concat("content", F.lit(" revised")).alias("content"), "n")
-    return lifecycle.revise(wanted, m)
+    return lifecycle.revise(wanted, m, now=NOW)
 
 
 @query
@@ -384,8 +516,30 @@ def provision_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def transfer_by_document(spark: SparkSession, d: str) -> DataFrame:
-    selected = provision.select_knowledge(spark_view(spark, d, "chunk_vec"), {"component": "pump"}, max_chunks=60)
-    return provision.transfer(selected)[1]
+    return provision.transfer(_selected(spark, d))[1]
+
+
+def _selected(spark: SparkSession, d: str) -> DataFrame:
+    """Of chunks with a text: one without would break its contract and stop the transfer."""
+    return provision.select_knowledge(spark_view(spark, d, "chunk_vec").where(F.col("content").rlike(r"\S")), {"component": "pump"}, max_chunks=60)
+
+
+@query
+def transferred_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The records that a device is given, with defaults and their vectors as they were."""
+    bare = _selected(spark, d).withColumns({"version": F.when(F.col("n") % 5 != 0, F.col("version")), "jev_status": F.when(F.col("n") % 2 == 0, "").otherwise(F.col("jev_status"))})
+    return provision.transfer(bare)[0].select("id", "document_id", "version", "jev_status", "source", F.round(F.element_at("embedding", 1), 6).alias("first"), F.size("embedding").alias("dimensions"))
+
+
+@query
+def package_header(spark: SparkSession, d: str) -> DataFrame:
+    return provision.build_package(spark_view(spark, d, "chunks"), TARGET, max_chunks=40).header
+
+
+@query
+def package_items(spark: SparkSession, d: str) -> DataFrame:
+    items = provision.build_package(spark_view(spark, d, "chunks"), {"equipment_model": "A320", "component": None}, max_chunks=25).items
+    return items.select("rank", "id", "document_id", "equipment_model", "jev_status")
 
 
 @query
@@ -417,6 +571,17 @@ def list_memories(spark: SparkSession, d: str) -> DataFrame:
     return store.list_memories(spark_view(spark, d, "memories"), asset_id="MSN4403", limit=25).select("memory_id", "updated_at")
 
 
+@query
+def embed_batches(spark: SparkSession, d: str) -> DataFrame:
+    """A provider's vectors, 32 texts a call; this one gives each text's length and number of words."""
+    t = spark_view(spark, d, "turns")
+    return embed_with(t, "text", _measure).select("session_id", "seq", joined(F.transform("embedding", lambda x: x.cast("int").cast("string"))).alias("vector"))
+
+
+def _measure(texts: list[str]) -> list[list[float]]:
+    return [[float(len(t)), float(len(t.split()))] for t in texts]
+
+
 # Evaluation, gate and conflicts
 
 
@@ -449,13 +614,36 @@ def gate_route(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def review_queue(spark: SparkSession, d: str) -> DataFrame:
-    rows = gate.review_queue(spark_view(spark, d, "memories"), _cloud_verdicts(spark, d), now=F.col("evaluated_at"))
-    return rows.select("review_id", "memory_id", "queued_at", "status", F.col("memory.content").alias("content"), F.col("verdict_record.rationale").alias("rationale"))
+    return _reviews(spark, d).select("review_id", "memory_id", "queued_at", "status", F.col("memory.content").alias("content"), F.col("verdict_record.rationale").alias("rationale"))
+
+
+def _reviews(spark: SparkSession, d: str) -> DataFrame:
+    return gate.review_queue(spark_view(spark, d, "memories"), _cloud_verdicts(spark, d), now=F.col("evaluated_at"))
+
+
+@query
+def open_reviews(spark: SparkSession, d: str) -> DataFrame:
+    decided = _reviews(spark, d).withColumn("status", F.when(F.substring("memory_id", 13, 1).isin("1", "4"), "done").otherwise(F.col("status")))
+    return listing.open_reviews(decided).select("position", "review_id", "queued_at")
+
+
+@query
+def fleet_effects(spark: SparkSession, d: str) -> DataFrame:
+    return gate.fleet_effects(spark_view(spark, d, "memories"), _cloud_verdicts(spark, d), now=NOW).select("memory_id", "store", "action", "jev_status", "sync_status", "updated_at")
+
+
+@query
+def conflict_recommendations(spark: SparkSession, d: str) -> DataFrame:
+    """From conflict to memory to the cloud's copy to the last verdict on it."""
+    v = _cloud_verdicts(spark, d).withColumns({"stage": F.lit("cloud"), "verdict_id": F.concat(F.lit("v1-"), "memory_id")})
+    newer = v.where("verdict = 'rejected'").withColumns({"verdict": F.lit("validated"), "verdict_id": F.concat(F.lit("v2-"), "memory_id"), "evaluated_at": F.lit(NOW)})
+    rows = sync.conflict_records(_classified(spark, d), now=NOW).withColumn("conflict_id", F.concat(F.lit("cfl-"), "memory_id"))
+    return gate.recommendations(rows, spark_view(spark, d, "cloud_memories"), v.union(newer).union(v.withColumns({"stage": F.lit("edge"), "evaluated_at": F.lit("2026-01-01T00:00:00Z")})))
 
 
 @query
 def conflict_resolution(spark: SparkSession, d: str) -> DataFrame:
-    open_ = sync.conflict_records(_classified(spark, d)).withColumn("k", F.substring("memory_id", 5, 9).cast("int"))
+    open_ = sync.conflict_records(_classified(spark, d), now=NOW).withColumn("k", F.substring("memory_id", 5, 9).cast("int"))
     k = F.col("k")
     open_ = gate.recommend(open_, open_.where("k % 2 = 0").select("conflict_id", F.lit("validated").alias("verdict"), F.when(k % 6 == 0, " ").otherwise("newer reading").alias("rationale"), F.lit("v1").alias("verdict_id")))
     done = gate.confirm(open_, open_.where("k % 4 <> 3").select("conflict_id", F.when(k % 5 == 0, "both").otherwise("edge").alias("winner"), F.lit("keep the edge's").alias("resolution"), F.lit("ann").alias("resolved_by")), now=NOW)
@@ -465,7 +653,7 @@ def conflict_resolution(spark: SparkSession, d: str) -> DataFrame:
 @query
 def fleet_knn(spark: SparkSession, d: str) -> DataFrame:
     e = spark_view(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("memory_id"), "embedding", "vec_id")
-    return fleet_neighbours(e.where("vec_id < 8"), e).select("candidate_id", "memory_id", "position", F.round("similarity", 6).alias("similarity"))
+    return fleet_neighbours(e.where("vec_id % 20 = 0"), e).select("candidate_id", "memory_id", "position", F.round("similarity", 6).alias("similarity"))
 
 
 def _placed(spark: SparkSession, d: str) -> DataFrame:
@@ -476,8 +664,7 @@ def _placed(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def fleet_documents(spark: SparkSession, d: str) -> DataFrame:
-    rows = asset_documents(_placed(spark, d).where("n % 400 = 0"), spark_view(spark, d, "chunk_vec"))
-    return rows.select("candidate_id", "id", "position", F.round("similarity", 6).alias("similarity"))
+    return asset_documents(_placed(spark, d).where("n % 20 = 0"), spark_view(spark, d, "chunk_vec")).select("candidate_id", "id", "position", "score")
 
 
 def _context(spark: SparkSession, d: str) -> DataFrame:
@@ -488,12 +675,13 @@ def _context(spark: SparkSession, d: str) -> DataFrame:
 
 def _answer(prompts: list[str]) -> list[str]:
     """A scripted model: trusts what the fleet has seen, and asks a person about the rest."""
-    return ['{"verdict": "%s", "rationale": "%d characters read", "confidence": 0.75, "risk_flags": []}' % ("validated" if "Fleet observations:" in p else "accept_local", len(p)) for p in prompts]
+    return ['{"verdict": "%s", "rationale": "%d characters read", "confidence": 0.75, "risk_flags": []}' % ("validated" if "Other devices:" in p else "accept_local", len(p)) for p in prompts]
 
 
 @query
 def edge_evaluation(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate(_context(spark, d), _answer, stage="edge", model="scripted", now=NOW).withColumns({"risk_flags": joined("risk_flags"), "evidence_used": joined("evidence_used")})
+    held = F.when(F.col("n") % 40 == 0, F.array(F.struct(F.lit("e1").alias("id"), F.lit("logbook").alias("source"), F.lit("it was loose").alias("content")))).otherwise(F.array().cast("array<struct<id: string, source: string, content: string>>"))
+    return evaluate(_context(spark, d).withColumn("evidence", held), _answer, stage="edge", model="scripted", now=NOW).withColumns({"risk_flags": joined("risk_flags"), "evidence_used": joined("evidence_used")})
 
 
 @query
@@ -504,13 +692,13 @@ def cloud_evaluation(spark: SparkSession, d: str) -> DataFrame:
 @query
 def judge_prompts(spark: SparkSession, d: str) -> DataFrame:
     c = _context(spark, d)
-    return c.select("memory_id", judge_prompt(F.col("content"), F.col("asset_id"), F.col("documents"), stage="cloud", observations=F.col("observations"), history=F.col("history")).alias("prompt"))
+    return c.select("memory_id", prompts(c, stage="cloud").alias("prompt"))
 
 
 @query
 def verdict_history_(spark: SparkSession, d: str) -> DataFrame:
     m = spark_view(spark, d, "memories")
-    return verdict_history(m.where("n % 50 = 0"), _cloud_verdicts(spark, d), m)
+    return verdict_history(m, _cloud_verdicts(spark, d), m)
 
 
 # Sessions
@@ -521,9 +709,45 @@ def session_last_context(spark: SparkSession, d: str) -> DataFrame:
     return session.context_at(spark_view(spark, d, "turns")).select("session_id", "seq", "asset_id", "component")
 
 
+def _evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Two hits for each turn, of which the second is beyond what a session keeps."""
+    t, i = spark_view(spark, d, "turns"), F.col("session_id")
+    return t.withColumn("position", F.explode(F.array(F.lit(1), F.lit(4)))).select("session_id", "seq", "position", F.concat(F.lit("doc-"), (F.col("seq") % 5).cast("string")).alias("document_id"), F.concat(F.lit("s"), (i % 3).cast("string")).alias("source"), F.col("text").alias("content"), F.when(i % 4 == 0, "Pumps").when(i % 4 == 1, " ").alias("component"))
+
+
+def _noted(spark: SparkSession, d: str) -> DataFrame:
+    t = spark_view(spark, d, "conversations").where("role = 'assistant'")
+    number = F.lpad(F.col("turn").cast("string"), 4, "0")
+    return t.select(F.col("conv_id").alias("session_id"), F.concat(F.lit("o-"), number).alias("memory_id"), F.substring("text", 1, 60).alias("content"), number.alias("created_at"))
+
+
+def _opened(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col("session_id")
+    return spark_view(spark, d, "turns").select("session_id").distinct().select("session_id", F.when(c % 3 == 0, "A320").alias("equipment_model"), F.when(c % 4 == 1, "it leaks").alias("issue"))
+
+
+def _state(spark: SparkSession, d: str) -> DataFrame:
+    return session.states(spark_view(spark, d, "turns"), evidence=_evidence(spark, d), observations=_noted(spark, d), sessions=_opened(spark, d))
+
+
+@query
+def session_evidence(spark: SparkSession, d: str) -> DataFrame:
+    return session.kept_evidence(_evidence(spark, d)).select("session_id", "seq", "position", "document_id", "content")
+
+
+@query
+def session_observations(spark: SparkSession, d: str) -> DataFrame:
+    return session.mirrored(_noted(spark, d), keep=2)
+
+
+@query
+def session_borrowed_context(spark: SparkSession, d: str) -> DataFrame:
+    return session.context_at(spark_view(spark, d, "turns"), _evidence(spark, d)).select("session_id", "seq", "asset_id", "component")
+
+
 @query
 def suggested_filters(spark: SparkSession, d: str) -> DataFrame:
-    return session.summaries(spark_view(spark, d, "turns")).where("asset_id is not null").select("session_id", "asset_id")
+    return session.suggested_filters(_state(spark, d))
 
 
 @query
@@ -548,7 +772,7 @@ def expand_query(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def session_summary(spark: SparkSession, d: str) -> DataFrame:
-    return session.summaries(spark_view(spark, d, "turns"))
+    return _state(spark, d).select("session_id", "asset_id", "component", session.summary_of().alias("summary"))
 
 
 @query
@@ -558,6 +782,34 @@ def grounded_prompt_(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("query_id").agg(chunks.alias("chunks")).join(asked(spark, d).select("query_id", "text"), "query_id").select("query_id", grounded_prompt(F.col("text"), F.col("chunks"), sources=True).alias("prompt"))
 
 
+#: (query_id, asset and component of its session, what its session asked before)
+SESSIONS = [(1, None, None, []), (2, "MSN4405", "valve", ["the valve sticks"]), (3, "MSN9999", "pump", ["is it tight"]), (4, "MSN4410", None, []), (5, "MSN4402", "filter", ["one", "two"])]
+
+
+def _asked_in_sessions(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame(SESSIONS, "query_id int, asset_id string, component string, queries array<string>")
+    none, texts = F.lit(None).cast("string"), F.array().cast("array<string>")
+    state = rows.withColumns({"equipment_model": none, "issue": none, "actions": texts, "observations": texts, "evidence": F.array().cast("array<struct<source: string, document_id: string, content: string>>")})
+    return asked(spark, d).select("query_id", "text", "vector").join(F.broadcast(state), "query_id")
+
+
+@query
+def answer_question(spark: SparkSession, d: str) -> DataFrame:
+    """Expansion, the session's scope or beyond it, retrieval, prompt and generation, as one query."""
+    answers = answer.answer(_asked_in_sessions(spark, d), spark_view(spark, d, "chunk_vec"), _count)[0]
+    return answers.select("query_id", "query", "widened", "used_context", "prompt", "answer")
+
+
+def _count(prompts_: list[str]) -> list[str]:
+    return [f"read {len(p)} characters" for p in prompts_]
+
+
+@query
+def answer_citations(spark: SparkSession, d: str) -> DataFrame:
+    cited = answer.answer(_asked_in_sessions(spark, d), spark_view(spark, d, "chunk_vec"), _count)[2]
+    return cited.select("query_id", "position", "document_id", "source", "version", joined("chunk_ids").alias("chunk_ids"))
+
+
 # Texts
 
 

@@ -3,11 +3,11 @@ from pyspark.sql import functions as F
 
 from fieldmark import schemas as S
 from fieldmark.config import ConfigError, load_config
-from fieldmark.functions.verdicts import coerce, json_object_exact, recover
-from fieldmark.operators import filters, gate, lifecycle, provision, session, sync, validate
+from fieldmark.functions.verdicts import coerce, generate_with, json_object_exact, recover, stub_verdicts
+from fieldmark.operators import answer, filters, gate, lifecycle, provision, session, sync, validate
 from fieldmark.operators.evaluate import evaluate
-from fieldmark.sources.ingest import ingest
-from fieldmark.sources.store import Collection, replace_documents
+from fieldmark.sources.ingest import ingest, store_documents
+from fieldmark.sources.store import Collection, ConcurrentWrite, replace_documents
 from fieldmark.streaming.session_state import session_stream
 from fieldmark.streaming.sync_rounds import SyncRounds
 
@@ -80,15 +80,91 @@ def test_only_validated_propagates(spark):
     assert [r[0] for r in rows] == [True] + [False] * 7 and [r[1] for r in rows][4:6] == ["review", "hold_local"]
 
 
+NONE = dict(uploaded=0, rejected=0, adopted=0, conflicts=0, deduped=0, expired=0)
+
+
 def test_rounds_settle_and_conflicts_are_withheld(spark, tmp_path):
     rounds = SyncRounds(spark, str(tmp_path), device="edge-1")
     rows = memories(spark, dict(memory_id="a"), dict(memory_id="b", jev_status="needs_more_evidence"), dict(memory_id="c", jev_status="flag_risk"), dict(memory_id="d", asset_id=" "))
-    assert rounds.run(rows, now="2024-02-01T00:00:00Z") == dict(uploaded=2, rejected=1, adopted=0, conflicts=0, deduped=0)
-    assert rounds.run(rows.where("memory_id <> 'd'"), now="2024-02-02T00:00:00Z")["uploaded"] == 0
+    assert rounds.run(rows, now="2024-02-01T00:00:00Z") == NONE | dict(uploaded=2, rejected=1)
+    edge = {r.memory_id: (r.lifecycle_status, r.sync_status) for r in rounds.edge.read().collect()}
+    assert edge == {"a": ("synced", "synced"), "b": ("used", "local"), "c": ("synced", "synced"), "d": ("used", "local")}
+    # A refused memory rides the next round's delta, of which nothing was sent anew.
+    assert rounds.run(now="2024-02-02T00:00:00Z") == NONE | dict(rejected=1)
+    assert rounds.run(memories(spark, dict(memory_id="d")), now="2024-02-02T00:00:00Z") == NONE | dict(uploaded=1)
     rounds.cloud.put(memories(spark, dict(memory_id="a", content="theirs")))
+    assert rounds.run(memories(spark, dict(memory_id="a", content="ours")), now="2024-02-03T00:00:00Z") == NONE | dict(conflicts=1)
+    assert rounds.run(now="2024-02-04T00:00:00Z") == NONE | dict(conflicts=1)
+    assert rounds.cloud.get("a").first().content == "theirs" and rounds.edge.get("a").first().content == "ours"
+    found = rounds.conflicts.read().collect()
+    assert len(found) == 1 and found[0].updated_at == "2024-02-03T00:00:00Z" and rounds.events.read().count() == 3
+
+
+def test_rounds_adopt_what_only_the_cloud_changed(spark, tmp_path):
+    rounds = SyncRounds(spark, str(tmp_path), device="edge-1")
+    rounds.run(memories(spark, dict(memory_id="a"), dict(memory_id="b"), dict(memory_id="c"), dict(memory_id="s")), now="2024-02-01T00:00:00Z")
+    rounds.cloud.put(memories(spark, dict(memory_id="a", content="corrected", lifecycle_status="synced", sync_status="synced"), dict(memory_id="b", content="stuck", lifecycle_status="expired"), dict(memory_id="c", content="back", lifecycle_status="conflict")))
+    rounds.edge.delete(["c"])
+    rounds.cloud.put(memories(spark, dict(memory_id="s", content="same")))
+    got = rounds.run(memories(spark, dict(memory_id="s", content="same")), now="2024-02-02T00:00:00Z")
+    assert got == NONE | dict(adopted=3, deduped=1)
+    edge = {r.memory_id: (r.content, r.lifecycle_status, r.updated_at[:10]) for r in rounds.edge.read().collect()}
+    # The cloud's record of b cannot step to synced, so the edge keeps its own; c, which the edge no longer had, is the cloud's as it is.
+    assert edge["a"] == ("corrected", "synced", "2024-02-02") and edge["b"][0] == "c" and edge["c"] == ("back", "conflict", "2024-01-01")
+    assert rounds.run(now="2024-02-03T00:00:00Z") == NONE | dict(adopted=1)
+
+
+def test_rounds_expire_what_was_synced(spark, tmp_path):
+    rounds = SyncRounds(spark, str(tmp_path), device="edge-1")
+    rounds.run(memories(spark, dict(memory_id="a"), dict(memory_id="b", jev_status="needs_more_evidence"), dict(memory_id="x")), now="2024-02-01T00:00:00Z")
+    rounds.cloud.put(memories(spark, dict(memory_id="x", content="theirs")))
+    rounds.edge.put(memories(spark, dict(memory_id="x", content="ours")))
+    gone = spark.createDataFrame([("a",), ("a",), ("b",), ("nobody",), ("x",)], "memory_id string")
+    # Never synced, unknown and diverged memories are not expired.
+    assert rounds.run(now="2024-02-02T00:00:00Z", expire=gone) == NONE | dict(expired=1, conflicts=1)
+    assert {r.memory_id for r in rounds.cloud.read().collect()} == {"x"} and {r.operation for r in rounds.events.read().collect()} == {"create", "expire"}
+
+
+def test_cloud_verdicts_reach_the_stores(spark, tmp_path):
+    rounds = SyncRounds(spark, str(tmp_path), device="edge-1")
+    rounds.run(memories(spark, *[dict(memory_id=m) for m in "abcx"]), now="2024-02-01T00:00:00Z")
+    rounds.cloud.put(memories(spark, dict(memory_id="x", content="theirs")))
+    rounds.run(memories(spark, dict(memory_id="x", content="ours")), now="2024-02-02T00:00:00Z")
+    verdicts = spark.createDataFrame([(f"v-{m}", m, "cloud", v, "seen twice", 0.9, [], [], "m", "2024-02-03T00:00:00Z") for m, v in (("a", "validated"), ("b", "rejected"), ("c", "needs_human_review"), ("x", "validated"))], S.VERDICT)
+    rounds.judge(verdicts, now="2024-02-03T00:00:00Z")
+    cloud, edge = ({r.memory_id: r.jev_status for r in c.read().collect()} for c in (rounds.cloud, rounds.edge))
+    assert (cloud["a"], cloud["b"], cloud["c"]) == ("validated", "accept_local", "accept_local") and (edge["a"], edge["b"], edge["c"]) == ("validated", "rejected", "accept_local")
+    (entry,) = rounds.reviews.read().collect()
+    assert entry.memory_id == "c" and entry.memory.content == "c" and entry.verdict_record.verdict_id == "v-c"
+    (conflict,) = rounds.conflicts.read().collect()
+    assert conflict.status == "open" and conflict.jev_recommendation.verdict == "validated" and conflict.recommended_by_verdict == "v-x"
+    rounds.run(now="2024-02-04T00:00:00Z")
+    assert rounds.conflicts.read().first().recommended_by_verdict == "v-x" and rounds.verdicts.read().count() == 4
+
+
+def test_capture_is_stored_whatever_becomes_of_its_evaluation(spark, tmp_path):
+    rounds = SyncRounds(spark, str(tmp_path), device="edge-1")
+    rows = spark.createDataFrame([("loose bolt", "a", "s", 0.9), ("odd noise", "a", "s", 0.1)], "content string, asset_id string, source string, importance double")
+    routed = rounds.capture(rows, "observation", lambda stored: stub_verdicts(stored, now="x").where("false"), now="2024-02-01T00:00:00Z")
+    assert {(r.verdict, r.action, r.rationale) for r in routed.collect()} == {("needs_more_evidence", "KEEP_LOCAL", "nobody evaluated this memory")}
+    assert {(r.lifecycle_status, r.jev_status) for r in rounds.edge.read().collect()} == {("local", "needs_more_evidence")}
+
+
+def test_provisioning_is_repeatable_and_replaces_documents(spark, tmp_path):
+    vectors = [[float(i), 1.0] for i in range(8)]
+    rows = [(f"c{i}", f"d{i % 3}", None if i == 0 else "2", "torque text", "a", "pump", "s", "2024-01-01T00:00:00Z", "2024-01-01T00:00:00Z", vectors[i], "not_applicable") for i in range(8)]
+    chunks = spark.createDataFrame(rows, "id string, document_id string, version string, content string, asset_id string, component string, source string, created_at string, updated_at string, embedding array<double>, jev_status string").withColumn("importance", F.lit(0.5))
+    edge = Collection(spark, str(tmp_path), "chunks", S.CHUNK, "id", check=lambda df: validate.insist(df, "chunk"))
+    edge.put(spark.createDataFrame([("old", "d1", "1", "outdated", [1.0, 1.0], "a", "pump", "s", "2024-01-01T00:00:00Z", "2024-01-01T00:00:00Z", None, None, None, None, None)], S.CHUNK))
     for _ in range(2):
-        assert rounds.run(memories(spark, dict(memory_id="a", content="ours")), now="2024-02-03T00:00:00Z")["conflicts"] == 1
-    assert rounds.cloud.get("a").first().content == "theirs" and rounds.conflicts.read().count() == 1 and rounds.events.read().count() == 2
+        report = provision.provision_device(chunks, {"component": "pump"}, edge)
+        assert (report["transferred"], report["documents"], report["total_available"], report["truncated"]) == (8, 3, 8, False)
+        assert {r.id: list(r.embedding) for r in edge.read().collect()} == {f"c{i}": vectors[i] for i in range(8)}
+    assert edge.get("c0").first().version == "1"
+    assert provision.provision_device(chunks, {"component": "valve"}, edge)["transferred"] == 0 and edge.read().count() == 8
+    with pytest.raises(Exception, match="embedding: no list"):
+        provision.provision_device(chunks.withColumn("embedding", F.lit(None).cast("array<double>")), {"component": "pump"}, edge)
+    assert edge.read().count() == 8
 
 
 def test_sync_stream(spark, tmp_path):
@@ -116,26 +192,84 @@ def test_ingest_is_repeatable_and_replaces_documents(spark):
 
 
 def test_collection_versions(spark, tmp_path):
-    c = Collection(spark, str(tmp_path), "memories", S.MEMORY, "memory_id")
-    assert c.read().count() == 0
+    c = Collection(spark, str(tmp_path), "memories", S.MEMORY, "memory_id", check=lambda df: validate.insist(df, "memory"))
+    assert c.read().count() == 0 and not c.delete(["a"])
     c.put(memories(spark, dict(memory_id="a"), dict(memory_id="b")))
     c.put(memories(spark, dict(memory_id="b", content="new")))
     assert {r.memory_id: r.content for r in c.read().collect()} == {"a": "c", "b": "new"}
-    c.delete(["a"])
+    assert c.delete(["a"]) and not c.delete(["a"])
     c.vacuum(1)
-    assert [r.memory_id for r in c.read().collect()] == ["b"]
+    assert [r.memory_id for r in c.read().collect()] == ["b"] and c.get("b").count() == 1 and c.get("a").count() == 0
     with pytest.raises(ValueError):
         c.delete([])
+    with pytest.raises(Exception, match="content: blank"):
+        c.put(memories(spark, dict(memory_id="z", content=" ")))
+    assert [r.memory_id for r in c.read().collect()] == ["b"]
+
+
+def test_a_change_rewrites_only_the_buckets_it_touches(spark, tmp_path):
+    c = Collection(spark, str(tmp_path), "memories", S.MEMORY, "memory_id")
+    c.put(memories(spark, *[dict(memory_id=f"m{i}") for i in range(64)]))
+    before = c._current()[1]
+    c.put(memories(spark, dict(memory_id="m7", content="new")))
+    after = c._current()[1]
+    assert len(before) > 8 and sum(before[b] != after[b] for b in before) == 1 and c.read().count() == 64
+    c.append(memories(spark, dict(memory_id="n")))
+    assert sum(len(v) for v in c._current()[1].values()) == len(before) + 1 and c.read().count() == 65
+
+
+def test_of_two_writers_one_is_told(spark, tmp_path):
+    c = Collection(spark, str(tmp_path), "memories", S.MEMORY, "memory_id")
+    number, folders = c._current()
+    c.put(memories(spark, dict(memory_id="a")))
+    with pytest.raises(ConcurrentWrite):
+        c._commit(number, folders, memories(spark, dict(memory_id="b")), [])
+    assert [r.memory_id for r in c.read().collect()] == ["a"]
+    (tmp_path / "memories" / "manifests" / "0000000001.json").write_text("{")  # a writer that was lost
+    assert c.read().count() == 1
+    c.put(memories(spark, dict(memory_id="b")))
+    assert c.read().count() == 2
+
+
+def test_documents_are_stored_in_place_of_their_former_chunks(spark, tmp_path):
+    c = Collection(spark, str(tmp_path), "chunks", S.CHUNK, "id")
+    schema = "document_id string, text string, asset_id string, component string, source string"
+    store_documents(spark.createDataFrame([("d1", "One. " * 100, "a", "pump", "s"), ("d2", "Two.", "a", "pump", "s")], schema), c, now="2024-01-01T00:00:00Z", max_chars=120, overlap_chars=0)
+    store_documents(spark.createDataFrame([("d1", "Three.", "a", "pump", "s")], schema), c, now="2024-01-02T00:00:00Z")
+    assert sorted((r.document_id, r.content) for r in c.read().collect()) == [("d1", "Three."), ("d2", "Two.")]
+    with pytest.raises(Exception, match="component: blank"):
+        store_documents(spark.createDataFrame([("d1", "Four.", "a", " ", "s")], schema), c, now="2024-01-03T00:00:00Z")
+    assert c.read().count() == 2
+
+
+def test_a_batch_that_fails_is_asked_one_by_one(spark):
+    def picky(prompts):
+        if len(prompts) > 1 or prompts[0] == "bad":
+            raise RuntimeError
+        return [p.upper() for p in prompts]
+
+    df = spark.createDataFrame([("a",), ("bad",), ("c",)], "p string").coalesce(1)
+    assert [r.raw for r in generate_with(df, "p", picky).collect()] == ["A", None, "C"]
+    assert [r.raw for r in generate_with(df, "p", lambda ps: [str(len(ps))] * len(ps)).collect()] == ["3", "3", "3"]
+
+
+def test_a_question_that_finds_nothing_is_put_without_excerpts(spark):
+    chunks = spark.createDataFrame([], "id string, document_id string, version string, content string, asset_id string, component string, source string, equipment_model string, doc_type string, keywords array<string>, embedding array<double>")
+    turns = spark.createDataFrame([(1, 0, "the pump on rig R-77")], "session_id long, seq long, text string")
+    asked = session.states(turns).withColumns({"query_id": F.col("session_id"), "text": F.lit("is it tight?")})
+    answers, _, cited = answer.answer(asked, chunks, lambda ps: ["none"] * len(ps))
+    got = answers.first()
+    assert (got.query, got.widened, got.used_context, got.answer) == ("is it tight? (pump, R-77)", False, True, "none") and "Excerpts: none" in got.prompt and "asset R-77" in got.prompt and cited.count() == 0
 
 
 def test_evaluation_survives_a_failing_model(spark):
-    ctx = memories(spark, {}).withColumns({"documents": F.expr("array(named_struct('id', 'd', 'content', 'x'), named_struct('id', 'd', 'content', 'y'))"), "observations": F.expr("array(named_struct('id', 'o', 'content', 'x'))"), "history": F.expr("cast(array() as array<struct<verdict: string, rationale: string>>)")})
+    ctx = memories(spark, {}).withColumns({"documents": F.expr("array(named_struct('id', 'd', 'source', 's', 'content', 'x'), named_struct('id', 'd', 'source', 's', 'content', 'y'))"), "observations": F.expr("array(named_struct('id', 'o', 'source', 's', 'content', 'x'))"), "history": F.expr("cast(array() as array<struct<verdict: string, rationale: string>>)")})
 
     def fails(_):
         raise RuntimeError
 
     edge = evaluate(ctx, fails, stage="edge", model="m", now="2024-01-01T00:00:00Z").first()
-    cloud = evaluate(ctx, lambda p: ['{"verdict": "validated", "rationale": "r", "confidence": 0.9}'], stage="cloud", model="m", now="2024-01-01T00:00:00Z").first()
+    cloud = evaluate(ctx, lambda p: ['{"verdict": "validated", "rationale": "r", "confidence": 0.9}'] * len(p), stage="cloud", model="m", now="2024-01-01T00:00:00Z").first()
     assert (edge.verdict, edge.confidence, edge.evidence_used) == ("needs_more_evidence", 0.0, ["d"]) and (cloud.verdict, cloud.evidence_used) == ("validated", ["o", "d", "d"])
 
 
