@@ -160,9 +160,10 @@ def identify_languages(docs: DataFrame, *, folds: int = 4, held: int = 2, **opti
     return predict_languages(docs.select(*out, "text"), model).drop("text")
 
 
-def keep_identified(docs: DataFrame, *, languages: tuple[str, ...] | None = None, min_margin: float = 0.02, **options) -> DataFrame:
-    """``docs`` whose language is told, with a margin of at least ``min_margin`` over the next one, and is one of ``languages`` if these
-    are given. Columns stay as they are, whatever their names. The margin means the same for any number of languages."""
+def keep_identified(docs: DataFrame, *, languages: tuple[str, ...] | None = None, min_margin: float = 0.0, **options) -> DataFrame:
+    """``docs`` whose language is told (those that are null or hold no letter go), and is one of ``languages`` if these are given. A
+    ``min_margin`` over the next language, which means the same for any number of them, leaves out texts that mix languages too.
+    Columns stay as they are, whatever their names."""
     pred, score, margin = unused(docs, "lang_pred", "score", "margin")
     judged = predict_languages(docs, fit_languages(docs.where(fold(F.col("doc_id"), 4) != 2), **options), names=(pred, score, margin))
     good = (F.col(pred) != "und") & (F.col(margin) >= min_margin)
