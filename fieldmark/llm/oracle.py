@@ -58,4 +58,34 @@ t AS (SELECT source, source_size, coalesce(target, 3::DOUBLE * source_size) AS t
 c AS (SELECT d.*, t.source_size, t.target, t.whole, sum(size) OVER (PARTITION BY d.source ORDER BY h) AS upto, sum(size) OVER (PARTITION BY d.source, h) AS g FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size::BIGINT AS size, source_size, target, (size * (whole + CASE WHEN 2 * (upto - g) + g <= 2 * (target - whole * source_size) THEN 1 ELSE 0 END))::BIGINT AS taken FROM c"""
 
-SQL = {"op1_line_dedup": OP1, "op3_url_filter": OP3, "op4_minhash_near_dedup": OP4, "op6_pq_vector_dedup": OP6, "op9_jump_sharding": OP9, "op10_source_mix": OP10}
+OP11 = rf"""WITH tab AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+h AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, xor(list_reduce(list_transform(regexp_extract_all(doc_id::VARCHAR, '.'), lambda x: ascii(x))::BIGINT[], lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS h FROM documents, tab),
+a AS (SELECT *, len(w) AS n, (h // 10) % nullif(len(w), 0) AS a FROM h),
+p AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) END + 1]) ELSE w END AS w FROM a),
+e AS (SELECT doc_id, unnest(range(n)) AS i, unnest(w) AS x FROM p),
+-- Words q apart are alike over six places at least in any run of twelve: six words that recur q places later.
+six AS (SELECT doc_id, i, array_to_string(w[i + 1:i + 6], ' ') AS g FROM (SELECT doc_id, w, unnest(range(n - 5)) AS i FROM p WHERE n >= 12)),
+alike AS (SELECT a.doc_id, a.i, b.i - a.i AS q, a.i - row_number() OVER (PARTITION BY a.doc_id, b.i - a.i ORDER BY a.i) AS island FROM six a JOIN six b ON a.doc_id = b.doc_id AND a.g = b.g AND a.i < b.i),
+stretch AS (SELECT doc_id, q, min(i) AS start, count(*) + 5 + q AS length FROM alike GROUP BY doc_id, q, island HAVING count(*) + 5 >= q),
+runs AS (SELECT doc_id, start, length, min(q) AS period FROM stretch WHERE length >= 12 GROUP BY doc_id, start, length),
+top AS (SELECT doc_id, count(*) AS n_runs, arg_min({{'s': start, 'l': length, 'p': period}}, {{'l': -length, 's': start, 'p': period}}) AS r, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+left_over AS (SELECT e.doc_id, string_agg(x, ' ' ORDER BY e.i) AS text FROM e ANTI JOIN gone g ON g.doc_id = e.doc_id AND g.i = e.i GROUP BY e.doc_id)
+SELECT p.doc_id, coalesce(n_runs, 0) AS n_runs, r.s::BIGINT AS start, r.l::BIGINT AS length, r.p::BIGINT AS period, (1000 * r.l // r.p)::BIGINT AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM p LEFT JOIN top USING (doc_id) LEFT JOIN left_over USING (doc_id)"""
+
+OP12 = r"""WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, sha256(t) AS text_sha256 FROM t WINDOW g AS (PARTITION BY t)"""
+
+OP13 = r"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+f AS (SELECT d.doc_id, part, coalesce(l.quality = 1, false) AS good, coalesce(l.toxic = 1, false) AS toxic, CASE WHEN len(w) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END
+ || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN min(d.doc_id) OVER (PARTITION BY t) < d.doc_id THEN 'E' ELSE '' END AS fails FROM d LEFT JOIN labels l ON l.doc_id = d.doc_id),
+cells AS (SELECT part, fails, count(*) AS n, sum(good::INT) AS good, sum(toxic::INT) AS toxic FROM f GROUP BY ALL),
+letters(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (SELECT '' AS o UNION ALL SELECT o || x FROM orders, letters WHERE length(o) < 5 AND instr(o, x) = 0),
+steps AS (SELECT o AS filter_order, s AS step, o[s] AS x, o[:s - 1] AS earlier FROM orders, range(1, 6) r(s) WHERE length(o) = 5),
+met AS (SELECT part, filter_order, step, x, n, good, toxic, fails, instr(fails, x) > 0 AS bad, regexp_matches(fails, '[' || earlier || '0]') AS gone FROM cells, steps),
+seen AS (SELECT part, filter_order, step, x, sum(CASE WHEN bad OR gone THEN 0 ELSE n END) AS kept, sum(CASE WHEN bad AND NOT gone THEN n ELSE 0 END) AS removed, sum(CASE WHEN bad AND gone THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails = x THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN bad AND NOT gone THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN bad AND NOT gone THEN toxic ELSE 0 END) AS toxic_lost FROM met GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley FROM seen"""
+
+SQL = {"op1_line_dedup": OP1, "op3_url_filter": OP3, "op4_minhash_near_dedup": OP4, "op6_pq_vector_dedup": OP6, "op9_jump_sharding": OP9, "op10_source_mix": OP10, "op11_periodic_runs": OP11, "op12_exact_dedup": OP12, "op13_filter_audit": OP13}
