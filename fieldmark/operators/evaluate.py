@@ -29,24 +29,71 @@ def asset_documents(candidates: DataFrame, chunks: DataFrame, *, k: int = DOCUME
     return found.select(F.col("query_id").alias("candidate_id"), "id", "source", "content", "score", "position")
 
 
-def verdict_history(candidates: DataFrame, verdicts: DataFrame, memories: DataFrame, *, k: int = HISTORY) -> DataFrame:
-    """(candidate_id, memory_id, verdict, position): earlier verdicts on memories of each candidate's asset, newest first, the
-    candidate's own left out after the limit. Verdicts have no asset; their memories do."""
-    placed = verdicts.select("memory_id", "verdict", "evaluated_at").join(memories.select("memory_id", "asset_id"), "memory_id")
-    # The newest of an asset serve all its candidates, so only those travel to the join.
-    place = F.row_number().over(W.partitionBy("asset_id").orderBy(F.desc("evaluated_at"), "memory_id"))
-    newest = placed.withColumn("position", place).where(F.col("position") <= k)
-    return candidates.select(F.col("memory_id").alias("candidate_id"), "asset_id").join(newest, "asset_id").where("candidate_id <> memory_id").select("candidate_id", "memory_id", "verdict", "position")
-
-
-def fleet_context(candidates: DataFrame, fleet: DataFrame, chunks: DataFrame, verdicts: DataFrame, memories: DataFrame) -> DataFrame:
-    """``candidates`` with three arrays: observations (with the device they come from), documents and history."""
+_VERDICT = ("verdict_id", "memory_id", "verdict", "rationale")
+
+
+def verdict_history(candidates: DataFrame, verdicts: DataFrame, memories: DataFrame, *, k: int = HISTORY, as_of: str | None = None) -> DataFrame:
+    """(candidate_id, verdict_id, memory_id, verdict, rationale, position): the ``k`` newest verdicts on memories of each candidate's
+    asset, newest first, those on the candidate itself left out after the limit. Verdicts have no asset; their memories do. A memory may have
+    several; of those given at one time the smallest memory_id, then verdict_id, comes first.
+
+    ``as_of`` names a time of the candidates: then only verdicts given by that time count (:func:`history_as_of`).
+    """
+    placed = verdicts.select(*_VERDICT, "evaluated_at").join(memories.select("memory_id", "asset_id"), "memory_id")
+    if as_of is None:
+        # The newest of an asset serve all its candidates, so only those travel to the join.
+        place = F.row_number().over(W.partitionBy("asset_id").orderBy(F.desc("evaluated_at"), "memory_id", "verdict_id"))
+        newest = placed.withColumn("position", place).where(F.col("position") <= k)
+        found = candidates.select(F.col("memory_id").alias("candidate_id"), "asset_id").join(newest, "asset_id")
+    else:
+        held = history_as_of(candidates.select(F.col("memory_id").alias("candidate_id"), "asset_id", F.col(as_of).alias("at")), placed, k=k)
+        found = held.select("candidate_id", F.posexplode("history").alias("place", "v")).select("candidate_id", "v.*", (F.col("place") + 1).alias("position"))
+    return found.where("candidate_id <> memory_id").select("candidate_id", *_VERDICT, "position")
+
+
+def _last_before(rows: DataFrame, by: list[str], k: int) -> DataFrame:
+    """``rows(by, at, v)`` with ``last``: the ``k`` last of the ``v`` that are not null up to each row, newest first. One pass in order of
+    time that keeps ``k`` offsets, not a list that grows; at one time rows with ``v`` come first."""
+    own = W.partitionBy(*by).orderBy("at", F.col("v").isNull(), F.desc("v.memory_id"), F.desc("v.verdict_id"))
+    seen = F.last("v", ignorenulls=True).over(own.rowsBetween(W.unboundedPreceding, 0))
+    order = "at, v IS NULL, v.memory_id DESC, v.verdict_id DESC"
+    earlier = [F.expr(f"lag(v, {i}) IGNORE NULLS OVER (PARTITION BY {', '.join(by)} ORDER BY {order})") for i in range(1, k + 1)]
+    # A row that has a verdict counts it as the first of the last; its lags are those before it.
+    listed = F.when(F.col("v").isNull(), F.array(*earlier)).otherwise(F.array(seen, *earlier[:-1]))
+    return rows.withColumn("last", F.filter(listed, lambda x: x.isNotNull()))
+
+
+def history_as_of(asked: DataFrame, placed: DataFrame, *, k: int) -> DataFrame:
+    """``asked(candidate_id, asset_id, at)`` with ``history``: the ``k`` newest of ``placed(asset_id, evaluated_at, ...)`` that their asset
+    had at that time, newest first.
+
+    An as-of join by one ordered pass in place of a range join. Assets are cut into days, so that one with a third of all rows is many
+    tasks; what the days before bring along is the ``k`` last verdicts of each, found before the shuffle and passed on by a second, small
+    pass. Times are ISO texts in UTC; without one a candidate has no history.
+    """
+    v = F.struct(*_VERDICT, "evaluated_at").alias("v")
+    day = lambda c: F.substring(c, 1, 10).alias("day")
+    given = placed.where("evaluated_at is not null").select("asset_id", day("evaluated_at"), F.col("evaluated_at").alias("at"), v)
+    none = F.lit(None).cast(given.schema["v"].dataType).alias("v")
+    rows = asked.select("candidate_id", "asset_id", day("at"), "at", none).unionByName(given, allowMissingColumns=True)
+    within = _last_before(rows.where("at is not null"), ["asset_id", "day"], k).where("candidate_id is not null").select("candidate_id", "asset_id", "day", F.col("last").alias("today"))
+    newest = F.row_number().over(W.partitionBy("asset_id", "day").orderBy(F.desc("at"), "v.memory_id", "v.verdict_id"))
+    daily = given.withColumn("place", newest).where(F.col("place") <= k).drop("place")
+    # A mark at the beginning of each day: what the days before had.
+    marks = asked.where("at is not null").select("asset_id", day("at")).distinct().select("asset_id", "day", F.col("day").alias("at"), none)
+    before = _last_before(daily.unionByName(marks), ["asset_id"], k).where("v is null").select("asset_id", "day", F.col("last").alias("earlier"))
+    return within.join(before, ["asset_id", "day"], "left").select("candidate_id", F.slice(F.concat("today", F.coalesce("earlier", F.array().cast(before.schema["earlier"].dataType))), 1, k).alias("history"))
+
+
+def fleet_context(candidates: DataFrame, fleet: DataFrame, chunks: DataFrame, verdicts: DataFrame, memories: DataFrame, *, as_of: str | None = None) -> DataFrame:
+    """``candidates`` with three arrays: observations (with the device they come from), documents and history (of all time, or as of a
+    time of the candidates)."""
     def gathered(rows: DataFrame, name: str, *fields: str) -> DataFrame:
         ordered = F.array_sort(F.collect_list(F.struct("position", *fields)))
         return rows.groupBy("candidate_id").agg(F.transform(ordered, lambda x: F.struct(*[x[f].alias(f) for f in fields])).alias(name))
 
     seen = fleet_neighbours(candidates, fleet).join(fleet.select("memory_id", "source", "content"), "memory_id").withColumnRenamed("memory_id", "id")
-    past = verdict_history(candidates, verdicts, memories).join(verdicts.select("memory_id", "rationale"), "memory_id")
+    past = verdict_history(candidates, verdicts, memories, as_of=as_of)
     out = candidates.withColumn("candidate_id", F.col("memory_id"))
     for rows, name, fields in ((seen, "observations", ("id", "source", "content")), (asset_documents(candidates, chunks), "documents", ("id", "source", "content")), (past, "history", ("verdict", "rationale"))):
         kind = "array<struct<" + ", ".join(f"{f}: string" for f in fields) + ">>"

@@ -70,20 +70,25 @@ def review_queue(memories: DataFrame, verdicts: DataFrame, *, now: Column) -> Da
 
 def recommend(conflicts: DataFrame, recommendations: DataFrame) -> DataFrame:
     """Open conflicts take the recommendation of ``recommendations(conflict_id, verdict, rationale, verdict_id)`` if it is not blank;
-    ``recommended`` says whether they did. Everything else stays."""
+    ``recommended`` says whether they did. Everything else stays, who recommended something earlier too."""
     r = recommendations.select("conflict_id", F.col("verdict").alias("__v"), F.col("rationale").alias("__r"), F.col("verdict_id").alias("__i"))
     rows = conflicts.join(r, "conflict_id", "left")
     good = F.coalesce((F.col("status") == "open") & F.col("__v").isin(*CLOUD_VERDICTS) & F.col("__r").rlike(r"\S"), F.lit(False))
     return rows.withColumns({
         "recommended": good,
         "jev_recommendation": F.when(good, F.struct(F.col("__v").alias("verdict"), F.col("__r").alias("rationale"))).otherwise(F.col("jev_recommendation")),
-        "recommended_by_verdict": F.when(good, F.col("__i")),
+        "recommended_by_verdict": F.when(good, F.col("__i")).otherwise(_held(rows, "recommended_by_verdict")),
     }).drop("__v", "__r", "__i")
 
 
+def _held(rows: DataFrame, column: str) -> Column:
+    """A column of ``rows``, or nulls if they do not have it yet."""
+    return F.col(column) if column in rows.columns else F.lit(None).cast("string")
+
+
 def confirm(conflicts: DataFrame, decisions: DataFrame, *, now: str) -> DataFrame:
     """Conflicts after ``decisions(conflict_id, winner, resolution, resolved_by)``: the only way to resolved. A decision needs an open
-    conflict with a real recommendation, a winner, and who decided what; else ``error`` says what is missing."""
+    conflict with a real recommendation, a winner, and who decided what; else ``error`` says what is missing. What was decided earlier stays."""
     d = decisions.select("conflict_id", F.col("winner").alias("__w"), F.col("resolution").alias("__r"), F.col("resolved_by").alias("__b"), F.lit(True).alias("__d"))
     rows = conflicts.join(d, "conflict_id", "left")
     blank = lambda c: ~F.coalesce(F.col(c).rlike(r"\S"), F.lit(False))
@@ -94,5 +99,5 @@ def confirm(conflicts: DataFrame, decisions: DataFrame, *, now: str) -> DataFram
     done = F.col("__d").isNotNull() & F.col("error").isNull()
     return rows.withColumn("error", error).withColumns({
         "status": F.when(done, "resolved").otherwise(F.col("status")), "resolution": F.when(done, F.col("__r")).otherwise(F.col("resolution")), "resolved_by": F.when(done, F.col("__b")).otherwise(F.col("resolved_by")),
-        "resolution_winner": F.when(done, F.col("__w")), "resolved_at": F.when(done, F.lit(now)),
+        "resolution_winner": F.when(done, F.col("__w")).otherwise(_held(rows, "resolution_winner")), "resolved_at": F.when(done, F.lit(now)).otherwise(_held(rows, "resolved_at")),
     }).drop("__w", "__r", "__b", "__d")

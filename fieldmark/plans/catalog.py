@@ -432,7 +432,10 @@ def strict_steps(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def transition_relation(spark: SparkSession, d: str) -> DataFrame:
-    return lifecycle.transitions(spark)
+    """Each legal step, and how many memories stand where it begins."""
+    at = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(own).alias("from_status")) for kind, own in (("lifecycle", "lifecycle_status"), ("jev", "jev_status"))])).alias("at")
+    standing = spark_view(spark, d, "memories").select(at).groupBy("at.kind", "at.from_status").agg(F.count("*").alias("n"))
+    return lifecycle.transitions(spark).join(standing, ["kind", "from_status"], "left").select("kind", "from_status", "to_status", F.coalesce("n", F.lit(0)).alias("memories"))
 
 
 @query
@@ -643,11 +646,15 @@ def conflict_recommendations(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def conflict_resolution(spark: SparkSession, d: str) -> DataFrame:
-    open_ = sync.conflict_records(_classified(spark, d), now=NOW).withColumn("k", F.substring("memory_id", 5, 9).cast("int"))
+    """Recommendations and decisions on open conflicts; some conflicts were decided, or recommended on, in an earlier round."""
     k = F.col("k")
-    open_ = gate.recommend(open_, open_.where("k % 2 = 0").select("conflict_id", F.lit("validated").alias("verdict"), F.when(k % 6 == 0, " ").otherwise("newer reading").alias("rationale"), F.lit("v1").alias("verdict_id")))
-    done = gate.confirm(open_, open_.where("k % 4 <> 3").select("conflict_id", F.when(k % 5 == 0, "both").otherwise("edge").alias("winner"), F.lit("keep the edge's").alias("resolution"), F.lit("ann").alias("resolved_by")), now=NOW)
-    return done.select("memory_id", "status", "recommended", "error", "resolution", "resolution_winner")
+    rows = sync.conflict_records(_classified(spark, d), now=NOW).withColumn("k", F.substring("memory_id", 5, 9).cast("int"))
+    before, told, none = k % 7 == 0, k % 7 == 1, F.lit(None).cast("string")
+    real = F.struct(F.lit("rejected").alias("verdict"), F.lit("seen earlier").alias("rationale"))
+    rows = rows.withColumns({"status": F.when(before, "resolved").otherwise(F.col("status")), "resolution": F.when(before, "as agreed").otherwise(F.col("resolution")), "resolved_by": F.when(before, "bob").otherwise(F.col("resolved_by")), "resolution_winner": F.when(before, "cloud").otherwise(none), "resolved_at": F.when(before, "2024-06-01T00:00:00Z").otherwise(none), "recommended_by_verdict": F.when(before | told, "v0").otherwise(none), "jev_recommendation": F.when(before | told, real).otherwise(F.col("jev_recommendation"))})
+    rows = gate.recommend(rows, rows.where("k % 2 = 0").select("conflict_id", F.lit("validated").alias("verdict"), F.when(k % 6 == 0, " ").otherwise("newer reading").alias("rationale"), F.lit("v1").alias("verdict_id")))
+    done = gate.confirm(rows, rows.where("k % 4 <> 3").select("conflict_id", F.when(k % 5 == 0, "both").otherwise("edge").alias("winner"), F.lit("keep the edge's").alias("resolution"), F.lit("ann").alias("resolved_by")), now=NOW)
+    return done.select("memory_id", "status", "recommended", "error", "resolution", "resolved_by", "resolution_winner", "resolved_at", "recommended_by_verdict", F.col("jev_recommendation.verdict").alias("advised"))
 
 
 @query
@@ -670,7 +677,7 @@ def fleet_documents(spark: SparkSession, d: str) -> DataFrame:
 def _context(spark: SparkSession, d: str) -> DataFrame:
     """Of the query set of searches, ids divisible by 20, against the whole fleet."""
     fleet = _placed(spark, d)
-    return fleet_context(fleet.where("n % 20 = 0"), fleet, spark_view(spark, d, "chunk_vec"), _cloud_verdicts(spark, d), fleet)
+    return fleet_context(fleet.where("n % 20 = 0"), fleet, spark_view(spark, d, "chunk_vec"), _judged(spark, d), fleet)
 
 
 def _answer(prompts: list[str]) -> list[str]:
@@ -695,10 +702,24 @@ def judge_prompts(spark: SparkSession, d: str) -> DataFrame:
     return c.select("memory_id", prompts(c, stage="cloud").alias("prompt"))
 
 
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    """Cloud verdicts, and a first one, given earlier and for another reason, on every other memory of them."""
+    last = _cloud_verdicts(spark, d).withColumn("verdict_id", F.concat(F.lit("v2-"), "memory_id"))
+    first = spark_view(spark, d, "memories").where("n % 6 = 0").select("memory_id", F.lit("needs_human_review").alias("verdict"), F.concat(F.lit("at first sight "), "content").alias("rationale"), F.col("created_at").alias("evaluated_at"), F.concat(F.lit("v1-"), "memory_id").alias("verdict_id"))
+    return last.unionByName(first)
+
+
 @query
 def verdict_history_(spark: SparkSession, d: str) -> DataFrame:
     m = spark_view(spark, d, "memories")
-    return verdict_history(m, _cloud_verdicts(spark, d), m)
+    return verdict_history(m, _judged(spark, d), m)
+
+
+@query
+def verdict_history_as_of(spark: SparkSession, d: str) -> DataFrame:
+    """What each memory's asset had been judged when the memory was last changed."""
+    m = spark_view(spark, d, "memories")
+    return verdict_history(m, _judged(spark, d), m, as_of="updated_at")
 
 
 # Sessions

@@ -128,7 +128,7 @@ _LIFE = "['new>local', 'new>expired', 'local>used', 'local>sync_pending', 'local
 _JUDGED = "['not_applicable>pending', 'pending>accept_local', 'pending>needs_more_evidence', 'pending>flag_risk', 'pending>rejected', 'accept_local>validated', 'accept_local>flag_risk', 'accept_local>rejected', 'needs_more_evidence>accept_local', 'needs_more_evidence>flag_risk', 'needs_more_evidence>rejected', 'flag_risk>accept_local', 'flag_risk>validated', 'flag_risk>needs_human_review', 'flag_risk>rejected', 'needs_human_review>validated', 'needs_human_review>rejected']"
 for _name, _column, _list in (("lifecycle_legal", "lifecycle_status", _LIFE), ("jev_legal", "jev_status", _JUDGED)):
     _v(_name, "memories", f", s AS (SELECT DISTINCT {_column} AS s FROM memories) SELECT a.s AS from_status, b.s AS to_status, list_contains({_list}, a.s || '>' || b.s) AS legal FROM s a, s b")
-_v("transition_relation", "", f"SELECT 'lifecycle' AS kind, split_part(s, '>', 1) AS from_status, split_part(s, '>', 2) AS to_status FROM (SELECT unnest({_LIFE}) AS s) UNION ALL SELECT 'jev', split_part(s, '>', 1), split_part(s, '>', 2) FROM (SELECT unnest({_JUDGED}) AS s)")
+_v("transition_relation", "memories", f"""SELECT 'lifecycle' AS kind, split_part(s, '>', 1) AS from_status, split_part(s, '>', 2) AS to_status, (SELECT count(*) FROM memories WHERE lifecycle_status = split_part(s, '>', 1)) AS memories FROM (SELECT unnest({_LIFE}) AS s) UNION ALL SELECT 'jev', split_part(s, '>', 1), split_part(s, '>', 2), (SELECT count(*) FROM memories WHERE jev_status = split_part(s, '>', 1)) FROM (SELECT unnest({_JUDGED}) AS s)""")
 _ROUTED = """v AS (SELECT *, CASE WHEN n % 23 = 0 THEN 'maybe' WHEN n % 19 = 0 THEN 'validated' WHEN n % 3 = 0 THEN 'flag_risk' WHEN n % 5 = 0 THEN 'needs_more_evidence' ELSE 'accept_local' END AS verdict, n % 11 = 0 AND revision_of IS NOT NULL AS upd FROM memories),
 routed AS (SELECT *, CASE WHEN verdict = 'maybe' THEN NULL WHEN n % 7 = 0 THEN CASE WHEN memory_type <> 'manual' THEN 'EXPIRE' END
  WHEN upd THEN CASE WHEN memory_type <> 'session_note' AND lifecycle_status <> 'expired' THEN 'UPDATE' END WHEN verdict = 'validated' THEN NULL
@@ -171,12 +171,18 @@ _CV = "cv AS (SELECT memory_id, CASE n % 5 WHEN 0 THEN 'validated' WHEN 1 THEN '
 _v("gate_route", "memories", f""", {_CV}, k AS (SELECT m.memory_id, m.jev_status AS j, verdict, coalesce(verdict IN ('validated', 'needs_human_review', 'rejected'), false) AS known, coalesce(list_contains({_JUDGED}, m.jev_status || '>' || verdict), false) AS legal FROM memories m JOIN cv USING (memory_id))
 SELECT memory_id, CASE WHEN known THEN CASE verdict WHEN 'validated' THEN 'propagate' WHEN 'needs_human_review' THEN 'review' ELSE 'hold_local' END END AS action, CASE WHEN known AND legal THEN verdict ELSE j END AS jev_status, NOT known OR (NOT legal AND j <> verdict) AS refused FROM k""")
 _v("review_queue", "memories", f", {_CV} SELECT 'rev-' || memory_id AS review_id, memory_id, evaluated_at AS queued_at, 'open' AS status, content, rationale FROM memories JOIN cv USING (memory_id) WHERE verdict = 'needs_human_review'")
-_v("conflict_resolution", "memories ledger cloud_memories", f""", {_CLASSED}, k AS (SELECT memory_id, n, n % 2 = 0 AND n % 6 <> 0 AS rec FROM classed WHERE kase = 'DIVERGED'),
-e AS (SELECT *, n % 4 <> 3 AS asked, CASE WHEN n % 4 = 3 THEN NULL WHEN NOT rec THEN 'no recommendation yet' WHEN n % 5 = 0 THEN 'winner must be edge or cloud' END AS error FROM k)
-SELECT memory_id, CASE WHEN asked AND error IS NULL THEN 'resolved' ELSE 'open' END AS status, rec AS recommended, error, CASE WHEN asked AND error IS NULL THEN 'keep the edge''s' ELSE '' END AS resolution, CASE WHEN asked AND error IS NULL THEN 'edge' END AS resolution_winner FROM e""")
+_v("conflict_resolution", "memories ledger cloud_memories", f""", {_CLASSED}, k AS (SELECT memory_id, n, n % 7 = 0 AS before, n % 7 = 1 AS told, n % 2 = 0 AND n % 6 <> 0 AND n % 7 <> 0 AS rec FROM classed WHERE kase = 'DIVERGED'),
+e AS (SELECT *, n % 4 <> 3 AS asked, CASE WHEN n % 4 = 3 THEN NULL WHEN before THEN 'not open' WHEN NOT rec AND NOT told THEN 'no recommendation yet' WHEN n % 5 = 0 THEN 'winner must be edge or cloud' END AS error FROM k),
+f AS (SELECT *, asked AND error IS NULL AS now FROM e)
+SELECT memory_id, CASE WHEN now OR before THEN 'resolved' ELSE 'open' END AS status, rec AS recommended, error, CASE WHEN now THEN 'keep the edge''s' WHEN before THEN 'as agreed' ELSE '' END AS resolution, CASE WHEN now THEN 'ann' WHEN before THEN 'bob' ELSE '' END AS resolved_by,
+ CASE WHEN now THEN 'edge' WHEN before THEN 'cloud' END AS resolution_winner, CASE WHEN now THEN '2025-01-01T00:00:00Z' WHEN before THEN '2024-06-01T00:00:00Z' END AS resolved_at, CASE WHEN rec THEN 'v1' WHEN before OR told THEN 'v0' END AS recommended_by_verdict, CASE WHEN rec THEN 'validated' WHEN before OR told THEN 'rejected' ELSE 'needs_human_review' END AS advised FROM f""")
 _v("fleet_knn", "", """WITH s AS (SELECT c.vec_id::VARCHAR AS candidate_id, e.vec_id::VARCHAR AS memory_id, round(list_cosine_similarity(e.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9) AS s FROM embeddings e, embeddings c WHERE c.vec_id % 20 = 0 AND e.vec_id <> c.vec_id)
 SELECT candidate_id, memory_id, row_number() OVER (PARTITION BY candidate_id ORDER BY s DESC, memory_id) AS position, round(s, 6) AS similarity FROM s QUALIFY position <= 6""")
-_v("verdict_history", "memories", f", {_CV}, p AS (SELECT asset_id, memory_id, verdict, row_number() OVER (PARTITION BY asset_id ORDER BY evaluated_at DESC, memory_id) AS position FROM cv JOIN memories USING (memory_id) QUALIFY position <= 4) SELECT m.memory_id AS candidate_id, p.memory_id, verdict, position FROM memories m JOIN p USING (asset_id) WHERE m.memory_id <> p.memory_id")
+_JV = f"{_CV}, jv AS (SELECT 'v2-' || memory_id AS verdict_id, * FROM cv UNION ALL BY NAME SELECT 'v1-' || memory_id AS verdict_id, memory_id, 'needs_human_review' AS verdict, 'at first sight ' || content AS rationale, created_at AS evaluated_at FROM memories WHERE n % 6 = 0)"
+_v("verdict_history", "memories", f", {_JV}, p AS (SELECT asset_id, jv.*, row_number() OVER (PARTITION BY asset_id ORDER BY evaluated_at DESC, memory_id, verdict_id) AS position FROM jv JOIN memories USING (memory_id) QUALIFY position <= 4) SELECT m.memory_id AS candidate_id, p.verdict_id, p.memory_id, verdict, rationale, position FROM memories m JOIN p USING (asset_id) WHERE m.memory_id <> p.memory_id")
+_v("verdict_history_as_of", "memories", f""", {_JV}, p AS (SELECT asset_id, jv.* FROM jv JOIN memories USING (memory_id)), times AS (SELECT DISTINCT asset_id, updated_at AS moment FROM memories),
+h AS (SELECT t.asset_id, moment, p.* EXCLUDE (asset_id), row_number() OVER (PARTITION BY t.asset_id, moment ORDER BY evaluated_at DESC, memory_id, verdict_id) AS position FROM times t JOIN p ON p.asset_id = t.asset_id AND p.evaluated_at <= moment QUALIFY position <= 4)
+SELECT m.memory_id AS candidate_id, h.verdict_id, h.memory_id, verdict, rationale, position FROM memories m JOIN h ON h.asset_id = m.asset_id AND h.moment = m.updated_at WHERE m.memory_id <> h.memory_id""")
 
 _ASSET = r"CASE WHEN regexp_matches(text, '(?i)\bMSN\s?[0-9]{3,}\b') THEN 'MSN' || regexp_extract(text, '(?i)\bMSN\s?([0-9]{3,})\b', 1) ELSE nullif(regexp_extract(text, '(?i)\b(?:asset|aircraft|vehicle|unit|truck|rig|airframe)\s+(?:id\s+)?([A-Za-z0-9][A-Za-z0-9-]{2,})', 1), '') END"
 _SUB = r"lower(regexp_extract(text, '(?i)\b(hydraulics?|fuel system|electrical|avionics|landing gear|oxygen|pneumatics?|cooling|lubrication|navigation|pressurization|sensor|actuator|pump|valve|filter)\b', 1))"
@@ -275,7 +281,7 @@ dall AS (SELECT cid, id, rank, 1::DOUBLE / (61 + rank) + 0.4::DOUBLE / (61 + ran
 docs AS (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY round(score + 0.15::DOUBLE + CASE WHEN newest THEN 0.1::DOUBLE ELSE 0 END, 9) DESC, rank, id) AS position FROM dall QUALIFY position <= 6)"""
 _v("fleet_documents", "memories chunk_vec", f", {_PLACED}, {_DOCS} SELECT cid AS candidate_id, id, position, round(score, 6) AS score FROM docs")
 _OBS = """obs AS (SELECT a.memory_id AS cid, b.memory_id AS id, b.source, b.content, row_number() OVER (PARTITION BY a.memory_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) DESC, b.memory_id) AS position FROM cand a JOIN placed b ON a.memory_id <> b.memory_id QUALIFY position <= 6)"""
-_HIST = f"""{_CV}, newest AS (SELECT asset_id, memory_id, verdict, rationale, row_number() OVER (PARTITION BY asset_id ORDER BY evaluated_at DESC, memory_id) AS position FROM cv JOIN memories USING (memory_id) QUALIFY position <= 4),
+_HIST = f"""{_JV}, newest AS (SELECT asset_id, memory_id, verdict, rationale, row_number() OVER (PARTITION BY asset_id ORDER BY evaluated_at DESC, memory_id, verdict_id) AS position FROM jv JOIN memories USING (memory_id) QUALIFY position <= 4),
 hist AS (SELECT m.memory_id AS cid, h.verdict, h.rationale, position FROM cand m JOIN newest h USING (asset_id) WHERE m.memory_id <> h.memory_id)"""
 _NL = "chr(10) || chr(10)"
 
