@@ -6,7 +6,7 @@ positions ignored in turn, and all such pairs share a key. (Of pairs at Jaccard
 positions on average, all but 4 in 10,000 share a key, as nine chunks would each have to differ twice.)
 
 Groups may be huge, so pairs within a key are not listed. Each document is first compared with one hub: among its keys' members,
-the one with the most company. Links confirmed on the full sets give components. Documents that share a key with another
+the one with the most company, and of those alike in that the one whose shingles are the most common. Links confirmed on the full sets give components. Documents that share a key with another
 component's are then compared across components: of the pairs that share a key, those whose signatures are near enough are
 confirmed likewise, and only those are made that meet at their rarest shingles, as any linked pair must. What is left out is only
 pairs already in one component, so components are those of all links among the pairs that share a key.
@@ -161,20 +161,36 @@ class NearDuplicates:
         self.signed = stash(self.docs.mapInArrow(_sign(ngram), _SIGNED))
         firsts = [F.first(c).alias(c) for c in _C]
         # One node for each distinct set; exact copies end here, combined before the shuffle. Nodes go by their smallest doc_id, and
-        # by number in that order only where one doc_id has several texts and may stand for several nodes. The order counts: of hubs
-        # with equal company the first is taken, and a text that others were copied from tends to come before them.
+        # by number in that order only where one doc_id has several texts and may stand for several nodes.
         sets = self.signed.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("doc"), *firsts)
         self.classes = stash(sets.withColumn("id", F.col("doc")))
         if self.classes.groupBy("doc").count().where("count > 1").limit(1).count():
             self.classes = settled(lambda classes=self.classes: classes.repartitionByRange("doc", "h1").sortWithinPartitions("doc", "h1").withColumn("id", F.monotonically_increasing_id()), self.classes)
 
     def shared_keys(self) -> DataFrame:
-        """(key, id, company): each class under each key that it shares, and in how many pairs its keys hold it."""
+        """(key, id, company, typical): each class under each key that it shares, in how many pairs its keys hold it, and, of classes
+        whose signatures are the same, how common its shingles are among them."""
         keyed = self.classes.select("id", F.explode(_keys()).alias("key"))
         shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
         entries = stash(keyed.join(shared, "key"))
-        company = entries.groupBy("id").agg(F.sum("n").alias("company"))
-        return stash(entries.drop("n").join(company, "id").select("key", "id", "company"))
+        company = stash(entries.groupBy("id").agg(F.sum("n").alias("company")))
+        known = company.join(self.typical(company), "id", "left").withColumn("typical", F.coalesce("typical", F.lit(0.0)))
+        return stash(entries.drop("n").join(stash(known), "id").select("key", "id", "company", "typical"))
+
+    def typical(self, company: DataFrame) -> DataFrame:
+        """(id, typical): of the classes in large groups whose whole signatures are those of others, in how many of these each shingle of
+        theirs stands, on average.
+
+        Such classes have equal company, but only one may be the text that the others were copied from: it has none of their changes, so its
+        shingles are the most common. As the hub it is linked with more of them than a copy would be. This decides which
+        pairs are compared first, never which are linked.
+        """
+        alike = self.classes.groupBy(F.xxhash64(*_C).alias("whole")).agg(F.count("*").alias("n")).where("n > 1").select("whole")
+        large = company.where(F.col("company") > 4 * SYMBOLS).select("id")
+        tied = stash(self.classes.select("id", F.xxhash64(*_C).alias("whole")).join(alike, "whole", "left_semi").join(large, "id", "left_semi").select("id"))
+        shingles = stash(self.sets(tied).select("id", F.explode("shingles").alias("token")))
+        often = stash(shingles.groupBy("token").agg(F.count("*").alias("often")))
+        return shingles.join(often, "token").groupBy("id").agg(F.avg("often").alias("typical"))
 
     def signed_pairs(self, pairs: DataFrame) -> DataFrame:
         """Those of ``pairs(a, b, ...)`` that share a key and whose signatures are near enough."""
@@ -200,9 +216,10 @@ class NearDuplicates:
         return stash(both.where(100 * common >= self.percent * (F.size("x") + F.size("y") - common)).select("a", "b"))
 
     def hub_pairs(self, entries: DataFrame) -> DataFrame:
-        """Each document with the hub that has the most company among the hubs of its keys."""
-        hubs = entries.groupBy("key").agg(F.max(F.struct("company", (-F.col("id")).alias("minus"))).alias("hub"))
-        near = entries.join(hubs, "key").where(F.col("id") != -F.col("hub.minus")).select("id", F.col("hub.company").alias("w"), (-F.col("hub.minus")).alias("hub")).distinct()
+        """Each document with the hub that has the most company among the hubs of its keys; of equal ones, the most typical."""
+        hubs = entries.groupBy("key").agg(F.max(F.struct("company", "typical", (-F.col("id")).alias("minus"))).alias("hub"))
+        weight = F.struct("hub.company", "hub.typical").alias("w")
+        near = entries.join(hubs, "key").where(F.col("id") != -F.col("hub.minus")).select("id", weight, (-F.col("hub.minus")).alias("hub")).distinct()
         good = self.signed_pairs(near.select(F.col("id").alias("a"), F.col("hub").alias("b"), "w"))
         return good.groupBy("a").agg(F.max(F.struct("w", (-F.col("b")).alias("minus"))).alias("best")).select("a", (-F.col("best.minus")).alias("b"))
 
