@@ -9,6 +9,7 @@ of its presence matrix with those weights.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import fields_with, map_rows, quoted, text_batches, unused, without
-from .sampling import fold, one_row, stratified
+from .sampling import fold, smallest_hashes
 from .textkit import loose, text_blocks
 
 GRAMS = (2, 3, 4)
@@ -75,7 +76,8 @@ class LanguageModel:
 def fit(bits: np.ndarray, labels: list[str], *, landmarks: int, ridge: float) -> LanguageModel:
     """Fit on packed presence rows. Landmarks are taken from the languages in turn."""
     languages = tuple(sorted(set(labels)))
-    ys = np.array([languages.index(x) for x in labels])
+    number = {x: i for i, x in enumerate(languages)}
+    ys = np.array([number[x] for x in labels])
     order, place = np.argsort(ys, kind="stable"), np.zeros(len(ys), np.int64)
     place[order] = np.arange(len(ys)) - np.searchsorted(ys[order], ys[order])
     turn = np.lexsort((ys, place))[:landmarks]
@@ -104,23 +106,36 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit_languages(docs: DataFrame, *, fit_rows: int = 1200, landmarks: int = 128, ridge: float = 1e-3) -> LanguageModel | None:
-    """A model of all languages of ``docs(doc_id, text, lang)``; None if no row has a label and a letter.
+    """A model of all languages of ``docs(doc_id, text, lang)``, any number of them; None if no row has a label and a letter.
 
-    It is fitted on a bounded sample: about ``fit_rows`` rows in all, shared equally by the languages, and at least six of each; and
-    with ``landmarks`` landmarks, or two for each language if that is more.
+    It is fitted on a bounded sample: about ``fit_rows`` rows in all, shared equally by the languages, and six of each, or all that hold a
+    letter if there are fewer; and with ``landmarks`` landmarks, or one for each language if that is more. The model takes a quarter of a
+    megabyte a language.
     """
-    rows = docs.where(F.col("lang").isNotNull())
+    rows = docs.where(F.col("lang").isNotNull()).select("doc_id", "lang", "text")
     # Labels are counted without the texts, so only the sample's own pass reads them.
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return None
-    sample = stratified(rows, "doc_id", "lang", counts, {x: max(6, fit_rows / len(counts)) for x in counts}).where(F.col("text").rlike(r"\p{L}"))
-    # One row of each id, always the same one, so that an id with very many rows does not swell the sample.
-    sample = one_row(sample.select("doc_id", "lang", "text"), "doc_id", "lang", "text")
-    got = sorted(((r.lang, bytes(r.bits)) for r in text_batches(sample.select("lang", "text")).mapInArrow(_pack, "lang string, bits binary").collect()))
+    each = max(6, fit_rows // len(counts))
+    lettered = rows.where(F.col("text").rlike(r"\p{L}"))
+
+    def drawn(of: dict) -> list[tuple[str, bytes]]:
+        sample = smallest_hashes(lettered, "doc_id", "lang", of, each)
+        return [(r.lang, bytes(r.bits)) for r in text_batches(sample.select("lang", "text")).mapInArrow(_pack, "lang string, bits binary").collect()]
+
+    got = drawn(counts)
+    # Where few of many rows hold a letter the share drawn may miss them: such languages are looked for in all rows.
+    found = Counter(x for x, _ in got)
+    missed = [x for x, n in counts.items() if found[x] < each and n > 4 * each + 64]
+    if missed:
+        # Counted as none, a language's share is all of its rows; the others are not asked for.
+        again = drawn(dict.fromkeys(missed, 0))
+        got = [g for g in got if g[0] not in set(missed)] + again
+    got.sort()
     if not got:
         return None
-    return fit(np.stack([np.frombuffer(b, np.uint8) for _, b in got]), [x for x, _ in got], landmarks=max(landmarks, 2 * len(counts)), ridge=ridge)
+    return fit(np.stack([np.frombuffer(b, np.uint8) for _, b in got]), [x for x, _ in got], landmarks=max(landmarks, len(counts)), ridge=ridge)
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel | None, *, text: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "margin")) -> DataFrame:
