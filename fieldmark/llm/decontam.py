@@ -178,7 +178,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", min
     """
     docs = without(docs, *names)
     benchmark = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    total = benchmark.agg(F.sum(F.regexp_count("text", F.lit(r"\S+")))).first()[0] or 0
+    # Words as Items has them: runs of ASCII letters and digits, and of all that is not ASCII.
+    total = benchmark.agg(F.sum(F.regexp_count("text", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+")))).first()[0] or 0
     passes = max(1, -(-total // WORDS_A_PASS))
     context = docs.sparkSession.sparkContext
 
