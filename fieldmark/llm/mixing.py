@@ -20,26 +20,37 @@ def word_count(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def ranked(sizes: DataFrame) -> DataFrame:
+    """``sizes`` with ``rank``, the place of each row by ``source`` (by code point, null last) from 0. Sources are dealt by ranges and
+    numbered within them, so of any number of sources no task holds all; only the ranges are counted in one."""
+    at = F.col("source").asc_nulls_last()
+    placed = stash(sizes.repartitionByRange(at).sortWithinPartitions(at).withColumn("at", F.monotonically_increasing_id()))
+    part, within = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    before = F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    starts = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("start"))
+    return placed.withColumn("part", part).join(F.broadcast(starts), "part").withColumn("rank", F.col("start") + within).drop("at", "part", "start")
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], cap: float) -> DataFrame:
     """Targets of ``sizes(source, source_size)``: shares of the sum by weight, none above ``cap`` times its source's size.
 
     Weights go round over the sources by code point, null last. What a cap cuts off is shared again by weight among the rest
-    until none is above, which is: the smallest common level L with sum(min(cap*size, weight*L)) = total. Sources in order of
-    cap*size/weight are capped up to a point, so two running sums give L for each point.
+    until none is above, which is: the smallest common level L with sum(min(cap*size, weight*L)) = total. Each round is one aggregation:
+    the level if those that it caps are capped, which only rises, until it caps no more. As the sum is concave in L this is Newton's
+    method, and takes a few rounds whatever the number of sources.
     """
-    rank = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last()))
-    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.pmod(rank - 1, F.lit(len(weights))) + 1).cast("int"))
-    s = sizes.select("source", "source_size", weight.cast("double").alias("w"), (F.col("source_size") * F.lit(float(cap))).alias("most"))
-    by_level = W.orderBy(F.col("most") / F.col("w"), F.col("source").asc_nulls_last())
-    s = s.withColumns({
-        "total": F.sum("source_size").over(W.partitionBy()).cast("double"),
-        "capped": F.coalesce(F.sum("most").over(by_level.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)),
-        "open_w": F.sum("w").over(by_level.rowsBetween(0, W.unboundedFollowing)),
-    })
-    # The level if this source and all after it are open; it holds at the first source whose own cap is not below it.
-    s = s.withColumn("level", (F.col("total") - F.col("capped")) / F.col("open_w"))
-    s = s.withColumn("level", F.min(F.when(F.col("most") >= F.col("w") * F.col("level"), F.struct(F.col("most") / F.col("w"), F.col("level").alias("l")))).over(W.partitionBy())["l"])
-    return s.select("source", "source_size", F.coalesce(F.least("most", F.col("w") * F.col("level")), F.col("most")).alias("target"))
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.pmod(F.col("rank"), F.lit(len(weights))) + 1).cast("int"))
+    s = stash(ranked(sizes).select("source", "source_size", weight.cast("double").alias("w"), (F.col("source_size") * F.lit(float(cap))).alias("most")))
+    total, level, capped_before = s.agg(F.sum("source_size").cast("double")).first()[0] or 0.0, 0.0, -1
+    while True:
+        above = F.col("w") * F.lit(level) > F.col("most")
+        r = s.agg(F.sum(F.when(above, F.col("most")).otherwise(0.0)), F.sum(F.when(above, 0.0).otherwise(F.col("w"))), F.count_if(above)).first()
+        # All capped: every target is its cap.
+        if not r[1] or r[2] == capped_before:
+            break
+        capped_before, level = r[2], (total - r[0]) / r[1]
+    target = F.least("most", F.col("w") * F.lit(level)) if r[1] else F.col("most")
+    return s.select("source", "source_size", target.alias("target"))
 
 
 def mix_limits(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0) -> tuple[DataFrame, int]:
