@@ -88,6 +88,8 @@ def shard_manifest(docs: DataFrame, shards: int) -> DataFrame:
 
 
 def write_shards(df: DataFrame, key: str, shards: int, path: str) -> None:
-    """Write ``df`` as one Parquet folder for each shard, rows in slot order within each file."""
-    placed = number_slots(assign_shards(df, key, shards), key, shards, [])
+    """Write ``df`` as one Parquet folder for each shard, rows in slot order within each file. Rows of one key are told apart by a hash of
+    all their columns, so those of a frequent key are ranked in many tasks; rows alike in all of them are interchangeable."""
+    content = F.xxhash64(*[F.col(quoted(c)) for c in df.columns])
+    placed = number_slots(assign_shards(df, key, shards), key, shards, [content])
     placed.repartition(F.col("shard"), F.floor(F.col("slot") / 1_000_000)).sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
