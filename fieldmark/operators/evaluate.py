@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -11,21 +12,27 @@ from ..functions.verdicts import coerce, generate_with, json_object_exact, judge
 from .nearest import closest
 from .retrieval import retrieve
 
+if TYPE_CHECKING:
+    from .vector_index import VectorIndex
+
 OBSERVATIONS, DOCUMENTS, HISTORY = 6, 6, 4
 
 
-def fleet_neighbours(candidates: DataFrame, fleet: DataFrame, *, k: int = OBSERVATIONS) -> DataFrame:
+def fleet_neighbours(candidates: DataFrame, fleet: DataFrame, *, k: int = OBSERVATIONS, index: VectorIndex | None = None, exact: bool = True) -> DataFrame:
     """(candidate_id, memory_id, similarity, position): the ``k`` memories of ``fleet(memory_id, embedding)`` most similar to each of
-    ``candidates(memory_id, embedding)``, itself left out before ranking."""
+    ``candidates(memory_id, embedding)``, itself left out before ranking. With an ``index`` of the fleet only its lists are compared with."""
     c = candidates.select(F.col("memory_id").alias("candidate_id"), F.col("embedding").alias("__v"))
-    return closest(c, fleet.select("memory_id", F.col("embedding").alias("__e")), id="memory_id", k=k, unless=F.col("memory_id") == F.col("candidate_id"))
+    itself = F.col("memory_id") == F.col("candidate_id")
+    if index is not None:
+        return index.search(c, k=k, unless=itself, exact=exact)
+    return closest(c, fleet.select("memory_id", F.col("embedding").alias("__e")), id="memory_id", k=k, unless=itself)
 
 
-def asset_documents(candidates: DataFrame, chunks: DataFrame, *, k: int = DOCUMENTS) -> DataFrame:
+def asset_documents(candidates: DataFrame, chunks: DataFrame, *, k: int = DOCUMENTS, index: VectorIndex | None = None, exact: bool = True) -> DataFrame:
     """(candidate_id, id, source, content, score, position): the authoritative chunks that the hybrid query finds for each candidate's
-    content within its asset (without one: in all), best first."""
+    content within its asset (without one: in all), best first. ``index``: a vector index of the chunks, with asset_id and jev_status."""
     asked = candidates.select(F.col("memory_id").alias("query_id"), F.col("embedding").alias("vector"), exact_terms(F.col("content")).alias("terms"), F.col("asset_id").alias("scope"))
-    found = retrieve(asked, chunks, where=F.col("jev_status") == "not_applicable", limit=k, scoped=True)
+    found = retrieve(asked, chunks, where=F.col("jev_status") == "not_applicable", limit=k, scoped=True, index=index, exact=exact)
     return found.select(F.col("query_id").alias("candidate_id"), "id", "source", "content", "score", "position")
 
 
@@ -69,30 +76,31 @@ def history_as_of(asked: DataFrame, placed: DataFrame, *, k: int) -> DataFrame:
 
     An as-of join by one ordered pass in place of a range join. Assets are cut into days, so that one with a third of all rows is many
     tasks; what the days before bring along is the ``k`` last verdicts of each, found before the shuffle and passed on by a second, small
-    pass. Times are ISO texts in UTC; without one a candidate has no history.
+    pass. Times are ISO texts in UTC; without one, or without an asset, a candidate has no history.
     """
+    asked, placed = asked.where("asset_id is not null and at is not null"), placed.where("asset_id is not null and evaluated_at is not null")
     v = F.struct(*_VERDICT, "evaluated_at").alias("v")
     day = lambda c: F.substring(c, 1, 10).alias("day")
-    given = placed.where("evaluated_at is not null").select("asset_id", day("evaluated_at"), F.col("evaluated_at").alias("at"), v)
+    given = placed.select("asset_id", day("evaluated_at"), F.col("evaluated_at").alias("at"), v)
     none = F.lit(None).cast(given.schema["v"].dataType).alias("v")
     rows = asked.select("candidate_id", "asset_id", day("at"), "at", none).unionByName(given, allowMissingColumns=True)
-    within = _last_before(rows.where("at is not null"), ["asset_id", "day"], k).where("candidate_id is not null").select("candidate_id", "asset_id", "day", F.col("last").alias("today"))
+    within = _last_before(rows, ["asset_id", "day"], k).where("candidate_id is not null").select("candidate_id", "asset_id", "day", F.col("last").alias("today"))
     newest = F.row_number().over(W.partitionBy("asset_id", "day").orderBy(F.desc("at"), "v.memory_id", "v.verdict_id"))
     daily = given.withColumn("place", newest).where(F.col("place") <= k).drop("place")
     # A mark at the beginning of each day: what the days before had.
-    marks = asked.where("at is not null").select("asset_id", day("at")).distinct().select("asset_id", "day", F.col("day").alias("at"), none)
+    marks = asked.select("asset_id", day("at")).distinct().select("asset_id", "day", F.col("day").alias("at"), none)
     before = _last_before(daily.unionByName(marks), ["asset_id"], k).where("v is null").select("asset_id", "day", F.col("last").alias("earlier"))
     return within.join(before, ["asset_id", "day"], "left").select("candidate_id", F.slice(F.concat("today", F.coalesce("earlier", F.array().cast(before.schema["earlier"].dataType))), 1, k).alias("history"))
 
 
-def fleet_context(candidates: DataFrame, fleet: DataFrame, chunks: DataFrame, verdicts: DataFrame, memories: DataFrame, *, as_of: str | None = None) -> DataFrame:
+def fleet_context(candidates: DataFrame, fleet: DataFrame, chunks: DataFrame, verdicts: DataFrame, memories: DataFrame, *, as_of: str | None = None, index: VectorIndex | None = None) -> DataFrame:
     """``candidates`` with three arrays: observations (with the device they come from), documents and history (of all time, or as of a
-    time of the candidates)."""
+    time of the candidates). ``index``: a vector index of the fleet."""
     def gathered(rows: DataFrame, name: str, *fields: str) -> DataFrame:
         ordered = F.array_sort(F.collect_list(F.struct("position", *fields)))
         return rows.groupBy("candidate_id").agg(F.transform(ordered, lambda x: F.struct(*[x[f].alias(f) for f in fields])).alias(name))
 
-    seen = fleet_neighbours(candidates, fleet).join(fleet.select("memory_id", "source", "content"), "memory_id").withColumnRenamed("memory_id", "id")
+    seen = fleet_neighbours(candidates, fleet, index=index).join(fleet.select("memory_id", "source", "content"), "memory_id").withColumnRenamed("memory_id", "id")
     past = verdict_history(candidates, verdicts, memories, as_of=as_of)
     out = candidates.withColumn("candidate_id", F.col("memory_id"))
     for rows, name, fields in ((seen, "observations", ("id", "source", "content")), (asset_documents(candidates, chunks), "documents", ("id", "source", "content")), (past, "history", ("verdict", "rationale"))):

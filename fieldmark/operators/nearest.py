@@ -50,12 +50,12 @@ class Size:
         return cls(r.n, r.lo if r.lo is not None and r.lo == r.hi and r.lo > 0 else 0)
 
 
-def closest(candidates: DataFrame, rows: DataFrame, *, id: str, k: int, key: tuple[str, str] | None = None, unless: Column | None = None, size: Size | None = None) -> DataFrame:
+def closest(candidates: DataFrame, rows: DataFrame, *, id: str, k: int, key: tuple[str, str] | None = None, unless: Column | None = None, size: Size | None = None, least: Column | None = None) -> DataFrame:
     """(candidate_id, id, similarity, position from 1): the ``k`` rows most similar to each of ``candidates(candidate_id, __v, ...)`` among
     ``rows(id, __e, ...)``; only those with an equal ``key`` (candidates' column, rows' column) if that is given, and without pairs for
     which ``unless`` holds. Ties go by id. Vectors that are null, zero, hold a null or differ in length have no similarity.
 
-    ``size`` says what is known of the candidates; else they are counted. Norms are computed once a row. Of many candidates, the k-th
+    ``least``: a similarity, of candidates' columns, below which no row is wanted. ``size`` says what is known of the candidates; else they are counted. Norms are computed once a row. Of many candidates, the k-th
     best of a few rows is no better than that of all, so pairs below it are dropped before they are rounded and ranked. If their vectors
     are of one length, up to ``UNROLLED``, they are compared number by number in generated code.
     """
@@ -88,8 +88,8 @@ def closest(candidates: DataFrame, rows: DataFrame, *, id: str, k: int, key: tup
         pairs = pairs.where(~unless) if unless is not None else pairs
         return pairs.select("candidate_id", id, F.round(score, 9).alias("similarity")).withColumn("position", place).where(F.col("position") <= k)
 
-    if size.n < MANY:
-        return ranked(candidates.withColumn("__least", F.lit(-2.0)), rows)
+    if least is not None or size.n < MANY:
+        return ranked(candidates.withColumn("__least", F.lit(-2.0) if least is None else least), rows)
     some = ranked(candidates.withColumn("__least", F.lit(-2.0)), rows.where(F.pmod(F.xxhash64(id), F.lit(64)) == 0))
     least = some.groupBy("candidate_id").agg(F.when(F.count("*") >= k, F.min("similarity")).alias("__least"))
     return ranked(candidates.join(least, "candidate_id", "left").withColumn("__least", F.coalesce("__least", F.lit(-2.0))), rows)

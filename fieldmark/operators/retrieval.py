@@ -7,15 +7,22 @@ them. Each leg keeps the best rows of a query by a window rank, which Spark limi
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import contained_terms, match_tokens
 from ..functions.vector import cosine
-from .nearest import FEW, Size, beside, blocks, closest, union
+from .nearest import FEW, Size, beside, closest, union
+from .term_index import TermIndex
+
+if TYPE_CHECKING:
+    from .vector_index import VectorIndex
 
 LIMIT, RRF_K = 4, 60
 EXACT, BOTH, NEWEST = 0.25, 0.15, 0.10
+#: Unscoped queries up to which each text is tested for the terms of all, where no index of the terms is given.
+ASKED_AT_ONCE = 64
 
 
 def vector_topk(chunks: DataFrame, vector: list[float], *, k: int = LIMIT, where: Column | None = None, id: str = "id") -> DataFrame:
@@ -47,18 +54,27 @@ class Asked:
         return [p for p in found if p[1]] or [(queries, 0, True)]
 
 
-def vector_leg(queries: DataFrame, chunks: DataFrame, *, per_leg: int, scoped: bool = False, known: Asked | None = None) -> DataFrame:
-    """(query_id, id, rank from 0) of the best chunks of each of ``queries(query_id, vector, scope if scoped)``."""
+def vector_leg(queries: DataFrame, chunks: DataFrame, *, per_leg: int, scoped: bool = False, known: Asked | None = None, index: VectorIndex | None = None, where: Column | None = None, exact: bool = True) -> DataFrame:
+    """(query_id, id, rank from 0) of the best chunks of each of ``queries(query_id, vector, scope if scoped)``. With an ``index`` of the
+    chunks its lists are searched instead, for rows that pass ``where``."""
     known = known or Asked.of(queries, scoped)
-    rows = chunks.select("id", F.col("embedding").alias("__e"), "asset_id")
     asked = queries.select(F.col("query_id").alias("candidate_id"), F.col("vector").alias("__v"), *(["scope"] if scoped else []))
-    found = [closest(q, rows, id="id", k=per_leg, key=("scope", "asset_id") if own else None, size=Size(n, known.length)) for q, n, own in known.parts(asked, scoped)]
+    parts = [(q, n, ("scope", "asset_id") if own else None) for q, n, own in known.parts(asked, scoped)]
+    if index is not None:
+        found = [index.search(q, k=per_leg, key=key, where=where, exact=exact) for q, _, key in parts]
+    else:
+        rows = chunks.select("id", F.col("embedding").alias("__e"), "asset_id")
+        found = [closest(q, rows, id="id", k=per_leg, key=key, size=Size(n, known.length)) for q, n, key in parts]
     return union(found).select(F.col("candidate_id").alias("query_id"), "id", (F.col("position") - 1).alias("rank"))
 
 
-def keyword_leg(queries: DataFrame, chunks: DataFrame, *, per_leg: int, scoped: bool = False, known: Asked | None = None) -> DataFrame:
+def keyword_leg(queries: DataFrame, chunks: DataFrame, *, per_leg: int, scoped: bool = False, known: Asked | None = None, terms: TermIndex | None = None) -> DataFrame:
     """(query_id, id, rank): chunks of which the content or a keyword holds all words of the query's terms together, and some term
-    whole; in order of id. ``queries(query_id, terms array<string>)``; those without terms have none."""
+    whole; in order of id. ``queries(query_id, terms array<string>)``; those without terms have none.
+
+    Unscoped queries look their words up in ``terms``, an index of the chunks (or of more rows: others are dropped). Without one, few
+    queries stream past each text, and for many an index is made of the texts as the plan runs.
+    """
     known = known or Asked.of(queries, scoped)
     asked = queries.where(F.size("terms") > 0).select("query_id", "terms", F.array_join("terms", " ").alias("joined"), *(["scope"] if scoped else []))
     rows = chunks.select("id", "content", "keywords", "asset_id")
@@ -71,10 +87,13 @@ def keyword_leg(queries: DataFrame, chunks: DataFrame, *, per_leg: int, scoped:
     for q, n, own in known.parts(asked, scoped):
         # Texts are folded once: those in scope, or, where each meets several queries, all before they meet them.
         if own:
-            found = [rows.join(beside(q, n <= FEW), F.col("asset_id") == F.col("scope")).withColumns(folded).where(hit)]
+            found = rows.join(beside(q, n <= FEW), F.col("asset_id") == F.col("scope")).withColumns(folded).where(hit)
+        elif terms is None and n <= ASKED_AT_ONCE:
+            found = rows.withColumns(folded).join(F.broadcast(q), hit)
         else:
-            found = [rows.withColumns(folded).join(F.broadcast(part), hit) for part in blocks(q, n, "query_id")]
-        pairs += [p.select("query_id", "terms", "id", "content", "keywords") for p in found]
+            met = (terms or TermIndex.of(rows)).candidates(q.where(F.size("tokens") > 0))
+            found = met.join(beside(q, n <= FEW), "query_id").join(rows, "id").withColumns(folded).where(hit)
+        pairs.append(found.select("query_id", "terms", "id", "content", "keywords"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("id"))
     # The store's limit comes first, the check for a whole term after it.
     near = union(pairs).withColumn("rank", rank).where(F.col("rank") <= per_leg).where(F.size(contained_terms(F.col("terms"), F.col("content"), F.col("keywords"))) > 0)
@@ -113,17 +132,18 @@ def rerank(fused: DataFrame, *, limit: int = LIMIT) -> DataFrame:
     return scored.withColumn("position", F.row_number().over(order)).where(F.col("position") <= limit)
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, *, where: Column | None = None, limit: int = LIMIT, scoped: bool = False, known: Asked | None = None) -> DataFrame:
+def retrieve(queries: DataFrame, chunks: DataFrame, *, where: Column | None = None, limit: int = LIMIT, scoped: bool = False, known: Asked | None = None, index: VectorIndex | None = None, terms: TermIndex | None = None, exact: bool = True) -> DataFrame:
     """Evidence for each of ``queries(query_id, vector, terms)`` from ``chunks``: one row for each query and position.
 
     Chunks are filtered before anything is ranked; ``scoped``: by each query's ``scope`` (null: any) too. Without terms the second leg
-    repeats the first at a low weight.
+    repeats the first at a low weight. ``index``: a vector index of the chunks, with the columns of ``where``, for the first leg;
+    ``terms``: an index of their words, for the second.
     """
     chunks = chunks.where(where) if where is not None else chunks
     known = known or Asked.of(queries, scoped)
     per_leg, few = max(3 * limit, 12), known.own + known.any <= FEW
-    semantic = vector_leg(queries, chunks, per_leg=per_leg, scoped=scoped, known=known)
-    keyword = keyword_leg(queries, chunks, per_leg=per_leg, scoped=scoped, known=known)
+    semantic = vector_leg(queries, chunks, per_leg=per_leg, scoped=scoped, known=known, index=index, where=where, exact=exact)
+    keyword = keyword_leg(queries, chunks, per_leg=per_leg, scoped=scoped, known=known, terms=terms)
     # One vector search serves both legs of a query without terms.
     first, again = F.struct(F.lit("semantic").alias("leg"), F.lit(1.0).alias("weight")), F.struct(F.lit("keyword").alias("leg"), F.lit(0.4).alias("weight"))
     plain = beside(queries.select("query_id", (F.size("terms") == 0).alias("plain")), few)
@@ -147,11 +167,11 @@ def without_evidence(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     return open_.join(keyword_leg(open_, chunks, per_leg=1, scoped=True).select("query_id"), "query_id", "left_anti")
 
 
-def retrieve_or_widen(queries: DataFrame, chunks: DataFrame, *, limit: int = LIMIT) -> DataFrame:
+def retrieve_or_widen(queries: DataFrame, chunks: DataFrame, *, limit: int = LIMIT, terms: TermIndex | None = None) -> DataFrame:
     """:func:`retrieve` within each query's ``scope`` (an asset id; null: any), and over all chunks for queries that find nothing
-    there; ``widened`` says which."""
+    there; ``widened`` says which. ``terms``: an index of the chunks' words."""
     known = Asked.of(queries, True)
-    own = retrieve(queries, chunks, limit=limit, scoped=True, known=known).withColumn("widened", F.lit(False))
+    own = retrieve(queries, chunks, limit=limit, scoped=True, known=known, terms=terms).withColumn("widened", F.lit(False))
     if not known.own:
         return own
     wide = without_evidence(queries, chunks)
@@ -160,7 +180,7 @@ def retrieve_or_widen(queries: DataFrame, chunks: DataFrame, *, limit: int = LIM
         ids = wide.select("query_id")
         wide = queries.join(F.broadcast(ids.sparkSession.createDataFrame(ids.collect(), ids.schema)), "query_id")
     left = Asked.of(wide, False)
-    return own.unionByName(retrieve(wide.select("query_id", "vector", "terms"), chunks, limit=limit, known=left).withColumn("widened", F.lit(True))) if left.any else own
+    return own.unionByName(retrieve(wide.select("query_id", "vector", "terms"), chunks, limit=limit, known=left, terms=terms).withColumn("widened", F.lit(True))) if left.any else own
 
 
 def citations(rows: DataFrame) -> DataFrame:

@@ -11,15 +11,16 @@ from ..functions.vector import cosine, embed_with, hash_embed
 from ..functions.verdicts import coerce, grounded_prompt, json_object, stub_verdicts
 from ..operators import answer, filters, gate, lifecycle, listing, provision, retrieval, session, sync, validate
 from ..operators.evaluate import asset_documents, evaluate, fleet_context, fleet_neighbours, prompts, verdict_history
+from ..operators.term_index import TermIndex
+from ..operators.vector_index import VectorIndex
 from ..sources import ingest, store
+from ..sources.scratch import scratch_folder, state_of
 from . import oracle
 from .views import spark_view
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 
-#: (query_id, text, vec_id of its vector, asset it is scoped to)
-ASKED = [(1, "What does ERR-4012 mean", 3, None), (2, "why is the pump noisy", 5, "MSN4405"), (3, "procedure for PN-607 and the valve", 7, "MSN9999"), (4, "it leaks again", 9, "MSN4410"), (5, "check error 4031 on the filter", 11, None)]
 TARGET = {"component": "pump", "job_terms": ["the", "und"]}
 NOW = "2025-01-01T00:00:00Z"
 
@@ -47,9 +48,22 @@ def vector_of(spark: SparkSession, d: str, vec_id: int) -> list[float]:
 
 
 def asked(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame(ASKED, "query_id int, text string, vec_id long, scope string")
-    vectors = spark_view(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    return vectors.join(F.broadcast(rows), "vec_id").withColumn("terms", X.exact_terms(F.col("text")))
+    """The questions, each with a vector of the table and its terms."""
+    rows, vectors = spark_view(spark, d, "questions"), spark_view(spark, d, "embeddings")
+    vectors = vectors.select("vec_id", F.col("embedding").alias("vector"))
+    return rows.withColumn("vec_id", F.col("n") % vectors.count()).join(vectors, "vec_id").withColumn("terms", X.exact_terms(F.col("text"))).drop("n")
+
+
+def kept_terms(spark: SparkSession, d: str) -> TermIndex:
+    """An index of the chunks' words, kept while the documents stay as they are."""
+    path = f"{scratch_folder(spark)}/terms-{state_of(spark, f'{d}/documents.parquet')[:12]}"
+    return TermIndex.kept(spark, path, lambda: spark_view(spark, d, "chunks"))
+
+
+def kept_index(spark: SparkSession, d: str, name: str, id: str, *tables: str) -> VectorIndex:
+    """An index of the rows of ``_INDEXED[name]``, kept while the files of the tables they come from stay as they are."""
+    state = "-".join(state_of(spark, f"{d}/{t}.parquet")[:12] for t in tables)
+    return VectorIndex.kept(spark, f"{scratch_folder(spark)}/vectors-{name}-{state}", lambda: _INDEXED[name](spark, d), id=id)
 
 
 # Vectors and filters
@@ -60,6 +74,13 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.vector_topk(spark_view(spark, d, "embeddings"), vector_of(spark, d, 0), k=12, id="vec_id").select("vec_id", F.round("score", 6).alias("score"))
 
 
+@query
+def vector_topk_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """The same from an index's lists, as many as it takes to find 98 in 100 of the nearest rows."""
+    index = kept_index(spark, d, "embeddings", "memory_id", "embeddings")
+    return index.top(vector_of(spark, d, 0), k=12, exact=False).select("memory_id", F.round("score", 6).alias("score"))
+
+
 @query
 def vector_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
     where = filters.metadata_filter({"component": "pump", "doc_type": "report"})
@@ -110,7 +131,7 @@ def exact_terms_hinted(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def keyword_leg(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.keyword_leg(asked(spark, d), spark_view(spark, d, "chunks"), per_leg=12)
+    return retrieval.keyword_leg(asked(spark, d), spark_view(spark, d, "chunks"), per_leg=12, terms=kept_terms(spark, d))
 
 
 # Fusion and ranking
@@ -144,13 +165,21 @@ def rerank_boosts(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def hybrid_retrieval(spark: SparkSession, d: str) -> DataFrame:
-    rows = retrieval.retrieve(asked(spark, d), spark_view(spark, d, "chunk_vec"))
+    rows = retrieval.retrieve(asked(spark, d), spark_view(spark, d, "chunk_vec"), terms=kept_terms(spark, d))
     return rows.select("query_id", "position", "id", "document_id", "source", "score", "semantic_rank", "keyword_rank", "version", joined("matched_keywords").alias("matched"))
 
 
+@query
+def hybrid_retrieval_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """The same with both legs from indexes, the vectors' from the lists that a query probes at first."""
+    index = kept_index(spark, d, "chunks", "id", "documents", "embeddings")
+    rows = retrieval.retrieve(asked(spark, d), spark_view(spark, d, "chunk_vec"), index=index, terms=kept_terms(spark, d), exact=False)
+    return rows.select("query_id", "position", "id", "score")
+
+
 @query
 def fallback_unfiltered(spark: SparkSession, d: str) -> DataFrame:
-    rows = retrieval.retrieve_or_widen(asked(spark, d), spark_view(spark, d, "chunk_vec"))
+    rows = retrieval.retrieve_or_widen(asked(spark, d), spark_view(spark, d, "chunk_vec"), terms=kept_terms(spark, d))
     return rows.select("query_id", "position", "id", "asset_id", "score", "widened")
 
 
@@ -657,10 +686,25 @@ def conflict_resolution(spark: SparkSession, d: str) -> DataFrame:
     return done.select("memory_id", "status", "recommended", "error", "resolution", "resolved_by", "resolution_winner", "resolved_at", "recommended_by_verdict", F.col("jev_recommendation.verdict").alias("advised"))
 
 
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return spark_view(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("memory_id"), "embedding", "vec_id")
+
+
+def _neighbours(spark: SparkSession, d: str, exact: bool) -> DataFrame:
+    e = _vectors(spark, d)
+    found = fleet_neighbours(e.where("vec_id % 20 = 0"), e, index=kept_index(spark, d, "embeddings", "memory_id", "embeddings"), exact=exact)
+    return found.select("candidate_id", "memory_id", "position", F.round("similarity", 6).alias("similarity"))
+
+
 @query
 def fleet_knn(spark: SparkSession, d: str) -> DataFrame:
-    e = spark_view(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("memory_id"), "embedding", "vec_id")
-    return fleet_neighbours(e.where("vec_id % 20 = 0"), e).select("candidate_id", "memory_id", "position", F.round("similarity", 6).alias("similarity"))
+    return _neighbours(spark, d, exact=True)
+
+
+@query
+def fleet_knn_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """Only from the lists that a vector probes at first."""
+    return _neighbours(spark, d, exact=False)
 
 
 def _placed(spark: SparkSession, d: str) -> DataFrame:
@@ -669,15 +713,31 @@ def _placed(spark: SparkSession, d: str) -> DataFrame:
     return m.join(emb, emb.vec_id == m.n % emb.count()).select(m["*"], "embedding")
 
 
+#: What is indexed, by name.
+_INDEXED: dict[str, Query] = {
+    "embeddings": _vectors,
+    "fleet": lambda spark, d: _placed(spark, d).select("memory_id", "embedding"),
+    "chunks": lambda spark, d: spark_view(spark, d, "chunk_vec").select("id", "asset_id", "jev_status", "embedding"),
+}
+
+
 @query
 def fleet_documents(spark: SparkSession, d: str) -> DataFrame:
     return asset_documents(_placed(spark, d).where("n % 20 = 0"), spark_view(spark, d, "chunk_vec")).select("candidate_id", "id", "position", "score")
 
 
+@query
+def fleet_documents_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """The same with its vector leg from an index's lists, within each asset."""
+    index = kept_index(spark, d, "chunks", "id", "documents", "embeddings")
+    return asset_documents(_placed(spark, d).where("n % 20 = 0"), spark_view(spark, d, "chunk_vec"), index=index, exact=False).select("candidate_id", "id", "position", "score")
+
+
 def _context(spark: SparkSession, d: str) -> DataFrame:
     """Of the query set of searches, ids divisible by 20, against the whole fleet."""
     fleet = _placed(spark, d)
-    return fleet_context(fleet.where("n % 20 = 0"), fleet, spark_view(spark, d, "chunk_vec"), _judged(spark, d), fleet)
+    index = kept_index(spark, d, "fleet", "memory_id", "events", "embeddings")
+    return fleet_context(fleet.where("n % 20 = 0"), fleet, spark_view(spark, d, "chunk_vec"), _judged(spark, d), fleet, index=index)
 
 
 def _answer(prompts: list[str]) -> list[str]:
@@ -798,26 +858,20 @@ def session_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def grounded_prompt_(spark: SparkSession, d: str) -> DataFrame:
-    found = retrieval.retrieve(asked(spark, d), spark_view(spark, d, "chunk_vec"))
+    found = retrieval.retrieve(asked(spark, d), spark_view(spark, d, "chunk_vec"), terms=kept_terms(spark, d))
     chunks = F.transform(F.array_sort(F.collect_list(F.struct("position", "source", "document_id", "content"))), lambda c: F.struct(c["source"].alias("source"), c["document_id"].alias("document_id"), c["content"].alias("content")))
     return found.groupBy("query_id").agg(chunks.alias("chunks")).join(asked(spark, d).select("query_id", "text"), "query_id").select("query_id", grounded_prompt(F.col("text"), F.col("chunks"), sources=True).alias("prompt"))
 
 
-#: (query_id, asset and component of its session, what its session asked before)
-SESSIONS = [(1, None, None, []), (2, "MSN4405", "valve", ["the valve sticks"]), (3, "MSN9999", "pump", ["is it tight"]), (4, "MSN4410", None, []), (5, "MSN4402", "filter", ["one", "two"])]
-
-
 def _asked_in_sessions(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame(SESSIONS, "query_id int, asset_id string, component string, queries array<string>")
-    none, texts = F.lit(None).cast("string"), F.array().cast("array<string>")
-    state = rows.withColumns({"equipment_model": none, "issue": none, "actions": texts, "observations": texts, "evidence": F.array().cast("array<struct<source: string, document_id: string, content: string>>")})
-    return asked(spark, d).select("query_id", "text", "vector").join(F.broadcast(state), "query_id")
+    """Each question as one more of its conversation, with the state in which that ended."""
+    return asked(spark, d).select("query_id", F.col("conv_id").alias("session_id"), "text", "vector").join(_state(spark, d), "session_id")
 
 
 @query
 def answer_question(spark: SparkSession, d: str) -> DataFrame:
     """Expansion, the session's scope or beyond it, retrieval, prompt and generation, as one query."""
-    answers = answer.answer(_asked_in_sessions(spark, d), spark_view(spark, d, "chunk_vec"), _count)[0]
+    answers = answer.answer(_asked_in_sessions(spark, d), spark_view(spark, d, "chunk_vec"), _count, terms=kept_terms(spark, d))[0]
     return answers.select("query_id", "query", "widened", "used_context", "prompt", "answer")
 
 
@@ -827,7 +881,7 @@ def _count(prompts_: list[str]) -> list[str]:
 
 @query
 def answer_citations(spark: SparkSession, d: str) -> DataFrame:
-    cited = answer.answer(_asked_in_sessions(spark, d), spark_view(spark, d, "chunk_vec"), _count)[2]
+    cited = answer.answer(_asked_in_sessions(spark, d), spark_view(spark, d, "chunk_vec"), _count, terms=kept_terms(spark, d))[2]
     return cited.select("query_id", "position", "document_id", "source", "version", joined("chunk_ids").alias("chunk_ids"))
 
 

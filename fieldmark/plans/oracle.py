@@ -32,7 +32,19 @@ each AS (SELECT doc_id, unnest(tokens) AS t, generate_subscripts(tokens, 1) AS i
 firsts AS (SELECT doc_id, t, min(i) AS i FROM each WHERE {_IS_ID} GROUP BY ALL)
 SELECT d.doc_id, coalesce(string_agg(f.t, '|' ORDER BY f.i), '') AS tokens FROM documents d LEFT JOIN firsts f USING (doc_id) GROUP BY d.doc_id""")
 
-_ASKED = """asked(query_id, vec_id, scope, terms, words) AS (VALUES (1, 3, NULL, ['ERR-4012'], ['err', '4012']), (2, 5, 'MSN4405', []::VARCHAR[], []::VARCHAR[]), (3, 7, 'MSN9999', ['PN-607'], ['pn', '607']), (4, 9, 'MSN4410', []::VARCHAR[], []::VARCHAR[]), (5, 11, NULL, ['4031'], ['4031']))"""
+_HINTS = r"(?i)\b(?:err(?:or)?|code|pn|p/n|part|mpn|msg|fault|fail|procedure|proc|bulletin|sb|ad|tid|doc|docid|manual|amm|cmm|ipc|rev|step|assembly|assy)\b[-.:_ ]*\s*([a-z0-9][a-z0-9-]*)"
+
+
+def _terms(name: str, source: str, key: str, text: str = "text") -> str:
+    """The exact terms of the texts of ``source``, as the relation ``name(key, terms)``."""
+    return rf"""{name}_l AS (SELECT {key}, list_filter(list_transform(regexp_extract_all({text}, '[A-Za-z0-9][A-Za-z0-9._/-]*'), lambda x: regexp_replace(x, '[.,;:]+$', '')), lambda t: {_IS_ID}) AS ids, list_filter(regexp_extract_all({text}, '{_HINTS}', 1), lambda h: length(h) >= 2 AND regexp_matches(h, '[0-9]')) AS hints FROM {source}),
+{name}_d AS (SELECT {key}, list_filter(ids, lambda x, i: list_position(ids, x) = i) AS ids, hints FROM {name}_l),
+-- A hint counts unless an identifier, or a hint before it, holds it.
+{name} AS (SELECT {key}, ids || list_filter(hints, lambda x, i: NOT coalesce(list_bool_or(list_transform(ids || hints[1:i - 1], lambda y: contains(lower(y), lower(x)))), false)) AS terms FROM {name}_d)"""
+
+
+_SPLIT_TERMS = "list_filter(regexp_split_to_array(lower(array_to_string(terms, ' ')), '[^a-z0-9·]+'), lambda x: x <> '')"
+_ASKED = f"{_terms('qterms', 'questions', 'query_id')}, asked AS (SELECT query_id, conv_id, n % (SELECT count(*) FROM embeddings) AS vec_id, scope, text, terms, {_SPLIT_TERMS} AS words FROM questions JOIN qterms USING (query_id))"
 _HIT = "(list_bool_and(list_transform(words, lambda w: contains(lower(content), w))) OR list_bool_or(list_transform(keywords, lambda k: list_bool_and(list_transform(words, lambda w: contains(lower(k), w))))))"
 _WHOLE = "list_filter(terms, lambda t: contains(lower(content), lower(t)) OR list_bool_or(list_transform(keywords, lambda k: contains(lower(k), lower(t)))))"
 
@@ -42,7 +54,7 @@ def _keyword(name: str, chunks: str, scope: str = "") -> str:
 {name} AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY r) - 1 AS rank FROM {name}_hits WHERE r <= 12 AND len({_WHOLE}) > 0)"""
 
 
-_v("keyword_leg", "chunks", f", {_ASKED}, {_keyword('k', 'chunks')} SELECT query_id, id, rank FROM k")
+_v("keyword_leg", "chunks questions", f", {_ASKED}, {_keyword('k', 'chunks')} SELECT query_id, id, rank FROM k")
 _v("rrf_fusion", "", """WITH legs AS (SELECT conv_id AS query_id, 's' AS leg, 'c' || turn AS id, turn AS rank, 1.0::DOUBLE AS w FROM conversations WHERE turn < 4
 UNION ALL SELECT conv_id, 'k', 'c' || turn, 5 - turn, 1.2::DOUBLE FROM conversations WHERE turn BETWEEN 2 AND 5),
 s AS (SELECT * FROM legs WHERE leg = 's'), k AS (SELECT * FROM legs WHERE leg = 'k')
@@ -68,8 +80,8 @@ def _hybrid(name: str, scope: str = "", extra: str = "") -> str:
 {name} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score + (CASE WHEN len(m) > 0 THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN sr IS NOT NULL AND kr IS NOT NULL THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN version = newest THEN 0.1::DOUBLE ELSE 0 END), 9) DESC, sr ASC NULLS LAST, id) AS position FROM {name}_all QUALIFY position <= 4)"""
 
 
-_v("hybrid_retrieval", "chunk_vec", f", {_ASKED}, {_hybrid('h')} SELECT query_id, position, id, document_id, source, round(score, 6) AS score, sr AS semantic_rank, kr AS keyword_rank, version, array_to_string(m, '|') AS matched FROM h")
-_v("fallback_unfiltered", "chunk_vec", f""", {_ASKED}, {_hybrid('h', ' AND (scope IS NULL OR c.asset_id = scope)')}, {_hybrid('w', '', ' AND query_id NOT IN (SELECT query_id FROM h)')}
+_v("hybrid_retrieval", "chunk_vec questions", f", {_ASKED}, {_hybrid('h')} SELECT query_id, position, id, document_id, source, round(score, 6) AS score, sr AS semantic_rank, kr AS keyword_rank, version, array_to_string(m, '|') AS matched FROM h")
+_v("fallback_unfiltered", "chunk_vec questions", f""", {_ASKED}, {_hybrid('h', ' AND (scope IS NULL OR c.asset_id = scope)')}, {_hybrid('w', '', ' AND query_id NOT IN (SELECT query_id FROM h)')}
 SELECT query_id, position, id, asset_id, round(score, 6) AS score, false AS widened FROM h UNION ALL SELECT query_id, position, id, asset_id, round(score, 6), true FROM w""")
 _v("citations", "chunks", """, r AS (SELECT asset_id AS q, n % 97 * 1000000 + n AS p, id, CASE WHEN n % 10 <> 0 THEN 'doc-' || (n % 60) END AS d, source, version FROM chunks),
 g AS (SELECT q, coalesce('doc:' || d, 'chunk:' || id) AS k, min(p) AS first, arg_min(d, p) AS document_id, arg_min(source, p) AS source, arg_min(version, p) AS version, string_agg(id, '|' ORDER BY p) AS chunk_ids FROM r GROUP BY 1, 2)
@@ -199,12 +211,11 @@ _v("normalize_text", "", r"""WITH r AS (SELECT doc_id, replace(replace(text, ' t
 l AS (SELECT doc_id, regexp_replace(replace(replace(replace(t, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(160), ' '), '[ \t]+\n', chr(10), 'g') AS t FROM r)
 SELECT doc_id, regexp_replace(t, '[ \t]+$', '') AS text FROM l""")
 
-_TEXTS = "texts(query_id, text) AS (VALUES (1, 'What does ERR-4012 mean'), (2, 'why is the pump noisy'), (3, 'procedure for PN-607 and the valve'), (4, 'it leaks again'), (5, 'check error 4031 on the filter'))"
 _EXCERPTS = "'Excerpts:' || chr(10) || string_agg('#' || position || ' from ' || h.source || ':' || chr(10) || c.content, chr(10) ORDER BY position)"
 _REPLY = "Reply from the excerpts alone, give the numbers of those you used, and say so if they hold no answer."
-_v("grounded_prompt", "chunk_vec", f""", {_ASKED}, {_TEXTS}, {_hybrid('h')}
-SELECT query_id, {_EXCERPTS} || chr(10) || chr(10) || 'Asked: ' || any_value(text) || chr(10) || '{_REPLY}' || chr(10) || chr(10) || 'Where they come from:' || chr(10) || string_agg('- ' || h.source || ', document ' || h.document_id, chr(10) ORDER BY position) AS prompt
-FROM h JOIN chunk_vec c USING (id) JOIN texts USING (query_id) GROUP BY query_id""")
+_v("grounded_prompt", "chunk_vec questions", f""", {_ASKED}, {_hybrid('h')}
+SELECT query_id, {_EXCERPTS} || chr(10) || chr(10) || 'Asked: ' || any_value(asked.text) || chr(10) || '{_REPLY}' || chr(10) || chr(10) || 'Where they come from:' || chr(10) || string_agg('- ' || h.source || ', document ' || h.document_id, chr(10) ORDER BY position) AS prompt
+FROM h JOIN chunk_vec c USING (id) JOIN asked USING (query_id) GROUP BY query_id""")
 _v("hash_embed", "", """WITH texts AS (SELECT doc_id, text FROM documents UNION ALL SELECT -1, 'the pump valve filter of the hydraulic system'),
 w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM texts),
 n AS (SELECT doc_id, list_reduce(list_transform(regexp_extract_all(w, '.'), lambda c: ascii(c))::BIGINT[], lambda h, c: (h * 31 + c) % 4294967296, 0) % 32 AS b, count(*)::DOUBLE AS n FROM w GROUP BY ALL),
@@ -334,34 +345,33 @@ _BORROWED = f"{_CTX}, bctx AS (SELECT session_id, seq, asset_id, coalesce(compon
 _v("session_borrowed_context", "turns", f", {_BORROWED} SELECT session_id, seq, asset_id, component FROM bctx")
 _STATE = f"{_BORROWED}, st AS (SELECT session_id, max_by(struct_pack(a := asset_id, c := component), seq) AS last, CASE WHEN session_id % 3 = 0 THEN 'A320' END AS model, CASE WHEN session_id % 4 = 1 THEN 'it leaks' END AS issue FROM bctx GROUP BY session_id)"
 _v("suggested_filters", "turns", f", {_STATE} SELECT session_id, last.a AS asset_id, model AS equipment_model FROM st WHERE last.a IS NOT NULL OR model IS NOT NULL")
-_v("session_summary", "turns", f""", {_STATE}, {_ACTIONS}, {_EVID}, {_NOTED},
+_SUMMARY = f"""{_STATE}, {_ACTIONS}, {_EVID}, {_NOTED},
 q AS (SELECT session_id, seq, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS q, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) AS newest FROM turns QUALIFY newest <= 10),
 n AS (SELECT session_id, sum(length(q)) > 600 AS long, count(*) AS total FROM q GROUP BY 1),
-asked AS (SELECT session_id, string_agg('  ' || q, chr(10) ORDER BY seq) AS lines FROM q JOIN n USING (session_id) WHERE NOT long OR newest <= 3 GROUP BY 1),
-seen AS (SELECT session_id, string_agg('  ' || content, chr(10) ORDER BY turn) AS lines FROM noted WHERE newest <= 3 GROUP BY 1),
+said_before AS (SELECT session_id, string_agg('  ' || q, chr(10) ORDER BY seq) AS lines FROM q JOIN n USING (session_id) WHERE NOT long OR newest <= 3 GROUP BY 1),
+watched AS (SELECT session_id, string_agg('  ' || content, chr(10) ORDER BY turn) AS lines FROM noted WHERE newest <= 3 GROUP BY 1),
 used AS (SELECT session_id, string_agg('  ' || source || ', document ' || document_id || ': ' || CASE WHEN long AND length(content) > 140 THEN substr(content, 1, 140) || '…' ELSE content END, chr(10) ORDER BY seq) AS lines FROM ev JOIN n USING (session_id) GROUP BY 1),
 acted AS (SELECT session_id, string_agg(action, '; ' ORDER BY position) AS line FROM (SELECT *, count(*) OVER (PARTITION BY session_id) AS held FROM acts) WHERE position > held - 3 GROUP BY 1),
-t AS (SELECT st.session_id, last.a AS asset_id, last.c AS component, concat_ws(chr(10), 'The session so far', concat_ws('; ', 'Concerns asset ' || coalesce(last.a, 'not known'), 'subsystem ' || coalesce(last.c, 'not known'), 'model ' || model), 'Trouble: ' || issue, 'Observed:' || chr(10) || seen.lines,
- 'Asked:' || chr(10) || CASE WHEN long AND total > 3 THEN '  ' || (total - 3) || ' before these' || chr(10) ELSE '' END || asked.lines, 'Consulted:' || chr(10) || used.lines, 'Done: ' || acted.line) AS s
- FROM st JOIN n USING (session_id) LEFT JOIN asked USING (session_id) LEFT JOIN seen USING (session_id) LEFT JOIN used USING (session_id) LEFT JOIN acted USING (session_id))
-SELECT session_id, asset_id, component, CASE WHEN length(s) > 700 THEN rtrim(substr(s, 1, 699)) || '…' ELSE s END AS summary FROM t""")
+t AS (SELECT st.session_id, last.a AS asset_id, last.c AS component, concat_ws(chr(10), 'The session so far', concat_ws('; ', 'Concerns asset ' || coalesce(last.a, 'not known'), 'subsystem ' || coalesce(last.c, 'not known'), 'model ' || model), 'Trouble: ' || issue, 'Observed:' || chr(10) || watched.lines,
+ 'Asked:' || chr(10) || CASE WHEN long AND total > 3 THEN '  ' || (total - 3) || ' before these' || chr(10) ELSE '' END || said_before.lines, 'Consulted:' || chr(10) || used.lines, 'Done: ' || acted.line) AS s
+ FROM st JOIN n USING (session_id) LEFT JOIN said_before USING (session_id) LEFT JOIN watched USING (session_id) LEFT JOIN used USING (session_id) LEFT JOIN acted USING (session_id)),
+summaries AS (SELECT session_id, asset_id, component, CASE WHEN length(s) > 700 THEN rtrim(substr(s, 1, 699)) || '…' ELSE s END AS summary FROM t)"""
+_v("session_summary", "turns", f", {_SUMMARY} SELECT * FROM summaries")
 
 # Answers
 
-_NEAR = [
-    (1, 3, None, ["ERR-4012"], "What does ERR-4012 mean", ""),
-    (2, 5, "MSN4405", ["MSN4405"], "why is the pump noisy (valve, MSN4405)", "Concerns asset MSN4405; subsystem valve|Asked:|  the valve sticks"),
-    (3, 7, "MSN9999", ["PN-607", "MSN9999"], "procedure for PN-607 and the valve (pump, MSN9999)", "Concerns asset MSN9999; subsystem pump|Asked:|  is it tight"),
-    (4, 9, "MSN4410", ["MSN4410"], "it leaks again (MSN4410)", "Concerns asset MSN4410; subsystem not known"),
-    (5, 11, "MSN4402", ["MSN4402", "4031"], "check error 4031 on the filter (MSN4402)", "Concerns asset MSN4402; subsystem filter|Asked:|  one|  two"),
-]
-_ROWS = ", ".join(f"({i}, {v}, {'NULL' if a is None else repr(a)}, {t!r}, {[w for x in t for w in x.lower().split('-')]!r}, {q!r}, {c!r})" for i, v, a, t, q, c in _NEAR)
-_FLOW = f"""asked(query_id, vec_id, scope, terms, words, query, context) AS (VALUES {_ROWS}), {_TEXTS}, {_hybrid('h', ' AND (scope IS NULL OR c.asset_id = scope)')}, {_hybrid('w', '', ' AND query_id NOT IN (SELECT query_id FROM h)')},
+_FLOW = rf"""{_SUMMARY},
+near AS (SELECT query_id, q.text, regexp_replace(q.text, '^\s+|\s+$', '', 'g') AS trimmed, n, asset_id, component, summary FROM questions q JOIN summaries ON session_id = conv_id),
+more AS (SELECT *, list_filter([component, asset_id], lambda t: t IS NOT NULL AND NOT regexp_matches(trimmed, '(?i)(^|[^A-Za-z0-9_])' || regexp_escape(t) || '($|[^A-Za-z0-9_])')) AS add, {_ASSET} AS named FROM near),
+wide AS (SELECT *, CASE WHEN {_DEP} AND len(add) > 0 THEN trimmed || ' (' || array_to_string(add, ', ') || ')' ELSE trimmed END AS query FROM more),
+{_terms("qterms", "wide", "query_id", "query")},
+asked AS (SELECT query_id, n % (SELECT count(*) FROM embeddings) AS vec_id, CASE WHEN named IS NULL OR named = asset_id THEN asset_id END AS scope, text, query, summary, terms, {_SPLIT_TERMS} AS words FROM wide JOIN qterms USING (query_id)),
+{_hybrid('h', ' AND (scope IS NULL OR c.asset_id = scope)')}, {_hybrid('w', '', ' AND query_id NOT IN (SELECT query_id FROM h)')},
 both_ AS (SELECT query_id, position, id, source, document_id, version, false AS widened FROM h UNION ALL SELECT query_id, position, id, source, document_id, version, true FROM w)"""
-_v("answer_question", "chunk_vec", f""", {_FLOW}, p AS (SELECT query_id, any_value(query) AS query, bool_or(widened) AS widened, any_value(context) <> '' AS used_context, concat_ws(chr(10), {_EXCERPTS}, CASE WHEN any_value(context) <> '' THEN chr(10) || 'The session so far' || chr(10) || replace(any_value(context), '|', chr(10)) END, chr(10) || 'Asked: ' || any_value(text), '{_REPLY}') AS prompt
- FROM both_ h JOIN chunk_vec c USING (id) JOIN asked USING (query_id) JOIN texts USING (query_id) GROUP BY query_id)
+_v("answer_question", "chunk_vec turns questions", f""", {_FLOW}, p AS (SELECT query_id, any_value(query) AS query, bool_or(widened) AS widened, any_value(summary) <> '' AS used_context, concat_ws(chr(10), {_EXCERPTS}, chr(10) || any_value(summary), chr(10) || 'Asked: ' || any_value(asked.text), '{_REPLY}') AS prompt
+ FROM both_ h JOIN chunk_vec c USING (id) JOIN asked USING (query_id) GROUP BY query_id)
 SELECT query_id, query, widened, used_context, prompt, 'read ' || length(prompt) || ' characters' AS answer FROM p""")
-_v("answer_citations", "chunk_vec", f""", {_FLOW}, g AS (SELECT query_id, min(position) AS first, document_id, arg_min(source, position) AS source, arg_min(version, position) AS version, string_agg(id, '|' ORDER BY position) AS chunk_ids FROM both_ GROUP BY query_id, document_id)
+_v("answer_citations", "chunk_vec turns questions", f""", {_FLOW}, g AS (SELECT query_id, min(position) AS first, document_id, arg_min(source, position) AS source, arg_min(version, position) AS version, string_agg(id, '|' ORDER BY position) AS chunk_ids FROM both_ GROUP BY query_id, document_id)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY first) AS position, document_id, source, version, chunk_ids FROM g""")
 
 # Texts
@@ -382,10 +392,4 @@ tails AS (SELECT *, trim(CASE WHEN contains(right(before, 200), ' ') THEN regexp
 chunk_rows AS (SELECT doc_id, position, CASE WHEN before IS NULL OR head = '' OR starts_with(t, head) THEN t ELSE head || ' ' || t END AS content FROM tails)"""
 _v("chunk_text", "", f"WITH RECURSIVE {_CHUNKED} SELECT doc_id, position, content FROM chunk_rows")
 _v("ingest_chunks", "", f"WITH RECURSIVE {_CHUNKED} SELECT substr(sha256(concat_ws(chr(0), doc_id::VARCHAR, '1', position::VARCHAR)), 1, 32) AS id, doc_id::VARCHAR AS document_id, content, 'not_applicable' AS jev_status, 32 AS dimensions FROM chunk_rows")
-_HINTS = r"(?i)\b(?:err(?:or)?|code|pn|p/n|part|mpn|msg|fault|fail|procedure|proc|bulletin|sb|ad|tid|doc|docid|manual|amm|cmm|ipc|rev|step|assembly|assy)\b[-.:_ ]*\s*([a-z0-9][a-z0-9-]*)"
-_v("exact_terms_hinted", "", rf"""WITH t AS (SELECT doc_id, 'fault code ' || doc_id || ' on ERR-' || doc_id % 7 || '1: ' || text AS text FROM documents),
-l AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9._/-]*'), lambda x: regexp_replace(x, '[.,;:]+$', '')), lambda t: {_IS_ID}) AS ids, list_filter(regexp_extract_all(text, '{_HINTS}', 1), lambda h: length(h) >= 2 AND regexp_matches(h, '[0-9]')) AS hints FROM t),
-d AS (SELECT doc_id, list_filter(ids, lambda x, i: list_position(ids, x) = i) AS ids, hints FROM l),
--- A hint counts unless an identifier, or a hint before it, holds it.
-h AS (SELECT doc_id, ids, list_filter(hints, lambda x, i: NOT coalesce(list_bool_or(list_transform(ids || hints[1:i - 1], lambda y: contains(lower(y), lower(x)))), false)) AS more FROM d)
-SELECT doc_id, array_to_string(ids || more, '|') AS terms FROM h""")
+_v("exact_terms_hinted", "", f"""WITH t AS (SELECT doc_id, 'fault code ' || doc_id || ' on ERR-' || doc_id % 7 || '1: ' || text AS text FROM documents), {_terms("h", "t", "doc_id")} SELECT doc_id, array_to_string(terms, '|') AS terms FROM h""")

@@ -76,6 +76,10 @@ def _selects(d: dict[str, str]) -> dict[str, tuple[str, list[str], str]]:
         "cloud_memories": ("memories", ["memory_id", "memory_type", "CASE WHEN n % 7 = 0 THEN content || ' [cloud]' ELSE content END AS content", "asset_id", "source", "version", "importance", "confidence", "created_at", "updated_at", "sync_status", "lifecycle_status", "jev_status", "revision_of", "n"], "n % 4 <> 0"),
         "verdict_raw": ("events", [f"'mem-' || lpad(cast(event_id as {d['str']}), 9, '0') AS memory_id", _RAW, "event_id AS n"], ""),
         "chunk_vec": ("chunks c JOIN embeddings e ON e.vec_id = c.n % (SELECT count(*) FROM embeddings)", ["c.*", "e.embedding"], ""),
+        # Searches ask what users said in every twentieth conversation, and something to look up.
+        "questions": ("conversations", ["conv_id * 1000 + turn AS query_id", "conv_id", f"""text || CASE (conv_id + turn * 20) % 100 WHEN 0 THEN ' what does ERR-' || cast(4000 + (conv_id + turn) % 50 as {d['str']}) || ' mean' WHEN 20 THEN ' why is the pump noisy'
+ WHEN 40 THEN ' procedure for PN-' || cast(600 + (conv_id + turn) % 30 as {d['str']}) || ' and the valve' WHEN 60 THEN ' it leaks again' ELSE ' check error ' || cast(4000 + (conv_id + turn) % 50 as {d['str']}) || ' on the filter' END AS text""",
+            f"CASE (conv_id + turn * 20) % 80 WHEN 0 THEN NULL WHEN 20 THEN 'MSN' || cast(4400 + turn % 20 as {d['str']}) WHEN 40 THEN 'MSN9999' ELSE 'MSN4410' END AS scope", "conv_id + turn AS n"], "role = 'user' AND conv_id % 20 = 0 AND turn IS NOT NULL"),
         "turns": ("conversations", ["conv_id AS session_id", "turn AS seq", "text || CASE conv_id % 5 WHEN 0 THEN ' check the fuel system on aircraft MSN 4453' WHEN 1 THEN CASE WHEN turn < 3 THEN ' the pumps on rig R-77' ELSE ' it again' END WHEN 2 THEN '' WHEN 3 THEN ' replaced the old filter and reset the breaker' ELSE ' landing gear, unit id TX-9' END AS text"], "role = 'user'"),
     }
 

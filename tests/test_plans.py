@@ -9,6 +9,8 @@ from fieldmark.operators import nearest, retrieval
 from fieldmark.plans import catalog
 
 SF = "/root/testdata/sf0.001"
+#: Those that find the lists of vectors by matrix products.
+LISTS = {"fleet_knn", "fleet_knn_indexed", "fleet_documents_indexed", "hybrid_retrieval_indexed", "judge_prompts"}
 
 
 def plan(spark, name):
@@ -16,7 +18,7 @@ def plan(spark, name):
     return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - {"edge_evaluation", "cloud_evaluation", "answer_question", "embed_batches"}))
+@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - {"edge_evaluation", "cloud_evaluation", "answer_question", "embed_batches"} - LISTS))
 def test_no_python_and_no_product(spark, name):
     p = plan(spark, name)
     assert not re.search("EvalPython|InPandas|InArrow|PythonUDF", p), name
@@ -68,3 +70,8 @@ def test_only_needed_columns_are_read(spark):
 
 def test_filters_reach_the_scan(spark):
     assert re.search(r"PushedFilters: \[.*(role|IsNotNull)", plan(spark, "session_last_context"))
+
+
+@pytest.mark.parametrize("name", ["fleet_knn", "fleet_knn_indexed", "keyword_leg"])
+def test_searches_by_indexes_have_no_nested_loop(spark, name):
+    assert "CartesianProduct" not in plan(spark, name) and "NestedLoop" not in plan(spark, name)
