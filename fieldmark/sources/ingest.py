@@ -26,7 +26,7 @@ def ingest(documents: DataFrame, *, now: str, cloud: bool = False, provider: Emb
 
 
 def store_documents(documents: DataFrame, chunks: Collection, **options) -> None:
-    """Ingest ``documents`` into a collection, in place of what it holds of each. Chunks that break their contract raise, and then nothing
-    is written."""
+    """Ingest ``documents`` into a collection, in place of what it holds of each: one that is blank now has no chunks any more. Chunks that
+    break their contract raise, and then nothing is written."""
     records = insist(ingest(documents, **options), "chunk")
-    chunks.replace(records, "document_id")
+    chunks.replace(records, "document_id", documents)

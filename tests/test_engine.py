@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +9,7 @@ from fieldmark.functions.verdicts import coerce, generate_with, json_object_exac
 from fieldmark.operators import answer, filters, gate, lifecycle, provision, session, sync, validate
 from fieldmark.operators.evaluate import evaluate
 from fieldmark.sources.ingest import ingest, store_documents
-from fieldmark.sources.store import Collection, ConcurrentWrite, replace_documents
+from fieldmark.sources.store import Collection, Trail, newest, replace_documents
 from fieldmark.streaming.session_state import session_stream
 from fieldmark.streaming.sync_rounds import SyncRounds
 
@@ -80,24 +82,91 @@ def test_only_validated_propagates(spark):
     assert [r[0] for r in rows] == [True] + [False] * 7 and [r[1] for r in rows][4:6] == ["review", "hold_local"]
 
 
-NONE = dict(uploaded=0, rejected=0, adopted=0, conflicts=0, deduped=0, expired=0)
+NONE = dict(refused=0, uploaded=0, rejected=0, adopted=0, conflicts=0, deduped=0, expired=0)
 
 
-def test_rounds_settle_and_conflicts_are_withheld(spark, tmp_path):
+@pytest.mark.parametrize("touched_only", [True])
+def test_rounds_settle_and_conflicts_are_withheld(spark, tmp_path, touched_only):
     rounds = SyncRounds(spark, str(tmp_path), device="edge-1")
-    rows = memories(spark, dict(memory_id="a"), dict(memory_id="b", jev_status="needs_more_evidence"), dict(memory_id="c", jev_status="flag_risk"), dict(memory_id="d", asset_id=" "))
-    assert rounds.run(rows, now="2024-02-01T00:00:00Z") == NONE | dict(uploaded=2, rejected=1)
+    run = lambda *rows, now: rounds.run(memories(spark, *rows) if rows else None, now=now, touched_only=touched_only)
+    # A record stored before there was a contract.
+    Collection(spark, str(tmp_path), "edge_memories", S.MEMORY, "memory_id").put(memories(spark, dict(memory_id="d", asset_id=" ")))
+    rounds.open.put(spark.createDataFrame([("d",)], "memory_id string"))
+    first = run(dict(memory_id="a"), dict(memory_id="b", jev_status="needs_more_evidence"), dict(memory_id="c", jev_status="flag_risk"), dict(memory_id="e", asset_id=" "), now="2024-02-01T00:00:00Z")
+    assert first == NONE | dict(refused=1, uploaded=2, rejected=1)
     edge = {r.memory_id: (r.lifecycle_status, r.sync_status) for r in rounds.edge.read().collect()}
     assert edge == {"a": ("synced", "synced"), "b": ("used", "local"), "c": ("synced", "synced"), "d": ("used", "local")}
-    # A refused memory rides the next round's delta, of which nothing was sent anew.
-    assert rounds.run(now="2024-02-02T00:00:00Z") == NONE | dict(rejected=1)
-    assert rounds.run(memories(spark, dict(memory_id="d")), now="2024-02-02T00:00:00Z") == NONE | dict(uploaded=1)
+    assert [(r.memory_id, r.errors) for r in rounds.refused.read().collect()] == [("e", ["asset_id: blank"])]
+    # A memory that the cloud refused rides the next round's delta, of which nothing was sent anew.
+    assert run(now="2024-02-02T00:00:00Z") == NONE | dict(rejected=1)
+    assert run(dict(memory_id="d"), now="2024-02-02T00:00:00Z") == NONE | dict(uploaded=1)
     rounds.cloud.put(memories(spark, dict(memory_id="a", content="theirs")))
-    assert rounds.run(memories(spark, dict(memory_id="a", content="ours")), now="2024-02-03T00:00:00Z") == NONE | dict(conflicts=1)
-    assert rounds.run(now="2024-02-04T00:00:00Z") == NONE | dict(conflicts=1)
+    assert run(dict(memory_id="a", content="ours"), now="2024-02-03T00:00:00Z") == NONE | dict(conflicts=1)
+    assert run(now="2024-02-04T00:00:00Z") == NONE | dict(conflicts=1)
     assert rounds.cloud.get("a").first().content == "theirs" and rounds.edge.get("a").first().content == "ours"
     found = rounds.conflicts.read().collect()
     assert len(found) == 1 and found[0].updated_at == "2024-02-03T00:00:00Z" and rounds.events.read().count() == 3
+    with pytest.raises(Exception, match="asset_id: blank"):
+        rounds.edge.put(memories(spark, dict(memory_id="f", asset_id=" ")))
+    assert rounds.edge.get("f").count() == 0 and not [p for p in tmp_path.iterdir() if p.name.startswith("_")]
+
+
+def test_a_round_over_few_ids_reads_only_their_partitions(spark, tmp_path):
+    rounds = SyncRounds(spark, str(tmp_path), device="edge-1")
+    rows = memories(spark, *[dict(memory_id=f"m{i:04}", content=f"text {i}") for i in range(600)])
+    rounds.run(rows, now="2024-02-01T00:00:00Z")
+    assert rounds.edge.parts() == 8 and rounds.cloud.read().count() == 600
+    picked = rounds.cloud.pick(spark.createDataFrame([("m0007",), ("m0009",)], "memory_id string"))
+    pruned = re.search(r"PartitionFilters: \[([^\]]*)\]", picked._jdf.queryExecution().executedPlan().toString())
+    assert picked.count() == 2 and "part#" in pruned[1] and len(rounds.cloud._touched(picked, 8)) <= 2
+    untouched = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "cloud_memories").rglob("*.parquet")}
+    assert rounds.run(memories(spark, dict(memory_id="m0007", content="new")), now="2024-02-02T00:00:00Z", touched_only=True) == NONE | dict(uploaded=1)
+    same = {p.name for p in (tmp_path / "cloud_memories").rglob("*.parquet")} & set(untouched)
+    assert len(same) >= len(untouched) - 1 and rounds.cloud.get("m0007").first().content == "new"
+
+
+def test_the_trail_is_only_appended_to(spark, tmp_path):
+    """Bytes of a batch do not grow with the trail, and a batch given again adds nothing."""
+    trail = Trail(spark, str(tmp_path), "events", S.SYNC_EVENT, "event_id")
+    size = lambda: sum(p.stat().st_size for p in tmp_path.rglob("*.parquet"))
+    assert trail.read().count() == 0
+    grown = []
+    for i in range(4):
+        rows = spark.createDataFrame([(f"e{i}-{k}", "m", "create", "d", "1", "2", "2024-01-01T00:00:00Z", "applied") for k in range(50)], S.SYNC_EVENT)
+        before = size()
+        trail.append(rows, f"2024:{i}")
+        grown.append(size() - before)
+        trail.append(rows.limit(20), f"2024:{i}")
+        assert trail.read().count() == 50 * (i + 1) and size() - before == grown[-1]
+    assert max(grown) < 1.2 * min(grown)
+
+
+def test_of_rows_with_one_key_the_newest_stays(spark):
+    rows = [dict(memory_id="a", content=f"{i}", updated_at=f"2024-01-0{1 + i % 3}T00:00:00Z", version=str(8 + i % 4)) for i in range(60)] + [dict(memory_id="a", content="tie", updated_at="2024-01-03T00:00:00Z", version="11")] * 3
+    kept = {tuple(newest(memories(spark, *rows).repartition(n), "memory_id").first()) for n in (1, 2, 3, 5, 8, 13)}
+    assert len(kept) == 1 and {(r[5], r[9]) for r in kept} == {("11", "2024-01-03T00:00:00Z")}
+
+
+def test_a_scan_for_one_asset_reads_few_rows(spark, tmp_path):
+    """Rows that the scan gives out, by its own metric, fall with the asset's share."""
+    c = Collection(spark, str(tmp_path), "memories", S.MEMORY, "memory_id", parts=1, sorted_by=("asset_id",), page_rows=200)
+    c.put(spark.range(20_000).select(*[(F.concat(F.lit("m"), "id") if k == "memory_id" else F.concat(F.lit("a"), F.col("id") % 50) if k == "asset_id" else F.lit(v).cast(S.MEMORY[k].dataType)).alias(k) for k, v in BASE.items()]).select(*S.MEMORY.names))
+
+    def scanned(df):
+        df.collect()
+        nodes, total = [df._jdf.queryExecution().executedPlan()], 0
+        while nodes:
+            node = nodes.pop()
+            if "Scan" in node.nodeName():
+                total += node.metrics().apply("numOutputRows").value()
+            kids = node.children()
+            nodes += [kids.apply(i) for i in range(kids.size())]
+            if "AdaptiveSparkPlan" in node.nodeName():
+                nodes.append(node.executedPlan())
+        return total
+
+    one = c.read().where("asset_id = 'a7'")
+    assert scanned(c.read()) >= 20_000 and one.count() == 400 and scanned(one) <= 2_000
 
 
 def test_rounds_adopt_what_only_the_cloud_changed(spark, tmp_path):
@@ -198,7 +267,6 @@ def test_collection_versions(spark, tmp_path):
     c.put(memories(spark, dict(memory_id="b", content="new")))
     assert {r.memory_id: r.content for r in c.read().collect()} == {"a": "c", "b": "new"}
     assert c.delete(["a"]) and not c.delete(["a"])
-    c.vacuum(1)
     assert [r.memory_id for r in c.read().collect()] == ["b"] and c.get("b").count() == 1 and c.get("a").count() == 0
     with pytest.raises(ValueError):
         c.delete([])
@@ -207,28 +275,20 @@ def test_collection_versions(spark, tmp_path):
     assert [r.memory_id for r in c.read().collect()] == ["b"]
 
 
-def test_a_change_rewrites_only_the_buckets_it_touches(spark, tmp_path):
-    c = Collection(spark, str(tmp_path), "memories", S.MEMORY, "memory_id")
+def test_partitions_grow_with_rows_and_a_change_touches_few(spark, tmp_path):
+    c = Collection(spark, str(tmp_path), "memories", S.MEMORY, "memory_id", part_bytes=30_000)
     c.put(memories(spark, *[dict(memory_id=f"m{i}") for i in range(64)]))
-    before = c._current()[1]
-    c.put(memories(spark, dict(memory_id="m7", content="new")))
-    after = c._current()[1]
-    assert len(before) > 8 and sum(before[b] != after[b] for b in before) == 1 and c.read().count() == 64
-    c.append(memories(spark, dict(memory_id="n")))
-    assert sum(len(v) for v in c._current()[1].values()) == len(before) + 1 and c.read().count() == 65
-
-
-def test_of_two_writers_one_is_told(spark, tmp_path):
-    c = Collection(spark, str(tmp_path), "memories", S.MEMORY, "memory_id")
-    number, folders = c._current()
-    c.put(memories(spark, dict(memory_id="a")))
-    with pytest.raises(ConcurrentWrite):
-        c._commit(number, folders, memories(spark, dict(memory_id="b")), [])
-    assert [r.memory_id for r in c.read().collect()] == ["a"]
-    (tmp_path / "memories" / "manifests" / "0000000001.json").write_text("{")  # a writer that was lost
-    assert c.read().count() == 1
-    c.put(memories(spark, dict(memory_id="b")))
-    assert c.read().count() == 2
+    few = c.parts()
+    c.put(memories(spark, *[dict(memory_id=f"m{i}", content=" ".join(str(hash((i, k))) for k in range(20))) for i in range(5000)]))
+    many = c.parts()
+    assert few == 8 and many >= 16 and c.read().count() == 5000 and len(list((tmp_path / "memories").iterdir())) == 1
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "memories").rglob("*.parquet")}
+    c.put(memories(spark, dict(memory_id="m7", content="new"), dict(memory_id="m8", content="new")))
+    after = {p: p.stat().st_mtime_ns for p in (tmp_path / "memories").rglob("*.parquet")}
+    assert len(set(after.items()) - set(before.items())) <= 2 and c.read().count() == 5000 and c.get("m7").first().content == "new"
+    assert c.delete([f"m{i}" for i in range(5000)]) and c.read().count() == 0 and c.get("m7").count() == 0
+    with pytest.raises(Exception, match="a row without memory_id"):
+        c.put(memories(spark, dict(memory_id=None)))
 
 
 def test_documents_are_stored_in_place_of_their_former_chunks(spark, tmp_path):
@@ -237,6 +297,10 @@ def test_documents_are_stored_in_place_of_their_former_chunks(spark, tmp_path):
     store_documents(spark.createDataFrame([("d1", "One. " * 100, "a", "pump", "s"), ("d2", "Two.", "a", "pump", "s")], schema), c, now="2024-01-01T00:00:00Z", max_chars=120, overlap_chars=0)
     store_documents(spark.createDataFrame([("d1", "Three.", "a", "pump", "s")], schema), c, now="2024-01-02T00:00:00Z")
     assert sorted((r.document_id, r.content) for r in c.read().collect()) == [("d1", "Three."), ("d2", "Two.")]
+    # A document that is blank now has no chunks any more.
+    store_documents(spark.createDataFrame([("d2", " \n", "a", "pump", "s")], schema), c, now="2024-01-02T00:00:00Z")
+    assert [r.document_id for r in c.read().collect()] == ["d1"]
+    store_documents(spark.createDataFrame([("d2", "Two.", "a", "pump", "s")], schema), c, now="2024-01-02T00:00:00Z")
     with pytest.raises(Exception, match="component: blank"):
         store_documents(spark.createDataFrame([("d1", "Four.", "a", " ", "s")], schema), c, now="2024-01-03T00:00:00Z")
     assert c.read().count() == 2
