@@ -50,7 +50,7 @@ class Size:
         return cls(r.n, r.lo if r.lo is not None and r.lo == r.hi and r.lo > 0 else 0)
 
 
-def closest(candidates: DataFrame, rows: DataFrame, *, id: str, k: int, key: tuple[str, str] | None = None, unless: Column | None = None, size: Size | None = None, least: Column | None = None) -> DataFrame:
+def closest(candidates: DataFrame, rows: DataFrame, *, id: str, k: int, key: tuple[str, str] | None = None, unless: Column | None = None, size: Size | None = None, least: Column | None = None, vectors: DataFrame | None = None) -> DataFrame:
     """(candidate_id, id, similarity, position from 1): the ``k`` rows most similar to each of ``candidates(candidate_id, __v, ...)`` among
     ``rows(id, __e, ...)``; only those with an equal ``key`` (candidates' column, rows' column) if that is given, and without pairs for
     which ``unless`` holds. Ties go by id. Vectors that are null, zero, hold a null or differ in length have no similarity.
@@ -74,14 +74,16 @@ def closest(candidates: DataFrame, rows: DataFrame, *, id: str, k: int, key: tup
 
     product = reduce(add, [F.col(f"__e{i}") * F.col(f"__v{i}") for i in range(d)], F.lit(0.0)) if d else F.when(F.size("__e") == F.size("__v"), dot(F.col("__e"), F.col("__v")))
     score = F.try_divide(product, F.col("__en") * F.col("__vn"))
-    # By hash: a small file would be one task with all pairs.
-    rows = ready(rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), id) if size.n >= MANY else rows, "__e")
-    candidates = ready(candidates, "__v")
+    # By hash: a small file would be one task with all pairs. A join that shuffles by the key deals rows itself.
+    rows = ready(rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), id) if size.n >= MANY and (few or not key) else rows, "__e")
+    shown = None if vectors is None else F.broadcast(ready(vectors.select(F.col("candidate_id").alias("__q"), "__v"), "__v"))
+    candidates = ready(candidates, "__v") if shown is None else candidates.drop("__v")
     place = F.row_number().over(W.partitionBy("candidate_id").orderBy(F.desc("similarity"), id))
 
     def ranked(c: DataFrame, r: DataFrame) -> DataFrame:
         if key:
             pairs = r.join(beside(c, few), r[key[1]] == c[key[0]])
+            pairs = pairs if shown is None else pairs.join(shown, F.col("candidate_id").eqNullSafe(F.col("__q")))
         else:
             pairs = union([r.crossJoin(F.broadcast(part)) for part in blocks(c, size.n, "candidate_id")])
         pairs = pairs.where(score >= F.col("__least") - 1e-9)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..sources.scratch import exists
-from .nearest import Size, closest
+from .nearest import FEW, Size, closest
 from .retrieval import vector_topk
 
 #: Bytes of centroids at most: they are broadcast, and kept by the driver.
@@ -215,8 +215,9 @@ class VectorIndex:
         """(candidate_id, id, similarity, position) for ``queries(candidate_id, __v, ...)``, as :func:`fieldmark.operators.nearest.closest`
         gives them over all rows that pass ``where``; with ``key`` (queries' column, rows' column) only those with an equal one.
 
-        Queries meet the rows of their lists by an equi-join on the list (and key), whose large lists Spark can split. Without ``exact`` only
-        queries that find fewer than ``k`` rows in the lists probed at first look further.
+        Queries meet the rows of their lists by an equi-join on the list (and key), whose large lists Spark can split. Few queries, each with
+        an id of its own, send ids to their lists, and their vectors are broadcast; a query of many is copied to each of its lists. Without
+        ``exact`` only queries that find fewer than ``k`` rows in the lists probed at first look further.
         """
         rows = self.rows().where(where) if where is not None else self.rows()
         rows = rows.withColumnRenamed("embedding", "__e")
@@ -227,9 +228,10 @@ class VectorIndex:
         rows = at(rows, key and key[1]).select("__at", self.id, "__e", *([key[1]] if key else []))
         size = Size.of(queries, "__v")
         p = min(len(self.lists.rows), probes or self.lists.probes)
+        vectors = queries if size.n <= FEW and size.n * max(size.length, self.length) * 8 <= LISTS_BYTES else None
 
         def found(df: DataFrame, n: int, least: Column) -> DataFrame:
-            return closest(at(df, key and key[0]).drop("list"), rows, id=self.id, k=k, key=("__at", "__at"), unless=unless, size=Size(n, size.length), least=least)
+            return closest(at(df, key and key[0]).drop("list"), rows, id=self.id, k=k, key=("__at", "__at"), unless=unless, size=Size(n, size.length), least=least, vectors=vectors)
 
         first = found(self._lists_of(queries, None, probes), size.n * p, F.lit(-2.0))
         if p == len(self.lists.rows):
