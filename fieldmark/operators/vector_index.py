@@ -230,10 +230,10 @@ class VectorIndex:
         p = min(len(self.lists.rows), probes or self.lists.probes)
         vectors = queries if size.n <= FEW and size.n * max(size.length, self.length) * 8 <= LISTS_BYTES else None
 
-        def found(df: DataFrame, n: int, least: Column) -> DataFrame:
+        def found(df: DataFrame, n: int, least: Column | None) -> DataFrame:
             return closest(at(df, key and key[0]).drop("list"), rows, id=self.id, k=k, key=("__at", "__at"), unless=unless, size=Size(n, size.length), least=least, vectors=vectors)
 
-        first = found(self._lists_of(queries, None, probes), size.n * p, F.lit(-2.0))
+        first = found(self._lists_of(queries, None, probes), size.n * p, None)
         if p == len(self.lists.rows):
             return first
         least = first.groupBy("candidate_id").agg(F.when(F.count("*") >= k, F.min("similarity")).alias("__most"))
