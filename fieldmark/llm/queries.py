@@ -80,7 +80,7 @@ def some_periodic(docs: DataFrame) -> DataFrame:
     words, n = words_of(F.col("text")), F.size("words")
     g, a = F.floor(F.col("h") / 10), F.col("a")
     p = (1 + F.floor((n - a) / (3 + F.col("g") % 8))).cast("int")
-    chosen = docs.select("doc_id", "text", h.alias("h"), g.alias("g"), F.when(h % 10 == 0, words).alias("words")).withColumn("a", (F.col("g") % n).cast("int"))
+    chosen = docs.select("doc_id", "text", h.alias("h"), g.alias("g"), F.when(h % 10 == 0, words).alias("words")).withColumn("a", (F.col("g") % F.nullif(n, F.lit(0))).cast("int"))
     copies = F.flatten(F.array_repeat(F.slice("words", a + 1, p), (F.ceil((n - a) / p)).cast("int")))
     made = F.array_join(F.concat(F.slice("words", F.lit(1), a), F.slice(copies, F.lit(1), n - a)), " ")
     return chosen.select("doc_id", F.when(n > 0, made).otherwise(F.col("text")).alias("text"))

@@ -141,6 +141,20 @@ def test_op11_on_periodic_texts(spark, tmp_path):
     assert made > 5
 
 
+def test_op11_on_texts_without_words_that_are_drawn(spark, tmp_path):
+    """A text to be made periodic may have no word; with ANSI rules a remainder by its number of words is an error."""
+    import zlib
+
+    drawn = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0]
+    rows = [(i, ("", " \t\n", None, "one")[k % 4]) for k, i in enumerate(drawn)]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op11_periodic_runs(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows) > 8
+    for i, text in rows:
+        assert (got[i].n_runs, got[i].start) == (0, None)
+        assert got[i].collapsed_sha256 == hashlib.sha256((text or "").strip().encode()).hexdigest()
+
+
 # Exact duplicates
 
 
