@@ -32,9 +32,12 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def replace_documents(old: DataFrame, new: DataFrame, key: str = "document_id") -> DataFrame:
-    """``old`` with all rows of each document in ``new`` replaced by its rows there."""
-    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
+def replace_documents(old: DataFrame, new: DataFrame, key: str = "document_id", *, documents: DataFrame | None = None) -> DataFrame:
+    """``old`` with all rows of each document in ``new`` replaced by its rows there. ``documents(key)``: the documents that have rows in
+    ``new``, if they are known without making these rows once more."""
+    # By another name, so that Spark can drop a document before its rows are made.
+    gone = (new if documents is None else documents).select(F.col(key).alias("__gone")).distinct()
+    return old.join(gone, F.col(key) == F.col("__gone"), "left_anti").unionByName(new, allowMissingColumns=True)
 
 
 def delete_where(old: DataFrame, condition: Column) -> DataFrame:

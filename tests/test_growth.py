@@ -34,3 +34,10 @@ def test_a_text_is_embedded_once(spark):
     assert [got[i] for i in range(len(texts))] == [slow_embed(t) for t in texts] and got[len(texts)] is None
     assert optimized(df.select(cosine(hash_embed(F.col("t")), hash_embed(F.col("t"))))).count("lower(t#") == 2
     assert optimized(catalog.queries()["hash_embed"](spark, SF)).count("lower(text#") == 1
+
+
+def test_texts_are_not_chunked_to_tell_which_documents_are_replaced(spark):
+    odd = ["a", " ", "", None, " \n\t \r\n", " ", "\x0b\x1c", "a\n\n\nb", "\u0085", "\n\n.\n"]
+    df = spark.createDataFrame([(t,) for t in odd], "t string")
+    assert df.where(X.has_chunks(F.col("t")) != F.coalesce(F.size(X.chunk_text(F.col("t"))) > 0, F.lit(False))).count() == 0
+    assert optimized(catalog.queries()["ingest_chunks"](spark, SF)).count("Generate explode") == 2
