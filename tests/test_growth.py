@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldmark.functions import text as X
 from fieldmark.functions.vector import cosine, hash_embed
+from fieldmark.operators.term_index import TermIndex
 from fieldmark.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -41,3 +42,15 @@ def test_texts_are_not_chunked_to_tell_which_documents_are_replaced(spark):
     df = spark.createDataFrame([(t,) for t in odd], "t string")
     assert df.where(X.has_chunks(F.col("t")) != F.coalesce(F.size(X.chunk_text(F.col("t"))) > 0, F.lit(False))).count() == 0
     assert optimized(catalog.queries()["ingest_chunks"](spark, SF)).count("Generate explode") == 2
+
+
+def test_an_index_of_words_is_never_broadcast(spark, tmp_path):
+    """Its files are far smaller than its rows in memory, so a broadcast by their size fills the driver."""
+    rows = spark.range(200).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("pump "), F.col("id").cast("string")).alias("content"), F.array(F.lit("err-4012")).alias("keywords"))
+    index = TermIndex.build(rows, str(tmp_path))
+    queries = spark.createDataFrame([(1, ["err", "19"]), (2, ["pump", "7"]), (3, ["none"])], "query_id int, tokens array<string>")
+    for few in (True, False):
+        found = index.candidates(queries, few)
+        assert {(r.query_id, r.id) for r in found.collect()} == {(1, str(i)) for i in range(200) if "19" in str(i)} | {(2, str(i)) for i in range(200) if "7" in str(i)}
+    # Each join with a table of the index says that the other side travels.
+    assert optimized(index.candidates(queries)).count("strategy=") >= 3
