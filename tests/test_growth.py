@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from fieldmark.functions import text as X
 from fieldmark.functions.vector import cosine, hash_embed
+from fieldmark.operators import nearest
+from fieldmark.operators.evaluate import fleet_neighbours
 from fieldmark.operators.term_index import TermIndex
 from fieldmark.plans import catalog
 
@@ -54,3 +56,16 @@ def test_an_index_of_words_is_never_broadcast(spark, tmp_path):
         assert {(r.query_id, r.id) for r in found.collect()} == {(1, str(i)) for i in range(200) if "19" in str(i)} | {(2, str(i)) for i in range(200) if "7" in str(i)}
     # Each join with a table of the index says that the other side travels.
     assert optimized(index.candidates(queries)).count("strategy=") >= 3
+
+
+def test_equal_queries_and_vectors_are_compared_once(spark):
+    """3,000 candidates of three vectors among 3,000 memories: results as before, each from a few rows."""
+    vector = F.array((F.col("id") % 3 + 1).cast("double"), F.lit(1.0))
+    rows = spark.range(3000).select(F.format_string("m%05d", "id").alias("memory_id"), vector.alias("embedding"))
+    near = fleet_neighbours(rows, rows, k=2)
+    got = {(r.candidate_id, r.position): r.memory_id for r in near.collect()}
+    assert len(got) == 6000
+    assert (got["m00003", 1], got["m00003", 2]) == ("m00000", "m00006") and (got["m00000", 1], got["m00000", 2]) == ("m00003", "m00006")
+    once, members = nearest.asked_once(rows.withColumn("scope", F.lit(None).cast("string")), id="memory_id")
+    assert once.count() == 3 and members.count() == 3000
+    assert nearest.first_copies(rows, by=["embedding"], id="memory_id", k=3).count() == 9
