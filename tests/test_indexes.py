@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldmark.operators import gate, retrieval
+from fieldmark.operators import gate, nearest, retrieval, vector_index
 from fieldmark.operators.evaluate import fleet_neighbours, verdict_history
 from fieldmark.operators.term_index import TermIndex
 from fieldmark.operators.vector_index import VectorIndex
@@ -76,6 +76,64 @@ def test_searches_within_a_key(spark, fleet):
         assert [got.get((one.memory_id, p)) for p in range(1, 5)] == [r.memory_id for r in want] + [None] * (4 - len(want))
 
 
+def most_rows(df):
+    """The most rows that a step of the plan made, by its own count, once ``df`` was collected."""
+    def below(node):
+        counted = node.metrics().get("numOutputRows")
+        own = counted.get().value() if counted.isDefined() else 0
+        kind = node.getClass().getSimpleName()
+        more = [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else [node.children().apply(i) for i in range(node.children().size())]
+        return max([own, *map(below, more)])
+
+    return below(df._jdf.queryExecution().executedPlan())
+
+
+@pytest.mark.parametrize("exact", [True, False])
+def test_pairs_are_not_rows(spark, fleet, exact):
+    """300 queries among 6,000 vectors: pairs stay in matrix products, and only the best of a group leave it."""
+    rows, index = fleet
+    got = fleet_neighbours(rows.where("n % 20 = 0"), rows, index=index, exact=exact)
+    assert len(got.collect()) > 1700 and most_rows(got) < 50_000
+
+
+@pytest.mark.parametrize("group", [90, 700])
+def test_groups_of_any_size_find_the_same(spark, fleet, tmp_path, monkeypatch, group):
+    """Also of vectors with hundreds of copies, of multiples that tie but for their ids, of other lengths, and of none that can be compared."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(1500, 6)).round(3).tolist()
+    v[100:400] = [v[100]] * 300
+    v[400:700] = [[x * f for x in v[400]] for f in rng.uniform(0.5, 9, 300).tolist()]
+    v[20:26], v[40], v[60], v[80] = [[1.0, 2.0]] * 6, [3.0], None, [0.0] * 6
+    v[700:760] = [[1.0, float(i)] for i in range(60)]
+    names = rng.permutation(1500)
+    rows = spark.createDataFrame([(f"m{names[i]}", i, x) for i, x in enumerate(v)], "memory_id string, n int, embedding array<double>").repartition(3).persist()
+    index = VectorIndex.build(rows, str(tmp_path), id="memory_id")
+    monkeypatch.setattr(vector_index, "GROUP_ROWS", group)
+    asked = rows.where("n % 20 = 0 or n between 100 and 130 or n between 400 and 430")
+    got, want = found(fleet_neighbours(asked, rows, index=index)), found(fleet_neighbours(asked, rows))
+    assert got == want and len(got) > 600
+    near = found(fleet_neighbours(asked, rows, index=index, exact=False))
+    assert len(near) == len(got) and len({(c, m) for (c, _), (m, _) in near.items()} & {(c, m) for (c, _), (m, _) in got.items()}) >= 0.9 * len(got)
+    one = rows.where("n = 0").select(F.col("memory_id").alias("candidate_id"), F.array(F.lit(float("nan")), *[F.lit(1.0)] * 5).alias("__v"))
+    assert index.search(one, k=3).count() == 0
+    some = index.search(asked.select(F.col("memory_id").alias("candidate_id"), F.col("embedding").alias("__v")), k=3, where=F.col("n") % 7 == 0)
+    plain = nearest.closest(asked.select(F.col("memory_id").alias("candidate_id"), F.col("embedding").alias("__v")), rows.where("n % 7 = 0").withColumnRenamed("embedding", "__e"), id="memory_id", k=3)
+    assert found(some) == found(plain)
+
+
+def test_groups_hold_each_row_once_and_are_bounded(fleet):
+    _, index = fleet
+    for most in (1, 100, 1024, 10_000):
+        groups = vector_index.Groups.of(index.lists, index.others, most)
+        by_list = groups.by_list()
+        assert sorted(i for i, _, _ in by_list) == sorted([*range(len(index.lists.rows)), *index.others])
+        held = {}
+        for i, first, parts in by_list:
+            held[first, parts] = held.get((first, parts), 0) + (int(index.lists.rows[i]) if i >= 0 else index.others[i])
+        assert all(n <= most * parts for (_, parts), n in held.items()) and sum(held.values()) == len(index)
+        assert sorted(g for first, parts in held for g in range(first, first + parts)) == list(range(len(groups)))
+
+
 def test_an_index_of_nothing_and_of_one(spark, tmp_path):
     schema = "memory_id string, embedding array<double>"
     none = VectorIndex.build(spark.createDataFrame([], schema), str(tmp_path / "none"), id="memory_id")
