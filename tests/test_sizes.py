@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldmark.operators import products, retrieval, vector_index
+from fieldmark.operators import evaluate, products, retrieval, vector_index
 from fieldmark.operators.evaluate import fleet_neighbours
 from fieldmark.operators.nearest import closest, first_copies
 from fieldmark.operators.term_index import TermIndex
@@ -129,3 +129,14 @@ def test_one_memory_stands_for_those_of_its_vector(spark, tmp_path):
 def test_the_edge_does_not_search_the_fleet(spark):
     """Its judge is shown documents only."""
     assert "observations" not in catalog._context(spark, SF, "edge").columns and "fleet-vectors" not in plan(catalog.queries()["edge_evaluation"](spark, SF))
+
+
+@pytest.mark.parametrize("side", [3, 8192])
+@pytest.mark.parametrize("name", ["edge_evaluation", "judge_prompts"])
+def test_texts_go_to_the_candidates_of_their_asset_once(spark, monkeypatch, name, side):
+    """Not once for each candidate that found them; the same prompts."""
+    want = sorted(map(str, catalog.queries()[name](spark, SF).collect()))
+    monkeypatch.setattr(evaluate, "PRODUCTS", 1)
+    monkeypatch.setattr(evaluate, "SIDE_BY_SIDE", side)
+    df = catalog.queries()[name](spark, SF)
+    assert "REPARTITION_BY_NUM" in plan(df) and sorted(map(str, df.collect())) == want and len(want) == 50
